@@ -5,11 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from recordmill.llm import bpe, token_counts
+from recordmill.llm import bpe, decontaminate, near_dup, planes, token_counts
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +28,17 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(documents(spark, sf_dir), 2)
+
+
+def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planes.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 2)
+
+
 def queries() -> dict:
-    return {"op5_token_counts": op5_token_counts, "op7_byte_bpe": op7_byte_bpe}
+    return {f.__name__: f for f in (op2_decontaminate, op5_token_counts, op7_byte_bpe, op8_near_dedup, op9_token_planes)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op2_decontaminate": decontaminate.SQL}
