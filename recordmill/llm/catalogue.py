@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from recordmill.llm import bpe, decontaminate, near_dup, planes, token_counts
+from recordmill.llm import bpe, decontaminate, language_id, line_dedup, near_dup, planes, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +17,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.line_dedup(documents(spark, sf_dir))
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(documents(spark, sf_dir))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -37,8 +47,8 @@ def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_decontaminate, op5_token_counts, op7_byte_bpe, op8_near_dedup, op9_token_planes)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_decontaminate, op3_language_id, op5_token_counts, op7_byte_bpe, op8_near_dedup, op9_token_planes)}
 
 
 def oracle_sql() -> dict:
-    return {"op2_decontaminate": decontaminate.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op2_decontaminate": decontaminate.SQL}
