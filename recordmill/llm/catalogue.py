@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordmill.llm import bpe, decontaminate, language_id, line_dedup, near_dup, planes, token_counts
+from recordmill.llm import bpe, decontaminate, language_id, line_dedup, near_dup, planes, quality, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,8 +46,12 @@ def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.predict(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_decontaminate, op3_language_id, op5_token_counts, op7_byte_bpe, op8_near_dedup, op9_token_planes)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_decontaminate, op3_language_id, op5_token_counts, op7_byte_bpe, op8_near_dedup, op9_token_planes, op10_quality)}
 
 
 def oracle_sql() -> dict:
