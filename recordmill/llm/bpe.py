@@ -7,6 +7,7 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import public_tokenizers
 import pyarrow as pa
@@ -15,11 +16,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from recordmill.llm.pretokens import Remembered, pretokens
+from recordmill.llm.pretokens import Encoder
 from recordmill.llm.shared import slices, texts
 
-#: Pre-tokens whose ids a Python worker remembers.
-REMEMBERED = 300_000
+#: Chunks and pre-tokens whose ids a Python worker remembers.
+CHUNKS, PIECES = 400_000, 400_000
 #: Keys to a bucket of the perfect hash.
 BUCKET = 2
 
@@ -76,7 +77,7 @@ class PerfectHash:
         return self.values[s] if self.keys[s] == key else None
 
 
-class ByteBPE:
+class ByteBPE(Encoder):
     """Encodes and decodes by a table of ranks; equal to the tiktoken library without special tokens."""
 
     def __init__(self, path: str):
@@ -84,7 +85,7 @@ class ByteBPE:
         self.whole = PerfectHash(self.ranks)
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.library = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={})
-        self.seen = Remembered(REMEMBERED)
+        super().__init__(CHUNKS, PIECES)
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one pre-token."""
@@ -92,38 +93,49 @@ class ByteBPE:
         return (found,) if found is not None else self.merge(piece)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
-        """Merge neighbours by lowest rank, leftmost first. end[i] is where the live part at i ends, 0 if it is gone."""
-        ranks, n = self.ranks, len(piece)
-        end = list(range(1, n + 1)) + [0]
-        before = list(range(-1, n))
-        heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+        """Merge neighbours by lowest rank, leftmost first.
+
+        after[i] and before[i] link the live parts by where they start; pair[i] is the rank of the part at i with
+        the next, -1 for none. A heap entry holds rank and place and is stale if the pair's rank is another by now.
+        """
+        rank, n = self.ranks.get, len(piece)
+        after, before = list(range(1, n + 1)), list(range(-1, n))
+        pair = [rank(piece[i : i + 2], -1) for i in range(n)]
+        pair[-1] = -1
+        heap = [r << 32 | i for i, r in enumerate(pair) if r >= 0]
         heapify(heap)
         while heap:
-            _, i, mid, stop = heappop(heap)
-            if end[i] != mid or end[mid] != stop:
+            x = heappop(heap)
+            i = x & 0xFFFFFFFF
+            if pair[i] != x >> 32:
                 continue
-            end[i], end[mid] = stop, 0
-            before[stop] = i
-            if (h := before[i]) >= 0 and (r := ranks.get(piece[h:stop])) is not None:
-                heappush(heap, (r, h, i, stop))
-            if stop < n and (r := ranks.get(piece[i : end[stop]])) is not None:
-                heappush(heap, (r, i, stop, end[stop]))
-        out, i = [], 0
+            j = after[i]
+            pair[j], after[i] = -1, (k := after[j])
+            before[k] = i
+            pair[i] = r = rank(piece[i : after[k]], -1) if k < n else -1
+            if r >= 0:
+                heappush(heap, r << 32 | i)
+            if (h := before[i]) >= 0:
+                pair[h] = r = rank(piece[h:k], -1)
+                if r >= 0:
+                    heappush(heap, r << 32 | h)
+        out, i, ranks = [], 0, self.ranks
         while i < n:
-            out.append(ranks[piece[i : end[i]]])
-            i = end[i]
+            out.append(ranks[piece[i : after[i]]])
+            i = after[i]
         return tuple(out)
 
+    def encode_pieces(self, pieces: list[str]) -> list[tuple[int, ...]]:
+        return [self.encode_piece(p.encode()) for p in pieces]
+
+    def encode_text(self, text: str) -> list[int]:
+        return self.library.encode_ordinary(text)
+
+    def add(self, values) -> list[int]:
+        return list(chain.from_iterable(values))
+
     def encode(self, text: str) -> list[int]:
-        pieces = pretokens(text)
-        if pieces is None:
-            return self.library.encode_ordinary(text)
-        for p in self.seen.missing(dict.fromkeys(pieces)):
-            self.seen.new[p] = self.encode_piece(p.encode())
-        known = self.seen.new
-        out = [x for p in pieces for x in known[p]]
-        self.seen.forget_long(known.keys() & {p for p in pieces if len(p) > self.seen.longest})
-        return out
+        return list(self.encode_many([text])[0])
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -146,7 +158,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
         for batch in slices(batches, text):
-            all_ids = [bpe.encode(t or "") for t in texts(batch, text)]
+            all_ids = bpe.encode_many([t or "" for t in texts(batch, text)])
             columns = [*batch.columns, pa.array(all_ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in all_ids], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, ids, decoded])
 
@@ -162,10 +174,9 @@ def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, number = codec(path), [str(i) for i in range(1 << 17)]
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, 4 << 20):
             counts, ids_sha, out_sha = [], [], []
-            for t in texts(batch, text):
-                ids = bpe.encode(t or "")
+            for ids in bpe.encode_many([t or "" for t in texts(batch, text)]):
                 counts.append(len(ids))
                 ids_sha.append(hashlib.sha256(",".join(map(number.__getitem__, ids)).encode()).hexdigest())
                 out_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())

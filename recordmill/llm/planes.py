@@ -22,33 +22,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from recordmill.llm.pretokens import Remembered, pretokens
+from recordmill.llm.pretokens import Encoder
 from recordmill.llm.shared import new_path, slices, texts
 
 #: Ids of a chunk.
 CHUNK = 1 << 16
-REMEMBERED = 300_000
+#: Chunks and pre-tokens whose ids a Python worker remembers; chunks that the library gets as one text.
+CHUNKS, PIECES, TOGETHER = 1_000_000, 100_000, 1000
 
 
-class Ids:
+class Ids(Encoder):
     """Ids of texts as little-endian 32-bit bytes, equal to the library's; it is asked once for each pre-token."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        super().__init__(CHUNKS, PIECES)
         self.library = Tokenizer.from_file(path)
         with open(path) as f:
-            self.special = [(x["content"], x["id"]) for x in json.load(f).get("added_tokens", [])]
-        self.seen = Remembered(REMEMBERED)
-
-    def encode(self, text: str) -> bytes:
-        if any(s in text for s, _ in self.special) or (pieces := pretokens(text)) is None:
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if rest := self.seen.missing(dict.fromkeys(pieces)):
-            self.seen.new.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(rest, add_special_tokens=False))))
-        out = b"".join(map(self.seen.new.__getitem__, pieces))
-        self.seen.forget_long(rest)
+            self.special = [x["content"] for x in json.load(f).get("added_tokens", [])]
+
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(pieces, add_special_tokens=False)]
+
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Many chunks that begin and end without white space as one text: no match passes from one to the next."""
+        out: list = [None] * len(chunks)
+        tight = [i for i, c in enumerate(chunks) if len(c) > 1 and not c[1].isspace() and not c[-1].isspace() and self.plain(c)]
+        for lo in range(0, len(tight), TOGETHER):
+            group = tight[lo : lo + TOGETHER]
+            e = self.library.encode("".join([chunks[i] for i in group]), add_special_tokens=False)
+            data, starts = np.array(e.ids, "<u4").tobytes(), np.array(e.offsets, np.int64)[:, 0]
+            cuts = 4 * np.searchsorted(starts, np.cumsum([0, *(len(chunks[i]) for i in group)]))
+            for i, a, b in zip(group, cuts.tolist(), cuts[1:].tolist()):
+                out[i] = data[a:b]
+        rest = [i for i, v in enumerate(out) if v is None]
+        for i, v in zip(rest, self.by_pieces([chunks[i] for i in rest])):
+            out[i] = v
         return out
 
+    def encode_text(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def add(self, values) -> bytes:
+        return b"".join(values)
+
+    def plain(self, text: str) -> bool:
+        return not any(s in text for s in self.special)
+
 
 @lru_cache(2)
 def ids_of(path: str) -> Ids:
@@ -98,10 +118,10 @@ def write(df: DataFrame, path: str, tokenizer: str, end: int, bits: bool = True,
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(key_type), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary())]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds)], ["shard", "chunk", "start", "n_ids", "bits", "keys", "rows", "lengths", "planes"])
 
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, 4 << 20):
             key_type = batch.column(key).type
-            for name, t in zip(texts(batch, key), texts(batch, text)):
-                data = coder.encode(t or "") + last
+            for name, data in zip(texts(batch, key), coder.encode_many([t or "" for t in texts(batch, text)], coder.plain)):
+                data += last
                 at = 0
                 while at < len(data):
                     part = data[at : at + 4 * chunk - len(buffer)]
@@ -118,7 +138,7 @@ def write(df: DataFrame, path: str, tokenizer: str, end: int, bits: bool = True,
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = f"shard int, chunk int, start long, n_ids int, bits boolean, keys array<{kind}>, rows array<long>, lengths array<int>, planes array<binary>"
-    df.select(key, text).repartitionByRange(parts, key, text).sortWithinPartitions(key, text).mapInArrow(run, schema).write.parquet(path)
+    df.select(key, text).repartitionByRange(parts, key).sortWithinPartitions(key, text).mapInArrow(run, schema).write.parquet(path)
 
 
 def shift(n: int) -> list[int]:
