@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordmill.llm import bpe, decontaminate, language_id, line_dedup, near_dup, planes, quality, token_counts
+from recordmill.llm import ann, bpe, decontaminate, language_id, line_dedup, lm_score, near_dup, planes, quality, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +30,19 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(documents(spark, sf_dir))
 
 
+def op4_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.predict(documents(spark, sf_dir))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -50,8 +59,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+OPERATORS = (
+    op1_line_dedup,
+    op2_decontaminate,
+    op3_language_id,
+    op4_ann_search,
+    op5_token_counts,
+    op6_lm_score,
+    op7_byte_bpe,
+    op8_near_dedup,
+    op9_token_planes,
+    op10_quality,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_decontaminate, op3_language_id, op5_token_counts, op7_byte_bpe, op8_near_dedup, op9_token_planes, op10_quality)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict:
