@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from recordmill.plans import event_queries, graph_queries, jq_queries, search_queries
+
+MODULES = (search_queries, graph_queries, event_queries, jq_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
