@@ -40,7 +40,7 @@ def read_tree(spark: SparkSession, root: str, suffix: str = "json", most_bytes:
     """path (below the root), size, modified and text of each file; larger files come with a null text."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{suffix}").load(root)
     below = F.regexp_extract("path", f".*{_quoted(root.rstrip('/').rsplit('/', 1)[-1])}/(.*)$", 1)
-    return files.select(below.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.when(F.col("length") <= most_bytes, F.decode("content", F.lit("UTF-8"))).alias("text"))
+    return files.select(below.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.when(F.col("length") <= most_bytes, F.decode("content", "UTF-8")).alias("text"))
 
 
 def list_tree(spark: SparkSession, root: str, suffix: str = "*") -> DataFrame:
