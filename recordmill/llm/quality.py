@@ -165,13 +165,18 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     return model
 
 
-def sample(df: DataFrame, label: str, key: str, text: str, most: int) -> list[tuple[str, int]]:
-    """At most about so many labelled rows, by a hash of the key, in its order."""
-    df = df.where(F.col(label).isNotNull())
-    n, size = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+def sample(df: DataFrame, labels: DataFrame, label: str, key: str, text: str, most: int) -> list[tuple[str, int]]:
+    """At most about so many labelled texts, by a hash of the key, in its order.
+
+    Labels are picked before texts are read, so what is broadcast has a row for each text of the sample.
+    """
     h = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("fit")), F.lit(1 << 30))
-    found = df.where(h < int(min(1.0, most / max(n, 1), FIT_BYTES / max(size, 1)) * (1 << 30))).select(h.alias("h"), text, F.col(label).cast("int").alias("y"))
-    return [(r[1], r[2]) for r in sorted(found.collect(), key=lambda r: (r[0], r[1] or "", r[2]))]
+    labels = labels.where(F.col(label).isNotNull()).select(key, F.col(label).cast("int").alias("y"), h.alias("h"))
+    part = min(1.0, most / max(labels.count(), 1))
+    found = df.select(key, text).join(F.broadcast(labels.where(F.col("h") < int(part * (1 << 30)))), key)
+    size = found.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    found = found.where(F.col("h") < int(part * min(1.0, FIT_BYTES / max(size, 1)) * (1 << 30)))
+    return [(r[1], r[2]) for r in sorted(found.select("h", text, "y").collect(), key=lambda r: (r[0], r[1] or "", r[2]))]
 
 
 def score(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -200,5 +205,5 @@ def predict(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     A null key is in no fold; repeated labels of a key each count; null labels take no part.
     """
     known = labels.where(F.col(label).isNotNull() & ~(fold(key, 3) == 1)).select(key, label)
-    model = fit(sample(df.select(key, text).join(known, key), label, key, text, most))
+    model = fit(sample(df, known, label, key, text, most))
     return score(df, model, key, text).select(key, F.coalesce(fold(key, 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
