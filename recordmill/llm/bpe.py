@@ -1,4 +1,8 @@
-"""Byte-level BPE: whole pre-tokens by a minimal perfect hash, the rest by a heap over linked bytes."""
+"""Byte-level BPE: whole pre-tokens by a minimal perfect hash, the rest by merges over linked bytes.
+
+A long miss has a heap of its own. Short misses of a batch are merged side by side: each step takes the lowest
+pair of every one of them from its row, which is what its heap would give, and relinks its bytes.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +11,8 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
@@ -21,6 +25,8 @@ from recordmill.llm.shared import slices, texts
 
 #: Chunks and pre-tokens whose ids a Python worker remembers.
 CHUNKS, PIECES = 400_000, 400_000
+#: Bytes of a short miss, misses merged side by side, and the rank of a pair that isn't a token.
+SHORT, TOGETHER, NONE = 32, 20_000, 1 << 30
 #: Keys to a bucket of the perfect hash.
 BUCKET = 2
 
@@ -83,9 +89,12 @@ class ByteBPE(Encoder):
     def __init__(self, path: str):
         self.ranks = load_ranks(path)
         self.whole = PerfectHash(self.ranks)
-        self.bytes_of = {v: k for k, v in self.ranks.items()}
+        self.bytes_of = [k for k, _ in sorted(self.ranks.items(), key=lambda x: x[1])] if sorted(self.ranks.values()) == list(range(len(self.ranks))) else {v: k for k, v in self.ranks.items()}
         self.library = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={})
         super().__init__(CHUNKS, PIECES)
+        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)])
+        pairs = sorted((self.ranks[k[:i]] << 32 | self.ranks[k[i:]], v) for k, v in self.ranks.items() for i in range(1, len(k)) if k[:i] in self.ranks and k[i:] in self.ranks)
+        self.pair_keys, self.pair_values = np.array([k for k, _ in pairs]), np.array([v for _, v in pairs], np.int32)
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one pre-token."""
@@ -125,17 +134,74 @@ class ByteBPE(Encoder):
             i = after[i]
         return tuple(out)
 
-    def encode_pieces(self, pieces: list[str]) -> list[tuple[int, ...]]:
-        return [self.encode_piece(p.encode()) for p in pieces]
-
-    def encode_text(self, text: str) -> list[int]:
-        return self.library.encode_ordinary(text)
-
-    def add(self, values) -> list[int]:
-        return list(chain.from_iterable(values))
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each two tokens together, NONE if they aren't one."""
+        key = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_values[at], NONE)
+
+    def merge_many(self, pieces: list[bytes]) -> list[bytes]:
+        """merge() of pieces of 2 to SHORT bytes, as little-endian 32-bit ids."""
+        m = len(pieces)
+        sizes = np.fromiter(map(len, pieces), np.int64, m)
+        width = int(sizes.max())
+        inside = np.arange(width) < sizes[:, None]
+        ids = np.zeros((m, width + 1), np.int64)
+        ids[:, :width][inside] = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
+        pair = np.full((m, width + 1), NONE, np.int32)
+        r, c = np.nonzero(inside[:, 1:])
+        pair[r, c] = self.pair_ranks(ids[r, c], ids[r, c + 1])
+        after = np.tile(np.arange(1, width + 2, dtype=np.int16), (m, 1))
+        before = np.tile(np.arange(-1, width + 1, dtype=np.int16), (m, 1))
+        alive = inside.copy()
+        rows = np.arange(m)
+        while len(rows):
+            i = pair[rows].argmin(axis=1)
+            rank = pair[rows, i]
+            go = rank < NONE
+            rows, i, rank = rows[go], i[go], rank[go]
+            j = after[rows, i]
+            k = after[rows, j]
+            ids[rows, i], pair[rows, j], alive[rows, j], after[rows, i], before[rows, k] = rank, NONE, False, k, i
+            pair[rows, i] = np.where(k < sizes[rows], self.pair_ranks(rank, ids[rows, k]), NONE)
+            h = before[rows, i]
+            left = h >= 0
+            pair[rows[left], h[left]] = self.pair_ranks(ids[rows[left], h[left]], rank[left])
+        data = ids[:, :width][alive].astype("<u4").tobytes()
+        cuts = [0, *(4 * np.cumsum(alive.sum(axis=1))).tolist()]
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pre-tokens as little-endian 32-bit bytes."""
+        out: list = [None] * len(pieces)
+        short = []
+        for i, p in enumerate(pieces):
+            b = p.encode()
+            found = self.whole.get(b)
+            if found is not None:
+                out[i] = found.to_bytes(4, "little")
+            elif len(b) <= SHORT:
+                short.append((len(b), i, b))
+            else:
+                out[i] = np.array(self.merge(b), "<u4").tobytes()
+        short.sort()
+        for lo in range(0, len(short), TOGETHER):
+            some = short[lo : lo + TOGETHER]
+            for (_, i, _), v in zip(some, self.merge_many([b for _, _, b in some])):
+                out[i] = v
+        return out
+
+    def encode_text(self, text: str) -> bytes:
+        return np.array(self.library.encode_ordinary(text), "<u4").tobytes()
+
+    def add(self, values) -> bytes:
+        return b"".join(values)
+
+    def ids_of_many(self, many: list[str]) -> list[list[int]]:
+        return [np.frombuffer(v, "<u4").tolist() for v in self.encode_many(many)]
 
     def encode(self, text: str) -> list[int]:
-        return list(self.encode_many([text])[0])
+        return self.ids_of_many([text])[0]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -158,7 +224,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
         for batch in slices(batches, text):
-            all_ids = bpe.encode_many([t or "" for t in texts(batch, text)])
+            all_ids = bpe.ids_of_many([t or "" for t in texts(batch, text)])
             columns = [*batch.columns, pa.array(all_ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in all_ids], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, ids, decoded])
 
@@ -176,7 +242,7 @@ def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
         bpe, number = codec(path), [str(i) for i in range(1 << 17)]
         for batch in slices(batches, text, 4 << 20):
             counts, ids_sha, out_sha = [], [], []
-            for ids in bpe.encode_many([t or "" for t in texts(batch, text)]):
+            for ids in bpe.ids_of_many([t or "" for t in texts(batch, text)]):
                 counts.append(len(ids))
                 ids_sha.append(hashlib.sha256(",".join(map(number.__getitem__, ids)).encode()).hexdigest())
                 out_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())

@@ -15,59 +15,78 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from recordmill.llm.pretokens import Encoder
+from recordmill.llm.pretokens import settled
 from recordmill.llm.shared import new_path, slices, texts
 
 #: Ids of a chunk.
 CHUNK = 1 << 16
-#: Chunks and pre-tokens whose ids a Python worker remembers; chunks that the library gets as one text.
-CHUNKS, PIECES, TOGETHER = 1_000_000, 100_000, 1000
 
 
-class Ids(Encoder):
-    """Ids of texts as little-endian 32-bit bytes, equal to the library's; it is asked once for each pre-token."""
+def byte_characters() -> dict[str, int]:
+    """The byte that each character of a byte-level piece stands for: printable ones themselves, the rest from U+0100 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    rest = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        super().__init__(CHUNKS, PIECES)
-        self.library = Tokenizer.from_file(path)
-        with open(path) as f:
-            self.special = [x["content"] for x in json.load(f).get("added_tokens", [])]
-
-    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(pieces, add_special_tokens=False)]
-
-    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Many chunks that begin and end without white space as one text: no match passes from one to the next."""
-        out: list = [None] * len(chunks)
-        tight = [i for i, c in enumerate(chunks) if len(c) > 1 and not c[1].isspace() and not c[-1].isspace() and self.plain(c)]
-        for lo in range(0, len(tight), TOGETHER):
-            group = tight[lo : lo + TOGETHER]
-            e = self.library.encode("".join([chunks[i] for i in group]), add_special_tokens=False)
-            data, starts = np.array(e.ids, "<u4").tobytes(), np.array(e.offsets, np.int64)[:, 0]
-            cuts = 4 * np.searchsorted(starts, np.cumsum([0, *(len(chunks[i]) for i in group)]))
-            for i, a, b in zip(group, cuts.tolist(), cuts[1:].tolist()):
-                out[i] = data[a:b]
-        rest = [i for i, v in enumerate(out) if v is None]
-        for i, v in zip(rest, self.by_pieces([chunks[i] for i in rest])):
-            out[i] = v
-        return out
 
-    def encode_text(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+def same_by_ranks(pieces: dict[bytes, int], merges: list[tuple[bytes, bytes]]) -> bool:
+    """Whether merging any neighbours that make a piece, lowest id first, gives what the listed merges give.
 
-    def add(self, values) -> bytes:
-        return b"".join(values)
+    It does if ids of merged pieces rise with the list and every merged piece, alone, comes out whole of the listed
+    merges. For then, by induction on the rank: before a piece's turn its bytes are split in a text as they are
+    when alone, into its two listed parts, unless a merge has passed its ends; so no other two neighbours make it.
+    """
+    ids = [pieces.get(a + b, -1) for a, b in merges]
+    if any(x >= y for x, y in zip(ids, ids[1:])) or len(pieces) != 256 + len(merges):
+        return False
+    rank = {pair: i for i, pair in enumerate(merges)}
+    for a, b in merges:
+        parts = [bytes([x]) for x in a + b]
+        while len(parts) > 1:
+            found = min((rank.get(pair, len(rank)), i) for i, pair in enumerate(zip(parts, parts[1:])))
+            if found[0] == len(rank):
+                return False
+            parts[found[1] : found[1] + 2] = [parts[found[1]] + parts[found[1] + 1]]
+    return True
+
+
+class Ids:
+    """Ids of texts, equal to the tokenizers library's.
+
+    On loading, the file's merges are proved to be a merge by ranks; texts then go through a faster engine for those. A
+    text with an added token's string or a character that engines may class differently goes to the library, as
+    do all where the proof fails.
+    """
 
-    def plain(self, text: str) -> bool:
-        return not any(s in text for s in self.special)
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            whole = json.load(f)
+        self.special = [x["content"] for x in whole.get("added_tokens", [])]
+        self.fast = None
+        plain = whole["pre_tokenizer"] or {}
+        if whole["normalizer"] is None and plain.get("type") == "ByteLevel" and plain.get("use_regex") and not plain.get("add_prefix_space"):
+            table = byte_characters()
+            raw = lambda piece: bytes(map(table.__getitem__, piece))
+            pieces = {raw(p): i for p, i in whole["model"]["vocab"].items() if p not in self.special}
+            pairs = [m.split(" ") if isinstance(m, str) else m for m in whole["model"]["merges"]]
+            if same_by_ranks(pieces, [(raw(a), raw(b)) for a, b in pairs]):
+                self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=pieces, special_tokens={})
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.fast is None or not settled(text) or any(s in text for s in self.special):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+        return self.fast.encode_to_numpy(text, disallowed_special=())
 
 
 @lru_cache(2)
@@ -120,8 +139,8 @@ def write(df: DataFrame, path: str, tokenizer: str, end: int, bits: bool = True,
 
         for batch in slices(batches, text, 4 << 20):
             key_type = batch.column(key).type
-            for name, data in zip(texts(batch, key), coder.encode_many([t or "" for t in texts(batch, text)], coder.plain)):
-                data += last
+            for name, t in zip(texts(batch, key), texts(batch, text)):
+                data = coder.encode(t or "").astype("<u4").tobytes() + last
                 at = 0
                 while at < len(data):
                     part = data[at : at + 4 * chunk - len(buffer)]

@@ -5,8 +5,8 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain, islice
 
 import public_tokenizers
 import regex
@@ -73,14 +73,13 @@ class Remembered:
         out = keys - self.new.keys()
         if self.old:
             kept = out & self.old.keys()
-            self.new.update((k, self.old[k]) for k in kept)
+            self.new.update(zip(kept, map(self.old.__getitem__, kept)))
             out -= kept
         return list(out)
 
     def forget_long(self, keys) -> None:
-        for k in keys:
-            if len(k) > self.longest:
-                self.new.pop(k, None)
+        for k in [k for k in keys if len(k) > self.longest] if max(map(len, keys), default=0) > self.longest else ():
+            self.new.pop(k, None)
 
 
 class Encoder:
@@ -115,12 +114,12 @@ class Encoder:
         """The value of each chunk, a space and what follows to the next."""
         return self.by_pieces(chunks)
 
-    def encode_many(self, many: list[str], takes: Callable[[str], bool] = lambda t: True) -> list:
-        """The value of each text; those that aren't taken or settled go to encode_text()."""
+    def encode_many(self, many: list[str]) -> list:
+        """The value of each text; those that aren't settled go to encode_text()."""
         out: list = [None] * len(many)
         cut, whole = [], []
         for i, t in enumerate(many):
-            if not takes(t) or not settled(t):
+            if not settled(t):
                 out[i] = self.encode_text(t)
             elif apart(t):
                 cut.append(i)
@@ -130,11 +129,10 @@ class Encoder:
             out[i] = v
         split = [many[i].split(" ") for i in cut]
         heads = self.by_pieces([c[0] for c in split])
-        rest = self.chunks.missing({x for c in split for x in c[1:]})
+        rest = self.chunks.missing(set().union(*split))
         self.chunks.new.update(zip(rest, self.encode_chunks([" " + x for x in rest])))
         known = self.chunks.new.__getitem__
         for i, head, c in zip(cut, heads, split):
-            del c[0]
-            out[i] = self.add((head, *map(known, c)))
+            out[i] = self.add(chain((head,), map(known, islice(c, 1, None))))
         self.chunks.forget_long(rest)
         return out
