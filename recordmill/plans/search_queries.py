@@ -17,6 +17,10 @@ VIEW = "SELECT *, 'memories/' || source || '/' || sha256(CAST(doc_id AS VARCHAR)
 WS = r"[\s\x0b\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 FLAT = f"trim(regexp_replace(text, '{WS}', ' ', 'g'))"
 
+#: A document as the note that as_notes() makes of it; ~ stands for a line feed.
+NOTE = "'---~type: doc~status: draft~tags: [' || lang || ']~---~# Document ' || doc_id || ' {#top}~~' || regexp_replace(text, '[\\[\\]<>`#{}]', '', 'g') || '~~## Links~~[next](doc-' || (doc_id + 1) || '.md#top) and src1:x~~- [ ] check ' || lang || '~- [x] done~'"
+NOTE = NOTE.replace("~", "' || chr(10) || '")
+
 
 def read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -319,6 +323,11 @@ SQL = {
     "point_read_ref": f"SELECT ref, 'document ' || doc_id AS title, text FROM ({VIEW}) WHERE ref = 'src7:47'",
     "alias_lookup": "SELECT c_custkey FROM customer WHERE c_name = 'Customer#000000042'",
     "line_slice": "SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 4), chr(10)) AS content FROM documents",
+    "byte_budget": "SELECT doc_id, strlen(text) <= 2000 AS fits, CAST(CASE WHEN strlen(text) <= 2000 THEN length(text) ELSE (SELECT max(i) FROM range(0, 2001) r(i) WHERE strlen(left(text, i)) <= 2000) END AS BIGINT) AS kept FROM documents",
+    "compile_notes": f"SELECT 'concepts/doc-' || doc_id || '.md' AS path, 'Document ' || doc_id AS title, 'concept' AS kind, sha256({NOTE}) AS sha256, CAST(2 AS BIGINT) AS n_headings, CAST(2 AS BIGINT) AS n_tasks FROM documents",
+    "path_predicates": """SELECT * FROM (VALUES ('projects/a.md', false, 'projects', false, false, 'memories/projects/a.json'), ('projects/.#a.md', false, NULL, false, false, NULL), ('actions/x/ACTION.md', false, 'actions', false, false, 'memories/actions/x.json'),
+        ('actions/x/y.md', false, NULL, false, false, NULL), ('memories/src1/abc.json', false, NULL, true, false, NULL), ('memories/notes/abc.json', false, NULL, false, false, NULL), ('.git/config', true, NULL, false, false, NULL), ('a/.env.local', true, NULL, false, false, NULL),
+        ('a/.env.example', false, NULL, false, false, NULL), ('logs/x', true, NULL, false, false, NULL), ('a/../b', false, NULL, false, true, NULL), ('a//b', false, NULL, false, true, NULL), ('concepts/b/c.md', false, 'concepts', false, false, 'memories/concepts/b/c.json')) t(path, private, role, record, bad, compiled)""",
     "tsv_rows": "SELECT doc_id || chr(9) || coalesce(lang, '') || chr(9) || regexp_replace(coalesce(text, ''), '[\\t\\r\\n]', ' ', 'g') AS line FROM documents",
     "status_counts": "SELECT count(*) AS records, count(DISTINCT source) AS sources, count(DISTINCT lang) AS langs FROM documents",
     "open_tasks_total": "SELECT CAST(count(*) FILTER (WHERE o_orderstatus != 'F') AS BIGINT) AS tasks_open FROM orders",
