@@ -1,15 +1,16 @@
 """Near duplicates by an LSH forest: neighbours in several sorted signature orders, checked on full sets.
 
 Each distinct shingle set is a node with a MinHash signature. A tree orders the nodes by a few of its values;
-candidates are each node's neighbour in that order and the heads of the regions that share a prefix with it,
-so a group of any size gives rows in proportion to it. Candidates are checked on the texts' full sets. What
-is linked then is contracted, and nodes of a region that are still apart are compared with each other, each
-region at the depth where it is small. Texts with the same set are one node from the start.
+candidates are nodes near each other in that order that share a prefix, and the heads of the regions that share
+it. Texts with the same set are one node from the start. A few trees come first, some at a time: each node's
+neighbour and heads that are in other classes are candidates there, the best of each node are checked, and what
+is linked becomes one class. Then all trees run over the nodes with their classes, and each node meets those
+before it, as deep in its region as it is crowded, that are in other classes; so a group of any size gives
+rows in proportion to it. Candidates are checked on full sets.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +25,14 @@ from recordmill.llm.words import WordHashes, shingle_hashes, shingle_set, spaced
 
 #: MinHash values of a signature; trees; values that a candidate shares at least; further values in the order.
 HASHES, TREES, DEPTH, DEEPER = 128, 40, 6, 10
-#: Depths after DEPTH at which a region has a head, and at which crowded regions are divided.
-HEADS, LEVELS = (0, 5), (0, 3, 6, DEEPER)
-#: Nodes of a region that are compared with each other before it is divided.
-REGION = 64
-#: Share of equal values under which a pair can't reach 0.8 (seven standard errors less).
-AGREE = 0.55
+#: Trees that come first: from, to.
+FIRST = ((0, 8), (8, 16), (16, 24))
+#: Depths after DEPTH at which a region has a head; nodes before it in the order that a node meets.
+HEADS, MEETS = (0, 5), 16
+#: Rows of 32 bytes that are joined by broadcasting them; more are joined by shuffle.
+BROADCAST = 200_000
+#: Share of equal values under which a pair is not checked: 4.5 standard errors less than 0.8, which 3 in a million pairs of 0.8 miss.
+AGREE = 0.64
 
 _RNG = np.random.default_rng(11)
 _A = (_RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
@@ -93,56 +96,73 @@ def sign(width: int, text: str):
     return run
 
 
-def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def grow(trees: range):
     """A row for each node and tree: key (hash of the tree and its first values), deep (bytes of further values)."""
-    for whole in batches:
-        for start in range(0, whole.num_rows, 1000):
-            batch = whole.slice(start, 1000)
-            m = batch.num_rows
-            sig = np.frombuffer(b"".join(texts(batch, "sig")), np.uint32).reshape(m, HASHES)
-            node = np.frombuffer(b"".join(texts(batch, "node")), np.uint8).reshape(m, 16)
-            n = batch.column("n_shingles").to_numpy()
-            for t in range(TREES):
-                values = sig[:, _ORDER[t]]
-                key = (values[:, :DEPTH].astype(np.uint64) * _MIX[t]).sum(axis=1, dtype=np.uint64)
-                key ^= key >> np.uint64(29)
-                deep = (values[:, DEPTH:] & 0xFF).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), fixed(deep, DEEPER), fixed(node, 16), pa.array(n)], ["key", "deep", "node", "n"])
-
-
-def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted rows: those that share a key with the row before, with that row and the heads of their regions."""
-    slots = 1 + len(HEADS)
-    carried = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = batch.column("key").to_numpy()
-        deep = np.frombuffer(b"".join(texts(batch, "deep")), np.uint8).reshape(-1, DEEPER)
-        node = np.frombuffer(b"".join(texts(batch, "node")), np.uint8).reshape(-1, 16)
-        n = batch.column("n").to_numpy()
-        if carried is None:
-            carried = [np.repeat(x[:1], slots, axis=0) for x in (key ^ 1, deep, node, n)]
-        key, deep, node, n = (np.concatenate([c, x]) for c, x in zip(carried, (key, deep, node, n)))
-        at = np.arange(len(key))
-        same = np.concatenate([[False], key[1:] == key[:-1]])
-        heads = []
-        for k, depth in enumerate(HEADS):
-            fresh = ~same | np.concatenate([[True], (deep[1:, :depth] != deep[:-1, :depth]).any(axis=1)])
-            fresh[:slots] = False
-            first = np.where(fresh, at, 0)
-            first[slots - 1] = k
-            heads.append(np.maximum.accumulate(first))
-        keep = at[slots:][same[slots:]]
-        last = [h[-1] for h in heads] + [len(key) - 1]
-        carried = [x[last] for x in (key, deep, node, n)]
-        others = [at[keep] - 1] + [h[keep] for h in heads]
-        columns = [pa.array(key[keep]), fixed(deep[keep], DEEPER), fixed(node[keep], 16), pa.array(n[keep])]
-        for o in others:
-            fits = 5 * np.minimum(n[o], n[keep]) >= 4 * np.maximum(n[o], n[keep])
-            fits &= (node[o] != node[keep]).any(axis=1)
-            columns.append(pa.array([x if f else None for x, f in zip(fixed(node[o], 16).to_pylist(), fits)], pa.binary()))
-        yield pa.RecordBatch.from_arrays(columns, ["key", "deep", "node", "n", *(f"other{k}" for k in range(slots))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                m = batch.num_rows
+                sig = np.frombuffer(b"".join(texts(batch, "sig")), np.uint32).reshape(m, HASHES)
+                node = np.frombuffer(b"".join(texts(batch, "node")), np.uint8).reshape(m, 16)
+                for t in trees:
+                    values = sig[:, _ORDER[t]]
+                    key = (values[:, :DEPTH].astype(np.uint64) * _MIX[t]).sum(axis=1, dtype=np.uint64)
+                    key ^= key >> np.uint64(29)
+                    deep = (values[:, DEPTH:] & 0xFF).astype(np.uint8)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), fixed(deep, DEEPER), fixed(node, 16), batch.column("n_shingles"), batch.column("class")], ["key", "deep", "node", "n", "class"])
+
+    return run
+
+
+def neighbours(meets: int):
+    """Of rows in order, pairs (x, y) of one region and different classes: up to so many apart, or a head and a later row."""
+    h = len(HEADS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            deep = np.frombuffer(b"".join(texts(batch, "deep")), np.uint8).reshape(-1, DEEPER)
+            node = np.frombuffer(b"".join(texts(batch, "node")), np.uint8).reshape(-1, 16)
+            rows = [batch.column("key").to_numpy(), deep, node, batch.column("n").to_numpy(), batch.column("class").to_numpy()]
+            if carried is None:  # heads and a row before of a key that the first row hasn't
+                carried = [np.repeat(x[:1], h + 1, axis=0) for x in (rows[0] ^ 1, *rows[1:])]
+            start = len(carried[0])
+            key, deep, node, n, group = rows = [np.concatenate([c, x]) for c, x in zip(carried, rows)]
+            at = np.arange(len(key))
+            same = np.concatenate([[False], key[1:] == key[:-1]])
+            heads = []
+            for k, depth in enumerate(HEADS):
+                fresh = ~same | np.concatenate([[True], (deep[1:, :depth] != deep[:-1, :depth]).any(axis=1)])
+                fresh[:start] = False
+                first = np.where(fresh, at, 0)
+                first[start - 1] = k
+                heads.append(np.maximum.accumulate(first))
+            x, y = [], []
+            new = at[start:]
+            for w in range(1, meets + 1):
+                mine = new[new - w >= h]
+                mine = mine[key[mine] == key[mine - w]]
+                if not len(mine):
+                    break
+                x.append(mine - w)
+                y.append(mine)
+            inner = new[same[start:]]
+            for head in heads:
+                x.append(head[inner])
+                y.append(inner)
+            x, y = np.concatenate(x), np.concatenate(y)
+            fits = (group[x] != group[y]) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y]))
+            x, y = x[fits], y[fits]
+            x, y = np.unique(np.stack([x, y]), axis=1) if len(x) else (x, y)
+            yield pa.RecordBatch.from_arrays([fixed(node[x], 16), fixed(node[y], 16)], ["x", "y"])
+            keep = [hd[-1] for hd in heads] + at[max(h, len(key) - meets) :].tolist()
+            carried = [v[keep] for v in rows]
+
+    return run
 
 
 def check(width: int):
@@ -174,6 +194,11 @@ def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= AGREE))
 
 
+def if_few(rows: DataFrame) -> DataFrame:
+    """Rows to broadcast if a count shows that they are few; as they are otherwise."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST else rows
+
+
 class NearDuplicates:
     """Classes of texts linked at 0.8 or more over shingles of so many words."""
 
@@ -182,36 +207,46 @@ class NearDuplicates:
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) of nodes whose texts' full sets are close enough."""
-        one = pairs.join(self.bodies.select(F.col("node").alias("b"), F.col("body").alias("text_b")), "b")
-        two = one.join(self.bodies.select(F.col("node").alias("a"), F.col("body").alias("text_a")), "a")
-        return materialize(two.select("a", "b", "text_a", "text_b").mapInArrow(check(self.width), "a binary, b binary"), "links")
-
-    def apart(self, pairs: DataFrame) -> DataFrame:
-        """Pairs of nodes that aren't in one class yet, worth a check by their signatures."""
-        labels, sigs = self.labels, self.nodes.select("node", "sig")
-        for side in "ab":
-            pairs = pairs.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}")), side, "left")
-        pairs = pairs.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+        pairs = materialize(pairs, "pairs")
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(self.nodes.select("node", "body_key"), "node")
+        wanted = materialize(wanted, "wanted")
+        few = if_few(wanted)
+        bodies = self.docs.select(F.unhex(F.md5(self.text)).alias("body_key"), F.col(self.text).alias("body")).join(few.select("body_key"), "body_key", "left_semi")
+        bodies = bodies.groupBy("body_key").agg(F.first("body").alias("body"))
+        bodies = materialize(bodies.join(few, "body_key").select("node", "body"), "bodies")
+        one = pairs.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("text_b")), "b")
+        two = one.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("text_a")), "a")
+        links = materialize(two.select("a", "b", "text_a", "text_b").mapInArrow(check(self.width), "a binary, b binary"), "links")
+        for table in (pairs, wanted, bodies):
+            discard(links.sparkSession, table)
+        return links
+
+    def candidates(self, nodes: DataFrame, trees: range, meets: int) -> DataFrame:
+        """Pairs (a, b) of nodes of different classes that come near in the orders of these trees, with how often."""
+        order = ["key", "deep", "node"]
+        parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        forest = nodes.select("node", "n_shingles", "sig", "class").mapInArrow(grow(trees), "key long, deep binary, node binary, n long, class long")
+        near = forest.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(neighbours(meets), "x binary, y binary")
+        return near.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("votes"))
+
+    def mark(self, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+        """Nodes with a number for the class they are in."""
+        return materialize(nodes.join(if_few(labels), "node", "left").withColumn("class", F.xxhash64(F.coalesce("label", "node"))).drop("label"), "marked")
+
+    def joined(self, labels: DataFrame | None, links: DataFrame) -> DataFrame:
+        """The classes (node, label) that further links make."""
+        if labels is not None:
+            if links.isEmpty():
+                return labels
+            links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links)
+        return components(links)
+
+    def alike(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose signatures say that a check is worth it."""
+        sigs = self.nodes.select("node", "sig")
         for side in "ab":
             pairs = pairs.join(sigs.select(F.col("node").alias(side), F.col("sig").alias(f"sig_{side}")), side)
-        return pairs.mapInArrow(alike, "a binary, b binary")
-
-    def crowded(self, rows: DataFrame) -> DataFrame:
-        """All pairs of nodes of a region that are in different classes; regions over REGION nodes are divided."""
-        rows = rows.join(self.labels, "node", "left").select("key", "deep", "node", "n", F.coalesce("label", "node").alias("label"))
-        mixed = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key", "size")
-        rows = materialize(rows.join(mixed, "key"), "mixed")
-        found = None
-        for k, level in enumerate(LEVELS):
-            here = rows.withColumn("part", F.substring("deep", 1, level)).drop("size")
-            sizes = here.groupBy("key", "part").agg(F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).where("x != y")
-            if level != LEVELS[-1]:
-                sizes = sizes.where(F.col("size") <= REGION)
-            left = here.join(sizes.select("key", "part"), ["key", "part"])
-            right = left.select("key", "part", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-            pairs = left.join(right, ["key", "part"]).where("node < b and label != label_b and 5 * least(n, n_b) >= 4 * greatest(n, n_b)").select(F.col("node").alias("a"), "b")
-            found = pairs if found is None else found.union(pairs)
-        return found.distinct()
+        return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(alike, "a binary, b binary")
 
     def classes(self, df: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         """For each row: key, n_shingles, component_id, and the carried columns.
@@ -226,36 +261,20 @@ class NearDuplicates:
         self.nodes = nodes = materialize(
             members.where("node is not null").groupBy("node").agg(F.min(self.key).alias("first"), F.min("body_key").alias("body_key"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig")), "nodes"
         )
-        spark = df.sparkSession
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        order = ["key", "deep", "node"]
-        forest = nodes.select("node", "n_shingles", "sig").mapInArrow(grow, "key long, deep binary, node binary, n long")
-        near = forest.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-        others = [f"other{k}" for k in range(1 + len(HEADS))]
-        near = materialize(near.mapInArrow(neighbours, "key long, deep binary, node binary, n long, " + ", ".join(f"{c} binary" for c in others)), "near")
-        pairs = near.select(F.col("node"), F.explode(F.array_distinct(F.array(*others))).alias("other")).where("other is not null")
-        votes = pairs.groupBy(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).agg(F.count("*").alias("votes"))
-        votes = materialize(votes, "votes")
-
-        involved = votes.select(F.col("a").alias("node")).union(votes.select("b")).union(near.select("node")).distinct()
-        wanted = involved.join(nodes.select("node", "body_key"), "node")
-        bodies = df.select(F.unhex(F.md5(self.text)).alias("body_key"), F.col(self.text).alias("body")).join(wanted.select("body_key"), "body_key", "left_semi")
-        bodies = bodies.groupBy("body_key").agg(F.first("body").alias("body"))
-        self.bodies = materialize(bodies.join(wanted, "body_key").select("node", "body"), "bodies")
-
-        best = votes.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a"))
-        links = self.linked(best.select("a", "b"))
-        self.labels = components(links)
-        for step in (lambda: votes.select("a", "b"), lambda: self.crowded(near.select("key", "deep", "node", "n"))):
-            more = self.linked(self.apart(step()))
-            if not more.isEmpty():
-                self.labels = components(self.labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
-
-        named = nodes.select("node", "first").join(self.labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
+        self.docs = df
+        marked, labels = nodes.withColumn("class", F.xxhash64("node")), None
+        for lo, hi in FIRST:
+            found = materialize(self.candidates(marked, range(lo, hi), 1), "candidates")
+            best = F.max_by(F.struct("a", "b"), F.struct("votes", "a", "b")).alias("p")
+            pairs = found.groupBy("b").agg(best).select("p.*").union(found.groupBy("a").agg(best).select("p.*")).distinct()
+            labels = self.joined(labels, self.linked(pairs))
+            marked = self.mark(nodes, labels)
+        labels = self.joined(labels, self.linked(self.alike(materialize(self.candidates(marked, range(TREES), MEETS), "candidates"))))
+
+        named = nodes.select("node", "first").join(if_few(labels), "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
         smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
         named = materialize(named.join(smallest, "label").select("node", "component_id"), "classes")
-        for table in (near, votes, self.bodies, nodes, links):
-            discard(spark, table)
+        discard(df.sparkSession, nodes)
         return members.join(named, "node", "left").select(self.key, *carry, "n_shingles", F.coalesce("component_id", self.key).alias("component_id"))
 
 
