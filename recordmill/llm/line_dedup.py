@@ -42,13 +42,14 @@ def line_windows(lines: DataFrame, min_words: int) -> DataFrame:
 
 def repeated_runs(df: DataFrame, min_words: int, key: str, text: str) -> DataFrame:
     """k1, k2 (the row's key and text hash) and the spans (from, to) of line numbers to delete, in order."""
-    lines = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k1"), F.md5(text).alias("k2"), F.posexplode(F.split(text, "\n")).alias("pos", "line")).withColumn("line", F.btrim("line", F.lit(" \t\r\f\x0b")))
+    lines = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k1"), F.xxhash64(text).alias("k2"), F.posexplode(F.split(text, "\n")).alias("pos", "line")).withColumn("line", F.btrim("line", F.lit(" \t\r\f\x0b")))
     lines = lines.where("line != ''").select("k1", "k2", "pos", F.xxhash64("line").alias("h"), words_of(F.col("line")).cast("long").alias("n"))
     windows = materialize(line_windows(lines.dropDuplicates(["k1", "k2", "pos"]), min_words), "windows")
     place = F.struct("k1", "k2", "first")
     prints = windows.groupBy("fp").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x != y").select("fp")
-    same = windows.join(prints, "fp", "left_semi").groupBy("w1", "w2").agg(F.min(place).alias("origin"), F.max(place).alias("latest")).where("origin != latest").drop("latest")
-    later = windows.join(same, ["w1", "w2"]).where(place != F.col("origin")).select("k1", "k2", "first", "last").distinct()
+    again = materialize(windows.join(prints, "fp", "left_semi").drop("fp"), "again")
+    same = again.groupBy("w1", "w2").agg(F.min(place).alias("origin"), F.max(place).alias("latest")).where("origin != latest").drop("latest")
+    later = again.join(same, ["w1", "w2"]).where(place != F.col("origin")).select("k1", "k2", "first", "last").distinct()
     seen = W.partitionBy("k1", "k2").orderBy("first", "last")
     later = later.withColumn("reach", F.max("last").over(seen.rowsBetween(W.unboundedPreceding, -1)))
     later = later.withColumn("run", F.sum(F.when(F.col("first") <= F.col("reach") + 1, 0).otherwise(1)).over(seen))
@@ -66,7 +67,7 @@ def line_dedup(df: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", t
     """
     df = df.drop("n_lines", "n_removed", "spans")
     runs = repeated_runs(df, min_words, key, text).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "spans")
-    cut = df.withColumns({"_text": F.md5(text), "_key": F.coalesce(F.col(key).cast("string"), F.lit("\x00"))})
+    cut = df.withColumns({"_text": F.xxhash64(text), "_key": F.coalesce(F.col(key).cast("string"), F.lit("\x00"))})
     runs = runs.select(F.coalesce(F.col("_k1").cast("string"), F.lit("\x00")).alias("_key"), F.col("_k2").alias("_text"), "spans")
     cut = cut.join(runs, ["_key", "_text"], "left").drop("_key", "_text")
     lines = F.split(text, "\n")
