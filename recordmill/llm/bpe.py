@@ -24,7 +24,7 @@ from recordmill.llm.pretokens import Encoder
 from recordmill.llm.shared import slices, texts
 
 #: Chunks and pre-tokens whose ids a Python worker remembers.
-CHUNKS, PIECES = 400_000, 400_000
+CHUNKS, PIECES = 250_000, 250_000
 #: Bytes of a short miss, misses merged side by side, and the rank of a pair that isn't a token.
 SHORT, TOGETHER, NONE = 32, 20_000, 1 << 30
 #: Keys to a bucket of the perfect hash.

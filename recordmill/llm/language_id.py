@@ -32,7 +32,7 @@ SWITCH = 8.0
 #: A language is a candidate for a script if it has at least this share of the script's words.
 SHARE = 0.005
 #: Words of a chunk; states of all chunks searched at a time; words remembered by a worker.
-CHUNK, STATES, REMEMBERED = 64, 2_000_000, 250_000
+CHUNK, STATES, REMEMBERED = 64, 2_000_000, 150_000
 #: First code points of the ranges that count as one script each (fixed values: starts of Unicode blocks).
 SCRIPTS = np.array([0x0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0x980, 0xA00, 0xA80, 0xB00, 0xB80, 0xC00, 0xC80, 0xD00, 0xD80, 0xE00, 0xE80, 0xF00, 0x1000, 0x10A0, 0x1100, 0x1200, 0x13A0, 0x1780, 0x1800, 0x1E00, 0x1F00, 0x2000, 0x2C00, 0x3040, 0x3100, 0x3400, 0xA000, 0xAC00, 0xD800, 0xF900, 0xFB00, 0xFB50, 0xFE70, 0xFF00, 0x10000, 0x20000])
 #: Ranges that belong to the script of an earlier one: Latin Extended Additional to Latin, and so on (fixed values).

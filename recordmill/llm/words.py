@@ -29,7 +29,7 @@ def shingle_set(words: list[bytes], width: int) -> set:
 class WordHashes(dict):
     """64-bit hashes of words; forgets all when it holds too many."""
 
-    MOST = 400_000
+    MOST = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > self.MOST:
