@@ -4,9 +4,9 @@ Each distinct shingle set is a node with a MinHash signature. A tree orders the
 candidates are nodes near each other in that order that share a prefix, and the heads of the regions that share
 it. Texts with the same set are one node from the start. A few trees come first, some at a time: each node's
 neighbour and heads that are in other classes are candidates there, the best of each node are checked, and what
-is linked becomes one class. Then all trees run over the nodes with their classes, and each node meets those
-before it, as deep in its region as it is crowded, that are in other classes; so a group of any size gives
-rows in proportion to it. Candidates are checked on full sets.
+is linked becomes one class. Then all trees run over the nodes with their classes, and each node meets all those
+of other classes in its region; a region crowded with them is divided deeper, down to the last value, where each
+meets all again, and in its whole region a node still meets the nearest ones. Candidates are checked on full sets.
 """
 
 from __future__ import annotations
@@ -27,8 +27,13 @@ from recordmill.llm.words import WordHashes, shingle_hashes, shingle_set, spaced
 HASHES, TREES, DEPTH, DEEPER = 128, 40, 6, 10
 #: Trees that come first: from, to.
 FIRST = ((0, 8), (8, 16), (16, 24))
-#: Depths after DEPTH at which a region has a head; nodes before it in the order that a node meets.
+#: Depths after DEPTH at which a region has a head; nodes of other classes before it in the order that a node meets.
 HEADS, MEETS = (0, 5), 16
+#: Depths at which a crowded region is divided, the least last; nodes of other classes before it that a node meets all
+#: in a region; at DEEPER it meets all, however many.
+LEVELS, ROOM = (6, 3, 0), 64
+#: Rows whose neighbours are found at a time; pairs at a time.
+ROWS, PAIRS = 50_000, 1_000_000
 #: Rows of 32 bytes that are joined by broadcasting them; more are joined by shuffle.
 BROADCAST = 200_000
 #: Share of equal values under which a pair is not checked: 4.5 standard errors less than 0.8, which 3 in a million pairs of 0.8 miss.
@@ -116,51 +121,95 @@ def grow(trees: range):
     return run
 
 
-def neighbours(meets: int):
-    """Of rows in order, pairs (x, y) of one region and different classes: up to so many apart, or a head and a later row."""
-    h = len(HEADS)
+def whole_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Of rows in order, the columns of one or more whole regions (equal keys) at a time."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        deep = np.frombuffer(b"".join(texts(batch, "deep")), np.uint8).reshape(-1, DEEPER)
+        node = np.frombuffer(b"".join(texts(batch, "node")), np.uint8).reshape(-1, 16)
+        rows = [batch.column("key").to_numpy(), deep, node, batch.column("n").to_numpy(), batch.column("class").to_numpy()]
+        last = int(np.searchsorted(rows[0], rows[0][-1]))
+        if last or (held and held[-1][0][-1] != rows[0][0]):
+            held.append([x[:last] for x in rows])
+            yield [np.concatenate(x) for x in zip(*held)]
+            held = []
+        held.append([x[last:] for x in rows])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def others_before(start: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each row, how many rows of other classes are before it in the region that starts there."""
+    at = np.arange(len(group))
+    by = np.lexsort((at, group, start))
+    fresh = np.concatenate([[True], (start[by][1:] != start[by][:-1]) | (group[by][1:] != group[by][:-1])])
+    own = np.empty(len(at), np.int64)
+    own[by] = at - np.maximum.accumulate(np.where(fresh, at, 0))
+    return at - start - own
+
+
+def neighbours(meets: int, room: int = ROOM):
+    """Of rows in order, pairs (x, y) of one region and different classes: those of whole small regions, and more.
+
+    A row meets the last so many rows of other classes before it, the heads, and all rows of other classes before
+    it in the largest of its regions (by LEVELS) in which they are no more than room; in the deepest however many.
+    With no room a row meets only the first two kinds.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried = None
-        for batch in batches:
-            if not batch.num_rows:
+        for rows in whole_regions(batches):
+            key, group = rows[0], rows[-1]
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            mixed = np.minimum.reduceat(group, starts) != np.maximum.reduceat(group, starts)
+            mixed = np.repeat(mixed, np.diff(np.append(starts, len(key))))
+            if not mixed.any():
                 continue
-            deep = np.frombuffer(b"".join(texts(batch, "deep")), np.uint8).reshape(-1, DEEPER)
-            node = np.frombuffer(b"".join(texts(batch, "node")), np.uint8).reshape(-1, 16)
-            rows = [batch.column("key").to_numpy(), deep, node, batch.column("n").to_numpy(), batch.column("class").to_numpy()]
-            if carried is None:  # heads and a row before of a key that the first row hasn't
-                carried = [np.repeat(x[:1], h + 1, axis=0) for x in (rows[0] ^ 1, *rows[1:])]
-            start = len(carried[0])
-            key, deep, node, n, group = rows = [np.concatenate([c, x]) for c, x in zip(carried, rows)]
+            key, deep, node, n, group = (v[mixed] for v in rows)
             at = np.arange(len(key))
-            same = np.concatenate([[False], key[1:] == key[:-1]])
-            heads = []
-            for k, depth in enumerate(HEADS):
-                fresh = ~same | np.concatenate([[True], (deep[1:, :depth] != deep[:-1, :depth]).any(axis=1)])
-                fresh[:start] = False
-                first = np.where(fresh, at, 0)
-                first[start - 1] = k
-                heads.append(np.maximum.accumulate(first))
-            x, y = [], []
-            new = at[start:]
-            for w in range(1, meets + 1):
-                mine = new[new - w >= h]
-                mine = mine[key[mine] == key[mine - w]]
-                if not len(mine):
-                    break
-                x.append(mine - w)
-                y.append(mine)
-            inner = new[same[start:]]
-            for head in heads:
-                x.append(head[inner])
-                y.append(inner)
-            x, y = np.concatenate(x), np.concatenate(y)
-            fits = (group[x] != group[y]) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y]))
-            x, y = x[fits], y[fits]
-            x, y = np.unique(np.stack([x, y]), axis=1) if len(x) else (x, y)
-            yield pa.RecordBatch.from_arrays([fixed(node[x], 16), fixed(node[y], 16)], ["x", "y"])
-            keep = [hd[-1] for hd in heads] + at[max(h, len(key) - meets) :].tolist()
-            carried = [v[keep] for v in rows]
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+
+            def starts_at(depth: int) -> np.ndarray:
+                fresh = new | np.concatenate([[True], (deep[1:, :depth] != deep[:-1, :depth]).any(axis=1)])
+                return np.maximum.accumulate(np.where(fresh, at, 0))
+
+            whole, low = starts_at(0), at
+            if room:
+                low = starts_at(DEEPER)
+                for level in LEVELS:
+                    start = starts_at(level)
+                    low = np.where(others_before(start, group) <= room, start, low)
+            runs = np.maximum.accumulate(np.where(new | np.concatenate([[True], group[1:] != group[:-1]]), at, 0))
+            heads = [starts_at(depth) for depth in HEADS]
+
+            def pairs(x: list[np.ndarray], y: list[np.ndarray]) -> pa.RecordBatch:
+                x, y = np.concatenate(x), np.concatenate(y)
+                fits = (group[x] != group[y]) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y]))
+                y, x = np.divmod(np.unique(y[fits] * len(key) + x[fits]), len(key))
+                return pa.RecordBatch.from_arrays([fixed(node[x], 16), fixed(node[y], 16)], ["x", "y"])
+
+            for lo in range(0, len(at), ROWS):
+                mine = at[lo : lo + ROWS]
+                xs, ys = [head[mine] for head in heads], [mine for _ in heads]
+                size = len(mine) * len(heads)
+                y = mine[~new[mine]]
+                x, met = y - 1, 0
+                while len(y):
+                    x = np.where(group[x] == group[y], runs[x] - 1, x)  # the row before a run of its class is of another
+                    live = (x >= whole[y]) & ((met < meets) | (x >= low[y]))
+                    x, y = x[live], y[live]
+                    xs.append(x)
+                    ys.append(y)
+                    size += len(x)
+                    met += 1
+                    live = x > whole[y]
+                    x, y = x[live] - 1, y[live]
+                    if size > PAIRS:
+                        yield pairs(xs, ys)
+                        xs, ys, size = [], [], 0
+                if size:
+                    yield pairs(xs, ys)
 
     return run
 
@@ -221,12 +270,12 @@ class NearDuplicates:
             discard(links.sparkSession, table)
         return links
 
-    def candidates(self, nodes: DataFrame, trees: range, meets: int) -> DataFrame:
+    def candidates(self, nodes: DataFrame, trees: range, meets: int, room: int) -> DataFrame:
         """Pairs (a, b) of nodes of different classes that come near in the orders of these trees, with how often."""
         order = ["key", "deep", "node"]
         parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         forest = nodes.select("node", "n_shingles", "sig", "class").mapInArrow(grow(trees), "key long, deep binary, node binary, n long, class long")
-        near = forest.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(neighbours(meets), "x binary, y binary")
+        near = forest.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(neighbours(meets, room), "x binary, y binary")
         return near.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("votes"))
 
     def mark(self, nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -264,12 +313,12 @@ class NearDuplicates:
         self.docs = df
         marked, labels = nodes.withColumn("class", F.xxhash64("node")), None
         for lo, hi in FIRST:
-            found = materialize(self.candidates(marked, range(lo, hi), 1), "candidates")
+            found = materialize(self.candidates(marked, range(lo, hi), 1, 0), "candidates")
             best = F.max_by(F.struct("a", "b"), F.struct("votes", "a", "b")).alias("p")
             pairs = found.groupBy("b").agg(best).select("p.*").union(found.groupBy("a").agg(best).select("p.*")).distinct()
             labels = self.joined(labels, self.linked(pairs))
             marked = self.mark(nodes, labels)
-        labels = self.joined(labels, self.linked(self.alike(materialize(self.candidates(marked, range(TREES), MEETS), "candidates"))))
+        labels = self.joined(labels, self.linked(self.alike(materialize(self.candidates(marked, range(TREES), MEETS, ROOM), "candidates"))))
 
         named = nodes.select("node", "first").join(if_few(labels), "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
         smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))

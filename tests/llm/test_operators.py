@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import sentencepiece
@@ -244,6 +245,29 @@ def test_near_duplicates_odd(odd, empty):
     assert near_dup.near_duplicates(empty, 2).count() == 0
 
 
+def meetings(rows, meets, **more):
+    """Pairs of places that rows (deep, class) of one region and one size give."""
+    n = len(rows)
+    names = [k.to_bytes(16, "big") for k in range(n)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([5] * n, pa.int64()), pa.array([d.to_bytes(near_dup.DEEPER, "big") for d, _ in rows], pa.binary()), pa.array(names, pa.binary()), pa.array([9] * n, pa.int64()), pa.array([c for _, c in rows], pa.int64())],
+        ["key", "deep", "node", "n", "class"],
+    )
+    out = near_dup.neighbours(meets, **more)(iter([batch.slice(k, 7) for k in range(0, n, 7)]))
+    return {(int.from_bytes(x, "big"), int.from_bytes(y, "big")) for b in out for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())}
+
+
+def test_crowded_regions_meet_whole():
+    every = [(0, c) for c in range(50)]
+    assert meetings(every, near_dup.MEETS) == {(x, y) for y in range(50) for x in range(y)}
+    own = [(0, 1), (0, 2), *[(0, 1)] * 40]  # rows of its own class take none of a row's slots
+    assert meetings(own, near_dup.MEETS) == {(0, 1), *((1, y) for y in range(2, 42))}
+    deep = [(256**3 * (k // 30), k) for k in range(300)]  # too crowded as a whole; divided where the values part
+    found = meetings(deep, near_dup.MEETS)
+    assert {(x, y) for y in range(300) for x in range(y) if x // 30 == y // 30} < found and len(found) < 300 * 100
+    assert meetings([(0, k) for k in range(200)], near_dup.MEETS) == {(x, y) for y in range(200) for x in range(y)}
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (None, 1)]
