@@ -268,6 +268,13 @@ def test_crowded_regions_meet_whole():
     assert meetings([(0, k) for k in range(200)], near_dup.MEETS) == {(x, y) for y in range(200) for x in range(y)}
 
 
+def test_pairs_seven_errors_under_are_checked():
+    x = np.zeros(near_dup.HASHES, np.uint32)
+    y = (np.arange(near_dup.HASHES) >= 0.6 * near_dup.HASHES).astype(np.uint32)
+    batch = pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in (b"a", b"b", x.tobytes(), y.tobytes())], ["a", "b", "sig_a", "sig_b"])
+    assert sum(b.num_rows for b in near_dup.alike(iter([batch]))) == 1
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (None, 1)]
