@@ -271,11 +271,14 @@ class NearDuplicates:
         return links
 
     def candidates(self, nodes: DataFrame, trees: range, meets: int, room: int) -> DataFrame:
-        """Pairs (a, b) of nodes of different classes that come near in the orders of these trees, with how often."""
+        """Pairs (a, b) of nodes of different classes that come near in the orders of these trees, with how often.
+
+        Ranges are of the key alone, so that no region is divided among tasks.
+        """
         order = ["key", "deep", "node"]
         parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         forest = nodes.select("node", "n_shingles", "sig", "class").mapInArrow(grow(trees), "key long, deep binary, node binary, n long, class long")
-        near = forest.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(neighbours(meets, room), "x binary, y binary")
+        near = forest.repartitionByRange(parts, "key").sortWithinPartitions(*order).mapInArrow(neighbours(meets, room), "x binary, y binary")
         return near.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("votes"))
 
     def mark(self, nodes: DataFrame, labels: DataFrame) -> DataFrame:

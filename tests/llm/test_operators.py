@@ -275,6 +275,14 @@ def test_pairs_seven_errors_under_are_checked():
     assert sum(b.num_rows for b in near_dup.alike(iter([batch]))) == 1
 
 
+def test_regions_stay_whole(spark):
+    same_values = bytearray(4 * near_dup.HASHES)
+    rows = [(k.to_bytes(16, "big"), 9, same_values, k) for k in range(120)]
+    nodes = spark.createDataFrame(rows, "node binary, n_shingles long, sig binary, class long")
+    found = near_dup.NearDuplicates(5).candidates(nodes, range(1), near_dup.MEETS, near_dup.ROOM)
+    assert found.count() == 120 * 119 // 2
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (None, 1)]
