@@ -39,12 +39,8 @@ def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest key; of rows that share a kept key, any one."""
-    kept = materialize(near_dup.near_duplicates(docs, 5).where("kept").groupBy("doc_id").count(), "kept")
-    repeated = not kept.where("count > 1").isEmpty()
-    ids = kept.select(F.col("doc_id").alias("_kept"))
-    found = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return found.dropDuplicates(["doc_id"]) if repeated else found
+    """One document of each group: the one with the smallest key, null keys last; of equal rows, any one."""
+    return near_dup.one_of_each(docs, 5)
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

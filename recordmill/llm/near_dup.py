@@ -301,8 +301,9 @@ class NearDuplicates:
         return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(alike, "a binary, b binary")
 
     def classes(self, df: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-        """For each row: key, n_shingles, component_id, and the carried columns.
+        """For each row: key, n_shingles, component_id, body_key (hash of the text), label, and the carried columns.
 
+        label is one value for each class, and null for a row with an empty set.
         component_id is the smallest key that links reach, the row's own included; with an empty set it is the
         row's key. Rows with equal texts are in one class. Null keys come before no others: a class with a key
         that isn't null takes the smallest such key.
@@ -325,9 +326,9 @@ class NearDuplicates:
 
         named = nodes.select("node", "first").join(if_few(labels), "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
         smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
-        named = materialize(named.join(smallest, "label").select("node", "component_id"), "classes")
+        named = materialize(named.join(smallest, "label").select("node", "component_id", "label"), "classes")
         discard(df.sparkSession, nodes)
-        return members.join(named, "node", "left").select(self.key, *carry, "n_shingles", F.coalesce("component_id", self.key).alias("component_id"))
+        return members.join(named, "node", "left").select(self.key, *carry, "n_shingles", F.coalesce("component_id", self.key).alias("component_id"), "body_key", "label")
 
 
 def near_duplicates(df: DataFrame, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -338,3 +339,27 @@ def near_duplicates(df: DataFrame, width: int = 5, key: str = "doc_id", text: st
     """
     found = NearDuplicates(width, key, text).classes(df)
     return found.select(key, "n_shingles", "component_id", F.col(key).eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(df: DataFrame, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that stay: one of each class, and all with an empty set, which are alone in theirs.
+
+    Of a class it is the row with the smallest key, null keys last, then by a hash of the text; rows equal in both
+    are counted, and any one of them stays.
+    """
+    found = NearDuplicates(width, key, text).classes(df)
+    found = found.groupBy("label", F.col(key).alias("_key"), F.col("body_key").alias("_body")).agg(F.count("*").alias("_rows"))
+    found = materialize(found, "members_of_classes")
+    order = F.struct(F.col("_key").isNull(), "_key", "_body")
+    first = found.where("label is not null").groupBy("label").agg(F.min_by(F.struct("_key", "_body", "_rows"), order).alias("first")).select("first.*")
+    kept = materialize(first.union(found.where("label is null").select("_key", "_body", F.lit(1).cast("long"))), "kept")
+
+    def rows(some: DataFrame) -> DataFrame:
+        here = df.withColumn("_text", F.unhex(F.md5(text)))
+        return here.join(some, F.col(key).eqNullSafe(F.col("_key")) & F.col("_text").eqNullSafe(F.col("_body")), "left_semi")
+
+    out = rows(kept.where("_rows = 1"))
+    repeated = kept.where("_rows > 1")
+    if not repeated.isEmpty():
+        out = out.union(rows(repeated).dropDuplicates([key, "_text"]))
+    return out.drop("_text")

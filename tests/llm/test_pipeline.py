@@ -48,3 +48,13 @@ def test_stages_take_odd_rows(spark, sf_dir):
             assert out.count() <= table.count()
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir)
     assert sorted(r.doc_id for r in kept.where(F.col("text").startswith("some")).collect()) == [4]
+
+
+def test_one_row_of_each_group(spark, sf_dir):
+    clean = [f"{w} " + " ".join(f"{w}{k}" for k in range(40)) for w in ("river", "stone", "cloud", "ember", "maple", "quartz")]
+    near = clean[4] + " at last"
+    rows = [(None, clean[0]), (None, clean[1]), (7, clean[2]), (7, clean[3]), (3, clean[4]), (None, near), (None, clean[5]), (None, clean[5]), (7, clean[2]), (9, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir)
+    wanted = [(None, clean[0]), (None, clean[1]), (7, clean[2]), (7, clean[3]), (3, clean[4]), (None, clean[5]), (9, "")]
+    assert sorted((r.doc_id, r.text) for r in found.collect() if r.doc_id) + sorted(r.text for r in found.collect() if not r.doc_id) == sorted((k, t) for k, t in wanted if k) + sorted(t for k, t in wanted if not k)
