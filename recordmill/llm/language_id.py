@@ -29,7 +29,7 @@ FIT_TEXTS = 4000
 BUCKETS, ORDER = 1 << 16, 4
 #: Nats that a change of language costs.
 SWITCH = 8.0
-#: A language is a candidate for a script if it has at least this share of the script's words.
+#: A language is a candidate for a script if at least this share of the language's own words is in it.
 SHARE = 0.005
 #: Words of a chunk; states of all chunks searched at a time; words remembered by a worker.
 CHUNK, STATES, REMEMBERED = 64, 2_000_000, 150_000
@@ -210,7 +210,7 @@ def fit(df: DataFrame, lang: str = "lang", key: str = "doc_id", text: str = "tex
     grams, by_script = table[:, :BUCKETS], table[:, BUCKETS:]
     used = max(1, (grams.sum(axis=0) > 0).sum())
     logp = np.log((grams + 0.5) / (grams.sum(axis=1, keepdims=True) + 0.5 * used)).astype(np.float32)
-    allowed = (by_script >= SHARE * np.maximum(1, by_script.sum(axis=0))).T
+    allowed = ((by_script > 0) & (by_script >= SHARE * by_script.sum(axis=1, keepdims=True))).T
     allowed[~allowed.any(axis=1)] = True
     return Model(langs, logp, allowed)
 

@@ -307,6 +307,15 @@ def test_language_held_out(spark, sf_dir):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in found.collect())
 
 
+def test_rare_language_is_predicted(spark):
+    many = {"aa": "bread water house", "bb": "pane acqua casa", "cc": "brot wasser haus"}
+    rows = [(f"{lang}{k}", " ".join(words.split() * 10), lang) for lang, words in many.items() for k in range(400)]
+    rows += [(f"rare{k}", "zyxo qwuvy", "dd") for k in range(8)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id string, text string, lang string"))
+    found = language_id.label(spark.createDataFrame([("zyxo qwuvy zyxo",), ("pane casa",)], "text string"), model).collect()
+    assert [r.lang_pred for r in found] == ["dd", "bb"]
+
+
 def test_language_odd(spark, odd, empty):
     found = {r.text: r.lang_pred for r in language_id.label(odd, language_id.fit(odd)).collect()}
     assert found[None] == found[""] == found["123 4,5. 6"] == found["😀😀"] == "und" and found["don't we'll I'M"] == "en"
