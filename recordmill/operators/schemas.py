@@ -75,7 +75,7 @@ def any_of(predicates: list[Column]) -> Column:
 
 
 def problems(df: DataFrame, shape: dict) -> Column:
-    """The messages of a record's violations, in order, the first few."""
+    """The messages of a record's violations, in order: the first few, and how many more there are."""
     found: list[tuple[str, Column]] = []
     for key, inner in shape.get("properties", {}).items():
         if key in df.columns:
@@ -83,7 +83,9 @@ def problems(df: DataFrame, shape: dict) -> Column:
     found += [(f"{key}: required", F.col(key).isNull() if key in df.columns else F.lit(True)) for key in shape.get("required", ())]
     if shape.get("additionalProperties") is False:
         found += [(f"{c}: additional", F.col(c).isNotNull()) for c in df.columns if c not in shape.get("properties", {})]
-    return F.slice(F.array_sort(F.array_compact(F.array(*(F.when(bad, m) for m, bad in found)))), 1, MOST)
+    every = F.array_sort(F.array_compact(F.array(*(F.when(bad, m) for m, bad in found))))
+    more = F.concat(F.lit("and "), F.size(every) - MOST, F.lit(" more schema errors"))
+    return F.when(F.size(every) > MOST, F.concat(F.slice(every, 1, MOST), F.array(more))).otherwise(every)
 
 
 def violations(df: DataFrame, shape: dict, *key: str) -> DataFrame:

@@ -123,3 +123,10 @@ def test_cursors_and_backoff(spark):
     assert events.after_cursor(df.where("seq > 9"), 3).count() == 0
     waits = spark.range(0, 13).select(events.backoff_seconds(F.col("id"), 3600).alias("w")).collect()
     assert [r.w for r in waits][:8] == [0, 60, 120, 240, 480, 960, 1920, 3600]
+
+
+def test_further_schema_errors_are_counted(spark):
+    df = spark.createDataFrame([(1, None, None)], "id int, a string, b string")
+    shape = {"required": list("abcdefg")}
+    found = schemas.violations(df, shape, "id").first().problems
+    assert found == "a: required; b: required; c: required; d: required; e: required; and 2 more schema errors"
