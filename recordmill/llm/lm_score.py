@@ -37,9 +37,9 @@ SLOTS = (1 << 16, 1 << 18, 1 << 20, 1 << 20, 1 << 22)
 INPUTS, THREE, WHOLE = len(SLOTS), 2, len(SLOTS) - 1
 #: Counts are bounded from below by this much; stretched probabilities by this much either way.
 PRIOR, REACH = 0.02, 12.0
-#: Tokens that weights are learned from, in batches of so many; how much of past curvature stays, its least, and
+#: Tokens that weights are learned from, at least and one of so many of the corpus; in batches of so many; how much of past curvature stays, its least, and
 #: the largest step; the step of the refinement.
-LEARN, BATCH, PAST, LEAST, STEP, REFINE = 60_000, 500, 0.99, 5.0, 0.5, 0.02
+LEARN, ONE_OF, BATCH, PAST, LEAST, STEP, REFINE = 60_000, 1000, 500, 0.99, 5.0, 0.5, 0.02
 #: Weight sets; first weights, with a constant's; buckets of the refinement.
 SETS, WEIGHTS, STEPS = 192, (0.0, 0.0, 0.1, 0.1, 0.8, 0.0), 33
 #: Tokens of a partial count, bytes tallied and bytes scored at a time.
@@ -235,6 +235,11 @@ def token_counts(df: DataFrame, text: str) -> DataFrame:
     return df.select(text).mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def learned(total: int) -> int:
+    """How many tokens weights are learned from, of so many in the corpus."""
+    return max(LEARN, total // ONE_OF)
+
+
 def fit(counts: DataFrame) -> Model:
     """A model from the whole table of token counts."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -264,13 +269,14 @@ def fit(counts: DataFrame) -> Model:
         low = times.min() if len(times) == FREQUENT else 0
         rare = counts.where((F.col("n") <= low) & (F.octet_length("token") <= LONGEST))
         kinds, mass = rare.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-        take = min(1.0, LEARN / max(kinds, 1))
+        draws = learned(total)
+        take = min(1.0, draws / max(kinds, 1))
         picked = rare.where(F.pmod(F.xxhash64("token"), F.lit(1 << 30)) < int(take * (1 << 30))).select("token", "n").toArrow() if low else top.slice(0, 0)
         other, other_n = [bytes(t) for t in picked.column("token").to_pylist()], picked.column("n").to_numpy().astype(float)
         pool, n = frequent + other, np.concatenate([times, other_n])
         chance = np.concatenate([times, other_n * (mass / other_n.sum() if len(other_n) else 0)])
         order = sorted(range(len(pool)), key=pool.__getitem__)
-        drawn = np.array(order)[np.random.default_rng(1).choice(len(order), LEARN, p=chance[order] / chance.sum())]
+        drawn = np.array(order)[np.random.default_rng(1).choice(len(order), draws, p=chance[order] / chance.sum())]
         learner.learn([pool[i] for i in drawn], n[drawn])
     split = [(t[0::2], t[1::2]) for t in tables]
     return Model(

@@ -408,6 +408,14 @@ def test_language_model(spark, sf_dir, odd, empty):
     assert lm_score.predict(empty).count() == 0
 
 
+def test_learned_tokens_grow(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm_score.Learner, "learn", lambda self, tokens, times: seen.append(len(tokens)))
+    for n in (10, 100_000_000):
+        lm_score.fit(spark.createDataFrame([(b"a", n), (b"b", n)], "token binary, n long"))
+    assert seen == [lm_score.LEARN, 200_000]
+
+
 def test_bits_make_a_distribution(spark):
     df = spark.createDataFrame([(i, "a b ab ba") for i in range(50)], "doc_id long, text string")
     model = lm_score.fit(lm_score.token_counts(df, "text"))
