@@ -5,8 +5,10 @@ candidates are nodes near each other in that order that share a prefix, and the
 it. Texts with the same set are one node from the start. A few trees come first, some at a time: each node's
 neighbour and heads that are in other classes are candidates there, the best of each node are checked, and what
 is linked becomes one class. Then all trees run over the nodes with their classes, and each node meets all those
-of other classes in its region; a region crowded with them is divided deeper, down to the last value, where each
-meets all again, and in its whole region a node still meets the nearest ones. Candidates are checked on full sets.
+of other classes in its region. Where a region is crowded with them, its nodes meet with a bitmap of their sets
+at hand: each bit that only one of two maps has is a shingle that only one of the sets has, so a pair with too many
+such bits can't be linked and is dismissed there; all others go on, however many. Candidates are checked on full
+sets.
 """
 
 from __future__ import annotations
@@ -20,22 +22,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordmill.llm.components import components
-from recordmill.llm.shared import discard, materialize, slices, texts
+from recordmill.llm.shared import discard, few, lean, materialize, slices, texts, with_hot
 from recordmill.llm.words import WordHashes, shingle_hashes, shingle_set, spaced_words
 
 #: MinHash values of a signature; trees; values that a candidate shares at least; further values in the order.
 HASHES, TREES, DEPTH, DEEPER = 128, 40, 6, 10
 #: Trees that come first: from, to.
 FIRST = ((0, 8), (8, 16), (16, 24))
-#: Depths after DEPTH at which a region has a head; nodes of other classes before it in the order that a node meets.
-HEADS, MEETS = (0, 5), 16
-#: Depths at which a crowded region is divided, the least last; nodes of other classes before it that a node meets all
-#: in a region; at DEEPER it meets all, however many.
-LEVELS, ROOM = (6, 3, 0), 64
+#: Depths after DEPTH at which a region has a head, in the trees that come first.
+HEADS = (0, 5)
+#: Nodes of other classes before a node above which its region is crowded.
+ROOM = 64
 #: Rows whose neighbours are found at a time; pairs at a time.
-ROWS, PAIRS = 50_000, 1_000_000
-#: Rows of 32 bytes that are joined by broadcasting them; more are joined by shuffle.
-BROADCAST = 200_000
+ROWS, PAIRS = 50_000, 200_000
+#: Bits of a set's map.
+MAP = 1024
 #: Share of equal values under which a pair is not checked (seven standard errors less than 0.8).
 AGREE = 0.55
 
@@ -74,6 +75,20 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """A bit for each shingle's hash; shingles may share bits."""
+    bits = np.zeros(MAP, np.uint8)
+    bits[(shingles >> np.uint64(40)).astype(np.int64) & (MAP - 1)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def possible(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles with these maps (rows of 64-bit words) can be linked: an exact bound."""
+    only_x, only_y = (np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64) for a, b in ((x, y), (y, x)))
+    both = np.minimum(n - only_x, m - only_y)
+    return 100 * both >= 80 * (n + m - both)
+
+
 def fixed(values: np.ndarray, width: int) -> pa.Array:
     """Rows of bytes as a binary column."""
     data = np.ascontiguousarray(values)
@@ -81,7 +96,7 @@ def fixed(values: np.ndarray, width: int) -> pa.Array:
 
 
 def sign(width: int, text: str):
-    """Each text's set size, node (128-bit hash of its set; null if empty) and signature."""
+    """Each text's set size, node (128-bit hash of its set; null if empty) and signature with the set's map after it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -93,7 +108,7 @@ def sign(width: int, text: str):
             sigs: list = [None] * len(sets)
             for k, i in enumerate(full):
                 nodes[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
-                sigs[i] = made[k].tobytes()
+                sigs[i] = made[k].tobytes() + bitmap(sets[i])
             rest = [batch.column(c) for c in batch.schema.names if c != text]
             names = [c for c in batch.schema.names if c != text]
             yield pa.RecordBatch.from_arrays([*rest, pa.array([len(h) for h in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary())], [*names, "n_shingles", "node", "sig"])
@@ -101,22 +116,30 @@ def sign(width: int, text: str):
     return run
 
 
-def grow(trees: range):
-    """A row for each node and tree: key (hash of the tree and its first values), deep (bytes of further values)."""
+def unpacked(column: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of minima and of maps."""
+    rows = np.frombuffer(b"".join(column), np.uint32).reshape(len(column), HASHES + MAP // 32)
+    return rows[:, :HASHES], np.ascontiguousarray(rows[:, HASHES:]).view(np.uint64)
+
+
+def grow(trees: range, maps: bool):
+    """A row for each node and tree: key (hash of the tree and its first values), deep (bytes of further values), map if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
                 m = batch.num_rows
-                sig = np.frombuffer(b"".join(texts(batch, "sig")), np.uint32).reshape(m, HASHES)
+                sig, bits = unpacked(texts(batch, "sig"))
                 node = np.frombuffer(b"".join(texts(batch, "node")), np.uint8).reshape(m, 16)
+                bits = fixed(bits, MAP // 8) if maps else pa.nulls(m, pa.binary())
                 for t in trees:
                     values = sig[:, _ORDER[t]]
-                    key = (values[:, :DEPTH].astype(np.uint64) * _MIX[t]).sum(axis=1, dtype=np.uint64)
+                    key = (values[:, :DEPTH].astype(np.uint64) * _MIX[t]).sum(axis=1, dtype=np.uint64) + _MIX[t, 0]
                     key ^= key >> np.uint64(29)
                     deep = (values[:, DEPTH:] & 0xFF).astype(np.uint8)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), fixed(deep, DEEPER), fixed(node, 16), batch.column("n_shingles"), batch.column("class")], ["key", "deep", "node", "n", "class"])
+                    columns = [pa.array(key.view(np.int64)), fixed(deep, DEEPER), fixed(node, 16), bits, batch.column("n_shingles"), batch.column("class")]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "deep", "node", "map", "n", "class"])
 
     return run
 
@@ -125,11 +148,13 @@ def whole_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray
     """Of rows in order, the columns of one or more whole regions (equal keys) at a time."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
-        if not batch.num_rows:
+        m = batch.num_rows
+        if not m:
             continue
-        deep = np.frombuffer(b"".join(texts(batch, "deep")), np.uint8).reshape(-1, DEEPER)
-        node = np.frombuffer(b"".join(texts(batch, "node")), np.uint8).reshape(-1, 16)
-        rows = [batch.column("key").to_numpy(), deep, node, batch.column("n").to_numpy(), batch.column("class").to_numpy()]
+        deep = np.frombuffer(b"".join(texts(batch, "deep")), np.uint8).reshape(m, DEEPER)
+        node = np.frombuffer(b"".join(texts(batch, "node")), np.uint8).reshape(m, 16)
+        bits = np.frombuffer(b"".join(x or b"" for x in texts(batch, "map")), np.uint64).reshape(m, -1)
+        rows = [batch.column("key").to_numpy(), deep, node, bits, batch.column("n").to_numpy(), batch.column("class").to_numpy()]
         last = int(np.searchsorted(rows[0], rows[0][-1]))
         if last or (held and held[-1][0][-1] != rows[0][0]):
             held.append([x[:last] for x in rows])
@@ -140,76 +165,80 @@ def whole_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray
         yield [np.concatenate(x) for x in zip(*held)]
 
 
-def others_before(start: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """For each row, how many rows of other classes are before it in the region that starts there."""
-    at = np.arange(len(group))
-    by = np.lexsort((at, group, start))
-    fresh = np.concatenate([[True], (start[by][1:] != start[by][:-1]) | (group[by][1:] != group[by][:-1])])
-    own = np.empty(len(at), np.int64)
-    own[by] = at - np.maximum.accumulate(np.where(fresh, at, 0))
-    return at - start - own
+def before_others(rows: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The rows of regions with more than one class; where each row's region and its run of one class start."""
+    key, group = rows[0], rows[-1]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    mixed = np.minimum.reduceat(group, starts) != np.maximum.reduceat(group, starts)
+    rows = [v[np.repeat(mixed, np.diff(np.append(starts, len(key))))] for v in rows]
+    key, group = rows[0], rows[-1]
+    new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+    at = np.arange(len(key))
+    fresh = new | np.concatenate([[True], group[1:] != group[:-1]])[: len(key)]
+    return rows, np.maximum.accumulate(np.where(new, at, 0)), np.maximum.accumulate(np.where(fresh, at, 0))
+
+
+def pairs_of(rows: list[np.ndarray], x: list[np.ndarray], y: list[np.ndarray]) -> pa.RecordBatch:
+    """Distinct pairs of rows of different classes that may be linked, as nodes."""
+    _, _, node, bits, n, group = rows
+    x, y = np.concatenate(x), np.concatenate(y)
+    fits = (group[x] != group[y]) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y]))
+    y, x = np.divmod(np.unique(y[fits] * len(n) + x[fits]), len(n))
+    if bits.shape[1]:
+        fits = possible(n[x], n[y], bits[x], bits[y])
+        x, y = x[fits], y[fits]
+    return pa.RecordBatch.from_arrays([fixed(node[x], 16), fixed(node[y], 16)], ["x", "y"])
+
+
+def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order, pairs (x, y) of different classes: the nearest row of another class before, and the heads."""
+    for rows in whole_regions(batches):
+        rows, region, runs = before_others(rows)
+        at, deep = np.arange(len(region)), rows[1]
+        if not len(at):
+            continue
+        x, y = [], []
+        for depth in HEADS:
+            fresh = (region == at) | np.concatenate([[True], (deep[1:, :depth] != deep[:-1, :depth]).any(axis=1)])
+            x.append(np.maximum.accumulate(np.where(fresh, at, 0)))
+            y.append(at)
+        before = runs - 1
+        live = before >= region
+        yield pairs_of(rows, [*x, before[live]], [*y, at[live]])
 
 
-def neighbours(meets: int, room: int = ROOM):
-    """Of rows in order, pairs (x, y) of one region and different classes: those of whole small regions, and more.
+def meetings(room: int | None):
+    """Of rows in order, all pairs (x, y) of one region and different classes that may be linked.
 
-    A row meets the last so many rows of other classes before it, the heads, and all rows of other classes before
-    it in the largest of its regions (by LEVELS) in which they are no more than room; in the deepest however many.
-    With no room a row meets only the first two kinds.
+    Of a region where a row has more than room rows of other classes before it, no pairs but all rows come, as
+    (x, null); without a limit all regions give pairs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_regions(batches):
-            key, group = rows[0], rows[-1]
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            mixed = np.minimum.reduceat(group, starts) != np.maximum.reduceat(group, starts)
-            mixed = np.repeat(mixed, np.diff(np.append(starts, len(key))))
-            if not mixed.any():
+            by = np.lexsort((rows[-1], rows[0]))  # by class in each region, so that own rows are passed over as one run
+            rows, region, runs = before_others([v[by] for v in rows])
+            others = runs - region
+            if not len(others):
                 continue
-            key, deep, node, n, group = (v[mixed] for v in rows)
-            at = np.arange(len(key))
-            new = np.concatenate([[True], key[1:] != key[:-1]])
-
-            def starts_at(depth: int) -> np.ndarray:
-                fresh = new | np.concatenate([[True], (deep[1:, :depth] != deep[:-1, :depth]).any(axis=1)])
-                return np.maximum.accumulate(np.where(fresh, at, 0))
-
-            whole, low = starts_at(0), at
-            if room:
-                low = starts_at(DEEPER)
-                for level in LEVELS:
-                    start = starts_at(level)
-                    low = np.where(others_before(start, group) <= room, start, low)
-            runs = np.maximum.accumulate(np.where(new | np.concatenate([[True], group[1:] != group[:-1]]), at, 0))
-            heads = [starts_at(depth) for depth in HEADS]
-
-            def pairs(x: list[np.ndarray], y: list[np.ndarray]) -> pa.RecordBatch:
-                x, y = np.concatenate(x), np.concatenate(y)
-                fits = (group[x] != group[y]) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y]))
-                y, x = np.divmod(np.unique(y[fits] * len(key) + x[fits]), len(key))
-                return pa.RecordBatch.from_arrays([fixed(node[x], 16), fixed(node[y], 16)], ["x", "y"])
-
-            for lo in range(0, len(at), ROWS):
-                mine = at[lo : lo + ROWS]
-                xs, ys = [head[mine] for head in heads], [mine for _ in heads]
-                size = len(mine) * len(heads)
-                y = mine[~new[mine]]
-                x, met = y - 1, 0
-                while len(y):
-                    x = np.where(group[x] == group[y], runs[x] - 1, x)  # the row before a run of its class is of another
-                    live = (x >= whole[y]) & ((met < meets) | (x >= low[y]))
-                    x, y = x[live], y[live]
-                    xs.append(x)
-                    ys.append(y)
-                    size += len(x)
-                    met += 1
-                    live = x > whole[y]
-                    x, y = x[live] - 1, y[live]
-                    if size > PAIRS:
-                        yield pairs(xs, ys)
-                        xs, ys, size = [], [], 0
-                if size:
-                    yield pairs(xs, ys)
+            if room is not None:
+                starts = np.flatnonzero(region == np.arange(len(region)))
+                crowded = np.repeat(np.maximum.reduceat(others, starts) > room, np.diff(np.append(starts, len(region))))
+                if crowded.any():
+                    node = rows[2][crowded]
+                    yield pa.RecordBatch.from_arrays([fixed(node, 16), pa.nulls(len(node), pa.binary())], ["x", "y"])
+                others = np.where(crowded, 0, others)
+            done = np.cumsum(others)
+            lo = 0
+            while lo < len(others):  # so many rows that they have about PAIRS pairs, one at least
+                hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + PAIRS, "right")))
+                hi = min(hi, lo + ROWS)
+                n = others[lo:hi]
+                y = np.repeat(np.arange(lo, hi), n)
+                x = np.arange(len(y)) - np.repeat(np.cumsum(n) - n, n) + region[y]
+                if len(y):
+                    yield pairs_of(rows, [x], [y])
+                lo = hi
 
     return run
 
@@ -236,16 +265,13 @@ def check(width: int):
 
 
 def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures agree enough to be worth a check."""
-    for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(texts(batch, c)), np.uint32).reshape(-1, HASHES) for c in ("sig_a", "sig_b"))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= AGREE))
-
-
-def if_few(rows: DataFrame) -> DataFrame:
-    """Rows to broadcast if a count shows that they are few; as they are otherwise."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST else rows
+    """Pairs whose signatures agree enough, and whose maps allow it, to be worth a check."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, 2000):
+            batch = whole.slice(start, 2000)
+            (x, p), (y, q) = (unpacked(texts(batch, c)) for c in ("sig_a", "sig_b"))
+            n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            yield batch.select(["a", "b"]).filter(pa.array(((x == y).mean(axis=1) >= AGREE) & possible(n, m, p, q)))
 
 
 class NearDuplicates:
@@ -254,36 +280,45 @@ class NearDuplicates:
     def __init__(self, width: int, key: str = "doc_id", text: str = "text"):
         self.width, self.key, self.text = width, key, text
 
+    def bodies(self, wanted: DataFrame) -> DataFrame:
+        """node, body: the text of each of the distinct nodes."""
+        wanted = materialize(wanted.join(self.nodes.select("node", "body_key"), "node"), "wanted")
+        keys = few(wanted)
+        found = self.docs.select(F.unhex(F.md5(self.text)).alias("body_key"), F.col(self.text).alias("body")).join(keys.select("body_key"), "body_key", "left_semi")
+        found = found.groupBy("body_key").agg(F.first("body").alias("body"))
+        found = materialize(found.join(keys, "body_key").select("node", "body"), "bodies")
+        discard(found.sparkSession, wanted)
+        return found
+
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) of nodes whose texts' full sets are close enough."""
         pairs = materialize(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(self.nodes.select("node", "body_key"), "node")
-        wanted = materialize(wanted, "wanted")
-        few = if_few(wanted)
-        bodies = self.docs.select(F.unhex(F.md5(self.text)).alias("body_key"), F.col(self.text).alias("body")).join(few.select("body_key"), "body_key", "left_semi")
-        bodies = bodies.groupBy("body_key").agg(F.first("body").alias("body"))
-        bodies = materialize(bodies.join(few, "body_key").select("node", "body"), "bodies")
+        bodies = self.bodies(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         one = pairs.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("text_b")), "b")
         two = one.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("text_a")), "a")
-        links = materialize(two.select("a", "b", "text_a", "text_b").mapInArrow(check(self.width), "a binary, b binary"), "links")
-        for table in (pairs, wanted, bodies):
+        links = materialize(two.select("a", "b", "text_a", "text_b").mapInArrow(lean(check(self.width)), "a binary, b binary"), "links")
+        for table in (pairs, bodies):
             discard(links.sparkSession, table)
         return links
 
-    def candidates(self, nodes: DataFrame, trees: range, meets: int, room: int) -> DataFrame:
-        """Pairs (a, b) of nodes of different classes that come near in the orders of these trees, with how often.
-
-        Ranges are of the key alone, so that no region is divided among tasks.
-        """
-        order = ["key", "deep", "node"]
+    def near(self, nodes: DataFrame, trees: range, find, maps: bool = False) -> DataFrame:
+        """What find() gives for the orders of these trees. Ranges are of the key alone: no region is divided among tasks."""
         parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        forest = nodes.select("node", "n_shingles", "sig", "class").mapInArrow(grow(trees), "key long, deep binary, node binary, n long, class long")
-        near = forest.repartitionByRange(parts, "key").sortWithinPartitions(*order).mapInArrow(neighbours(meets, room), "x binary, y binary")
-        return near.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("votes"))
+        forest = nodes.select("node", "n_shingles", "sig", "class").mapInArrow(lean(grow(trees, maps)), "key long, deep binary, node binary, map binary, n long, class long")
+        return forest.repartitionByRange(parts, "key").sortWithinPartitions("key", "deep", "node").mapInArrow(lean(find), "x binary, y binary")
+
+    def candidates(self, nodes: DataFrame) -> DataFrame:
+        """Pairs (a, b) of nodes of different classes that share a region in any tree, but those that an exact bound dismisses."""
+        found = materialize(self.near(nodes, range(TREES), meetings(ROOM)).distinct(), "met")
+        pairs = found.where("y is not null")
+        crowded = found.where("y is null").select(F.col("x").alias("node"))
+        if not crowded.isEmpty():
+            pairs = pairs.union(self.near(nodes.join(few(crowded), "node"), range(TREES), meetings(None), True))
+        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     def mark(self, nodes: DataFrame, labels: DataFrame) -> DataFrame:
         """Nodes with a number for the class they are in."""
-        return materialize(nodes.join(if_few(labels), "node", "left").withColumn("class", F.xxhash64(F.coalesce("label", "node"))).drop("label"), "marked")
+        return materialize(nodes.join(few(labels), "node", "left").withColumn("class", F.xxhash64(F.coalesce("label", "node"))).drop("label"), "marked")
 
     def joined(self, labels: DataFrame | None, links: DataFrame) -> DataFrame:
         """The classes (node, label) that further links make."""
@@ -295,10 +330,9 @@ class NearDuplicates:
 
     def alike(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose signatures say that a check is worth it."""
-        sigs = self.nodes.select("node", "sig")
         for side in "ab":
-            pairs = pairs.join(sigs.select(F.col("node").alias(side), F.col("sig").alias(f"sig_{side}")), side)
-        return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(alike, "a binary, b binary")
+            pairs = pairs.join(self.nodes.select(F.col("node").alias(side), F.col("sig").alias(f"sig_{side}"), F.col("n_shingles").alias(f"n_{side}")), side)
+        return pairs.select("a", "b", "sig_a", "sig_b", "n_a", "n_b").mapInArrow(lean(alike), "a binary, b binary")
 
     def classes(self, df: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         """For each row: key, n_shingles, component_id, body_key (hash of the text), label, and the carried columns.
@@ -310,23 +344,29 @@ class NearDuplicates:
         """
         base = df.select(self.key, *carry, self.text, F.unhex(F.md5(self.text)).alias("body_key"))
         kinds = ", ".join(f"`{c}` {base.schema[c].dataType.simpleString()}" for c in (self.key, *carry, "body_key"))
-        members = materialize(base.mapInArrow(sign(self.width, self.text), f"{kinds}, n_shingles long, node binary, sig binary"), "members")
+        members = materialize(base.mapInArrow(lean(sign(self.width, self.text)), f"{kinds}, n_shingles long, node binary, sig binary"), "members")
         self.nodes = nodes = materialize(
             members.where("node is not null").groupBy("node").agg(F.min(self.key).alias("first"), F.min("body_key").alias("body_key"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig")), "nodes"
         )
         self.docs = df
         marked, labels = nodes.withColumn("class", F.xxhash64("node")), None
         for lo, hi in FIRST:
-            found = materialize(self.candidates(marked, range(lo, hi), 1, 0), "candidates")
+            found = self.near(marked, range(lo, hi), nearest).groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("votes"))
+            found = materialize(found, "candidates")
             best = F.max_by(F.struct("a", "b"), F.struct("votes", "a", "b")).alias("p")
             pairs = found.groupBy("b").agg(best).select("p.*").union(found.groupBy("a").agg(best).select("p.*")).distinct()
             labels = self.joined(labels, self.linked(pairs))
-            marked = self.mark(nodes, labels)
-        labels = self.joined(labels, self.linked(self.alike(materialize(self.candidates(marked, range(TREES), MEETS, ROOM), "candidates"))))
-
-        named = nodes.select("node", "first").join(if_few(labels), "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
-        smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
-        named = materialize(named.join(smallest, "label").select("node", "component_id", "label"), "classes")
+            before, marked = marked, self.mark(nodes, labels)
+            discard(df.sparkSession, found)
+            if before.inputFiles()[:1] != nodes.inputFiles()[:1]:
+                discard(df.sparkSession, before)
+        labels = self.joined(labels, self.linked(self.alike(self.candidates(marked))))
+
+        named = nodes.select("node", "first").join(few(labels), "node", "left")
+        together = named.where("label is not null")
+        smallest = together.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("rows"))
+        together = with_hot(together.select("node", "label"), smallest, "label", together.count()).select("node", "component_id", "label")
+        named = materialize(together.union(named.where("label is null").select("node", "first", "node")), "classes")
         discard(df.sparkSession, nodes)
         return members.join(named, "node", "left").select(self.key, *carry, "n_shingles", F.coalesce("component_id", self.key).alias("component_id"), "body_key", "label")
 
