@@ -1,220 +1,48 @@
-"""Language-model scores by logistic context mixing over the bits of tokens.
-
-A token is coded byte by byte with a closing space, the end of a text as one byte that UTF-8 never has; each bit
-is predicted from counts in five hashed contexts of the token: one, two and three bytes before, over distinct
-tokens; three bytes before, over all tokens; and all bytes before, over the corpus's frequent tokens. Their
-stretched probabilities are added with weights of a set that the contexts' counts choose, and the sum is
-refined by a table of what came of such predictions. Weights and table are learned online, by Newton steps over
-batches of tokens, each predicted before it is learned from and with its own occurrence taken out of the
-counts. The bits' probabilities make a distribution over texts as token sequences. Counts cover every text that
-is learned from.
+"""Language-model scores by logistic context mixing over the bits of tokens' codes.
+
+A text is its tokens and one end. The most frequent tokens that occur twice are words with a code of their own in a
+Huffman tree, so that a frequent one takes few bits; any other is an escape and then its bytes and a closing mark, coded in a tree of
+bytes. Each bit is predicted from hashed contexts of what is before it (see mixing): a word's from none, one and two
+tokens before, whatever these are; a byte's from one, two and four bytes of its token before. Counts come from every
+text that is learned from. Weights by set and the refinement are then learned online over all those texts in order,
+each bit predicted without its own count; each partition is a shard, and the shards' weights are averaged by their
+bits, their outcomes added. Bytes are learned from each distinct token without a code, once.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordmill.llm.language_id import fold
-from recordmill.llm.pretokens import Remembered
-from recordmill.llm.shared import materialize, slices, texts
-from recordmill.llm.words import mix, spaced_words
+from recordmill.llm.mixing import CONTEXTS, DEPTHS, FIRST, LEVELS, SETS, Code, Learner, Predictor, Shape, mix32, packed, tallied
+from recordmill.llm.shared import lean, materialize, slices, texts
+from recordmill.llm.words import spaced_words
 
 #: The end of a text as a token; no token of a text can be this byte.
 END = b"\xff"
-#: Frequent tokens that each worker holds with their counts, and the longest of them in bytes.
-FREQUENT, LONGEST = 100_000, 48
-#: Slots of the contexts, in the order above, and their number; the context of three bytes and of all bytes.
-SLOTS = (1 << 16, 1 << 18, 1 << 20, 1 << 20, 1 << 22)
-INPUTS, THREE, WHOLE = len(SLOTS), 2, len(SLOTS) - 1
-#: Counts are bounded from below by this much; stretched probabilities by this much either way.
-PRIOR, REACH = 0.02, 12.0
-#: Tokens that weights are learned from, at least and one of so many of the corpus; in batches of so many; how much of past curvature stays, its least, and
-#: the largest step; the step of the refinement.
-LEARN, ONE_OF, BATCH, PAST, LEAST, STEP, REFINE = 60_000, 1000, 500, 0.99, 5.0, 0.5, 0.02
-#: Weight sets; first weights, with a constant's; buckets of the refinement.
-SETS, WEIGHTS, STEPS = 192, (0.0, 0.0, 0.1, 0.1, 0.8, 0.0), 33
-#: Tokens of a partial count, bytes tallied and bytes scored at a time.
-HELD, BYTES, SCORED = 200_000, 1 << 18, 1 << 15
-#: Other tokens whose scores a worker remembers.
-REMEMBERED = 250_000
-
-def spelled(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All bytes of the tokens with their closing spaces, the place of each in its token, and each token's first."""
-    data = np.frombuffer(b"".join(t if t == END else t + b" " for t in tokens), np.uint8)
-    sizes = np.fromiter((1 if t == END else len(t) + 1 for t in tokens), np.int64, len(tokens))
-    first = np.cumsum(sizes) - sizes
-    return data, np.arange(len(data)) - np.repeat(first, sizes), first
-
-
-def context_hashes(data: np.ndarray, place: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """For each byte, a 64-bit value of each context before it."""
-    before = [np.zeros(len(data), np.uint64) for _ in range(3)]
-    for k in range(1, 4):
-        before[k - 1][k:] = np.where(place[k:] >= k, data[:-k].astype(np.uint64) + np.uint64(1), 0)
-    p1, p2, p3 = before
-    powers = np.cumprod(np.full(int(place.max(initial=0)) + 2, 0x9E3779B97F4A7C15 | 1, np.uint64))
-    total = np.concatenate([[0], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[place], dtype=np.uint64)]).astype(np.uint64)
-    whole = total[:-1] - total[np.arange(len(data)) - place]
-    two = p1 | p2 << np.uint64(9)
-    return [p1, mix(two), mix(two | p3 << np.uint64(18)), mix(whole)]
-
-
-def slots(hashes: list[np.ndarray], node: np.ndarray) -> list[np.ndarray]:
-    """The slot of each context at a node (the byte's bits so far after a leading one)."""
-    spread = node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    out = [((hashes[0] * np.uint64(255) + node.astype(np.uint64)) % np.uint64(SLOTS[0])).astype(np.int64)]
-    for h, n in zip((hashes[1], hashes[2], hashes[2], hashes[3]), SLOTS[1:]):
-        x = (h ^ spread) * np.uint64(0xBF58476D1CE4E5B9)
-        out.append((x >> np.uint64(40)).astype(np.int64) & (n - 1))
-    return out
-
-
-def bits_of(data: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The node before bit k of each byte, and the bit."""
-    d = data.astype(np.int64)
-    return (1 << k) | (d >> (8 - k)), (d >> (7 - k)) & 1
-
-
-def tallies(tokens: list[bytes], weights: np.ndarray, which: tuple[int, ...]) -> list[np.ndarray]:
-    """For each context asked for, counts of zeros and ones by slot."""
-    out = [np.zeros(2 * SLOTS[c]) for c in which]
-    lo = 0
-    while lo < len(tokens):
-        hi, size = lo, 0
-        while hi < len(tokens) and (hi == lo or size < BYTES):
-            size += len(tokens[hi]) + 1
-            hi += 1
-        data, place, first = spelled(tokens[lo:hi])
-        each = np.tile(np.repeat(weights[lo:hi], np.diff(np.append(first, len(data)))), 8)
-        hashes = context_hashes(data, place, first)
-        nodes, bits = zip(*(bits_of(data, k) for k in range(8)))
-        found = [slots(hashes, node) for node in nodes]
-        bit = np.concatenate(bits)
-        for t, c in zip(out, which):
-            t += np.bincount(2 * np.concatenate([f[c] for f in found]) + bit, each, len(t))
-        lo = hi
-    return out
-
-
-def squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def stretched(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    return np.clip(np.log((n1 + PRIOR) / (n0 + PRIOR)), -REACH, REACH)
-
-
-def three_part(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """The part of a set's number that the counts of three bytes before give."""
-    return np.minimum(7, np.log2(1 + n0 + n1) / 1.5).astype(np.uint8)
-
-
-def whole_part(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """The part that the counts of all bytes before give: how many, and whether only one bit was seen."""
-    return (16 * np.minimum(11, np.log2(1 + n0 + n1)).astype(np.uint8) + 8 * (np.minimum(n0, n1) < 0.5)).astype(np.uint8)
-
-
-def refine(table: np.ndarray, s: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The final probability of a one, and the nearer bucket."""
-    at = np.clip((s + REACH) * (STEPS - 1) / (2 * REACH), 0, STEPS - 1.001)
-    lo = at.astype(np.int64)
-    part = at - lo
-    seen = table[node, lo] * (1 - part) + table[node, lo + 1] * part
-    return np.clip(0.5 * (squash(s) + seen), 1e-6, 1 - 1e-6), lo + (part > 0.5)
-
-
-class Learner:
-    """Counts by context, weights by set and the refinement, while they are learned."""
-
-    def __init__(self, counts: list[np.ndarray], frequent: set[bytes]):
-        self.counts, self.frequent = counts, frequent
-        self.weights = np.tile(np.array(WEIGHTS), (SETS, 1))
-        self.curve = np.zeros((SETS, INPUTS + 1, INPUTS + 1))
-        self.refined = np.tile(squash(np.linspace(-REACH, REACH, STEPS)), (256, 1))
-
-    def learn(self, tokens: list[bytes], times: np.ndarray) -> None:
-        """Steps through the tokens in order; times: how often each occurs in what the counts were made from."""
-        for lo in range(0, len(tokens), BATCH):
-            some = tokens[lo : lo + BATCH]
-            data, place, first = spelled(some)
-            sizes = np.diff(np.append(first, len(data)))
-            once = np.repeat((times[lo : lo + BATCH] <= 1).astype(float), sizes)
-            held = np.repeat(np.fromiter((t in self.frequent for t in some), float, len(some)), sizes)
-            hashes = context_hashes(data, place, first)
-            for k in range(8):
-                self.step(slots(hashes, bits_of(data, k)[0]), *bits_of(data, k), (once, once, once, np.ones(len(data)), held))
-
-    def step(self, found: list[np.ndarray], node: np.ndarray, bit: np.ndarray, own: tuple) -> None:
-        x = np.full((len(bit), INPUTS + 1), 0.3)
-        gate = np.zeros(len(bit), np.int64)
-        for c, at in enumerate(found):
-            n0 = np.maximum(0, self.counts[c][2 * at] - own[c] * (1 - bit))
-            n1 = np.maximum(0, self.counts[c][2 * at + 1] - own[c] * bit)
-            x[:, c] = stretched(n0, n1)
-            gate += three_part(n0, n1) if c == THREE else whole_part(n0, n1) if c == WHOLE else 0
-        s = np.clip((x * self.weights[gate]).sum(axis=1), -REACH, REACH)
-        p = squash(s)
-        by = np.argsort(gate, kind="stable")
-        first = np.flatnonzero(np.diff(gate[by], prepend=-1))
-        sets, xs = gate[by][first], x[by]
-        slope = np.add.reduceat(xs * (bit - p)[by][:, None], first)
-        self.curve[sets] = PAST * self.curve[sets] + np.add.reduceat((xs * (p * (1 - p))[by][:, None])[:, :, None] * xs[:, None, :], first)
-        self.weights[sets] += np.clip(np.linalg.solve(self.curve[sets] + LEAST * np.eye(INPUTS + 1), slope[:, :, None])[:, :, 0], -STEP, STEP)
-        here = node * STEPS + refine(self.refined, s, node)[1]
-        n = np.bincount(here, minlength=256 * STEPS)
-        flat = self.refined.reshape(-1)
-        flat += (1 - (1 - REFINE) ** n) * (np.bincount(here, bit, 256 * STEPS) / np.maximum(1, n) - flat)
+#: Tokens with a code of their own at most: what each worker holds by name. Longer names are held by their digest.
+WORDS, NAME = 1 << 17, 64
+#: Base-2 logarithms of slots of the contexts of words and of bytes; those of one and two tokens grow with the corpus between two bounds.
+ORDERS, LEAST_SLOTS, MOST_SLOTS, BYTES = 18, 16, 23, (17, 20, 20)
+#: The closing mark as a symbol of bytes; what stands before a text or a token.
+CLOSE, BEFORE = 256, np.uint32(0x51ED270B)
+#: Tokens of a partial count; symbols that tables are made and used from at a time; slots of a block of a table.
+HELD, SYMBOLS, BLOCK = 200_000, 1 << 16, 1 << 17
 
 
-@dataclass
-class Model:
-    """What scoring needs: stretched probabilities by slot, parts of set numbers, weights, the refinement, and totals."""
-
-    inputs: list[np.ndarray]
-    three: np.ndarray
-    whole: np.ndarray
-    weights: np.ndarray
-    refined: np.ndarray
-    frequent: list[bytes]
-    times: np.ndarray
-    total: int
-    distinct: int
-
-    def scores(self, tokens: list[bytes]) -> np.ndarray:
-        """log10 of each token's probability."""
-        *weights, constant = (np.ascontiguousarray(w, np.float32) for w in self.weights.T)
-        constant = np.float32(0.3) * constant
-        out = np.zeros(len(tokens))
-        lo = 0
-        while lo < len(tokens):
-            hi, size = lo, 0
-            while hi < len(tokens) and (hi == lo or size < SCORED):
-                size += len(tokens[hi]) + 1
-                hi += 1
-            data, place, first = spelled(tokens[lo:hi])
-            hashes = context_hashes(data, place, first)
-            chance = np.ones(len(data))
-            for k in range(8):
-                node, bit = bits_of(data, k)
-                found = slots(hashes, node)
-                gate = self.three.take(found[THREE]).astype(np.intp) + self.whole.take(found[WHOLE])
-                s = constant.take(gate)
-                for w, x, at in zip(weights, self.inputs, found):
-                    s += w.take(gate) * x.take(at)
-                p, _ = refine(self.refined, np.clip(s, -REACH, REACH), node)
-                chance *= np.where(bit == 1, p, 1 - p)
-            out[lo:hi] = np.add.reduceat(np.log10(chance), first)
-            lo = hi
-        return out
+def name_of(token: bytes) -> bytes:
+    """What a token is called among the words: itself or, if it is long, a mark and its digest."""
+    return token if len(token) <= NAME else END + hashlib.md5(token).digest()
 
 
 def token_counts(df: DataFrame, text: str) -> DataFrame:
@@ -232,121 +60,298 @@ def token_counts(df: DataFrame, text: str) -> DataFrame:
                 total.clear()
         yield out()
 
-    return df.select(text).mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return df.select(text).mapInArrow(lean(run), "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def learned(total: int) -> int:
-    """How many tokens weights are learned from, of so many in the corpus."""
-    return max(LEARN, total // ONE_OF)
+@dataclass
+class Vocabulary:
+    """The words by name with their counts, the most frequent first, and the totals of all tokens."""
+
+    names: list[bytes]
+    times: np.ndarray
+    total: int
+    distinct: int
 
+    @property
+    def escape(self) -> int:
+        return len(self.names)
 
-def fit(counts: DataFrame) -> Model:
-    """A model from the whole table of token counts."""
+    def code(self) -> Code:
+        return Code(np.append(np.maximum(self.times, 0.5), max(0.5, self.total - self.times.sum())))
+
+    def byte_code(self) -> Code:
+        """A tree for bytes and the closing mark by how often they are in words, each word once."""
+        joined = np.frombuffer(b"".join(self.names), np.uint8)
+        return Code(np.append(np.bincount(joined, minlength=256) + 0.5, len(self.names) + 0.5))
+
+
+def vocabulary(counts: DataFrame) -> Vocabulary:
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.octet_length("token") <= LONGEST).orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
-    frequent, times = [bytes(t) for t in top.column("token").to_pylist()], top.column("n").to_numpy().astype(float)
+    name = F.when(F.octet_length("token") > NAME, F.concat(F.lit(END), F.unhex(F.md5("token")))).otherwise(F.col("token"))
+    top = counts.where("n > 1").orderBy(F.desc("n"), "token").limit(WORDS).select(name.alias("name"), "n").toArrow()
+    names, times = [bytes(t) for t in top.column("name").to_pylist()], top.column("n").to_numpy().astype(float)
+    if END not in names:
+        names, times = [*names, END], np.append(times, 0.0)
+    return Vocabulary(names, times, int(total), int(distinct))
+
+
+def slots(total: int) -> int:
+    """The logarithm of slots for a corpus of so many tokens."""
+    return min(MOST_SLOTS, max(LEAST_SLOTS, int(total).bit_length() + 1))
+
+
+def word_contexts(marks: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """For each token of consecutive texts, given as marks, its contexts; first: where texts start."""
+    before = []
+    for k in (1, 2):
+        mark = np.full(len(marks), BEFORE, np.uint32)
+        mark[k:] = marks[:-k]
+        for j in range(k):
+            at = first + j
+            mark[at[at < len(marks)]] = BEFORE
+        before.append(mark)
+    one = mix32(before[0])
+    return [np.zeros(len(marks), np.uint32), one, mix32(one + before[1] * np.uint32(0x9E3779B1) + np.uint32(1))]
+
+
+def byte_symbols(tokens: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Symbols of the tokens' bytes and closing marks, their contexts, and where tokens start."""
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
+    first = np.cumsum(sizes) - sizes
+    symbols = np.frombuffer(b" ".join([*tokens, b""]), np.uint8).astype(np.int64)
+    symbols[first + sizes - 1] = CLOSE
+    place = np.arange(len(symbols)) - np.repeat(first, sizes)
+    value = np.zeros(len(symbols), np.uint32)
+    contexts = []
+    for k in range(1, 5):
+        shifted = np.full(len(symbols), CLOSE, np.uint32)
+        shifted[k:] = symbols[:-k]
+        value = value * np.uint32(521) + np.where(place >= k, shifted, CLOSE).astype(np.uint32) + np.uint32(1)
+        if k in (1, 2, 4):
+            contexts.append(mix32(value))
+    return symbols, contexts, first
+
+
+def encode(df: DataFrame, words: Vocabulary, key: str, text: str) -> DataFrame:
+    """A row for each text: key, row, n_bytes, n_tokens, n_known and logs of its words, marks (32 bits a token: a word's
+    number, or a hash of any other with the highest bit set), and the other tokens in order with how often they occur.
+    """
+    shared = df.sparkSession.sparkContext.broadcast((words.names, words.times))
+    kind = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [np.zeros(2 * SLOTS[c]) for c in range(WHOLE)]
-        for batch in batches:
-            tokens, n = texts(batch, "token"), batch.column("n").to_numpy().astype(float)
-            for s, t in zip(sums, [*tallies(tokens, np.ones(len(tokens)), (0, 1, 2)), *tallies(tokens, n, (3,))]):
-                s += t
-        for c, s in enumerate(sums):
-            at = s.nonzero()[0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), c, np.int32)), pa.array(at.astype(np.int32)), pa.array(s[at])], ["context", "slot", "n"])
-
-    again = times > 1
-    tables = [np.zeros(2 * n) for n in SLOTS[:WHOLE]] + tallies([t for t, a in zip(frequent, again) if a], times[again], (WHOLE,))
-    found = counts.select("token", "n").mapInArrow(run, "context int, slot int, n double").groupBy("context", "slot").agg(F.sum("n").alias("n"))
-    for batch in found.toArrow().to_batches():
-        context, slot, n = (batch.column(c).to_numpy() for c in ("context", "slot", "n"))
-        for c in range(WHOLE):
-            tables[c][slot[context == c]] = n[context == c]
-    learner = Learner(tables, {t for t, a in zip(frequent, again) if a})
-    if total:
-        # rare tokens by a hash, so that the sample's share of them is as in the corpus
-        low = times.min() if len(times) == FREQUENT else 0
-        rare = counts.where((F.col("n") <= low) & (F.octet_length("token") <= LONGEST))
-        kinds, mass = rare.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-        draws = learned(total)
-        take = min(1.0, draws / max(kinds, 1))
-        picked = rare.where(F.pmod(F.xxhash64("token"), F.lit(1 << 30)) < int(take * (1 << 30))).select("token", "n").toArrow() if low else top.slice(0, 0)
-        other, other_n = [bytes(t) for t in picked.column("token").to_pylist()], picked.column("n").to_numpy().astype(float)
-        pool, n = frequent + other, np.concatenate([times, other_n])
-        chance = np.concatenate([times, other_n * (mass / other_n.sum() if len(other_n) else 0)])
-        order = sorted(range(len(pool)), key=pool.__getitem__)
-        drawn = np.array(order)[np.random.default_rng(1).choice(len(order), draws, p=chance[order] / chance.sum())]
-        learner.learn([pool[i] for i in drawn], n[drawn])
-    split = [(t[0::2], t[1::2]) for t in tables]
-    return Model(
-        [stretched(*t).astype(np.float32) for t in split], three_part(*split[THREE]), whole_part(*split[WHOLE]), learner.weights, learner.refined, frequent, times, int(total), int(distinct)
-    )
+        names, times = shared.value
+        number = dict(zip(names, range(len(names))))
+        logs, part, row = np.log10(times + 1), TaskContext.get().partitionId() << 40, 0
+        for batch in slices(batches, text, 4 << 20):
+            ids, marks, others, n_tokens = [], [], [], []
+            for t in texts(batch, text):
+                split = [*spaced_words(t), END]
+                at = list(map(number.get, split))
+                rare = Counter()
+                if None in at:
+                    for i, n in enumerate(at):
+                        if n is None and len(split[i]) > NAME:
+                            n = at[i] = number.get(name_of(split[i]))
+                        if n is None:
+                            rare[split[i]] += 1
+                            at[i] = int.from_bytes(hashlib.blake2b(split[i], digest_size=4).digest(), "little") | 1 << 31
+                marks.append(np.array(at, np.uint32).tobytes())
+                others.append([{"token": w, "n": n} for w, n in rare.items()])
+                ids.append(np.array(at, np.int64))
+                n_tokens.append(len(at))
+            known, base = [], []
+            for at in ids:
+                at = at[at < len(names)]
+                known.append(int((times[at] > 0).sum()))
+                base.append(float(logs[at].sum()))
+            columns = [batch.column(key), pa.array(part + row + np.arange(len(ids))), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(marks, pa.binary()), pa.array(others, kind)]
+            row += len(ids)
+            rest = [c for c in batch.schema.names if c not in (key, text)]
+            yield pa.RecordBatch.from_arrays([*columns, *map(batch.column, rest)], [key, "row", "n_tokens", "n_known", "logs", "marks", "rare", *rest])
+
+    fields = df.select(key, F.octet_length(text).cast("long").alias("n_bytes"), (F.coalesce(fold(key, 7), F.lit(2)) != 2).alias("learn"), text)
+    kinds = f"`{key}` {df.schema[key].dataType.simpleString()}, row long, n_tokens long, n_known long, logs double, marks binary, rare array<struct<token: binary, n: long>>, n_bytes long, learn boolean"
+    return materialize(fields.mapInArrow(lean(run), kinds), "encoded")
+
+
+def word_parts(batches: Iterator[pa.RecordBatch], escape: int) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+    """Symbols, contexts and starts of the texts of the batches' marks, about SYMBOLS at a time."""
+    for batch in batches:
+        column = texts(batch, "marks")
+        done = np.cumsum([len(m) // 4 for m in column])
+        lo = 0
+        while lo < len(column):
+            hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + SYMBOLS, "right")))
+            marks = np.frombuffer(b"".join(column[lo:hi]), np.uint32)
+            ends = done[lo:hi] - (done[lo - 1] if lo else 0)
+            first = ends - np.diff(ends, prepend=0)
+            yield np.minimum(marks, escape).astype(np.int64), word_contexts(marks, first), first
+            lo = hi
 
 
-class Numbers(dict):
-    """Numbers of tokens: those of the frequent ones, then new ones in order."""
+def byte_parts(batches: Iterator[pa.RecordBatch], names: list[bytes]) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+    """Symbols, contexts and starts of the batches' tokens that aren't words."""
+    known = set(names)
+    for batch in slices(batches, "token", SYMBOLS):
+        tokens = [t for t in texts(batch, "token") if name_of(t) not in known]
+        if tokens:
+            yield byte_symbols(tokens)
+
+
+class Fit:
+    """A model's shapes and how its tables, weights and outcomes are gathered: both from words and from bytes."""
+
+    def __init__(self, words: Vocabulary):
+        self.words = words
+        many = slots(words.total)
+        self.shapes = {"words": Shape(words.code(), (ORDERS, many, many)), "bytes": Shape(words.byte_code(), BYTES)}
+
+    def sources(self, encoded: DataFrame, counts: DataFrame) -> dict:
+        return {
+            "words": (encoded.where("learn").select("marks"), word_parts, self.words.escape),
+            "bytes": (counts.select("token"), byte_parts, self.words.names),
+        }
+
+    def tables(self, rows: DataFrame, parts, known, shape: Shape) -> list[np.ndarray]:
+        """Counts by slot over all rows: blocks of each partition's tables, added by block."""
+        shared = rows.sparkSession.sparkContext.broadcast((shape, known))
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            here, known = shared.value
+            tables, pack = [np.zeros(2 << b, np.uint32) for b in here.bits], zstandard.ZstdCompressor(1)
+            for symbols, contexts, _ in parts(batches, known):
+                tallied(here, tables, symbols, contexts)
+            for c, table in enumerate(tables):
+                for k in range(0, len(table), 2 * BLOCK):
+                    block = table[k : k + 2 * BLOCK]
+                    if block.any():
+                        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([k // (2 * BLOCK)], pa.int32()), pa.array([pack.compress(block.tobytes())], pa.binary())], ["context", "block", "data"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, total, pack, unpack = None, None, zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
+            out = lambda: pa.RecordBatch.from_arrays([*(pa.array([v], pa.int32()) for v in at), pa.array([pack.compress(packed(total).tobytes())], pa.binary())], ["context", "block", "data"])
+            for batch in batches:
+                for c, k, data in zip(*(batch.column(i) for i in range(3))):
+                    here, block = (c.as_py(), k.as_py()), np.frombuffer(unpack.decompress(data.as_py()), np.uint32).astype(np.float64)
+                    if here == at:
+                        total += block
+                    else:
+                        if at is not None:
+                            yield out()
+                        at, total = here, block
+            if at is not None:
+                yield out()
 
-    def __missing__(self, token: bytes) -> int:
-        n = self[token] = len(self)
-        return n
+        names = "context int, block int, data binary"
+        blocks = rows.mapInArrow(lean(count), names).repartition("context", "block").sortWithinPartitions("context", "block").mapInArrow(lean(add), names)
+        tables, unpack = [np.zeros(1 << b, np.uint32) for b in shape.bits], zstandard.ZstdDecompressor()
+        for r in blocks.toLocalIterator():
+            data = np.frombuffer(unpack.decompress(bytes(r["data"])), np.uint32)
+            tables[r["context"]][r["block"] * BLOCK :][: len(data)] = data
+        return tables
+
+    def learned(self, rows: DataFrame, parts, known, shape: Shape, tables: list[np.ndarray]) -> Predictor:
+        """Weights and outcomes that each partition learns in order, averaged and added."""
+        shared = rows.sparkSession.sparkContext.broadcast((shape, known, tables))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            here, known, counts = shared.value
+            learner = Learner(here, counts)
+            for symbols, contexts, _ in parts(batches, known):
+                learner.learn(symbols, contexts)
+            if learner.seen:
+                values = np.concatenate([learner.seen * learner.weights.reshape(-1), [learner.seen], learner.outcomes])
+                at = values.nonzero()[0]
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(values[at])], ["at", "value"])
+
+        found = rows.mapInArrow(lean(run), "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow()
+        size = SETS * (CONTEXTS + 1)
+        values = np.zeros(size + 1 + 2 * LEVELS * DEPTHS)
+        values[found.column("at").to_numpy()] = found.column("value").to_numpy()
+        weights = values[:size].reshape(SETS, -1) / values[size] if values[size] else np.tile(np.array(FIRST), (SETS, 1))
+        shared.unpersist()
+        return Predictor(shape, tables, weights, values[size + 1 :])
+
+    def model(self, encoded: DataFrame, counts: DataFrame) -> Model:
+        made = {}
+        for name, (rows, parts, known) in self.sources(encoded, counts).items():
+            shape = self.shapes[name]
+            made[name] = self.learned(rows, parts, known, shape, self.tables(rows, parts, known, shape))
+        return Model(made["words"], made["bytes"], self.words.escape)
 
 
-def score(df: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_tokens, n_known, base_score and score for each row; null texts count as empty: one token, the end."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    kind = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))
+@dataclass
+class Model:
+    """What scoring needs: the predictors of words and of bytes."""
+
+    words: Predictor
+    bytes: Predictor
+    escape: int
+
+    def text_scores(self, batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        """log10 of the texts' probabilities, but the spelling of tokens that aren't words, for runs of texts."""
+        for symbols, contexts, first in word_parts(batches, self.escape):
+            yield np.add.reduceat(self.words.scores(symbols, contexts), first)
+
+    def spelled(self, tokens: list[bytes]) -> np.ndarray:
+        """log10 of the tokens' probabilities as spelled after an escape."""
+        out, lo = np.zeros(len(tokens)), 0
+        done = np.cumsum([len(t) + 1 for t in tokens])
+        while lo < len(tokens):
+            hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + SYMBOLS, "right")))
+            symbols, contexts, first = byte_symbols(tokens[lo:hi])
+            out[lo:hi] = np.add.reduceat(self.bytes.scores(symbols, contexts), first)
+            lo = hi
+        return out
+
+
+def score(encoded: DataFrame, counts: DataFrame, words: Vocabulary, model: Model, key: str) -> DataFrame:
+    """key, learn, n_tokens, n_known, train_tokens, base_score, score, n_bytes and bits_per_byte for each row."""
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, part, row = shared.value, TaskContext.get().partitionId() << 40, 0
-        base = Numbers(zip(m.frequent, range(len(m.frequent))))
-        known = m.scores(m.frequent)
-        log_n = np.log10(m.times + 1)
-        k, seen = len(m.frequent), Remembered(REMEMBERED)
-        for batch in slices(batches, text, 4 << 20):
-            numbers = Numbers(base)
-            split = [[*spaced_words(t), END] for t in texts(batch, text)]
-            sizes = np.fromiter(map(len, split), np.int64, len(split))
-            first = np.cumsum(sizes) - sizes
-            at = np.fromiter((numbers[w] for ws in split for w in ws), np.int64, int(sizes.sum()))
-            rare = list(islice(numbers, k, None))
-            fresh = seen.missing(set(rare))
-            seen.new.update(zip(fresh, m.scores(fresh).tolist()))
-            score = np.add.reduceat(np.concatenate([known, np.fromiter(map(seen.new.__getitem__, rare), np.float64, len(rare))])[at], first)
-            seen.forget_long(fresh)
-            often = at < k
-            n_known = np.add.reduceat(often.astype(np.int64), first)
-            logs = np.add.reduceat(np.where(often, np.append(log_n, 0)[np.minimum(at, k)], 0), first)
-            owner = np.repeat(np.arange(len(split)), sizes)[~often]
-            pairs, n = np.unique(owner * (len(rare) + 1) + at[~often] - k, return_counts=True)
-            offsets = np.searchsorted(pairs // (len(rare) + 1), np.arange(len(split) + 1)).astype(np.int32)
-            cells = pa.StructArray.from_arrays([pa.array(rare, pa.binary()).take(pa.array(pairs % (len(rare) + 1))), pa.array(n.astype(np.int64))], ["token", "n"])
-            lists = pa.ListArray.from_arrays(pa.array(offsets), cells).cast(kind)
-            rows = pa.array(part + row + np.arange(len(split)))
-            row += len(split)
-            yield pa.RecordBatch.from_arrays([batch.column(key), rows, pa.array(sizes), pa.array(n_known), pa.array(logs), pa.array(score), lists], [key, "row", "n_tokens", "n_known", "logs", "score", "rare"])
-
-    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, row long, n_tokens long, n_known long, logs double, score double, rare array<struct<token: binary, n: long>>"
-    found = materialize(df.select(key, text).mapInArrow(run, schema), "scored")
-    rare = found.select("row", F.inline("rare")).join(counts.select("token", F.col("n").alias("times")), "token")
-    rare = rare.groupBy("row").agg(F.sum("n").alias("more_known"), F.sum(F.col("n") * F.log10(F.col("times") + 1)).alias("more_logs"))
-    found = found.drop("rare").join(rare, "row", "left")
-    each = float(np.log10(model.total + model.distinct + 1))
+        for batch in batches:
+            if batch.num_rows:
+                found = np.concatenate(list(shared.value.text_scores(iter([batch]))))
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found)], ["row", "words"])
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "token", 1 << 20):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.spelled(texts(batch, "token")))], [*batch.schema.names, "spelled"])
+
+    worded = encoded.select("row", "marks").mapInArrow(lean(run), "row long, words double")
+    rare = encoded.select("row", F.inline("rare"))
+    rare = rare.join(counts.select("token", F.col("n").alias("times")), "token", "left").select("row", "token", "n", F.coalesce("times", F.lit(0)).alias("times"))
+    rare = rare.mapInArrow(lean(spell), "row long, token binary, n long, times long, spelled double")
+    known = F.col("times") > 0
+    sums = {"known": F.when(known, F.col("n")).otherwise(0), "more": F.col("n") * F.log10(F.col("times") + 1), "spelled": F.col("n") * F.col("spelled")}
+    rare = rare.groupBy("row").agg(*(F.sum(v).alias(k) for k, v in sums.items()))
+    found = encoded.drop("marks", "rare").join(worded, "row").join(rare, "row", "left")
+    each = float(np.log10(words.total + words.distinct + 1))
+    total = F.col("words") + F.coalesce("spelled", F.lit(0.0))
     return found.select(
         key,
+        "learn",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * each).alias("base_score"),
-        "score",
+        (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
+        F.lit(words.total).cast("long").alias("train_tokens"),
+        (F.col("logs") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * each).alias("base_score"),
+        total.alias("score"),
+        F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"),
+        F.when(F.col("n_bytes") > 0, -total * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 
 def predict(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Scores of all rows by a model of those outside fold 2 of 7: key, held_out, and the columns of score().
+    """Scores of all rows by a model of those outside fold 2 of 7: key, held_out, n_tokens, n_known, train_tokens,
+    base_score, score, n_bytes (of the text) and bits_per_byte (null without bytes).
 
-    A row with a null key is in no fold, so it is not learned from. Without rows to learn from, counts are zero.
+    A null text counts as empty: one token, the end. A row with a null key is in no fold, so it is not learned from.
+    Without rows to learn from, counts are zero. Columns of the input are left out; repeated rows are each returned.
     """
     counts = materialize(token_counts(df.where(~(fold(key, 7) == 2)), text), "counts")
-    found = score(df, fit(counts), counts, key, text)
-    return found.select(key, F.coalesce(fold(key, 7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    words = vocabulary(counts)
+    encoded = encode(df, words, key, text)
+    found = score(encoded, counts, words, Fit(words).model(encoded, counts), key)
+    return found.select(key, F.coalesce(fold(key, 7) == 2, F.lit(False)).alias("held_out"), *(c for c in found.columns if c not in (key, "learn")))

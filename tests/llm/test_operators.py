@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from recordmill.llm import ann, bpe, catalogue, decontaminate, language_id, line_dedup, lm_score, near_dup, planes, pretokens, quality, token_counts
+from recordmill.llm import ann, bpe, catalogue, decontaminate, language_id, line_dedup, lm_score, mixing, near_dup, planes, pretokens, quality, token_counts
 from recordmill.llm.components import components
 from recordmill.llm.words import alnum_words, shingle_set, spaced_words
 
@@ -149,6 +149,32 @@ def test_line_dedup_brute_force(spark):
     assert found == {rows[d][0]: t for d, t in brute_lines(rows).items()}
 
 
+def line_rows():
+    rng = np.random.default_rng(1)
+    pool = [" ".join(f"w{i}x{j}" for j in range(rng.integers(1, 40))) for i in range(25)]
+    return [(d, "\n".join(pool[i] if i >= 0 else "" for i in rng.integers(-2, 25, rng.integers(1, 25)).clip(-1))) for d in range(60)]
+
+
+def test_line_dedup_when_fingerprints_collide(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "fingerprint", lambda line: F.length(line).cast("long") % 2)
+    rows = line_rows()
+    found = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {rows[d][0]: t for d, t in brute_lines(rows).items()}
+
+
+def test_line_dedup_names_and_hot_windows(spark, monkeypatch):
+    from recordmill.llm import shared
+
+    monkeypatch.setattr(shared, "HOT_ROWS", 3)
+    rows = line_rows()
+    names = ["row", "key", "_text", "_key", "k1", "k2", "spans", "pos", "line", "h1", "hits", "content", "n_removed"]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit("mine") for n in names})
+    found = line_dedup.line_dedup(df)
+    assert found.columns == ["doc_id", "text", *names[:-1], "n_lines", "n_removed"]
+    assert {r.doc_id: r.text for r in found.collect()} == {rows[d][0]: t for d, t in brute_lines(rows).items()}
+    assert found.where("spans != 'mine' OR k1 != 'mine' OR row != 'mine'").count() == 0
+
+
 def test_line_dedup_odd(spark, odd, empty):
     found = line_dedup.line_dedup(odd)
     assert found.count() == odd.count() and {r.text for r in found.where("text is null").collect()} == {None}
@@ -245,45 +271,102 @@ def test_near_duplicates_odd(odd, empty):
     assert near_dup.near_duplicates(empty, 2).count() == 0
 
 
-def meetings(rows, meets, **more):
-    """Pairs of places that rows (deep, class) of one region and one size give."""
-    n = len(rows)
-    names = [k.to_bytes(16, "big") for k in range(n)]
-    batch = pa.RecordBatch.from_arrays(
-        [pa.array([5] * n, pa.int64()), pa.array([d.to_bytes(near_dup.DEEPER, "big") for d, _ in rows], pa.binary()), pa.array(names, pa.binary()), pa.array([9] * n, pa.int64()), pa.array([c for _, c in rows], pa.int64())],
-        ["key", "deep", "node", "n", "class"],
-    )
-    out = near_dup.neighbours(meets, **more)(iter([batch.slice(k, 7) for k in range(0, n, 7)]))
-    return {(int.from_bytes(x, "big"), int.from_bytes(y, "big")) for b in out for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())}
-
-
-def test_crowded_regions_meet_whole():
-    every = [(0, c) for c in range(50)]
-    assert meetings(every, near_dup.MEETS) == {(x, y) for y in range(50) for x in range(y)}
-    own = [(0, 1), (0, 2), *[(0, 1)] * 40]  # rows of its own class take none of a row's slots
-    assert meetings(own, near_dup.MEETS) == {(0, 1), *((1, y) for y in range(2, 42))}
-    deep = [(256**3 * (k // 30), k) for k in range(300)]  # too crowded as a whole; divided where the values part
-    found = meetings(deep, near_dup.MEETS)
-    assert {(x, y) for y in range(300) for x in range(y) if x // 30 == y // 30} < found and len(found) < 300 * 100
-    assert meetings([(0, k) for k in range(200)], near_dup.MEETS) == {(x, y) for y in range(200) for x in range(y)}
+def meetings(rows, room, maps=False):
+    """Pairs of places that rows (class, shingles) of one region give; None: in a crowded region."""
+    count = len(rows)
+    names = [k.to_bytes(16, "big") for k in range(count)]
+    bits = [near_dup.bitmap(np.array(sorted(s), np.uint64) << np.uint64(40)) if maps else None for _, s in rows]
+    long = lambda values: pa.array(list(values), pa.int64())
+    columns = [long([5] * count), pa.array([bytes(near_dup.DEEPER)] * count, pa.binary()), pa.array(names, pa.binary()), pa.array(bits, pa.binary()), long(len(s) for _, s in rows), long(c for c, _ in rows)]
+    batch = pa.RecordBatch.from_arrays(columns, ["key", "deep", "node", "map", "n", "class"])
+    out = near_dup.meetings(room)(iter([batch.slice(k, 7) for k in range(0, count, 7)]))
+    number = lambda x: None if x is None else int.from_bytes(x, "big")
+    found = [(number(x), number(y)) for b in out for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
+    assert len(found) == len(set(found))
+    return {(x, y) if y is None else (min(x, y), max(x, y)) for x, y in found}
+
+
+def test_regions_meet_whole(monkeypatch):
+    ten = set(range(10))
+    every = {(x, y) for y in range(50) for x in range(y)}
+    assert meetings([(c, ten) for c in range(50)], 64) == meetings([(c, ten) for c in range(50)], None, True) == every
+    assert meetings([(c, ten) for c in range(50)], 40) == {(x, None) for x in range(50)}
+    assert meetings([(1, ten)] * 30, None) == set()
+    monkeypatch.setattr(near_dup, "PAIRS", 10)
+    assert meetings([(k % 2, ten) for k in range(40)], None) == {(x, y) for y in range(40) for x in range(y) if (x + y) % 2}
+    nine = ten - {3}
+    assert meetings([(0, ten), (1, ten - {1, 2, 3} | {11, 12, 13}), (2, nine)], None, True) == {(0, 2)}
+
+
+def test_bound_dismisses_no_link(monkeypatch):
+    rng = np.random.default_rng(8)
+    links = 0
+    for _ in range(2000):
+        a = rng.choice(3000, rng.integers(1, 400), replace=False).astype(np.uint64) << np.uint64(40)
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.choice(3000, rng.integers(0, 30)).astype(np.uint64) << np.uint64(40)]))
+        if not len(b):
+            continue
+        linked = 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+        links += linked
+        x, y = (np.frombuffer(near_dup.bitmap(s), np.uint64)[None] for s in (a, b))
+        assert near_dup.possible(np.array([len(a)]), np.array([len(b)]), x, y)[0] or not linked
+    assert 500 < links < 1900
+
+
+@pytest.mark.parametrize("parts", [4, 32])
+def test_crowded_group_loses_no_class(spark, parts):
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(3000):  # most pairs lie just under the threshold; a few are linked
+        words = [f"w{k}" for k in range(200)]
+        for k in rng.integers(0, 200, 9):
+            words[k] = f"n{i}_{k}"
+        rows.append((i, " ".join(words)))
+    sets = [shingle_set(spaced_words(t), 2) for _, t in rows]
+    number = {}
+    held = [np.array(sorted(number.setdefault(x, len(number)) for x in s)) for s in sets]
+    common = [x for x in range(len(number)) if x < 199 + 9 * 2 * 3000]
+    matrix = np.zeros((3000, len(common)), np.float32)
+    for i, h in enumerate(held):
+        matrix[i, h] = 1
+    shared = matrix[:, matrix.sum(axis=0) > 1]
+    both = shared @ shared.T
+    size = matrix.sum(axis=1)
+    linked = np.argwhere(np.tril(100 * both >= 80 * (size[:, None] + size[None] - both), -1))
+    label = list(range(3000))
+    for _ in range(20):
+        for a, b in linked:
+            label[a] = label[b] = min(label[a], label[b])
+    assert 10 <= len(linked) < 100
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        found = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert found == dict(enumerate(label))
 
 
 def test_pairs_seven_errors_under_are_checked():
     x = np.zeros(near_dup.HASHES, np.uint32)
     y = (np.arange(near_dup.HASHES) >= 0.6 * near_dup.HASHES).astype(np.uint32)
-    batch = pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in (b"a", b"b", x.tobytes(), y.tobytes())], ["a", "b", "sig_a", "sig_b"])
+    bits = bytes(near_dup.MAP // 8)
+    nine = pa.array([9])
+    batch = pa.RecordBatch.from_arrays([*(pa.array([v], pa.binary()) for v in (b"a", b"b", x.tobytes() + bits, y.tobytes() + bits)), nine, nine], ["a", "b", "sig_a", "sig_b", "n_a", "n_b"])
     assert sum(b.num_rows for b in near_dup.alike(iter([batch]))) == 1
 
 
 def test_regions_stay_whole(spark):
-    same_values = bytearray(4 * near_dup.HASHES)
-    rows = [(k.to_bytes(16, "big"), 9, same_values, k) for k in range(120)]
+    same_values = bytearray(4 * near_dup.HASHES + near_dup.MAP // 8)
+    rows = [(k.to_bytes(16, "big"), 9, same_values, k) for k in range(60)]
     nodes = spark.createDataFrame(rows, "node binary, n_shingles long, sig binary, class long")
-    found = near_dup.NearDuplicates(5).candidates(nodes, range(1), near_dup.MEETS, near_dup.ROOM)
-    assert found.count() == 120 * 119 // 2
+    assert near_dup.NearDuplicates(5).candidates(nodes).count() == 60 * 59 // 2
 
 
-def test_components(spark):
+@pytest.mark.parametrize("part", [30, 200_000])
+def test_components(spark, monkeypatch, part):
+    from recordmill.llm import components as module
+
+    monkeypatch.setattr(module, "PART", part)
     rng = np.random.default_rng(4)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (None, 1)]
     found = {r.node: r.label for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
@@ -408,19 +491,143 @@ def test_language_model(spark, sf_dir, odd, empty):
     assert lm_score.predict(empty).count() == 0
 
 
-def test_learned_tokens_grow(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(lm_score.Learner, "learn", lambda self, tokens, times: seen.append(len(tokens)))
-    for n in (10, 100_000_000):
-        lm_score.fit(spark.createDataFrame([(b"a", n), (b"b", n)], "token binary, n long"))
-    assert seen == [lm_score.LEARN, 200_000]
-
-
-def test_bits_make_a_distribution(spark):
-    df = spark.createDataFrame([(i, "a b ab ba") for i in range(50)], "doc_id long, text string")
-    model = lm_score.fit(lm_score.token_counts(df, "text"))
-    first = 10.0 ** model.scores([bytes([b]) for b in range(255) if b != 32] + [lm_score.END])
-    assert 0.2 < first.sum() <= 1.0 + 1e-9
+def lm_model(df):
+    counts = lm_score.materialize(lm_score.token_counts(df.where(~(lm_score.fold("doc_id", 7) == 2)), "text"), "counts")
+    words = lm_score.vocabulary(counts)
+    encoded = lm_score.encode(df, words, "doc_id", "text")
+    fit = lm_score.Fit(words)
+    return words, fit, fit.model(encoded, counts), encoded, counts
+
+
+def brute_path(code, symbol):
+    return [(int(s) >> 1, int(s) & 1) for s in code.steps[code.start[symbol] :][: code.size[symbol]]]
+
+
+def brute_slot(shape, c, context, node):
+    node = node * 0x9E3779B1 & 0xFFFFFFFF
+    if c == 0:
+        return (context + node) & ((1 << shape.bits[0]) - 1)
+    return ((context ^ node) * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - shape.bits[c])
+
+
+def brute_mix32(x):
+    x = (x ^ x >> 16) * 0x7FEB352D & 0xFFFFFFFF
+    x = (x ^ x >> 15) * 0x846CA68B & 0xFFFFFFFF
+    return x ^ x >> 16
+
+
+def brute_word_stream(words, text):
+    """(symbol, contexts) of each token of one text."""
+    number = {n: i for i, n in enumerate(words.names)}
+    tokens = [*spaced_words(text), lm_score.END]
+    marks = [number.get(lm_score.name_of(t)) for t in tokens]
+    marks = [int.from_bytes(hashlib.blake2b(t, digest_size=4).digest(), "little") | 1 << 31 if m is None else m for m, t in zip(marks, tokens)]
+    before = int(lm_score.BEFORE)
+    for i, m in enumerate(marks):
+        one, two = (marks[i - k] if i >= k else before for k in (1, 2))
+        one = brute_mix32(one)
+        yield min(m, words.escape), (0, one, brute_mix32((one + two * 0x9E3779B1 + 1) & 0xFFFFFFFF))
+
+
+def brute_byte_stream(token):
+    codes, symbols = [], [*token, lm_score.CLOSE]
+    for i, symbol in enumerate(symbols):
+        value, found = 0, []
+        for k in range(1, 5):
+            value = (value * 521 + (symbols[i - k] if i >= k else lm_score.CLOSE) + 1) & 0xFFFFFFFF
+            if k != 3:
+                found.append(brute_mix32(value))
+        codes.append((symbol, tuple(found)))
+    return codes
+
+
+def brute_counts(shape, streams):
+    tables = [Counter() for _ in range(3)]
+    for symbol, contexts in streams:
+        for node, bit in brute_path(shape.code, symbol):
+            for c in range(3):
+                tables[c][brute_slot(shape, c, contexts[c], node), bit] += 1
+    return tables
+
+
+def brute_score(predictor, tables, streams):
+    """log10 of symbols, bit by bit, from counts that were made here."""
+    shape, total = predictor.shape, 0.0
+    depth = lambda n: min(7, math.ceil(math.log2(n + 1)))
+    for symbol, contexts in streams:
+        for node, bit in brute_path(shape.code, symbol):
+            n = [[tables[c][brute_slot(shape, c, contexts[c], node), b] for b in (0, 1)] for c in range(3)]
+            x = [min(8.0, max(-8.0, math.log((one + mixing.PRIOR) / (zero + mixing.PRIOR)))) for zero, one in n]
+            gate = depth(sum(n[1])) * 8 + depth(sum(n[2]))
+            s = sum(float(w[gate]) * v for w, v in zip(predictor.weights, [*x, mixing.CONSTANT]))
+            at = int((min(mixing.LIMIT, max(-mixing.LIMIT, s)) + mixing.LIMIT) * mixing.UNIT) + mixing.LEVELS * depth(sum(n[2]))
+            total += float(predictor.logs[2 * at + bit])
+    return total
+
+
+def test_language_model_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice(["the", "a", "cat", "dog", "sat", "on", "mat", f"rare{i}", "\u00e9t\u00e9", "x" * 70, f"{'y' * 70}{i}"], rng.integers(0, 40)))) for i in range(60)] + [(60, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    words, fit, model, encoded, counts = lm_model(df)
+    learn = [(k, t) for k, t in rows if zlib.crc32(str(k).encode()) % 7 != 2]
+    tables = brute_counts(fit.shapes["words"], (x for _, t in learn for x in brute_word_stream(words, t)))
+    every = {w for _, t in learn for w in [*spaced_words(t), lm_score.END]}
+    spelled = brute_counts(fit.shapes["bytes"], (x for w in every if lm_score.name_of(w) not in words.names for x in brute_byte_stream(w)))
+    found = {r.doc_id: r for r in lm_score.score(encoded, counts, words, model, "doc_id").collect()}
+    for key, text in rows:
+        wanted = brute_score(model.words, tables, brute_word_stream(words, text))
+        wanted += sum(brute_score(model.bytes, spelled, brute_byte_stream(w)) for w in spaced_words(text) if lm_score.name_of(w) not in words.names)
+        size = len((text or "").encode())
+        assert abs(found[key].score - wanted) < 1e-3 * max(1, abs(wanted))
+        assert found[key].n_bytes == size and (size == 0) == (found[key].bits_per_byte is None)
+        assert not size or abs(found[key].bits_per_byte + found[key].score * math.log2(10) / size) < 1e-9
+
+
+def test_symbols_make_a_distribution(spark, sf_dir):
+    words, _, model, _, _ = lm_model(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    for mark in (7, 11):
+        every = np.arange(words.escape + 1)
+        contexts = [np.full(len(every), c, np.uint32) for c in (0, mark, mark * 77)]
+        assert abs((10.0 ** model.words.scores(every, contexts)).sum() - 1) < 1e-3
+        assert abs((10.0 ** model.bytes.scores(np.arange(257), [c[:257] for c in contexts])).sum() - 1) < 1e-3
+
+
+def test_mixing_learns_in_order_without_its_own_count():
+    rng = np.random.default_rng(9)
+    shape = mixing.Shape(mixing.Code(np.array([8.0, 4, 2, 1, 1])), (8, 10, 10))
+    symbols = rng.integers(0, 5, 5000)
+    contexts = [np.zeros(5000, np.uint32), np.roll(symbols, 1).astype(np.uint32), np.roll(symbols, 2).astype(np.uint32)]
+    symbols = np.where(rng.random(5000) < 0.7, (contexts[1] + 1) % 5, symbols).astype(np.int64)
+    tables = [np.zeros(2 << b, np.uint32) for b in shape.bits]
+    mixing.tallied(shape, tables, symbols, contexts)
+    tables = [mixing.packed(t) for t in tables]
+    learner = mixing.Learner(shape, tables)
+    learner.learn(symbols, contexts)
+    assert learner.seen == shape.code.size[symbols].sum() == learner.outcomes.sum()
+    made = mixing.Predictor(shape, tables, learner.weights, learner.outcomes)
+    plain = np.log10(np.bincount(symbols)[symbols] / 5000).sum()
+    assert made.scores(symbols, contexts).sum() > 0.8 * plain > made.scores(symbols, contexts).sum() * 3
+    once = mixing.Learner(shape, [np.where(t > 0, np.uint32(1), np.uint32(0)) for t in tables])
+    found, bit, _ = shape.decisions(symbols[:1], [c[:1] for c in contexts])
+    once.step([f[:1] for f in found], np.zeros(1, np.int64))  # its only count is its own: nothing else is known
+    assert once.outcomes[2 * mixing.level(np.array([0.0]), np.array([0]))[0]] == 1
+
+
+def test_context_does_not_pass_texts():
+    marks, first = np.arange(10, dtype=np.uint32), np.array([0, 1, 5])
+    _, one, two = lm_score.word_contexts(marks, first)
+    alone = [lm_score.word_contexts(marks[a:b], np.array([0])) for a, b in ((0, 1), (1, 5), (5, 10))]
+    assert (one == np.concatenate([x[1] for x in alone])).all() and (two == np.concatenate([x[2] for x in alone])).all()
+
+
+def test_codes_are_prefix_free():
+    for weights in ([1.0], [3, 1], [5, 1, 1, 1, 9, 2, 2]):
+        code = mixing.Code(np.array(weights, float))
+        paths = [tuple(brute_path(code, i)) for i in range(len(weights))]
+        bits = sorted("".join(str(b) for _, b in p) for p in paths)
+        assert len(set(bits)) == len(weights) and not any(b.startswith(a) for a, b in zip(bits, bits[1:]))
+        assert abs(sum(2.0 ** -len(p) for p in paths) - 1) < 1e-9
 
 
 def test_quality(spark, sf_dir, odd, empty):
