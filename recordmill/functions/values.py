@@ -32,7 +32,13 @@ SECRET = (
 REDACTED = "[REDACTED]"
 CONTROL = r"[\x00-\x1f\x7f-\x9f]"
 TEXT_CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
-INVISIBLE = r"[\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff\ufff9-\ufffb]"
+FORMAT = (
+    r"\u00ad\u0600-\u0605\u061c\u06dd\u070f\u0890\u0891\u08e2\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff\ufff9-\ufffb"
+    r"\x{110bd}\x{110cd}\x{13430}-\x{1343f}\x{1bca0}-\x{1bca3}\x{1d173}-\x{1d17a}\x{e0001}\x{e0020}-\x{e007f}"
+)
+INVISIBLE = f"[{FORMAT}]"
+#: What is escaped in text for a terminal: all of it, and in JSON, whose encoder has escaped the low controls.
+UNPRINTABLE, TERMINAL = rf"[\x00-\x1f\x7f-\x9f\u2028\u2029{FORMAT}]", rf"[\x7f-\x9f\u2028\u2029{FORMAT}]"
 
 
 def sha256_hex(value: Column) -> Column:
@@ -104,6 +110,22 @@ def redact_map(values: Column) -> Column:
     return F.transform_values(values, lambda k, v: F.when(secret_key(k), F.lit(REDACTED)).otherwise(redact(v)))
 
 
+def redact_variant(value: object) -> object:
+    """Any JSON value with the values of secret keys replaced whole and secrets in all other text, keys included."""
+    import re
+
+    if not hasattr(redact_variant, "patterns"):
+        redact_variant.patterns = re.compile(SECRET), re.compile(f"(?:{SECRET_KEY}|(?i:(?<![A-Za-z0-9])(?:proxy[_-]?)?authorization))$")
+    text, key = redact_variant.patterns
+    if isinstance(value, str):
+        return text.sub(REDACTED, value)
+    if isinstance(value, list):
+        return [redact_variant(v) for v in value]
+    if isinstance(value, dict):
+        return {text.sub(REDACTED, k): REDACTED if key.search(k) else redact_variant(v) for k, v in value.items()}
+    return value
+
+
 def is_clean(text: Column) -> Column:
     return (F.length(F.trim(text)) > 0) & ~text.rlike(CONTROL)
 
@@ -116,9 +138,11 @@ def has_invisible(text: Column) -> Column:
     return text.rlike(INVISIBLE)
 
 
-def escape_invisible(text: Column) -> Column:
-    """Control and format characters cut out, for output on terminals."""
-    return F.regexp_replace(F.regexp_replace(text, CONTROL, "?"), INVISIBLE, "?")
+def escape_invisible(text: Column, pattern: str = UNPRINTABLE) -> Column:
+    """Control and format characters as \\uXXXX, two for those beyond the first plane, for output on terminals."""
+    units = lambda c: F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1")
+    shown = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c.rlike(pattern), units(c)).otherwise(c)), "")
+    return F.when(text.rlike(pattern), shown).otherwise(text)
 
 
 def collapse_space(text: Column) -> Column:
@@ -126,6 +150,18 @@ def collapse_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+#: Named characters of HTML that are common in text (fixed values); & comes last, so that nothing is replaced twice.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
+
+
+def strip_html(text: Column) -> Column:
+    """Text without tags and with the common named characters as themselves, white space collapsed."""
+    out = F.regexp_replace(text, "<[^>]*>", " ")
+    for name, char in ENTITIES.items():
+        out = F.replace(out, F.lit(name), F.lit(char))
+    return collapse_space(out)
+
+
 def slug(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-"))
 
@@ -140,16 +176,25 @@ def headings(text: Column) -> Column:
 
 
 def query_map(uri: Column) -> Column:
-    """Parameters after ? and before # as a map; null without any."""
+    """Decoded parameters after ? and before # as a map; null without any, or if one is malformed or comes twice."""
+    from recordmill.functions import links
+
     query = F.regexp_extract(uri, r"\?([^#]*)", 1)
-    return F.when(query != "", F.str_to_map(query, F.lit("&"), F.lit("=")))
+    found = links.parameters(query)
+    return F.when((query != "") & found["sound"], F.map_from_entries(F.when(found["sound"], found["pairs"])))
+
+
+#: key=value, key="value" and key='value' of an attribute list.
+PAIR = r"""([A-Za-z_][\w.-]*)=("[^"]*"|'[^']*'|[^\s"'}]+)"""
 
 
 def attribute_map(text: Column) -> Column:
-    """key=value pairs of an attribute list as a map."""
+    """Pairs of an attribute list as a map; values may be quoted and hold spaces; of repeated keys the last counts."""
     body = F.regexp_extract(text, r"\{:?\s*([^}]*)\}", 1)
-    pairs = F.filter(F.split(F.trim(body), r"\s+"), lambda p: p.contains("="))
-    return F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), F.regexp_replace(F.substring_index(p, "=", -1), '"', "").alias("value"))))
+    keys, raw = (F.regexp_extract_all(body, F.lit(PAIR), F.lit(i)) for i in (1, 2))
+    pairs = F.zip_with(keys, raw, lambda k, v: F.struct(k.alias("key"), F.regexp_replace(v, r"""^["']|["']$""", "").alias("value")))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    return F.map_from_entries(last)
 
 
 def tags(values: Column) -> Column:
@@ -196,20 +241,23 @@ def is_record_path(path: Column) -> Column:
 
 
 def link_problem(kind: Column, to: Column, anchor: Column) -> Column:
-    """What is wrong with a stored link, as a short word; empty if nothing is."""
-    bad = to.rlike(r"[\x00-\x1f\x7f-\x9f\s]")
-    note = bad | to.contains(":") | is_bad_relative(to) | ~to.rlike("^(projects|concepts|actions)/") | is_private(to)
-    rest = F.regexp_replace(to, "^bf://", "")
-    host, path = F.substring_index(rest, "/", 1), F.regexp_extract(rest, "^[^/]*/(.*)$", 1)
-    brain = bad | ~to.startswith("bf://") | (host == "") | host.contains("\\") | (path == "") | path.contains(":") | is_bad_relative(path) | is_private(path)
-    return (
-        F.when((kind == "url") & (bad | ~to.rlike("(?i)^(https|http|mailto|urn):")), "url")
-        .when((kind == "record") & ~is_record_path(to), "record")
-        .when((kind == "note") & note, "note")
-        .when((kind == "brain") & brain, "brain")
-        .when((anchor != "") & ((kind == "record") | to.endswith(".json")), "anchor")
-        .otherwise("")
-    )
+    """What is wrong with a stored link, as a short word; empty if nothing is.
+
+    For each kind the shape that its target must have, as a table; a target of no kind has no shape.
+    """
+    inner = F.regexp_extract(to, "^bf://[^/]+/(.+)$", 1)
+    safe = lambda path: ~path.contains(":") & ~is_bad_relative(path) & ~is_private(path)
+    shapes = {
+        "url": to.rlike("(?i)^(https|http|mailto|urn):"),
+        "record": is_record_path(to),
+        "note": to.rlike("^(projects|concepts|actions)/") & safe(to),
+        "brain": to.rlike(r"^bf://[^/\\]+/.") & safe(inner),
+    }
+    plain = ~to.rlike(r"[\x00-\x1f\x7f-\x9f\s]")
+    out = F.when((anchor != "") & ((kind == "record") | to.endswith(".json")), "anchor").otherwise("")
+    for name, shape in shapes.items():
+        out = F.when((kind == name) & ~(plain & shape), name).otherwise(out)
+    return out
 
 
 def format_span(seconds: Column) -> Column:

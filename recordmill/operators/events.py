@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 
 # Fixed values of the log: what is kept, and how failures are held back.
 KEEP_LINES, KEEP_BYTES = 1000, 4 << 20
+COMPACT_BYTES, COMPACT_EVERY = 8 << 20, 200
 BACKOFF_FIRST, BACKOFF_DOUBLINGS, BACKOFF_CAP = 60, 10, 3600
 
 
 def after_cursor(events: DataFrame, cursor: int, seq: str = "seq") -> DataFrame:
-    """Events past a cursor; a cursor past the log's end starts over."""
-    latest = F.broadcast(events.agg(F.max(seq).alias("_latest")))  # one row
-    floor = F.when((F.col("_latest") > 0) & (F.lit(cursor) > F.col("_latest")), 0).otherwise(cursor)
-    return events.crossJoin(latest).where(F.col(seq) > floor).drop("_latest")
+    """Events past a cursor; a cursor past the log's end starts over.
+
+    The log's end is looked up first, so that the filter is one with a number, which reaches the scan.
+    """
+    latest = events.agg(F.max(seq)).first()[0]  # one number
+    return events.where(F.col(seq) > (0 if latest is not None and 0 < latest < cursor else cursor))
 
 
 def merge_cursor(stored: Column, target: Column, disk: Column) -> Column:
@@ -56,6 +59,11 @@ def compacted(events: DataFrame, size: Column, lines: int = KEEP_LINES, budget:
     return newest.withColumn("_sum", running).where(F.col("_sum") <= budget).drop("_size", "_sum")
 
 
+def compaction_due(seq: int, size: int) -> bool:
+    """Whether the log is compacted after an event: it is large, or the event is one of every so many past the first."""
+    return size > COMPACT_BYTES or (seq > KEEP_LINES and seq % COMPACT_EVERY == 0)
+
+
 def keep_newest(rows: DataFrame, n: int, group: str, *order: Column) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
 

@@ -36,10 +36,15 @@ def typed_dominate(links: DataFrame, kind: str = "kind", *key: str) -> DataFrame
     return links.where(F.col(kind) != "").unionByName(untyped).dropDuplicates([*key, kind])
 
 
-def backlinks(links: DataFrame, source: str = "ref", to: str = "to") -> DataFrame:
-    """to, n and froms (distinct, in order, as one string) of incoming links."""
+def backlinks(links: DataFrame, source: str = "ref", to: str = "to", first: int = 20) -> DataFrame:
+    """to, n and froms (the first few, distinct and in order) of incoming links; a hub's others are counted only.
+
+    The rank is limited before the shuffle, so no task holds all that link to one target.
+    """
     each = links.where(F.col(source) != F.col(to)).select(to, source).distinct()
-    return each.groupBy(to).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(F.col(source).cast("string"))), ",").alias("froms"))
+    few = each.withColumn("rank", F.row_number().over(W.partitionBy(to).orderBy(source))).where(F.col("rank") <= first)
+    froms = few.groupBy(to).agg(F.sort_array(F.collect_list(source)).alias("froms"))
+    return each.groupBy(to).agg(F.count("*").alias("n")).join(froms, to)
 
 
 def both_ways(links: DataFrame, source: str = "ref", to: str = "to") -> DataFrame:

@@ -67,12 +67,19 @@ def open_actions(notes: DataFrame) -> DataFrame:
     return notes.where("kind = 'action' and status = 'draft'").orderBy(F.desc(V.ts_key(F.col("updated"))), F.desc("ref"))
 
 
+def rows(stale_rows: DataFrame, actions: DataFrame) -> DataFrame:
+    """A review as one table: section (stale or action_open), ref, reasons, newer_count and newer."""
+    ref = F.col("ref").cast("string").alias("ref")
+    first = stale_rows.select(F.lit("stale").alias("section"), ref, "reasons", "newer_count", "newer")
+    return first.unionByName(actions.select(F.lit("action_open").alias("section"), ref), allowMissingColumns=True)
+
+
 def problems(*found: DataFrame) -> DataFrame:
-    """Problems (kind, ref, msg) of all checks, each message once."""
+    """Problems (kind, ref, msg) of all checks, each message once; messages are told apart by a 128-bit hash."""
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out.groupBy("msg").agg(F.min(F.struct("kind", "ref")).alias("first")).select("first.kind", "first.ref", "msg")
+    return out.groupBy(F.xxhash64("msg").alias("a"), F.xxhash64(F.lit(1), "msg").alias("b")).agg(F.min(F.struct("kind", "ref", "msg")).alias("first")).select("first.*")
 
 
 def histogram(found: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def events_latest_seq(spark, sf_dir):
 
 
 def events_after_cursor(spark, sf_dir):
-    return E.after_cursor(events(spark, sf_dir), 600).select("seq")
+    return E.after_cursor(read(spark, sf_dir, "events"), 599, "event_id").select((F.col("event_id") + 1).alias("seq"))
 
 
 def cursor_reset(spark, sf_dir):

@@ -98,7 +98,7 @@ def missing_anchors(spark, sf_dir):
 
 def backlinks(spark, sf_dir):
     links = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ref"), F.col("l_partkey").alias("to")).where("ref != to")
-    return graph.backlinks(links).select(F.col("to").alias("l_partkey"), "n", "froms")
+    return graph.backlinks(links).select(F.col("to").alias("l_partkey"), "n", F.array_join("froms", ",").alias("froms"))
 
 
 def linked_set(spark, sf_dir):
@@ -160,15 +160,17 @@ def review_stale(spark, sf_dir):
     return review.ordered(found).select("ref", F.array_join("reasons", ",").alias("reasons"), "newer_count")
 
 
+def actions(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ref"), F.lit("action").alias("kind"), F.when(F.col("o_orderstatus") == "O", "draft").otherwise("done").alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("updated"))
+
+
 def review_actions(spark, sf_dir):
-    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ref"), F.lit("action").alias("kind"), F.when(F.col("o_orderstatus") == "O", "draft").otherwise("done").alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("updated"))
-    return review.open_actions(rows).limit(50).select("ref", "updated")
+    return review.open_actions(actions(spark, sf_dir)).limit(50).select("ref", "updated")
 
 
 def review_rows(spark, sf_dir):
-    stale = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.lit("stale").alias("section"), F.col("o_orderkey").cast("string").alias("ref"))
-    open_ = read(spark, sf_dir, "conversations").where("role = 'user'").select(F.lit("action_open").alias("section"), F.concat("conv_id", F.lit("/"), "turn").alias("ref"))
-    return stale.unionByName(open_, allowMissingColumns=True)
+    """A whole review: stale notes with their reasons, and open actions, as one table of sections."""
+    return review.rows(review.stale(*customer_notes(spark, sf_dir), NOW), review.open_actions(actions(spark, sf_dir))).select("section", "ref", F.array_join("reasons", ",").alias("reasons"))
 
 
 def problems_by_kind(spark, sf_dir):
@@ -195,30 +197,8 @@ def link_problems(spark, sf_dir):
     return rows.withColumn("problem", V.link_problem(F.col("kind"), F.col("to"), F.lit(""))).where("problem != ''").groupBy("problem").agg(F.count("*").alias("n"))
 
 
-def turns(spark, sf_dir):
-    return read(spark, sf_dir, "conversations")
-
-
-def section_assign(spark, sf_dir):
-    """The last user turn before each turn, as the section it is in; one conversation a window."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)
-    return turns(spark, sf_dir).select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w).alias("section"))
-
-
-def section_extract(spark, sf_dir):
-    """Where each user turn's section ends: the turn before the next user turn."""
-    from pyspark.sql import Window as W
-
-    heads = turns(spark, sf_dir).groupBy("conv_id").agg(F.max("turn").alias("end"), F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.col("turn")))).alias("heads"))
-    each = heads.select("conv_id", "end", F.explode("heads").alias("head"))
-    following = F.lead("head").over(W.partitionBy("conv_id").orderBy("head"))
-    return each.select("conv_id", "head", F.coalesce(following - 1, "end").alias("last"))
-
-
 def note_links(spark, sf_dir):
-    return graph.edges(notes.compile_notes(as_notes(spark, sf_dir)).withColumn("links", F.transform("links", lambda x: F.struct(x["to"].alias("to"), x["kind"].alias("kind"), x["anchor"].alias("anchor"), F.lit("").alias("meta"), x["section"].alias("section"))))).select("ref", "to", "kind", "anchor", "section")
+    return graph.edges(notes.compile_notes(as_notes(spark, sf_dir))).select("ref", "to", "kind", "anchor", "section")
 
 
 STORE = "stored AS (SELECT doc_id AS id, sha256(text) AS sha FROM documents WHERE doc_id % 2 = 0), batch AS (SELECT doc_id AS id, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS sha FROM documents WHERE doc_id % 3 = 0), gone AS (SELECT DISTINCT doc_id AS id FROM labels WHERE toxic = 1)"
@@ -246,11 +226,11 @@ SQL = {
         SELECT coalesce(d.doc_id, o.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN d.doc_id IS NULL THEN 'removed' WHEN same THEN 'unchanged' ELSE 'updated' END AS action FROM documents d FULL JOIN o ON o.id = d.doc_id""",
     "duplicate_ids": "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1",
     "typed_link_dominance": """WITH e AS (SELECT DISTINCT l_orderkey AS ref, 'part:' || l_partkey AS "to", 'line' AS kind FROM lineitem UNION SELECT l_orderkey, 'supplier:' || l_suppkey, CASE WHEN l_linenumber % 2 = 0 THEN 'ships' ELSE '' END FROM lineitem)
-        SELECT ref, "to", kind FROM e WHERE kind != '' OR NOT EXISTS (SELECT 1 FROM e t WHERE t.ref = e.ref AND t."to" = e."to" AND t.kind != '')""",
+        SELECT ref, "to", kind FROM e QUALIFY kind != '' OR max(kind) OVER (PARTITION BY ref, "to") = ''""",
     "broken_links": "SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 10 != 3)",
     "broken_link_severity": "SELECT DISTINCT l_partkey, l_suppkey, CASE WHEN l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0) OR l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 10) THEN 'warning' ELSE 'error' END AS severity FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 10 != 3)",
     "missing_anchors": "SELECT l_orderkey, l_partkey, CAST(l_linenumber AS VARCHAR) AS anchor FROM lineitem LEFT JOIN part ON p_partkey = l_partkey WHERE p_partkey IS NULL OR l_linenumber > p_size % 7 + 1",
-    "backlinks": "SELECT l_partkey, count(*) AS n, string_agg(CAST(l_orderkey AS VARCHAR), ',' ORDER BY CAST(l_orderkey AS VARCHAR)) AS froms FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem WHERE l_partkey != l_orderkey) GROUP BY 1",
+    "backlinks": "SELECT l_partkey, count(*) AS n, string_agg(CAST(l_orderkey AS VARCHAR), ',' ORDER BY l_orderkey) FILTER (WHERE r <= 20) AS froms FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey) AS r FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem WHERE l_partkey != l_orderkey)) GROUP BY 1",
     "linked_set": "SELECT 'o' || o_orderkey AS node, 'c' || o_custkey AS other FROM orders UNION SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders",
     "alias_backlinks": "SELECT o_orderkey, c_custkey FROM orders JOIN customer ON o_custkey = c_custkey",
     "cross_brain_links": """WITH c AS (SELECT *, (c_nationkey + CASE WHEN c_custkey % 10 = 0 THEN 1 ELSE 0 END) % 5 AS r FROM customer) SELECT c_custkey, 'bf://r' || r || '/n' || c_nationkey AS "to" FROM c WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_regionkey = r AND n_nationkey = c_nationkey)""",
@@ -261,7 +241,7 @@ SQL = {
     "future_updated": f"WITH {CUSTOMERS} SELECT ref FROM n WHERE updated >= '1998-06-01'",
     "review_stale": f"WITH {CUSTOMERS}, r AS (SELECT n.ref, list_filter([CASE WHEN updated >= '1998-06-01' THEN 'future_updated' END, CASE WHEN stale_after IS NOT NULL AND {DUE} THEN 'due' END, CASE WHEN newer_count > 0 THEN 'newer_evidence' END], lambda x: x IS NOT NULL) AS reasons, coalesce(newer_count, 0) AS newer_count FROM n LEFT JOIN w ON w.ref = n.ref WHERE status != 'deprecated') SELECT ref, array_to_string(reasons, ',') AS reasons, newer_count FROM r WHERE len(reasons) > 0",
     "review_actions": "SELECT o_orderkey AS ref, strftime(o_orderdate, '%Y-%m-%d') AS updated FROM orders WHERE o_orderstatus = 'O' ORDER BY 2 DESC, 1 DESC LIMIT 50",
-    "review_rows": "SELECT 'stale' AS section, CAST(o_orderkey AS VARCHAR) AS ref FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'action_open', conv_id || '/' || turn FROM conversations WHERE role = 'user'",
+    "review_rows": f"""WITH {CUSTOMERS}, r AS (SELECT n.ref, list_filter([CASE WHEN updated >= '1998-06-01' THEN 'future_updated' END, CASE WHEN stale_after IS NOT NULL AND {DUE} THEN 'due' END, CASE WHEN newer_count > 0 THEN 'newer_evidence' END], lambda x: x IS NOT NULL) AS reasons, coalesce(newer_count, 0) AS newer_count FROM n LEFT JOIN w ON w.ref = n.ref WHERE status != 'deprecated') SELECT 'stale' AS section, ref, array_to_string(reasons, ',') AS reasons FROM r WHERE len(reasons) > 0 UNION ALL SELECT 'action_open', CAST(o_orderkey AS VARCHAR), NULL FROM orders WHERE o_orderstatus = 'O'""",
     "problems_by_kind": "SELECT kind, count(*) AS n FROM (SELECT DISTINCT 'short' AS kind, source AS x FROM documents WHERE n_chars < 200 UNION ALL SELECT DISTINCT 'quality', CAST(doc_id AS VARCHAR) FROM labels WHERE quality = 0) GROUP BY 1",
     "validate_store": """SELECT kind, count(*) AS n FROM (
         SELECT 'duplicate_id' AS kind, source || '/' || (doc_id % 900) AS x FROM documents GROUP BY ALL HAVING count(*) > 1
@@ -269,15 +249,13 @@ SQL = {
         UNION ALL SELECT 'broken_link', CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 10 = 0
         UNION ALL SELECT 'missing_anchor', CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 10 = 2) GROUP BY 1""",
     "link_problems": "SELECT p AS problem, count(*) AS n FROM documents, (SELECT unnest(['url', 'record', 'note', 'brain']) AS p) GROUP BY 1",
-    "section_assign": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM conversations",
-    "section_extract": "WITH e AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY 1), h AS (SELECT conv_id, turn AS head, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nxt FROM conversations WHERE role = 'user') SELECT conv_id, head, coalesce(nxt, last) AS last FROM h JOIN e USING (conv_id)",
-    "note_links": """SELECT 'concepts/doc-' || doc_id AS ref, 'concepts/doc-' || (doc_id + 1) || '.md' AS "to", 'note' AS kind, 'top' AS anchor, 'links' AS section FROM documents""",
+    "note_links": """SELECT 'concepts/doc-' || doc_id || '.md' AS ref, 'concepts/doc-' || (doc_id + 1) || '.md' AS "to", 'note' AS kind, 'top' AS anchor, 'links' AS section FROM documents""",
 }
 QUERIES = {
     f.__name__: f
     for f in (
         ingest_upsert_diff, ingest_counters, ingest_snapshot_diff, ingest_snapshot_incomplete, ingest_guard, ingest_forgotten_anti, ingest_forgotten_semi, build_diff, duplicate_ids, typed_link_dominance,
         broken_links, broken_link_severity, missing_anchors, backlinks, linked_set, alias_backlinks, cross_brain_links, newer_evidence, latest_per_ref, evidence_updated, stale_due, future_updated, review_stale,
-        review_actions, review_rows, problems_by_kind, validate_store, link_problems, section_assign, section_extract, note_links,
+        review_actions, review_rows, problems_by_kind, validate_store, link_problems, note_links,
     )
 }

@@ -26,37 +26,68 @@ def over(table, program, *order):
     return lambda spark, sf_dir: jq(table(spark, sf_dir), program, *order)
 
 
+def values(found, shape):
+    """The fields of a program's JSON results."""
+    return found.select(F.from_json("value", shape).alias("v")).select("v.*")
+
+
+def places(spark, sf_dir):
+    """Regions and nations as one stream of records."""
+    regions = read(spark, sf_dir, "region").select(F.lit("region").alias("t"), F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"), F.lit(None).cast("int").alias("region"))
+    return regions.unionByName(read(spark, sf_dir, "nation").select(F.lit("nation").alias("t"), F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")))
+
+
 def jq_index_join(spark, sf_dir):
-    """INDEX over one table and a lookup by key from the other, as an equality join."""
-    index = jq(read(spark, sf_dir, "nation"), "{k: .n_nationkey, name: .n_name}")
-    rows = jq(read(spark, sf_dir, "customer"), "{id: .c_custkey, k: .c_nationkey}")
-    return rows.join(index, "k", "left").select("id", "name")
+    """INDEX over the regions of a stream, and each nation looked up in it."""
+    program = '[., inputs] | INDEX(.[] | select(.t == "region"); .key) as $r | .[] | select(.t == "nation") | {id: .key, name: $r[.region | tostring].name}'
+    return values(interpreted(places(spark, sf_dir), program, "t", "key"), "id long, name string")
 
 
 def jq_in_semi(spark, sf_dir):
-    """IN over another table's keys, as a semi-join."""
-    keys = jq(read(spark, sf_dir, "labels"), "select(.toxic == 1) | {doc_id: .doc_id}")
-    return jq(docs(spark, sf_dir), "{doc_id: .doc_id}").join(keys, "doc_id", "left_semi")
+    return values(interpreted(docs(spark, sf_dir), 'select(.lang | IN("en", "de")) | select(.source | IN("src1", "src2", "src3")) | {doc_id}'), "doc_id long")
 
 
 def jq_foreach_running(spark, sf_dir):
-    """foreach with a running sum, kept within a user, as a window."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, 0)
-    return events(spark, sf_dir).select("event_id", F.sum("data.k").over(w).alias("running"))
+    """A running sum over each customer's orders, each of its states."""
+    program = '.id as $id | foreach .orders[] as $o (0; . + $o.key; {id: $id, key: $o.key, running: .})'
+    return values(interpreted(orders(spark, sf_dir), program), "id long, key long, running long")
 
 
 def jq_cross(spark, sf_dir):
-    """combinations of two small arrays: every region with every size from 1 to 3."""
-    regions = read(spark, sf_dir, "region")
-    return regions.select("r_name", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("n"))
+    program = "[[.r_name], [1, 2, 3]] | combinations | {r_name: .[0], n: .[1]}"
+    return values(interpreted(read(spark, sf_dir, "region"), program), "r_name string, n long")
+
+
+def jq_transpose(spark, sf_dir):
+    program = "[[.n_nationkey, .n_regionkey], [.n_name]] | transpose | {a: .[0][0], b: .[0][1], c: .[1][1], d: (.[1][0])}"
+    return values(interpreted(read(spark, sf_dir, "nation"), program), "a long, b string, c string, d long")
 
 
 def jq_entries(spark, sf_dir):
-    """to_entries over a map of properties."""
-    rows = read(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,bigint>").alias("m"))
-    return rows.select("event_id", F.explode(F.map_entries("m")).alias("e")).select("event_id", "e.key", "e.value")
+    program = ".event_id as $id | .data | to_entries[] | {event_id: $id, key, value}"
+    return values(interpreted(events(spark, sf_dir).where("data is not null"), program), "event_id long, key string, value long")
+
+
+def jq_with_entries(spark, sf_dir):
+    program = 'with_entries(select(.key | startswith("n_")) | .key |= ltrimstr("n_")) | {key: .nationkey, names: (keys | join(",")), up: (map_values(tostring) | .regionkey)}'
+    return values(interpreted(read(spark, sf_dir, "nation"), program), "key long, names string, up string")
+
+
+def jq_array_setops(spark, sf_dir):
+    """Arrays added to and taken from each other."""
+    program = "(.orders | map(.key)) as $k | {id, more: ($k + [0, 0] | length), less: ($k - [$k[0]] | length), open: ([.orders[] | select(.status == \"O\") | .key] - $k | length)}"
+    return values(interpreted(orders(spark, sf_dir), program), "id long, more long, less long, open long")
+
+
+def jq_catch(spark, sf_dir):
+    program = 'try (if .doc_id % 3 == 0 then error("third") else {doc_id, said: "fine"} end) catch {doc_id: -1, said: .}'
+    return values(interpreted(docs(spark, sf_dir), program), "doc_id long, said string")
+
+
+def jq_break(spark, sf_dir):
+    """The first order of each customer past a key, found by leaving a loop; contains and inside beside it."""
+    program = '.id as $id | label $f | .orders[] | select(.key > 100) | {id: $id, key, in: ({status} | inside({status: "O", key: 1})), has: (.status | contains("P"))}, break $f'
+    return values(interpreted(orders(spark, sf_dir), program), "id long, key long, in boolean, has boolean")
 
 
 def jq_leaf_paths(spark, sf_dir):
@@ -101,12 +132,17 @@ QUERIES = {
     "jq_limit": over(docs, "[., inputs] | sort_by(.doc_id) | .[0:7] | map({doc_id})"),
     "jq_length": over(docs, '[., inputs] | map(select(.lang == "de")) | length'),
     "jq_strings": over(docs, '{doc_id, up: (.lang | ascii_upcase), cut: (.source | ltrimstr("src")), long: (.lang | length), has: (.source | test("[0-4]$"))}'),
-    "jq_array_setops": over(orders, '{id, n: (.orders | length), first: .orders[0].key, last: .orders[-1].key, keys: (.orders | map(.key) | add)}'),
+    "jq_array_ends": over(orders, '{id, n: (.orders | length), first: .orders[0].key, last: .orders[-1].key, keys: (.orders | map(.key) | add)}'),
     "jq_try": over(events, "{id: .event_id, q: (.user_id / .data.k)?}"),
-    **{f.__name__: f for f in (jq_def, jq_index_join, jq_in_semi, jq_foreach_running, jq_cross, jq_entries, jq_leaf_paths, jq_fallback)},
+    **{f.__name__: f for f in (jq_def, jq_index_join, jq_in_semi, jq_foreach_running, jq_cross, jq_transpose, jq_entries, jq_with_entries, jq_array_setops, jq_catch, jq_break, jq_leaf_paths, jq_fallback)},
 }
 K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 SQL = {
+    "jq_break": "SELECT id, key, s = 'O' AS \"in\", s = 'P' AS has FROM (SELECT o_custkey AS id, min(o_orderkey) AS key, arg_min(o_orderstatus, o_orderkey) AS s FROM orders WHERE o_orderkey > 100 GROUP BY 1)",
+    "jq_catch": "SELECT CASE WHEN doc_id % 3 = 0 THEN -1 ELSE doc_id END AS doc_id, CASE WHEN doc_id % 3 = 0 THEN 'third' ELSE 'fine' END AS said FROM documents",
+    "jq_with_entries": "SELECT CAST(n_nationkey AS BIGINT) AS key, 'name,nationkey,regionkey' AS names, CAST(n_regionkey AS VARCHAR) AS up FROM nation",
+    "jq_transpose": "SELECT CAST(n_nationkey AS BIGINT) AS a, n_name AS b, CAST(NULL AS VARCHAR) AS c, CAST(n_regionkey AS BIGINT) AS d FROM nation",
+    "jq_array_setops": "SELECT o_custkey AS id, count(*) + 2 AS more, count(*) - 1 AS less, CAST(0 AS BIGINT) AS open FROM orders GROUP BY 1",
     "jq_path": f"SELECT event_id AS id, {K} AS k FROM events",
     "jq_object": "SELECT source || ':' || doc_id AS ref, lang, n_chars / 2 AS half FROM documents",
     "jq_select": "SELECT doc_id FROM documents WHERE lang = 'en' AND (n_chars > 1000 OR source != 'src1') AND doc_id % 2 != 0",
@@ -127,13 +163,13 @@ SQL = {
     "jq_limit": "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 7",
     "jq_length": "SELECT count(*) AS value FROM documents WHERE lang = 'de'",
     "jq_strings": "SELECT doc_id, upper(lang) AS up, substring(source, 4) AS cut, CAST(length(lang) AS BIGINT) AS long, regexp_matches(source, '[0-4]$') AS has FROM documents",
-    "jq_array_setops": "SELECT o_custkey AS id, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1",
+    "jq_array_ends": "SELECT o_custkey AS id, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1",
     "jq_try": f"SELECT event_id AS id, CASE WHEN {K} != 0 THEN user_id / {K} END AS q FROM events",
     "jq_def": "SELECT doc_id, n_chars * 2 AS twice FROM documents",
-    "jq_index_join": "SELECT c_custkey AS id, n_name AS name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey",
-    "jq_in_semi": "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
-    "jq_foreach_running": f"SELECT event_id, CAST(sum({K}) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS running FROM events",
-    "jq_cross": "SELECT r_name, n FROM region, (SELECT unnest([1, 2, 3]) AS n)",
+    "jq_index_join": "SELECT CAST(n_nationkey AS BIGINT) AS id, r_name AS name FROM nation JOIN region ON r_regionkey = n_regionkey",
+    "jq_in_semi": "SELECT doc_id FROM documents WHERE lang IN ('en', 'de') AND source IN ('src1', 'src2', 'src3')",
+    "jq_foreach_running": "SELECT o_custkey AS id, o_orderkey AS key, CAST(sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS running FROM orders",
+    "jq_cross": "SELECT r_name, n FROM region, (SELECT unnest([1::BIGINT, 2::BIGINT, 3::BIGINT]) AS n)",
     "jq_entries": f"SELECT event_id, 'k' AS key, {K} AS value FROM events WHERE props IS NOT NULL",
     "jq_leaf_paths": "SELECT o_custkey AS id, 1 + 2 * count(*) AS n FROM orders GROUP BY 1",
     "jq_fallback": "SELECT o_custkey AS id, CAST(coalesce(sum(o_orderkey) FILTER (WHERE o_orderstatus = 'F'), 0) AS BIGINT) AS f, CAST(coalesce(sum(o_orderkey) FILTER (WHERE o_orderstatus = 'O'), 0) AS BIGINT) AS o, 'c' || o_custkey AS label FROM orders GROUP BY 1",

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from recordmill.functions import cron, links
 from recordmill.functions import values as V
 from recordmill.operators import search
 from recordmill.sources import notes, pages, records
+from recordmill.sources.scratch import shared_dir
 
 PATTERN = "the[a-z]* on"
 NOW = "2026-11-15T12:00:00Z"
@@ -26,8 +29,27 @@ def read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def nation_tree(spark, sf_dir):
+    """Nations written as files of a store, each record in one, beside files that aren't records; the store's root."""
+    root = f"{shared_dir(spark)}/recordmill/{uuid.uuid4().hex}/nation/store"
+    rows = read(spark, sf_dir, "nation")
+    view = records.record_view(rows, F.concat(F.lit("r"), "n_regionkey"), F.col("n_nationkey"), F.col("n_name"), F.col("n_name"))
+    lines = records.canonical_lines(view.withColumn("text", F.to_json(F.struct("title", "id", "source", "ref", "kind"))))
+    files = lines.select("path", F.regexp_replace("line", "\n$", "").alias("line"))
+    other = lines.select(F.concat(F.lit("logs/"), "id", F.lit(".txt")).alias("path"), F.lit("no record").alias("line"))
+    records.write_tree(files.union(other), re.sub("^file:/*", "/", root))
+    return root
+
+
 def scan_records(spark, sf_dir):
-    return records.documents(spark, sf_dir).select("ref", "source", "id")
+    files = records.checked_count(records.read_tree(spark, nation_tree(spark, sf_dir)))
+    found = records.parsed(files.where(V.is_record_path(F.col("path")))).where("problem is null")
+    field = lambda n: F.variant_get("doc", f"$.{n}", "string").alias(n)
+    return found.select("path", F.col("size").cast("long").alias("size"), field("ref"), field("source"), field("id"))
+
+
+def list_paths(spark, sf_dir):
+    return records.list_tree(spark, nation_tree(spark, sf_dir), "txt").select("path", F.col("length").cast("long").alias("length"))
 
 
 def walk_order(spark, sf_dir):
@@ -70,8 +92,20 @@ def filter_kind(spark, sf_dir):
     return search.Query(kind="memory", fields=("doc_id", "kind")).rows(records.documents(spark, sf_dir))
 
 
+def filter_scope_folder(spark, sf_dir):
+    """A folder is that folder only: src1 doesn't take src10."""
+    return search.Query(scope="src1", fields=("doc_id",)).rows(records.documents(spark, sf_dir))
+
+
 def filter_scope_prefix(spark, sf_dir):
-    return search.Query(scope="memories/src1", fields=("doc_id",)).rows(records.documents(spark, sf_dir))
+    """Not a folder: the files of the source whose names begin so."""
+    return search.Query(scope="memories/src1/a", fields=("doc_id",)).rows(records.documents(spark, sf_dir))
+
+
+def filter_scope_note(spark, sf_dir):
+    """A note's path is that note."""
+    compiled = notes.compile_notes(as_notes(spark, sf_dir))
+    return search.Query(scope="concepts/doc-3.md", fields=("ref", "title")).rows(compiled)
 
 
 def project_fields(spark, sf_dir):
@@ -125,8 +159,11 @@ def json_strict(spark, sf_dir):
 
 
 def canonical_sha(spark, sf_dir):
-    rows = read(spark, sf_dir, "nation")
-    return rows.select("n_nationkey", F.sha2(F.concat(F.to_json(F.struct("n_name", "n_nationkey", "n_regionkey")), F.lit("\n")), 256).alias("sha"))
+    """Records with their keys out of order and nested ones, hashed in canonical form."""
+    rows = read(spark, sf_dir, "customer")
+    nested = F.struct(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))
+    rows = rows.select("c_custkey", F.to_json(F.struct(nested.alias("in"), F.col("c_name").alias("name"), F.col("c_custkey").alias("id"))).alias("json"))
+    return records.canonical_lines(rows, "json").select("c_custkey", F.sha2("line", 256).alias("sha"))
 
 
 def ws_collapse(spark, sf_dir):
@@ -168,7 +205,11 @@ def date_normalize(spark, sf_dir):
 
 
 def time_normalize(spark, sf_dir):
-    return read(spark, sf_dir, "events").select("event_id", V.show_time(F.col("ts")).alias("t"))
+    """Times with other zones, fractions that are cut, and texts that are no time."""
+    shown = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    form = F.col("event_id") % 5
+    text = F.when(form == 0, F.concat(shown, F.lit("Z"))).when(form == 1, F.concat(shown, F.lit(".987654+02:00"))).when(form == 2, F.concat(shown, F.lit("-05:30"))).when(form == 3, shown).otherwise(F.lit("2026-02-30T00:00:00Z"))
+    return read(spark, sf_dir, "events").select("event_id", V.normalize_time(text).alias("t"))
 
 
 def ts_key(spark, sf_dir):
@@ -202,7 +243,7 @@ def format_span(spark, sf_dir):
 
 
 def cron_prev(spark, sf_dir):
-    rows = read(spark, sf_dir, "events").select("event_id", "ts").where("event_id % 7 = 0")
+    rows = read(spark, sf_dir, "events").select("event_id", "ts")
     found = pages.mapped(rows.withColumn("at", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")), "at", "fired", previous_fire("30 6 * * *"))
     return found.select("event_id", "fired")
 
@@ -232,8 +273,7 @@ def html_to_text(spark, sf_dir):
 
 
 def html_strip(spark, sf_dir):
-    flat = V.collapse_space(F.regexp_replace("html", "<[^>]*>", " "))
-    return read(spark, sf_dir, "pages").select("page_id", F.sha2(flat, 256).alias("sha"))
+    return read(spark, sf_dir, "pages").select("page_id", F.sha2(V.strip_html(F.col("html")), 256).alias("sha"))
 
 
 def session_rollup(spark, sf_dir):
@@ -286,10 +326,75 @@ def eval_expectations(spark, sf_dir):
 
 
 def envelope_parse(spark, sf_dir):
-    shape = T.StructType([T.StructField("records", T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("title", T.StringType())])))])
-    rows = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("title")))).alias("records"))).alias("batch"))
-    found = rows.select("o_custkey", F.explode(F.from_json("batch", shape)["records"]).alias("r"))
-    return found.select("o_custkey", F.col("r.id").alias("id"), F.col("r.title").alias("title"))
+    """Customers' orders as batches in three shapes: an envelope, an array, and an object a line."""
+    one = F.struct(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("title"))
+    rows = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(one)).alias("r"))
+    form, lines = F.col("o_custkey") % 3, F.array_join(F.transform("r", lambda x: F.to_json(x)), "\n")
+    envelope = F.concat(F.lit('{"records":'), F.to_json("r"), F.lit(',"incomplete":{"missed":2}}'))
+    text = F.when(form == 0, envelope).when(form == 1, F.to_json("r")).otherwise(F.concat(lines, F.lit("\n")))
+    found = records.batches_of(rows.select("o_custkey", text.alias("batch")), "batch", "o_custkey")
+    value = F.from_json("record", "id string, title string")
+    return found.select("o_custkey", value["id"].alias("id"), value["title"].alias("title"), "missing", "problem")
+
+
+def customer_notes(spark, sf_dir):
+    """Customers as notes with all kinds of front matter, links and marks."""
+    rows = read(spark, sf_dir, "customer")
+    key, nation = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+    head = F.concat(F.lit("---\ntype: customer\nstatus: draft\nupdated: 1998-0"), F.col("c_custkey") % 9 + 1, F.lit("-01\nstale_after: "), F.col("c_custkey") % 50 + 1, F.lit("d\nentity: urn:c:"), key, F.lit("\naliases: [c"), key, F.lit(", yes]\nlinks: ["), F.lit("{to: bf:///projects/plan, meta: {rel: part}}]\nsources:\n- resource: nation:"), nation, F.lit("\n  retrieved: 1998-01-01\nlevel: 0x10\n---\n"))
+    body = F.concat(F.lit("# "), "c_name", F.lit(" {#top owner=\"a b\"}\n\nBuys **"), "c_mktsegment", F.lit("** in [there](../projects/nation-"), nation, F.lit("?role=home#top){since=x}.\n\n## Needs\n\n> quoted\n\n### Small\n\n- [ ] call {#t1 due=soon}\n- [x] done\n\nUnder\n-----\n\nlast actions:1 [act](../actions/pay)\n"))
+    return rows.select("c_custkey", F.concat(F.lit("concepts/c-"), key, F.lit(".md")).alias("path"), F.concat(head, body).alias("text"))
+
+
+def note_fields(spark, sf_dir):
+    found = notes.compile_notes(customer_notes(spark, sf_dir))
+    source = F.col("sources")[0]
+    return found.select("path", "ref", "title", "text", "updated", "stale_after", "entity", F.array_join("aliases", ",").alias("aliases"), source["resource"].alias("resource"), source["retrieved"].alias("retrieved"), "extra", "problem")
+
+
+def note_link_fields(spark, sf_dir):
+    found = notes.compile_notes(customer_notes(spark, sf_dir)).select("ref", F.explode("links").alias("l"))
+    return found.select("ref", "l.to", "l.kind", "l.anchor", "l.section", F.array_join(F.transform(F.array_sort(F.map_entries("l.meta")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("meta"))
+
+
+def section_assign(spark, sf_dir):
+    """The section that each task and element of a note is in, carried forward from the heading before it."""
+    found = notes.compile_notes(customer_notes(spark, sf_dir))
+    tasks = found.select("ref", F.explode("tasks").alias("t")).select("ref", "t.text", "t.section")
+    return tasks.unionByName(found.select("ref", F.explode("links").alias("l")).select("ref", F.col("l.to").alias("text"), "l.section"))
+
+
+def compiled_with_text(spark, sf_dir):
+    rows = customer_notes(spark, sf_dir)
+    return notes.compile_notes(rows).join(rows.select(F.col("path").alias("ref"), F.col("text").alias("source_text")), "ref")
+
+
+def section_extract(spark, sf_dir):
+    """Each heading's section of a note, up to the next heading of its level or above."""
+    return notes.sections(compiled_with_text(spark, sf_dir)).select("ref", "anchor", F.col("level").cast("long").alias("level"), F.sha2("text", 256).alias("sha"))
+
+
+def section_at_anchor(spark, sf_dir):
+    """An anchor may be a task's, a section's or an attribute list's."""
+    found = compiled_with_text(spark, sf_dir)
+    return notes.at_anchor(found, "t1").select("ref", "what", F.get_json_object("value", "$.text").alias("value")).union(notes.at_anchor(found, "small").select("ref", "what", "value"))
+
+
+def note_snippets(spark, sf_dir):
+    shown, anchor = search.note_snippet("call|quoted")
+    rows = notes.compile_notes(customer_notes(spark, sf_dir)).select("ref", shown.alias("first"), anchor.alias("first_anchor"), *(c.alias(n) for c, n in zip(search.note_snippet("quoted"), ("second", "second_anchor"))))
+    return rows
+
+
+def point_reads(spark, sf_dir):
+    """A record by reference, by path and by a name that it bears; a note by its path without an extension."""
+    rows = read(spark, sf_dir, "customer")
+    view = records.record_view(rows, F.lit("customer"), F.col("c_custkey"), F.col("c_name"), F.col("c_name"), F.concat(F.lit("crm:"), "c_custkey").alias("entity"), F.array(F.concat(F.lit("https://crm.example/"), "c_custkey")).alias("aliases"))
+    found = view.where("false").select(F.lit("").alias("asked"), "title")
+    for target in ("customer:7", "bf:///customer:8", "crm:9", "urn:crm:10", "https://crm.example/11", "customer:none"):
+        found = found.union(search.point_read(view, target).select(F.lit(target).alias("asked"), "title"))
+    compiled = notes.compile_notes(customer_notes(spark, sf_dir))
+    return found.union(search.point_read(compiled, "concepts/c-12").select(F.lit("concepts/c-12").alias("asked"), "title"))
 
 
 def schema_violations(spark, sf_dir):
@@ -304,7 +409,22 @@ def _rows(values):
 
 
 SQL = {
-    "scan_records": f"SELECT ref, source, id FROM ({VIEW})",
+    "point_reads": """SELECT asked, c_name AS title FROM customer JOIN (VALUES ('customer:7', 7), ('bf:///customer:8', 8), ('crm:9', 9), ('urn:crm:10', 10), ('https://crm.example/11', 11), ('concepts/c-12', 12)) t(asked, k) ON k = c_custkey""",
+    "note_snippets": """SELECT 'concepts/c-' || c_custkey || '.md' AS ref, 'call' AS first, 'small' AS first_anchor, array_to_string([c_name, 'Buys ' || c_mktsegment || ' in there.', 'Needs', 'quoted', 'Small', '[ ] call', '[x] done', 'Under', 'last actions:1 act'], ' ') AS second, 'needs' AS second_anchor FROM customer""",
+    "section_at_anchor": """SELECT 'concepts/c-' || c_custkey || '.md' AS ref, u.what AS what, u.value AS value FROM (SELECT *, unnest([{'what': 'task', 'value': 'call'}, {'what': 'section', 'value': '- [ ] call {#t1 due=soon}' || chr(10) || '- [x] done'}]) AS u FROM customer)""",
+    "section_extract": """WITH t AS (SELECT *, '- [ ] call {#t1 due=soon}' || chr(10) || '- [x] done' AS small, 'last actions:1 [act](../actions/pay)' AS under FROM customer), n AS (SELECT *, '> quoted' || chr(10) || chr(10) || '### Small' || chr(10) || chr(10) || small AS needs FROM t),
+        a AS (SELECT *, 'Buys **' || c_mktsegment || '** in [there](../projects/nation-' || c_nationkey || '?role=home#top){since=x}.' || chr(10) || chr(10) || '## Needs' || chr(10) || chr(10) || needs || chr(10) || chr(10) || 'Under' || chr(10) || '-----' || chr(10) || chr(10) || under AS top FROM n)
+        SELECT 'concepts/c-' || c_custkey || '.md' AS ref, u.anchor AS anchor, u.level AS level, sha256(u.text) AS sha FROM (SELECT *, unnest([{'anchor': 'top', 'level': 1::BIGINT, 'text': top}, {'anchor': 'needs', 'level': 2::BIGINT, 'text': needs}, {'anchor': 'small', 'level': 3::BIGINT, 'text': small}, {'anchor': 'under', 'level': 2::BIGINT, 'text': under}]) AS u FROM a)""",
+    "section_assign": """SELECT 'concepts/c-' || c_custkey || '.md' AS ref, u.text AS text, u.section AS section FROM (SELECT *, unnest([{'text': 'call', 'section': 'small'}, {'text': 'done', 'section': 'small'}, {'text': 'projects/plan.md', 'section': ''}, {'text': 'memories/nation/' || sha256(CAST(c_nationkey AS VARCHAR)) || '.json', 'section': ''}, {'text': 'projects/nation-' || c_nationkey || '.md', 'section': 'top'}, {'text': 'actions/pay/ACTION.md', 'section': 'under'}]) AS u FROM customer)""",
+    "note_link_fields": """SELECT 'concepts/c-' || c_custkey || '.md' AS ref, u['to'] AS "to", u.kind AS kind, u.anchor AS anchor, u.section AS section, u.meta AS meta FROM (SELECT *, unnest([
+        {'to': 'projects/plan.md', 'kind': 'note', 'anchor': '', 'section': '', 'meta': 'rel=part'}, {'to': 'memories/nation/' || sha256(CAST(c_nationkey AS VARCHAR)) || '.json', 'kind': 'record', 'anchor': '', 'section': '', 'meta': 'rel=cites'},
+        {'to': 'projects/nation-' || c_nationkey || '.md', 'kind': 'note', 'anchor': 'top', 'section': 'top', 'meta': 'role=home,since=x'}, {'to': 'actions/pay/ACTION.md', 'kind': 'note', 'anchor': '', 'section': 'under', 'meta': ''}]) AS u FROM customer)""",
+    "note_fields": """SELECT 'concepts/c-' || c_custkey || '.md' AS path, 'concepts/c-' || c_custkey || '.md' AS ref, c_name AS title, array_to_string([c_name, 'Buys ' || c_mktsegment || ' in there.', 'Needs', 'quoted', 'Small', '[ ] call', '[x] done', 'Under', 'last actions:1 act'], chr(10)) AS text,
+        '1998-0' || (c_custkey % 9 + 1) || '-01' AS updated, (c_custkey % 50 + 1) || 'd' AS stale_after, 'urn:c:' || c_custkey AS entity, 'c' || c_custkey || ',yes' AS aliases, 'nation:' || c_nationkey AS resource, '1998-01-01' AS retrieved, '{"level": 16}' AS extra, CAST(NULL AS VARCHAR) AS problem FROM customer""",
+    "filter_scope_note": "SELECT 'concepts/doc-' || doc_id || '.md' AS ref, 'Document ' || doc_id AS title FROM documents WHERE doc_id = 3",
+    "filter_scope_folder": "SELECT doc_id FROM documents WHERE source = 'src1'",
+    "list_paths": "SELECT 'logs/' || n_nationkey || '.txt' AS path, CAST(10 AS BIGINT) AS length FROM nation",
+    "scan_records": """WITH v AS (SELECT 'r' || n_regionkey AS source, CAST(n_nationkey AS VARCHAR) AS id, n_name FROM nation) SELECT 'memories/' || source || '/' || sha256(id) || '.json' AS path, CAST(strlen('{"id":"' || id || '","kind":"memory","ref":"' || source || ':' || id || '","source":"' || source || '","title":"' || n_name || '"}') + 1 AS BIGINT) AS size, source || ':' || id AS ref, source, id FROM v""",
     "walk_order": f"SELECT path, row_number() OVER (ORDER BY source, path) AS pos FROM ({VIEW})",
     "record_path": f"SELECT doc_id, path FROM ({VIEW})",
     "search_regex": f"SELECT doc_id, source FROM documents WHERE regexp_matches(text, '{PATTERN}', 'i')",
@@ -316,7 +436,7 @@ SQL = {
     "search_page": f"WITH m AS (SELECT doc_id, source, path FROM ({VIEW}) WHERE regexp_matches(text, '{PATTERN}', 'i') ORDER BY path LIMIT 21) SELECT doc_id, (SELECT count(*) > 20 FROM m) AS truncated FROM m ORDER BY path LIMIT 20",
     "filter_source": "SELECT doc_id FROM documents WHERE source = 'src3'",
     "filter_kind": "SELECT doc_id, 'memory' AS kind FROM documents WHERE source NOT IN ('projects', 'concepts', 'actions')",
-    "filter_scope_prefix": "SELECT doc_id FROM documents WHERE source LIKE 'src1%'",
+    "filter_scope_prefix": "SELECT doc_id FROM documents WHERE source = 'src1' AND sha256(CAST(doc_id AS VARCHAR)) LIKE 'a%'",
     "project_fields": "SELECT doc_id, lang FROM documents",
     "limit_truncated": "SELECT doc_id, (SELECT count(*) > 25 FROM documents) AS truncated FROM documents ORDER BY doc_id LIMIT 25",
     "search_then_project": f"SELECT ref, lang FROM ({VIEW}) WHERE lang = 'en' AND regexp_matches(text, '{PATTERN}', 'i')",
@@ -332,41 +452,41 @@ SQL = {
     "status_counts": "SELECT count(*) AS records, count(DISTINCT source) AS sources, count(DISTINCT lang) AS langs FROM documents",
     "open_tasks_total": "SELECT CAST(count(*) FILTER (WHERE o_orderstatus != 'F') AS BIGINT) AS tasks_open FROM orders",
     "json_strict": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_valid(props) AS sound FROM events",
-    "canonical_sha": """SELECT n_nationkey, sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}' || chr(10)) AS sha FROM nation""",
+    "canonical_sha": """SELECT c_custkey, sha256('{"id":' || c_custkey || ',"in":{"nation":' || c_nationkey || ',"segment":"' || c_mktsegment || '"},"name":"' || c_name || '"}' || chr(10)) AS sha FROM customer""",
     "ws_collapse": f"SELECT doc_id, sha256({FLAT}) AS sha FROM documents",
     "slugify": "SELECT p_partkey, s AS slug, array_to_string(list_transform(string_split(s, '-'), lambda w: upper(left(w, 1)) || substring(w, 2)), ' ') AS title FROM (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM part)",
     "text_hygiene": r"SELECT doc_id, length(trim(text)) > 0 AND NOT regexp_matches(text, '[\x00-\x1f\x7f\x{80}-\x{9f}]') AS clean, NOT regexp_matches(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x{80}-\x{9f}]') AS clean_text, regexp_matches(text, '[\x{ad}\x{61c}\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{2066}-\x{206f}\x{feff}\x{fff9}-\x{fffb}]') AS invisible FROM documents",
     "redact_kv": "SELECT c_custkey, c_name AS name, '[REDACTED]' AS api_key, '[REDACTED]' AS authorization FROM customer",
     "duration_parse": "SELECT * FROM (VALUES ('1h30m', 5400.0::DOUBLE, 5400::BIGINT), ('15m', 900.0, 900), ('7d', 604800.0, 604800), ('1.5h', 5400.0, 5400), ('250ms', 0.25, NULL), ('0s', NULL, NULL), ('9999y', NULL, NULL), ('1h 2m', NULL, NULL), ('2w', 1209600.0, 1209600), ('x', NULL, NULL), ('1y', 31557600.0, 31557600)) t(s, seconds, whole)",
     "date_normalize": f"SELECT s, CASE WHEN regexp_matches(s, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') AND s NOT IN ('0001-01-01', '9999-12-31') AND try_cast(s AS DATE) IS NOT NULL THEN s END AS day FROM (VALUES {_rows(DATES)}) t(s)",
-    "time_normalize": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS t FROM events",
+    "time_normalize": """WITH e AS (SELECT event_id, date_trunc('second', ts) AS t FROM events) SELECT event_id, CASE event_id % 5 WHEN 0 THEN strftime(t, '%Y-%m-%dT%H:%M:%SZ') WHEN 1 THEN strftime(t - INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%SZ') WHEN 2 THEN strftime(t + INTERVAL 330 MINUTE, '%Y-%m-%dT%H:%M:%SZ') END AS t FROM e""",
     "ts_key": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') || 'T23:59:59.999999Z' ELSE strftime(o_orderdate - INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S') || '.000000Z' END AS key FROM orders",
     "tags_normalize": "SELECT doc_id, lang || ',' || source AS tags FROM documents",
     "reserved_intersect": "SELECT * FROM (VALUES ('notes'), ('loops')) t(name)",
     "format_span": """WITH v AS (SELECT event_id, value * 1000 AS x, CAST(round_even(value * 1000, 0) AS BIGINT) AS r FROM events), p AS (SELECT event_id, x, list_filter([CASE WHEN r // 604800 > 0 THEN (r // 604800) || 'w' END, CASE WHEN r % 604800 // 86400 > 0 THEN (r % 604800 // 86400) || 'd' END, CASE WHEN r % 86400 // 3600 > 0 THEN (r % 86400 // 3600) || 'h' END, CASE WHEN r % 3600 // 60 > 0 THEN (r % 3600 // 60) || 'm' END, CASE WHEN r % 60 > 0 THEN (r % 60) || 's' END], lambda y: y IS NOT NULL) AS u FROM v)
         SELECT event_id, CASE WHEN x < 1 THEN greatest(0, CAST(round_even(x * 1000, 0) AS BIGINT)) || 'ms' ELSE array_to_string(u[1:2], '') END AS span FROM p""",
-    "cron_prev": "SELECT event_id, strftime(CASE WHEN ts > date_trunc('day', ts) + INTERVAL 390 MINUTE THEN date_trunc('day', ts) + INTERVAL 390 MINUTE ELSE date_trunc('day', ts) - INTERVAL 1050 MINUTE END, '%Y-%m-%dT%H:%M:%S') AS fired FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events) WHERE event_id % 7 = 0",
+    "cron_prev": "SELECT event_id, strftime(CASE WHEN ts > date_trunc('day', ts) + INTERVAL 390 MINUTE THEN date_trunc('day', ts) + INTERVAL 390 MINUTE ELSE date_trunc('day', ts) - INTERVAL 1050 MINUTE END, '%Y-%m-%dT%H:%M:%S') AS fired FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events)",
     "attrs_map": "SELECT c_custkey, c_mktsegment AS segment, CAST(c_nationkey AS VARCHAR) AS nation FROM customer",
     "link_query_map": "SELECT page_id, 'id' AS k, CAST(page_id AS VARCHAR) AS v FROM pages",
     "headings_regex": "SELECT conv_id, turn, 'Turn ' || turn || '|' || role AS heads FROM conversations",
-    "html_strip": f"SELECT page_id, sha256(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '{WS}', ' ', 'g'))) AS sha FROM pages",
+    "html_strip": f"SELECT page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&apos;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&'), '{WS}', ' ', 'g'))) AS sha FROM pages",
     "session_rollup": "SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE role = 'user') AS prompts, coalesce(substring(arg_min(text, turn) FILTER (WHERE role = 'user'), 1, 80), '') AS title FROM conversations GROUP BY conv_id",
-    "tasks_explode": "SELECT 'concepts/doc-' || doc_id AS ref, t AS text, d AS done, 'links' AS section FROM documents, LATERAL (SELECT unnest(['check ' || lang, 'done']) AS t, unnest([false, true]) AS d)",
-    "headings_explode": "SELECT 'concepts/doc-' || doc_id AS ref, h AS id, l AS level FROM documents, LATERAL (SELECT unnest(['top', 'links']) AS h, unnest([1::INTEGER, 2::INTEGER]) AS l)",
-    "note_outline": "SELECT 'concepts/doc-' || doc_id AS ref, 'Document ' || doc_id AS title, CAST(1 AS BIGINT) AS tasks_open FROM documents",
+    "tasks_explode": "SELECT 'concepts/doc-' || doc_id || '.md' AS ref, t AS text, d AS done, 'links' AS section FROM documents, LATERAL (SELECT unnest(['check ' || lang, 'done']) AS t, unnest([false, true]) AS d)",
+    "headings_explode": "SELECT 'concepts/doc-' || doc_id || '.md' AS ref, h AS id, l AS level FROM documents, LATERAL (SELECT unnest(['top', 'links']) AS h, unnest([1::INTEGER, 2::INTEGER]) AS l)",
+    "note_outline": "SELECT 'concepts/doc-' || doc_id || '.md' AS ref, 'Document ' || doc_id AS title, CAST(1 AS BIGINT) AS tasks_open FROM documents",
     "frontmatter_split": "SELECT doc_id, 'type: doc' || chr(10) || 'status: draft' || chr(10) || 'tags: [' || lang || ']' AS block, CAST(length('# Document ' || doc_id || ' {#top}' || chr(10) || chr(10) || regexp_replace(text, '[\\[\\]<>`#{}]', '', 'g') || chr(10) || chr(10) || '## Links' || chr(10) || chr(10) || '[next](doc-' || (doc_id + 1) || '.md#top) and src1:x' || chr(10) || chr(10) || '- [ ] check ' || lang || chr(10) || '- [x] done' || chr(10)) AS BIGINT) AS body_chars FROM documents",
     "link_normalize": """SELECT doc_id, raw, "to", kind, anchor FROM documents, LATERAL (SELECT unnest(['doc-7.md#top', 'src2:' || doc_id, 'https://x.example/' || doc_id, 'bf:///projects/plan', 'bf://other/concepts/a.md', 'javascript:x', '../../x.md']) AS raw,
         unnest(['concepts/doc-7.md', 'memories/src2/' || sha256(CAST(doc_id AS VARCHAR)) || '.json', 'https://x.example/' || doc_id, 'projects/plan.md', 'bf://other/concepts/a.md', NULL, NULL]) AS "to", unnest(['note', 'record', 'url', 'note', 'brain', NULL, NULL]) AS kind, unnest(['top', '', '', '', '', NULL, NULL]) AS anchor)""",
     "eval_expectations": f"""WITH m AS (SELECT 'regex' AS c, doc_id FROM documents WHERE regexp_matches(text, '{PATTERN}', 'i') UNION ALL SELECT 'english', doc_id FROM documents WHERE lang = 'en'),
         c AS (SELECT unnest(['regex', 'english']) AS c)
         SELECT c AS "case", NOT EXISTS (SELECT 1 FROM documents d WHERE lang = 'en' AND doc_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM m WHERE m.c = c.c AND m.doc_id = d.doc_id)) AND NOT EXISTS (SELECT 1 FROM m JOIN documents d USING (doc_id) WHERE m.c = c.c AND d.lang = 'de') AS ok FROM c""",
-    "envelope_parse": "SELECT o_custkey, CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS title FROM orders",
+    "envelope_parse": "SELECT o_custkey, CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS title, CASE WHEN o_custkey % 3 = 0 THEN CAST(2 AS BIGINT) END AS missing, CAST(NULL AS VARCHAR) AS problem FROM orders",
     "schema_violations": """WITH v AS (SELECT doc_id, list_filter([CASE WHEN length(CAST(doc_id AS VARCHAR)) > 3 THEN 'id: maxLength' END, CASE WHEN doc_id % 2 = 1 THEN 'title: pattern' END, CASE WHEN lang NOT IN ('en', 'de') THEN 'lang: enum' END, CASE WHEN n_chars < 100 THEN 'n_chars: minimum' END], lambda x: x IS NOT NULL) AS p FROM documents) SELECT doc_id, array_to_string(list_sort(p), '; ') AS problems FROM v WHERE len(p) > 0""",
 }
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_records, walk_order, record_path, search_regex, search_literal, search_line, search_snippet, search_page, filter_source, filter_kind, filter_scope_prefix, project_fields, limit_truncated,
+        scan_records, list_paths, note_fields, note_link_fields, section_assign, section_extract, section_at_anchor, note_snippets, point_reads, filter_scope_folder, filter_scope_note, walk_order, record_path, search_regex, search_literal, search_line, search_snippet, search_page, filter_source, filter_kind, filter_scope_prefix, project_fields, limit_truncated,
         search_then_project, point_read_ref, alias_lookup, line_slice, byte_budget, tsv_rows, status_counts, open_tasks_total, json_strict, canonical_sha, ws_collapse, slugify, text_hygiene, redact_text, redact_kv,
         duration_parse, date_normalize, time_normalize, ts_key, tags_normalize, reserved_intersect, path_predicates, format_span, cron_prev, attrs_map, link_query_map, headings_regex, html_to_text, html_strip,
         session_rollup, compile_notes, note_outline, tasks_explode, headings_explode, frontmatter_split, link_normalize, eval_expectations, envelope_parse, schema_violations,

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import html
+import json
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from recordmill.functions.links import LinkError, normalize
+from recordmill.functions import links as L
 
 FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)$")
 HEADING = re.compile(r" {0,3}(#{1,6})[ \t]+(.*?)(?:[ \t]+#+)?[ \t]*$")
@@ -21,11 +23,24 @@ ITEM = re.compile(r"\s*(?:[-*+]|\d+[.)])[ \t]+(.*)$")
 LINK = re.compile(r"(?<!!)\[((?:[^\[\]\\]|\\.)*)\]\(\s*<?([^\s()<>]*(?:\([^()]*\)[^\s()<>]*)*)>?(?:\s+(?:\"[^\"]*\"|'[^']*'))?\s*\)(\{[^}\n]*\})?")
 AUTO = re.compile(r"<((?:https?|mailto):[^\s<>]+)>")
 ATTRIBUTE = re.compile(r"""#(?P<id>[^\s.#=]+)|\.(?P<cls>[^\s.#=]+)|(?P<key>[A-Za-z_][\w.-]*)=(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<raw>[^\s]+))""")
+QUOTE = re.compile(r" {0,3}>[ ]?")
+RULE = re.compile(r"[\s|:+=-]+")
+# Front matter that a record works out itself, and how large a block may be.
+COMPUTED, DEEPEST, MOST_BYTES = ("ref", "source", "kind", "text", "headings", "elements", "tasks", "attrs", "sha256", "path", "brain"), 32, 256 << 10
+#: YAML 1.2 core: what plain words stand for besides text (fixed values).
+CORE = (
+    ("null", re.compile(r"(?:~|null|Null|NULL|)\Z"), ["~", "n", "N", ""]),
+    ("bool", re.compile(r"(?:true|True|TRUE|false|False|FALSE)\Z"), list("tTfF")),
+    ("int", re.compile(r"(?:[-+]?[0-9]+|0o[0-7]+|0x[0-9a-fA-F]+)\Z"), list("-+0123456789")),
+    ("float", re.compile(r"(?:[-+]?(?:\.[0-9]+|[0-9]+(?:\.[0-9]*)?)(?:[eE][-+]?[0-9]+)?|[-+]?\.(?:inf|Inf|INF)|\.(?:nan|NaN|NAN))\Z"), list("-+.0123456789")),
+)
+META = "meta:map<string,string>"
 SCHEMA = (
-    "path string, ref string, source string, kind string, title string, type string, status string, updated string, tags array<string>, "
-    "text string, sha256 string, headings array<struct<id:string,title:string,level:int>>, "
-    "links array<struct<to:string,kind:string,anchor:string,section:string>>, elements array<struct<tag:string,id:string,text:string,section:string>>, "
-    "tasks array<struct<id:string,text:string,done:boolean,section:string>>, attrs map<string,map<string,string>>, problem string"
+    "path string, ref string, source string, kind string, title string, type string, status string, updated string, stale_after string, entity string, "
+    "aliases array<string>, tags array<string>, sources array<struct<resource:string,retrieved:string>>, text string, sha256 string, "
+    f"headings array<struct<id:string,title:string,level:int,{META}>>, raw_links array<struct<raw:string,{META},section:string>>, "
+    f"elements array<struct<tag:string,id:string,text:string,section:string,{META}>>, tasks array<struct<id:string,text:string,done:boolean,section:string,{META}>>, "
+    "attrs map<string,map<string,string>>, marks array<struct<id:string,level:int,line:int,body:int>>, extra string, problem string"
 )
 
 
@@ -36,22 +51,47 @@ def front_matter(text: str) -> tuple[str, str]:
 
 
 def yaml_map(block: str) -> dict:
-    """A mapping by PyYAML's safe loader with text for dates; anchors and repeated keys are refused."""
+    """A mapping by YAML 1.2's core rules; anchors, repeated or other keys, deep nesting and endless numbers are refused."""
     import yaml
 
+    if len(block.encode()) > MOST_BYTES:
+        raise ValueError("front matter is too large")
+
     class Strict(yaml.SafeLoader):
+        depth = 0
+
         def compose_node(self, parent, index):
             if self.check_event(yaml.AliasEvent) or getattr(self.peek_event(), "anchor", None):
                 raise ValueError("anchors are not allowed")
-            return super().compose_node(parent, index)
+            self.depth += 1
+            if self.depth > DEEPEST:
+                raise ValueError("nested too deep")
+            try:
+                return super().compose_node(parent, index)
+            finally:
+                self.depth -= 1
 
         def construct_mapping(self, node, deep=False):
             keys = [self.construct_object(k) for k, _ in node.value]
-            if len(set(keys)) < len(keys) or not all(isinstance(k, str) for k in keys):
+            if not all(isinstance(k, str) for k in keys) or len(set(keys)) < len(keys):
                 raise ValueError("keys must be distinct strings")
             return super().construct_mapping(node, deep)
 
-    Strict.yaml_implicit_resolvers = {k: [(t, r) for t, r in v if t != "tag:yaml.org,2002:timestamp"] for k, v in yaml.SafeLoader.yaml_implicit_resolvers.items()}
+        def whole(self, node):
+            text = self.construct_scalar(node)
+            return int(text, 8 if text.startswith("0o") else 16) if text[:2] in ("0o", "0x") else int(text)
+
+        def real(self, node):
+            value = float(self.construct_scalar(node).lower().replace(".inf", "inf").replace(".nan", "nan"))
+            if value != value or value in (float("inf"), float("-inf")):
+                raise ValueError("numbers must be finite")
+            return value
+
+    Strict.yaml_implicit_resolvers = {}
+    for name, pattern, first in CORE:
+        Strict.add_implicit_resolver(f"tag:yaml.org,2002:{name}", pattern, first)
+    Strict.add_constructor("tag:yaml.org,2002:int", Strict.whole)
+    Strict.add_constructor("tag:yaml.org,2002:float", Strict.real)
     found = yaml.load(block, Strict) if block.strip() else {}
     if not isinstance(found, dict):
         raise ValueError("front matter must be a mapping")
@@ -69,13 +109,17 @@ def attributes(text: str) -> tuple[str, dict[str, str]]:
 
 
 def inline(text: str) -> str:
-    """Visible text of a line."""
-    text = LINK.sub(lambda m: m[1], text)
-    text = re.sub(r"!\[([^\]]*)\]\([^)]*\)", r"\1", text)
-    text = re.sub(r"<[^>]+>", "", re.sub(r"`([^`]*)`", r"\1", text))
-    text = re.sub(r"(\*\*|__)(.+?)\1", r"\2", text)
-    text = re.sub(r"(?<!\w)([*_])(.+?)\1(?!\w)", r"\2", text)
-    return html.unescape(re.sub(r"\\([\\`*_{}\[\]()#+.!-])", r"\1", text)).strip()
+    """Visible text of a line; code spans as they are."""
+    shown = []
+    for i, part in enumerate(re.split(r"`([^`]*)`", text)):
+        if i % 2 == 0:
+            part = AUTO.sub(r"\1", LINK.sub(lambda m: m[1], part))
+            part = re.sub(r"<[^>]+>", "", re.sub(r"!\[([^\]]*)\]\([^)]*\)", r"\1", part))
+            part = re.sub(r"(\*\*|__)(.+?)\1", r"\2", part)
+            part = re.sub(r"(?<!\w)([*_])(.+?)\1(?!\w)", r"\2", part)
+            part = html.unescape(re.sub(r"\\([\\`*_{}\[\]()#+.!-])", r"\1", part))
+        shown.append(part)
+    return "".join(shown).strip()
 
 
 def slugs(title: str, used: set[str]) -> str:
@@ -95,33 +139,63 @@ def role(path: str) -> str | None:
     return p[0] if p[0] in ("projects", "concepts") and len(p) > 1 else "actions" if p[0] == "actions" and len(p) == 3 and p[2] == "ACTION.md" else None
 
 
-def compile_note(path: str, text: str, own: str = "") -> dict:
-    """The record of one note; problem tells why it can't be compiled. Code blocks are text only."""
+def stated_links(meta: dict) -> list[dict]:
+    """The links of front matter: targets, {to, meta} maps, and what sources cite."""
+    out = []
+    listed = meta.get("links")
+    if listed is not None and not isinstance(listed, list):
+        raise ValueError("links must be a list")
+    for x in listed or []:
+        target, beside = (x, {}) if isinstance(x, str) else (x.get("to"), x.get("meta", {})) if isinstance(x, dict) and set(x) <= {"to", "meta"} else (None, None)
+        if not isinstance(target, str) or not isinstance(beside, dict) or not all(isinstance(v, str) for v in beside.values()):
+            raise ValueError("a link is a target or a map of to and meta")
+        out.append({"raw": target, "meta": beside, "section": ""})
+    cited = [s.get("resource") for s in meta["sources"] if isinstance(s, dict)] if isinstance(meta.get("sources"), list) else []
+    return out + [{"raw": c.strip(), "meta": {"rel": "cites"}, "section": ""} for c in cited if isinstance(c, str) and c.strip()]
+
+
+def visible(line: str) -> list[str]:
+    """What a line outside code shows, without marks of lists, quotes, tables and attributes."""
+    while QUOTE.match(line):
+        line = QUOTE.sub("", line, count=1)
+    if re.match(r" {0,3}\[[^\]]+\]:", line) or (("|" in line or "-" in line) and RULE.fullmatch(line)):
+        return []
+    line = ATTRIBUTES.sub("", line)
+    item = ITEM.match(line)
+    cells = line.strip().strip("|").split("|") if line.strip().startswith("|") else [item[1] if item else line]
+    return [x for x in map(inline, cells) if x]
+
+
+def compile_note(path: str, text: str) -> dict:
+    """The record of one note, its links as written; problem tells why it can't be compiled. Code blocks are text only."""
     source = role(path)
-    out = {"path": path, "ref": re.sub(r"(/ACTION)?\.md$", "", path), "source": source, "kind": (source or "")[:-1], "title": "", "type": None, "status": None, "updated": None, "tags": [], "text": "", "sha256": hashlib.sha256(text.encode()).hexdigest()}
-    out |= {"headings": [], "links": [], "elements": [], "tasks": [], "attrs": {}, "problem": None}
+    out = {"path": path, "ref": path, "source": source, "kind": (source or "")[:-1], "title": "", "sha256": hashlib.sha256(text.encode()).hexdigest(), "text": "", "attrs": {}, "extra": None, "problem": None}
+    out |= {k: None for k in ("type", "status", "updated", "stale_after", "entity")} | {k: [] for k in ("aliases", "tags", "sources", "headings", "raw_links", "elements", "tasks", "marks")}
+    text = text.removeprefix("\ufeff").replace("\r\n", "\n")
     block, body = front_matter(text)
+    skipped = text[: len(text) - len(body)].count("\n")
     try:
         meta = yaml_map(block)
         if source is None:
             raise ValueError("not a note's path")
         if re.search(r"^(<{7}|>{7}) ", text, re.M):
             raise ValueError("merge conflict")
+        if taken := sorted({*COMPUTED, "relations"} & meta.keys()):
+            raise ValueError(f"front matter can't set {', '.join(taken)}")
+        if not isinstance(meta.get("title", ""), str):
+            raise ValueError("title must be text")
+        out["raw_links"] = stated_links(meta)
     except Exception as error:  # yaml's own errors have no common base here
         out["problem"] = str(error).split("\n")[0]
         return out
-    shown = lambda k: None if meta.get(k) is None else str(meta[k])
-    out |= {"type": shown("type"), "status": shown("status"), "updated": shown("updated"), "title": shown("title") or "", "text": body.strip(), "tags": list(dict.fromkeys(str(t) for t in meta.get("tags") or []))}
-    used, section, fence, seen = set(), "", None, set()
-
-    def add_links(line: str) -> None:
-        found = [(m[2], m[3] or "") for m in LINK.finditer(line)] + [(m[1], "") for m in AUTO.finditer(line)]
-        for raw, _ in found:
-            link = normalize(path, raw, own, section)
-            key = (link["to"], link["kind"], link["anchor"], section)
-            if key not in seen:
-                seen.add(key)
-                out["links"].append({k: link[k] for k in ("to", "kind", "anchor", "section")})
+    shown = lambda v: None if v is None else str(v).lower() if isinstance(v, bool) else str(v)
+    listed = lambda k: meta[k] if isinstance(meta.get(k), list) else []
+    out |= {k: shown(meta.get(k)) for k in ("type", "status", "updated", "stale_after", "entity")}
+    out |= {"tags": list(dict.fromkeys(str(t) for t in listed("tags"))), "aliases": [str(a) for a in listed("aliases")]}
+    out["sources"] = [{"resource": shown(s.get("resource")), "retrieved": shown(s.get("retrieved"))} for s in listed("sources") if isinstance(s, dict)]
+    rest = {k: v for k, v in meta.items() if k not in ("title", "type", "status", "updated", "stale_after", "entity", "aliases", "tags", "links", "sources")}
+    out["extra"] = json.dumps(rest, sort_keys=True, ensure_ascii=False, default=str) if rest else None
+    used, section, fence, plain, first = set(), "", None, [], ""
 
     def register(name: str, values: dict) -> None:
         if name in out["attrs"]:
@@ -129,11 +203,12 @@ def compile_note(path: str, text: str, own: str = "") -> dict:
         out["attrs"][name] = values
 
     lines = body.split("\n")
+    underlined = False
     try:
-        for raw in (str(x) for x in meta.get("links") or []):
-            link = normalize(path, raw, own, "", False)
-            out["links"].append({k: link[k] for k in ("to", "kind", "anchor", "section")})
         for n, line in enumerate(lines):
+            if underlined:
+                underlined = False
+                continue
             if m := FENCE.match(line):
                 if fence is None:
                     fence = m[1]
@@ -141,11 +216,12 @@ def compile_note(path: str, text: str, own: str = "") -> dict:
                     fence = None
                 continue
             if fence:
+                plain += [line.strip()] if line.strip() else []
                 continue
             heading = HEADING.match(line)
             level, title = (len(heading[1]), heading[2]) if heading else (0, "")
-            if not heading and line.strip() and n + 1 < len(lines) and (s := SETEXT.match(lines[n + 1])) and not ITEM.match(line):
-                level, title = (1 if s[1][0] == "=" else 2), line
+            if not heading and line.strip() and n + 1 < len(lines) and (s := SETEXT.match(lines[n + 1])) and not ITEM.match(line) and not QUOTE.match(line):
+                level, title, underlined = (1 if s[1][0] == "=" else 2), line, True
             if level:
                 a = ATTRIBUTES.search(title)
                 name, values = attributes(a[1]) if a else ("", {})
@@ -154,58 +230,121 @@ def compile_note(path: str, text: str, own: str = "") -> dict:
                     used.add(name)
                 section = name or slugs(title, used)
                 register(section, values)
-                out["headings"].append({"id": section, "title": title, "level": level})
-                out["title"] = out["title"] or title
+                out["headings"].append({"id": section, "title": title, "level": level, "meta": values})
+                out["marks"].append({"id": section, "level": level, "line": skipped + n, "body": skipped + n + 1 + underlined})
+                first = first or (title if level == 1 else "")
+                plain += [title] if title else []
                 continue
+            plain += visible(line)
             bare = re.sub(r"`[^`]*`", "", line)
-            add_links(bare)
+            found = [(m.start(), m[2], attributes(m[3][1:-1].lstrip(":")) if m[3] else ("", {})) for m in LINK.finditer(bare)] + [(m.start(), m[1], ("", {})) for m in AUTO.finditer(bare)]
+            for _, raw, (name, values) in sorted(found, key=lambda x: x[0]):
+                out["raw_links"].append({"raw": raw, "meta": values, "section": section})
+                if name:
+                    register(name, values)
             task = TASK.match(line)
             a = ATTRIBUTES.search(line)
-            name, values = attributes(a[1]) if a else ("", {})
+            name, values = attributes(a[1]) if a and not (found and line[: a.start()].endswith(")")) else ("", {})
             if task:
                 words = task[2][: ATTRIBUTES.search(task[2]).start()] if ATTRIBUTES.search(task[2]) else task[2]
-                out["tasks"].append({"id": name or None, "text": inline(words), "done": task[1] != " ", "section": section})
+                out["tasks"].append({"id": name or None, "text": inline(words), "done": task[1] != " ", "section": section, "meta": values})
                 if name:
                     register(name, values)
-            elif name:
+            elif name or values:
                 item = ITEM.match(line)
                 words = line[: a.start()].strip() or (lines[n - 1] if n else "")
-                out["elements"].append({"tag": "li" if item else "p", "id": name, "text": inline(item[1][: -len(a[0])] if item else words), "section": section})
-                register(name, values)
-    except (LinkError, ValueError) as error:
+                out["elements"].append({"tag": "li" if item else "p", "id": name or None, "text": inline(item[1][: -len(a[0])] if item else words), "section": section, "meta": values})
+                if name:
+                    register(name, values)
+    except ValueError as error:
         out["problem"] = str(error)
+    stem = re.sub(r"(/ACTION)?\.md$", "", path).rsplit("/", 1)[-1].replace("-", " ")
+    out |= {"title": (meta.get("title") or "").strip() or first or stem, "text": "\n".join(plain)}
     return out
 
 
+def links_of(path: Column, raw: Column, own: str) -> Column:
+    """Links as written in normal form, with section and problem."""
+
+    def one(x: Column) -> Column:
+        link = L.let(L.normal(path, x["raw"], own), lambda n: L.with_attributes(n, x["meta"]))
+        return L.let(link, lambda n: F.struct(*(n[c].alias(c) for c in ("to", "kind", "anchor", "meta")), x["section"].alias("section"), n["problem"].alias("problem")))
+
+    return F.transform(raw, one)
+
+
 def compile_notes(df: DataFrame, path: str = "path", text: str = "text", own: str = "") -> DataFrame:
-    """Records of notes; a null text is an empty note. Bad notes come with a problem and no parts."""
+    """Records of notes; a null text is an empty note. Bad notes come with a problem and no parts.
+
+    Python takes the Markdown apart; links are brought to their normal form by expressions, each once in a section.
+    marks are the headings' places: the line of a heading, and the first line after it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [compile_note(p, t or "", own) for p, t in zip(batch.column(path).to_pylist(), batch.column(text).to_pylist())]
+            rows = [compile_note(p, t or "") for p, t in zip(batch.column(path).to_pylist(), batch.column(text).to_pylist())]
             for r in rows:
                 r["attrs"] = [(k, list(v.items())) for k, v in r["attrs"].items()]
+                for part in ("headings", "raw_links", "elements", "tasks"):
+                    for x in r[part]:
+                        x["meta"] = list(x["meta"].items())
             yield pa.RecordBatch.from_pylist(rows, ARROW)
 
-    return df.select(path, text).mapInArrow(run, SCHEMA)
+    found = df.select(path, text).mapInArrow(run, SCHEMA).withColumn("links", links_of(F.col("path"), F.col("raw_links"), own))
+    wrong = F.get(F.filter(F.transform("links", lambda x: x["problem"]), lambda p: p.isNotNull()), F.lit(0))
+    found = found.withColumn("problem", F.coalesce("problem", wrong))
+    key = lambda x: F.struct(x["to"], x["kind"], x["anchor"], x["section"], F.array_sort(F.map_entries(x["meta"])))
+    once = F.filter("links", lambda x, i: F.array_position(F.transform("links", key), key(x)) == i + 1)
+    shown = F.when(F.col("problem").isNull(), F.transform(once, lambda x: F.struct(*(x[c].alias(c) for c in ("to", "kind", "anchor", "meta", "section"))))).otherwise(F.array().cast(f"array<{L.LINK}>"))
+    return found.withColumn("links", shown).drop("raw_links")
+
+
+def sections(compiled: DataFrame, text: str = "source_text") -> DataFrame:
+    """ref, anchor, level and text of each heading's section: up to the next heading of its level or above.
+
+    text: the note as written. The next such heading is found in the note's own list of marks, by place.
+    """
+    lines = F.split(F.regexp_replace(F.regexp_replace(text, "^\ufeff", ""), "\r\n", "\n"), "\n")
+    each = compiled.select("ref", lines.alias("lines"), "marks", F.posexplode("marks").alias("at", "mark"))
+    after = F.filter(F.slice("marks", F.col("at") + 2, F.size("marks")), lambda m: m["level"] <= F.col("mark.level"))
+    end = F.coalesce(F.get(after, F.lit(0))["line"], F.size("lines"))
+    body = F.array_join(F.slice("lines", F.col("mark.body") + 1, F.greatest(F.lit(0), end - F.col("mark.body"))), "\n")
+    return each.select("ref", F.col("mark.id").alias("anchor"), F.col("mark.level").alias("level"), F.regexp_replace(body, r"(?U)^\s+|\s+$", "").alias("text"))
+
+
+def at_anchor(compiled: DataFrame, anchor: str, text: str = "source_text") -> DataFrame:
+    """What stands at an anchor of each note, as ref, what and value: an element or a task before a section, then metadata.
+
+    value is the element or task as JSON, the section's text, or the metadata as JSON. Notes without the anchor give no row.
+    """
+    item = lambda c: F.get(F.filter(c, lambda x: x["id"] == anchor), F.lit(0))
+    found = sections(compiled, text).where(F.col("anchor") == anchor).select(F.col("ref").alias("at"), F.col("text").alias("section_text"))
+    both = compiled.join(found, F.col("ref") == F.col("at"), "left")
+    order = (("element", F.to_json(item("elements"))), ("task", F.to_json(item("tasks"))), ("section", F.col("section_text")), ("meta", F.to_json(F.try_element_at("attrs", F.lit(anchor)))))
+    pick = F.coalesce(*(F.when(v.isNotNull(), F.struct(F.lit(k).alias("what"), v.alias("value"))) for k, v in order))
+    return both.select("ref", pick.alias("p")).where("p is not null").select("ref", "p.what", "p.value")
 
 
 def _list(**fields: pa.DataType) -> pa.DataType:
     return pa.list_(pa.struct(list(fields.items())))
 
 
-_S = pa.string()
+_S, _META = pa.string(), pa.map_(pa.string(), pa.string())
 ARROW = pa.schema(
     [
-        *((n, _S) for n in ("path", "ref", "source", "kind", "title", "type", "status", "updated")),
+        *((n, _S) for n in ("path", "ref", "source", "kind", "title", "type", "status", "updated", "stale_after", "entity")),
+        ("aliases", pa.list_(_S)),
         ("tags", pa.list_(_S)),
+        ("sources", _list(resource=_S, retrieved=_S)),
         ("text", _S),
         ("sha256", _S),
-        ("headings", _list(id=_S, title=_S, level=pa.int32())),
-        ("links", _list(to=_S, kind=_S, anchor=_S, section=_S)),
-        ("elements", _list(tag=_S, id=_S, text=_S, section=_S)),
-        ("tasks", _list(id=_S, text=_S, done=pa.bool_(), section=_S)),
-        ("attrs", pa.map_(_S, pa.map_(_S, _S))),
+        ("headings", _list(id=_S, title=_S, level=pa.int32(), meta=_META)),
+        ("raw_links", _list(raw=_S, meta=_META, section=_S)),
+        ("elements", _list(tag=_S, id=_S, text=_S, section=_S, meta=_META)),
+        ("tasks", _list(id=_S, text=_S, done=pa.bool_(), section=_S, meta=_META)),
+        ("attrs", pa.map_(_S, _META)),
+        ("marks", _list(id=_S, level=pa.int32(), line=pa.int32(), body=pa.int32())),
+        ("extra", _S),
         ("problem", _S),
     ]
 )

@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import json
+import os
+import re
+import uuid
+from collections.abc import Iterator
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recordmill.functions import values as V
+from recordmill.sources.scratch import shared_dir
 
 #: Columns of a search target: the record's own fields and where it is kept.
 CORE = ("path", "ref", "source", "kind", "id", "title", "text")
@@ -36,16 +43,84 @@ def line_of(df: DataFrame) -> Column:
     return F.to_json(F.struct(*names))
 
 
+#: Files that a scan takes at most, and folders below its root.
+MOST_FILES, DEEPEST = 100_000, 64
+
+
 def read_tree(spark: SparkSession, root: str, suffix: str = "json", most_bytes: int = 64 << 20) -> DataFrame:
-    """path (below the root), size, modified and text of each file; larger files come with a null text."""
+    """path (below the root), size, modified and text of each file; larger files come with a null text.
+
+    Contents of larger files aren't read: the filter on length reaches the reader, and their rows come from a listing.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{suffix}").load(root)
-    below = F.regexp_extract("path", f".*{_quoted(root.rstrip('/').rsplit('/', 1)[-1])}/(.*)$", 1)
-    return files.select(below.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.when(F.col("length") <= most_bytes, F.decode("content", "UTF-8")).alias("text"))
+    below = below_root(F.col("path"), root)
+    small = files.where(F.col("length") <= most_bytes).select(below.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.decode("content", "UTF-8").alias("text"))
+    large = files.where(F.col("length") > most_bytes).select(below.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.lit(None).cast("string").alias("text"))
+    return small.unionByName(large).where(F.size(F.split("path", "/")) <= DEEPEST)
 
 
 def list_tree(spark: SparkSession, root: str, suffix: str = "*") -> DataFrame:
-    """Paths without reading contents."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{suffix}").load(root).select("path", "length")
+    """Paths below the root and lengths, without reading contents."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{suffix}" if suffix != "*" else "*").load(root)
+    return files.select(below_root(F.col("path"), root).alias("path"), "length")
+
+
+def checked_count(files: DataFrame, most: int = MOST_FILES) -> DataFrame:
+    """The files, if they are no more than a scan may take."""
+    if files.select("path").limit(most + 1).count() > most:
+        raise InputError(f"more than {most} files")
+    return files
+
+
+def below_root(path: Column, root: str) -> Column:
+    """A file's path after its root, whatever scheme both are written with; the first place where the root stands."""
+    bare = F.regexp_replace(path, "^[a-z][a-z0-9+.-]*:/*", "/")
+    base = "/" + re.sub("^[a-z][a-z0-9+.-]*:/*", "/", root).strip("/") + "/"
+    return F.regexp_replace(bare, f"^.*?{_quoted(base)}", "")
+
+
+def write_tree(records: DataFrame, root: str, path: str = "path", line: str = "line") -> None:
+    """Each record as a file of its own below the root; each is written beside its place and then moved there, so that
+    readers see whole files only. Tasks may be tried again: the same file is written again."""
+
+    def run(rows) -> None:
+        for r in rows:
+            place = Path(root) / r[path]
+            place.parent.mkdir(parents=True, exist_ok=True)
+            replace_file(place, (r[line] + "\n").encode())
+
+    records.select(path, line).foreachPartition(run)
+
+
+def replace_file(place: Path, data: bytes) -> None:
+    """Write a file whole or not at all: beside its place, flushed, then moved over it, its folder flushed too."""
+    beside = place.with_name(f".{place.name}.{os.getpid()}.new")
+    try:
+        with open(beside, "wb") as f:
+            f.write(data)
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(beside, place)
+    finally:
+        beside.unlink(missing_ok=True)
+    flush_folder(place.parent)
+
+
+def flush_folder(folder: Path) -> None:
+    at = os.open(folder, os.O_RDONLY)
+    try:
+        os.fsync(at)
+    finally:
+        os.close(at)
+
+
+def delete_file(place: Path) -> bool:
+    """Remove a file and the folders that it leaves empty, up to the store's own; whether there was one."""
+    if not place.exists():
+        return False
+    place.unlink()
+    flush_folder(place.parent)
+    return True
 
 
 def _quoted(text: str) -> str:
@@ -68,6 +143,48 @@ def canonical(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False) + "\n"
 
 
+def canonical_lines(df: DataFrame, text: str = "text") -> DataFrame:
+    """Add line: the canonical form of each JSON text, null for what isn't strict JSON."""
+
+    def one(t: str | None) -> str | None:
+        try:
+            return None if t is None else canonical(decode(t))
+        except (InputError, ValueError):
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([one(t) for t in batch.column(text).to_pylist()], pa.string())], [*batch.schema.names, "line"])
+
+    found = df.drop("line")
+    return found.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema) + ", line string")
+
+
+def batches_of(df: DataFrame, text: str = "batch", *keep: str) -> DataFrame:
+    """The records of each batch, a row each: the kept columns, record (canonical JSON), missing (null: complete; -1:
+    unknown) and problem. A batch that can't be taken is one row with a problem."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, records, missing, problems = [], [], [], []
+            for i, t in enumerate(batch.column(text).to_pylist()):
+                try:
+                    found, lacks = parse_batch((t or "").encode())
+                    rows = [(canonical(r).rstrip("\n"), lacks, None) for r in found]
+                except InputError as error:
+                    rows = [(None, None, str(error))]
+                for record, lacks, problem in rows:
+                    at.append(i)
+                    records.append(record)
+                    missing.append(lacks)
+                    problems.append(problem)
+            kept = [batch.column(c).take(pa.array(at, pa.int64())) for c in keep]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(records, pa.string()), pa.array(missing, pa.int64()), pa.array(problems, pa.string())], [*keep, "record", "missing", "problem"])
+
+    fields = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
+    return df.select(text, *keep).mapInArrow(run, f"{fields}record string, missing long, problem string")
+
+
 def decode(text: str) -> object:
     """Strict JSON: no duplicate keys and no NaN or infinities."""
 
@@ -133,17 +250,19 @@ def forgotten_ids(text: str) -> list[str]:
     return [line.strip() for line in text.splitlines() if line.strip() and not line.lstrip().startswith("#")]
 
 
-def walk_position(path: str = "path") -> Column:
-    """Place in the order of a walk that sorts each folder's entries; for reports over few rows only."""
-    return F.row_number().over(W.orderBy(F.split(path, "/")))
-
-
 def with_positions(df: DataFrame, *order: Column | str, name: str = "pos", start: int = 1) -> DataFrame:
-    """Number all rows in an order without bringing them into one task: ranges, then the counts of ranges before."""
+    """Number all rows in an order without bringing them into one task: ranges, then the counts of ranges before.
+
+    The ranges are written once and numbered from what was written, so that a lost stage can't cut them elsewhere.
+    """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
-    firsts = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    firsts = firsts.select("_part", "_first", before.alias("_before"))  # a row for each range
-    return ranged.join(F.broadcast(firsts), "_part").withColumn(name, F.col("_before") + F.col("_row") - F.col("_first") + start).drop("_part", "_row", "_n", "_first", "_before")
+    path = f"{shared_dir(spark)}/recordmill/{uuid.uuid4().hex}/ranged"
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranged.select(F.struct("*").alias("row"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    firsts = ranged.groupBy("part").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    firsts = firsts.select("part", "first", before.alias("before"))  # a row for each range
+    number = (F.col("before") + F.col("place") - F.col("first") + start).alias(name)
+    return ranged.join(F.broadcast(firsts), "part").select(*(F.col("row").getField(c).alias(c) for c in df.columns if c != name), number)

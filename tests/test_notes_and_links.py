@@ -1,6 +1,8 @@
+import hashlib
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from recordmill.functions import cron, links
 from recordmill.sources import notes, pages
@@ -31,24 +33,66 @@ Marked text {: #p1 k="v w"}
 """
 
 
-def test_note():
-    found = notes.compile_note("projects/plan.md", NOTE)
-    assert found["problem"] is None
+def compiled(spark, path, text, own=""):
+    return notes.compile_notes(spark.createDataFrame([(path, text)], "path string, text string"), own=own).first()
+
+
+def test_note(spark):
+    found = compiled(spark, "projects/plan.md", NOTE)
+    assert found["problem"] is None and found["ref"] == found["path"] == "projects/plan.md"
     assert (found["title"], found["tags"], found["kind"]) == ("Top", ["x", "y"], "project")
-    assert [(h["id"], h["level"]) for h in found["headings"]] == [("top", 1), ("sub", 2), ("sub_1", 1)]
-    assert [(x["to"], x["kind"], x["anchor"], x["section"]) for x in found["links"]] == [
-        ("concepts/other.md", "note", "", ""),
-        ("concepts/other.md", "note", "part", "top"),
-        ("https://example.org", "url", "", "top"),
+    assert [(h["id"], h["level"], h["meta"]) for h in found["headings"]] == [("top", 1, {"owner": "me"}), ("sub", 2, {}), ("sub_1", 1, {})]
+    assert [(x["to"], x["kind"], x["anchor"], x["section"], x["meta"]) for x in found["links"]] == [
+        ("concepts/other.md", "note", "", "", {}),
+        ("concepts/other.md", "note", "part", "top", {"role": "a"}),
+        ("https://example.org", "url", "", "top", {}),
     ]
-    assert [(t["id"], t["text"], t["done"], t["section"]) for t in found["tasks"]] == [("t1", "call", False, "top"), (None, "done", True, "top")]
-    assert found["elements"] == [{"tag": "p", "id": "p1", "text": "Marked text", "section": "sub"}]
+    assert [(t["id"], t["text"], t["done"], t["section"], t["meta"]) for t in found["tasks"]] == [("t1", "call", False, "top", {"due": "soon"}), (None, "done", True, "top", {})]
+    assert [tuple(e) for e in found["elements"]] == [("p", "p1", "Marked text", "sub", {"k": "v w"})]
     assert found["attrs"]["top"] == {"owner": "me"} and found["attrs"]["p1"] == {"k": "v w"}
+    assert found["text"].split("\n") == ["Top", "See other and https://example.org. [no](x.md)", "[ ] call", "[x] done", "# not a heading [no](y.md)", "Sub", "Marked text", "Sub"]
+
+
+def test_note_fields(spark):
+    text = "---\nstale_after: 14\nentity: urn:x:1\naliases: [yes, 010]\nlinks: [{to: 'bf:///concepts/a', meta: {rel: b}}]\nsources: [{resource: 'jira:W-1', retrieved: 2026-01-01}]\nmore: {b: 0o17, a: no}\n---\nText with [a](a.md?x=1){x=1 y=2}\n"
+    found = compiled(spark, "actions/pay-bill/ACTION.md", text)
+    assert (found["problem"], found["title"], found["kind"], found["source"]) == (None, "pay bill", "action", "actions")
+    assert (found["stale_after"], found["entity"], found["aliases"]) == ("14", "urn:x:1", ["yes", "10"])
+    assert [(x["to"], x["meta"]) for x in found["links"]][::2] == [("concepts/a.md", {"rel": "b"}), ("actions/pay-bill/a.md", {"x": "1", "y": "2"})]
+    assert found["links"][1]["kind"] == "record" and found["links"][1]["meta"] == {"rel": "cites"}
+    assert found["extra"] == '{"more": {"a": "no", "b": 15}}' and found["sources"][0]["retrieved"] == "2026-01-01"
+
+
+def test_link_metadata_that_conflicts(spark):
+    assert "conflicting" in compiled(spark, "projects/a.md", "[a](b.md?x=1){x=2}")["problem"]
+    again = compiled(spark, "projects/a.md", "[a](b.md) [b](b.md) [c](b.md){k=v}")
+    assert [x["meta"] for x in again["links"]] == [{}, {"k": "v"}]
+
+
+def test_sections(spark):
+    rows = spark.createDataFrame([("projects/a.md", "---\ntype: x\n---\nbefore\n# A {#a}\none\n```\n# no\n```\n## B\ntwo\n\nC\n=\nthree")], "path string, text string")
+    found = notes.compile_notes(rows).join(rows.select(F.col("path").alias("ref"), F.col("text").alias("source_text")), "ref")
+    assert {r.anchor: r.text for r in notes.sections(found).collect()} == {"a": "one\n```\n# no\n```\n## B\ntwo", "b": "two", "c": "three"}
+    assert notes.at_anchor(found, "b").first()["what"] == "section" and notes.at_anchor(found, "none").count() == 0
+
+
+@pytest.mark.parametrize("block", ["a: &x 1\nb: *x", "a: 1\na: 2", "1: x", "a: .nan", "a: " + "[" * 40 + "]" * 40, "ref: mine", "relations: []", "links: x", "title: [a]"])
+def test_bad_front_matter(block):
+    assert notes.compile_note("projects/a.md", f"---\n{block}\n---\n")["problem"]
+
+
+def test_core_scalars():
+    found = notes.yaml_map("a: yes\nb: True\nc: 0x1F\nd: 1e3\ne: ~\nf: 012\ng: 2026-01-01\nh: 1_000")
+    assert found == {"a": "yes", "b": True, "c": 31, "d": 1000.0, "e": None, "f": 12, "g": "2026-01-01", "h": "1_000"}
 
 
 @pytest.mark.parametrize("path, text", [("x.md", "a"), ("projects/a.md", "---\na: 1\na: 2\n---\n"), ("projects/a.md", "<<<<<<< ours\n"), ("projects/a.md", "# A {#a}\n# B {#a}\n"), ("projects/a.md", "[x](javascript:y)")])
-def test_bad_notes(path, text):
-    assert notes.compile_note(path, text)["problem"]
+def test_bad_notes(spark, path, text):
+    assert compiled(spark, path, text)["problem"]
+
+
+def normal(spark, origin, raw, own=""):
+    return links.normalize_links(spark.createDataFrame([(origin, raw)], "origin string, raw string"), "origin", "raw", own).first()
 
 
 @pytest.mark.parametrize(
@@ -61,26 +105,36 @@ def test_bad_notes(path, text):
         ("#here", "projects/me.md", "note"),
         ("bf:///actions/do/ACTION.md", "actions/do/ACTION.md", "note"),
         ("bf://sib/projects/y", "bf://sib/projects/y.md", "brain"),
+        ("actions/do-it", "actions/do-it/ACTION.md", "note"),
+        ("../actions/do-it#x", "actions/do-it/ACTION.md", "note"),
+        ("a%20b.md", None, None),
+        ("a+b%C3%A9.md", "projects/a+b\u00e9.md", "note"),
+        ("./sub/../x.md", "projects/x.md", "note"),
+        ("memories/src1/abc.json", "memories/src1/abc.json", "record"),
         ("bf://own/projects/y", "projects/y.md", "note"),
     ],
 )
-def test_links(raw, to, kind):
-    found = links.normalize("projects/me.md", raw, "own")
-    assert (found["to"], found["kind"]) == (to, kind)
+def test_links(spark, raw, to, kind):
+    found = normal(spark, "projects/me.md", raw, "own")
+    assert (found["to"], found["kind"], found["problem"] is None) == (to, kind, to is not None)
+
+
+def test_record_links(spark):
+    found = normal(spark, "projects/me.md", "jira:WEB-9?role=cause+a%20b#x")
+    assert found["kind"] == "record" and found["meta"] == {"role": "cause a b"} and found["anchor"] == "x"
+    assert found["to"] == normal(spark, "projects/me.md", "bf:///jira:WEB-9")["to"] == f"memories/jira/{hashlib.sha256(b'WEB-9').hexdigest()}.json"
+    web = normal(spark, "projects/me.md", "web:https://a.b/c?d=1")
+    assert web["to"] == f"memories/web/{hashlib.sha256(b'https://a.b/c?d=1').hexdigest()}.json" and web["meta"] == {}
+    assert normal(spark, "projects/me.md", "bf:///web:https://a.b/c?d=1")["to"] == web["to"]
 
 
-def test_record_links():
-    found = links.normalize("projects/me.md", "jira:WEB-9?role=cause#x")
-    assert found["kind"] == "record" and found["meta"] == {"role": "cause"} and found["anchor"] == "x"
-    assert found["to"] == links.normalize("projects/me.md", "bf:///jira:WEB-9")["to"]
-    web = links.normalize("projects/me.md", "web:https://a.b/c?d=1")
-    assert web["to"] == links.record_path("web", "https://a.b/c?d=1") and web["meta"] == {}
+BAD = ["", None, "javascript:x", "../../x.md", "/abs.md", "a b.md", "x.md#", "notes:x", "bf://projects/x", "logs/x.md", "bf:///%zz", "x.md?a=1&a=2", "x.md?a", "x.md?1=2", "x.md?a=%20", ".git/config", "bf:x", "Jira:x", "jira:", "a%00.md", "a\u0600.md", "x%FF.md", "bf:///a/../b.md", "concepts/../x.md", "x" * 8193]
 
 
-@pytest.mark.parametrize("raw", ["", "javascript:x", "../../x.md", "/abs.md", "a b.md", "x.md#", "notes:x", "bf://projects/x", "logs/x.md", "bf:///%zz", "x.md?a=1&a=2", ".git/config"])
-def test_bad_links(raw):
-    with pytest.raises(links.LinkError):
-        links.normalize("a.md" if raw.startswith(("logs", ".git")) else "projects/me.md", raw)
+@pytest.mark.parametrize("raw", BAD)
+def test_bad_links(spark, raw):
+    found = normal(spark, "a.md" if (raw or "").startswith(("logs", ".git")) else "projects/me.md", raw)
+    assert found["problem"] and found["to"] is None
 
 
 @pytest.mark.parametrize(
