@@ -12,6 +12,10 @@ MOST = 5
 KINDS = {"string": T.StringType, "integer": T.IntegralType, "number": T.NumericType, "boolean": T.BooleanType, "array": T.ArrayType, "object": (T.StructType, T.MapType)}
 
 
+# Shapes of named formats.
+FORMATS = {"date": r"^\d{4}-\d{2}-\d{2}$", "date-time": r"^\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$", "email": r"^[^@\s]+@[^@\s]+$", "uri": r"^[A-Za-z][A-Za-z0-9+.-]*:\S+$", "uuid": r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"}
+
+
 class SchemaError(ValueError):
     """A schema with a keyword that has no predicate."""
 
@@ -53,6 +57,23 @@ def broken(value: Column, kind: T.DataType, shape: dict, name: str) -> list[tupl
             for p in parts[1:]:
                 bad = bad & p if word == "anyOf" else bad | p
             add(word, bad & value.isNotNull())
+        elif word == "oneOf":
+            fits = sum((F.when(any_of([p for _, p in broken(value, kind, s, name)]), 0).otherwise(1) for s in arg), F.lit(0))
+            add(word, (fits != 1) & value.isNotNull())
+        elif word == "if":
+            met = ~any_of([p for _, p in broken(value, kind, arg, name)])
+            for branch, here in (("then", met), ("else", ~met)):
+                if branch in shape:
+                    add(branch, here & any_of([p for _, p in broken(value, kind, shape[branch], name)]) & value.isNotNull())
+        elif word == "format":
+            if arg in FORMATS:
+                add(word, ~value.rlike(FORMATS[arg]))
+        elif word == "multipleOf":
+            add(word, value % arg != 0)
+        elif word == "additionalProperties" and arg is False and isinstance(kind, T.StructType):
+            for key in kind.names:
+                if key not in shape.get("properties", {}):
+                    add(f"additional {key}", value.getField(key).isNotNull())
         elif word == "not":
             add(word, ~any_of([p for _, p in broken(value, kind, arg, name)]) & value.isNotNull())
         elif word == "properties" and isinstance(kind, T.StructType):
@@ -62,11 +83,30 @@ def broken(value: Column, kind: T.DataType, shape: dict, name: str) -> list[tupl
         elif word == "required" and isinstance(kind, T.StructType):
             for key in arg:
                 add(f"required {key}", value.getField(key).isNull() if key in kind.names else F.lit(True))
-        elif word not in ("title", "description", "$schema", "$id", "$defs", "default", "additionalProperties", "properties", "required", "items", "propertyNames"):
+        elif word not in ("title", "description", "$schema", "$id", "$defs", "default", "then", "else", "examples", "$comment", "additionalProperties", "properties", "required", "items", "propertyNames"):
             raise SchemaError(f"keyword {word}")
     return out
 
 
+def resolved(shape: object, whole: dict, depth: int = 0) -> object:
+    """A schema with what $ref names inside it in its place; endless references are an error."""
+    if depth > 32:
+        raise SchemaError("$ref goes round")
+    if isinstance(shape, list):
+        return [resolved(s, whole, depth) for s in shape]
+    if not isinstance(shape, dict):
+        return shape
+    if "$ref" in shape:
+        at: object = whole
+        for step in str(shape["$ref"]).removeprefix("#").strip("/").split("/"):
+            if not isinstance(at, dict) or step not in at:
+                raise SchemaError(f"$ref {shape['$ref']}")
+            at = at[step]
+        beside = {k: v for k, v in shape.items() if k != "$ref"}
+        return resolved({**at, **beside} if isinstance(at, dict) else at, whole, depth + 1)
+    return {k: v if k in ("$defs", "enum", "const", "default") else resolved(v, whole, depth) for k, v in shape.items()}
+
+
 def any_of(predicates: list[Column]) -> Column:
     bad = F.lit(False)
     for p in predicates:
@@ -76,6 +116,7 @@ def any_of(predicates: list[Column]) -> Column:
 
 def problems(df: DataFrame, shape: dict) -> Column:
     """The messages of a record's violations, in order: the first few, and how many more there are."""
+    shape = resolved(shape, shape)
     found: list[tuple[str, Column]] = []
     for key, inner in shape.get("properties", {}).items():
         if key in df.columns:
@@ -93,6 +134,19 @@ def violations(df: DataFrame, shape: dict, *key: str) -> DataFrame:
     return df.select(*key, problems(df, shape).alias("_p")).where(F.size("_p") > 0).select(*key, F.array_join("_p", "; ").alias("problems"))
 
 
+def fields_of(shape: dict) -> str:
+    """The columns that a schema's properties ask for, and id; objects and anything of several kinds as JSON text."""
+    plain = {"string": "string", "integer": "bigint", "number": "double", "boolean": "boolean"}
+
+    def kind(s: dict) -> str:
+        if s.get("type") == "array":
+            return f"array<{kind(s.get('items', {}))}>"
+        return plain.get(s.get("type"), "string") if isinstance(s.get("type"), str) else "string"
+
+    found = {"id": {"type": "string"}} | {k: s if isinstance(s, dict) else {} for k, s in shape.get("properties", {}).items()}
+    return ", ".join(f"`{k}` {kind(s)}" for k, s in found.items())
+
+
 def digest(shape: dict) -> str:
     """A schema's identity: the hash of its canonical form."""
     import hashlib

@@ -57,8 +57,8 @@ def eval_suite(text: str) -> list[dict]:
 def judge(case: dict, refs: list[str], text: str, value: object = None) -> list[str]:
     """What a case's result fails: nothing if it holds."""
     out = [f"missing {r}" for r in case.get("expect_refs", []) if r not in refs] + [f"forbidden {r}" for r in case.get("forbid_refs", []) if r in refs]
-    if "expect_text" in case and case["expect_text"] not in text:
-        out.append("text not found")
+    wanted = case.get("expect_text", [])
+    out += [f"text not found: {t}" for t in ([wanted] if isinstance(wanted, str) else wanted) if str(t).lower() not in text.lower()]
     if len(refs) < case.get("min_count", 0):
         out.append("too few")
     if len(refs) > case.get("max_count", len(refs)):

@@ -1,11 +1,14 @@
 import json
 import subprocess
+from datetime import datetime, timedelta, timezone
 
 import pytest
 
 from recordmill import cli
+from recordmill import store as stores
 from recordmill.sources import connectors, settings
 from recordmill.sources.records import InputError
+from recordmill.store import Store, substituted
 
 
 def test_git_history(spark, tmp_path):
@@ -47,12 +50,138 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main([root, "init", "mine"]) == 0 and cli.main([root, "init", "mine"]) == 2
     assert cli.main([root, "new", "project", "plan"]) == 0 and cli.main([root, "new", "action", "do-it"]) == 0
     with open(f"{root}/projects/plan.md", "a") as note:
-        note.write("\nSee [gone](gone.md) and [do](bf:///actions/do-it/ACTION.md).\n")
+        note.write("\nSee [gone](gone.md) and [do](bf:///actions/do-it).\n\n## Late {#late}\n\nmore\n")
     capsys.readouterr()
-    assert cli.main([root, "--format", "jsonl", "query", "gone", "--fields", "ref,path"]) == 0
-    assert json.loads(capsys.readouterr().out) == {"ref": "projects/plan", "path": "projects/plan.md"}
-    assert cli.main([root, "validate"]) == 1 and "missing projects/gone.md" in capsys.readouterr().out
+    assert cli.main([root, "--format", "jsonl", "query", "gone", "--fields", "ref,path,none"]) == 0
+    assert json.loads(capsys.readouterr().out) == {"ref": "projects/plan.md", "path": "projects/plan.md"}
+    assert cli.main([root, "validate"]) == 1
+    out = capsys.readouterr().out
+    assert "missing projects/gone.md" in out and "do-it" not in out
     assert cli.main([root, "--format", "tsv", "query", "--jq", "{ref}"]) == 0
-    assert capsys.readouterr().out.split() == ["ref", "actions/do-it", "projects/plan"]
+    assert capsys.readouterr().out.split() == ["ref", "actions/do-it/ACTION.md", "projects/plan.md"]
     assert cli.main([root, "status"]) == 0 and cli.main([root, "query", "(?=x)"]) == 2
-    assert cli.main([root, "review", "--now", "2026-01-01T00:00:00.000000Z"]) == 0
+    capsys.readouterr()
+    assert cli.main([root, "read", "projects/plan#late"]) == 0 and json.loads(capsys.readouterr().out)["section"] == "more"
+    assert cli.main([root, "read", "projects/plan", "--outline"]) == 0 and [h["id"] for h in json.loads(capsys.readouterr().out)["headings"]] == ["plan", "late"]
+    assert cli.main([root, "read", "projects/plan", "--lines", "1:2"]) == 0 and json.loads(capsys.readouterr().out)["content"].startswith("---\ntype")
+    assert cli.main([root, "read", "projects/plan", "--max-bytes", "60"]) == 0 and len(json.dumps(json.loads(capsys.readouterr().out), separators=(",", ":"))) <= 60
+    assert cli.main([root, "read", "projects/none"]) == 2 and cli.main([root, "schema", "record"]) == 0 and cli.main([root, "schema", "x"]) == 2
+
+
+def test_build(spark, tmp_path):
+    root = tmp_path / "store"
+    settings.new_store(str(root), "mine")
+    for name in ("one", "two"):
+        settings.new_note(str(root), "concept", name)
+    store = Store(spark, str(root))
+    assert {k: v for k, v in store.build().items() if v} == {"notes": 2, "added": 2}
+    (root / "concepts/one.md").write_text("# Other\n")
+    (root / "concepts/two.md").unlink()
+    (root / "projects/bad.md").write_text("---\na: 1\na: 2\n---\n")
+    made = store.build()
+    assert (made["notes"], made["updated"], made["removed"], len(made["problems"])) == (1, 1, 1, 1)
+    assert json.loads((root / "memories/concepts/one.json").read_text())["title"] == "Other" and not (root / "memories/concepts/two.json").exists()
+    assert not list(root.rglob("*.new")) and store.index().count() == 1
+    settings.new_note(str(root), "action", "late")
+    assert store.index().count() == 2
+
+
+def test_ingest(spark, tmp_path):
+    root = tmp_path / "store"
+    settings.new_store(str(root), "mine")
+    store = Store(spark, str(root))
+    batch = lambda *rows: json.dumps([{"id": i, "title": t} for i, t in rows]).encode()
+    many = [(f"r{i}", "x") for i in range(10)]
+    first = store.ingest("src", batch(*many))
+    assert (first["added"], first["records"]) == (10, 10) and len(list((root / "memories/src").glob("*.json"))) == 10
+    kept = {p: p.stat().st_mtime_ns for p in (root / "memories/src").glob("*.json")}
+    again = store.ingest("src", batch(("r0", "x"), ("r1", "new")))
+    assert (again["unchanged"], again["updated"], again["removed"]) == (1, 1, 0)
+    assert sum(p.stat().st_mtime_ns != t for p, t in kept.items()) == 1
+    assert store.ingest("src", batch(("r0", "x")), dry_run=True)["dry_run"]
+    with pytest.raises(InputError):
+        store.ingest("src", batch(("r0", "x")), "snapshot")
+    partial = json.dumps({"records": [{"id": "r0", "title": "x"}], "incomplete": True}).encode()
+    assert store.ingest("src", partial, "snapshot")["removed"] == 0
+    (root / "memories/src/.forgotten").write_text("# gone\nr3\n")
+    assert store.ingest("src", batch(("r3", "x")))["removed"] == 1
+    assert store.ingest("src", batch(("r0", "x")), "snapshot", allow_removal=True)["removed"] == 8
+    log = [json.loads(x) for x in (root / ".store/events.jsonl").read_text().splitlines()]
+    assert [e["seq"] for e in log] == [1, 2, 3, 4] and log[0]["data"]["added"] == 10 and store.latest_seq() == 4
+    for bad in (batch(("a b", "x")), batch(("a", "")), batch(("a", "x"), ("a", "y")), json.dumps([{"id": "a", "title": "t", "kind": "note"}]).encode(), json.dumps([{"id": "a", "title": "t", "tags": ["x", "x"]}]).encode()):
+        with pytest.raises(InputError):
+            store.ingest("src", bad)
+    with pytest.raises(InputError):
+        store.ingest("projects", b"[]")
+    (root / "schemas/src.json").write_text(json.dumps({"required": ["level"], "properties": {"level": {"type": "integer", "maximum": 3}}}))
+    with pytest.raises(InputError):
+        store.ingest("src", json.dumps([{"id": "a", "title": "t", "level": 4}]).encode())
+    assert store.ingest("src", json.dumps([{"id": "a", "title": "t", "level": 2}]).encode())["added"] == 1
+
+
+def test_events_and_runs(tmp_path, capsys):
+    store = Store(None, str(tmp_path))
+    first = store.append("note.made", "src", {"id": "a", "password": "hush", "text": "api_key=abcdefgh"}, dedupe=True)
+    assert first["data"] == {"id": "a", "password": "[REDACTED]", "text": "[REDACTED]"}
+    assert store.append("note.made", "src", {"id": "a"}, dedupe=True) == first and store.append("note.made", "src", {"id": "a"})["seq"] == 2
+    with pytest.raises(InputError):
+        store.emit([{"kind": "ok", "source": "src"}, {"kind": "Bad", "source": "src"}])
+    assert store.latest_seq() == 2
+    for i in range(250):
+        store.log("x", [f"line {i}"])
+    assert len((tmp_path / "logs/x.log").read_text().splitlines()) == 200
+    at = datetime(2026, 1, 1, tzinfo=timezone.utc)
+    assert store.record_run("job", at, at, 1, "api_key=abcdefgh", cursor=2)["error"] == "[REDACTED]"
+    done = store.record_run("job", at, at, 0, cursor=2)
+    assert (done["runs"], done["failures"], done["consecutive_failures"], done["event_seq"], done["status"]) == (2, 1, 0, 2, "ok")
+    assert store.latest_seq() == 4 and store.state("new")["status"] == "idle"
+    with store.writer():
+        assert (tmp_path / ".store/lock").exists()
+    assert substituted("a {{ x }} {{y.z}}", {"x": "1", "y.z": "2"}) == "a 1 2"
+    with pytest.raises(InputError):
+        substituted("{{no}}", {})
+
+
+def test_log_is_compacted(tmp_path, monkeypatch):
+    monkeypatch.setattr(stores.E, "KEEP_LINES", 10)
+    monkeypatch.setattr(stores.E, "COMPACT_EVERY", 5)
+    store = Store(None, str(tmp_path))
+    store.emit([{"kind": "k", "source": "s"}] * 23)
+    assert [json.loads(x)["seq"] for x in (tmp_path / ".store/events.jsonl").read_text().splitlines()] == list(range(11, 24))
+
+
+def test_tick(spark, tmp_path):
+    store, acted = Store(spark, str(tmp_path)), []
+
+    def act(name, trigger, events):
+        acted.append((name, trigger, [e["seq"] for e in events]))
+        return int(name == "fails")
+
+    store.emit([{"kind": "a", "source": "s"}, {"kind": "b", "source": "s", "data": {"n": 5}}])
+    units = {"one": {"events": [{"kind": "a"}]}, "two": {"events": [{"kind": "none"}]}, "clock": {"every": 60}, "fails": {"every": 1}}
+    at = datetime(2026, 1, 1, tzinfo=timezone.utc)
+    store.tick(units, act, at)
+    assert acted == [("clock", "schedule", []), ("fails", "schedule", []), ("one", "event", [1])]
+    assert store.state("two")["event_seq"] >= 2  # idle, but its cursor moves on
+    acted.clear()
+    store.tick(units, act, at + timedelta(seconds=30))
+    assert acted == []  # nothing is due, and what failed waits a minute
+    store.tick(units, act, at + timedelta(seconds=61))
+    assert acted == [("clock", "schedule", []), ("fails", "schedule", [])]
+
+
+def test_eval_and_check(spark, tmp_path):
+    root = tmp_path / "store"
+    settings.new_store(str(root), "mine")
+    settings.new_note(str(root), "concept", "one")
+    (root / "evals/a.yaml").write_text("version: 15\ncases:\n- {name: a, engine: rg, query: one, expect_refs: [concepts/one.md], expect_text: [One]}\n- {name: b, engine: jq, query: 'select(.kind == \"concept\") | {ref}', min_count: 1}\n- {name: c, engine: read, query: concepts/one, expect_refs: [concepts/one.md]}\n- {name: d, engine: rg, query: nothing, min_count: 1}\n")
+    found = Store(spark, str(root)).evaluate()
+    assert [c["ok"] for c in found["cases"]] == [True, True, True, False] and not found["ok"]
+    assert cli.main([str(root), "check", "--now", "2026-01-01T00:00:00Z"]) == 1
+
+
+def test_other_stores(tmp_path):
+    settings.new_store(str(tmp_path / "a"), "mine")
+    assert stores.resolve(str(tmp_path / "a"), {"sib": "/x"}, "sib") == "/x" and stores.resolve(str(tmp_path / "a"), {}, "mine").endswith("a")
+    with pytest.raises(InputError):
+        stores.resolve(str(tmp_path / "a"), {}, "none")
