@@ -5,10 +5,10 @@ candidates are nodes near each other in that order that share a prefix, and the
 it. Texts with the same set are one node from the start. A few trees come first, some at a time: each node's
 neighbour and heads that are in other classes are candidates there, the best of each node are checked, and what
 is linked becomes one class. Then all trees run over the nodes with their classes, and each node meets all those
-of other classes in its region. Where a region is crowded with them, its nodes meet with a bitmap of their sets
-at hand: each bit that only one of two maps has is a shingle that only one of the sets has, so a pair with too many
-such bits can't be linked and is dismissed there; all others go on, however many. Candidates are checked on full
-sets.
+of other classes in its region. Where a region is crowded with them, its nodes meet with their signatures and a
+bitmap of their sets at hand: each bit that only one of two maps has is a shingle that only one of the sets has, so a
+pair with too many such bits can't be linked and is dismissed there, as is one whose signatures are too far apart, or
+that meets in an earlier tree as well; all others go on, however many. Candidates are checked on full sets.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ HEADS = (0, 5)
 #: Nodes of other classes before a node above which its region is crowded.
 ROOM = 64
 #: Rows whose neighbours are found at a time; pairs at a time.
-ROWS, PAIRS = 50_000, 200_000
+ROWS, PAIRS = 50_000, 50_000
 #: Bits of a set's map.
 MAP = 1024
 #: Share of equal values under which a pair is not checked (seven standard errors less than 0.8).
@@ -122,24 +122,27 @@ def unpacked(column: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return rows[:, :HASHES], np.ascontiguousarray(rows[:, HASHES:]).view(np.uint64)
 
 
-def grow(trees: range, maps: bool):
-    """A row for each node and tree: key (hash of the tree and its first values), deep (bytes of further values), map if asked for."""
+def keys_of(sig: np.ndarray, t: int) -> np.ndarray:
+    """A hash of a tree and the first values that it orders signatures by."""
+    key = (sig[:, _ORDER[t][:DEPTH]].astype(np.uint64) * _MIX[t]).sum(axis=1, dtype=np.uint64) + _MIX[t, 0]
+    return (key ^ (key >> np.uint64(29))).view(np.int64)
+
+
+def grow(trees: range, whole_sig: bool):
+    """A row for each node and tree: key (see keys_of), deep (bytes of further values), and the signature if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
                 m = batch.num_rows
-                sig, bits = unpacked(texts(batch, "sig"))
+                sig, _ = unpacked(texts(batch, "sig"))
                 node = np.frombuffer(b"".join(texts(batch, "node")), np.uint8).reshape(m, 16)
-                bits = fixed(bits, MAP // 8) if maps else pa.nulls(m, pa.binary())
+                beside = batch.column("sig") if whole_sig else pa.nulls(m, pa.binary())
                 for t in trees:
-                    values = sig[:, _ORDER[t]]
-                    key = (values[:, :DEPTH].astype(np.uint64) * _MIX[t]).sum(axis=1, dtype=np.uint64) + _MIX[t, 0]
-                    key ^= key >> np.uint64(29)
-                    deep = (values[:, DEPTH:] & 0xFF).astype(np.uint8)
-                    columns = [pa.array(key.view(np.int64)), fixed(deep, DEEPER), fixed(node, 16), bits, batch.column("n_shingles"), batch.column("class")]
-                    yield pa.RecordBatch.from_arrays(columns, ["key", "deep", "node", "map", "n", "class"])
+                    deep = (sig[:, _ORDER[t][DEPTH:]] & 0xFF).astype(np.uint8)
+                    columns = [pa.array(keys_of(sig, t)), fixed(deep, DEEPER), fixed(node, 16), beside, batch.column("n_shingles"), batch.column("class")]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "deep", "node", "sig", "n", "class"])
 
     return run
 
@@ -153,8 +156,8 @@ def whole_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray
             continue
         deep = np.frombuffer(b"".join(texts(batch, "deep")), np.uint8).reshape(m, DEEPER)
         node = np.frombuffer(b"".join(texts(batch, "node")), np.uint8).reshape(m, 16)
-        bits = np.frombuffer(b"".join(x or b"" for x in texts(batch, "map")), np.uint64).reshape(m, -1)
-        rows = [batch.column("key").to_numpy(), deep, node, bits, batch.column("n").to_numpy(), batch.column("class").to_numpy()]
+        sig = np.frombuffer(b"".join(x or b"" for x in texts(batch, "sig")), np.uint32).reshape(m, -1)
+        rows = [batch.column("key").to_numpy(), deep, node, sig, batch.column("n").to_numpy(), batch.column("class").to_numpy()]
         last = int(np.searchsorted(rows[0], rows[0][-1]))
         if last or (held and held[-1][0][-1] != rows[0][0]):
             held.append([x[:last] for x in rows])
@@ -179,14 +182,29 @@ def before_others(rows: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray,
 
 
 def pairs_of(rows: list[np.ndarray], x: list[np.ndarray], y: list[np.ndarray]) -> pa.RecordBatch:
-    """Distinct pairs of rows of different classes that may be linked, as nodes."""
-    _, _, node, bits, n, group = rows
+    """Distinct pairs of rows of different classes that may be linked, as nodes.
+
+    Where rows have signatures, pairs come from the first tree alone in which they meet.
+    """
+    key, _, node, sig, n, group = rows
     x, y = np.concatenate(x), np.concatenate(y)
     fits = (group[x] != group[y]) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y]))
     y, x = np.divmod(np.unique(y[fits] * len(n) + x[fits]), len(n))
-    if bits.shape[1]:
-        fits = possible(n[x], n[y], bits[x], bits[y])
+    if sig.shape[1] and len(x):
+        maps = np.ascontiguousarray(sig[:, HASHES:]).view(np.uint64)
+        fits = possible(n[x], n[y], maps[x], maps[y])
         x, y = x[fits], y[fits]
+        same = sig[x, :HASHES] == sig[y, :HASHES]
+        fits = same.mean(axis=1) >= AGREE
+        x, y, same = x[fits], y[fits], same[fits]
+        first = np.zeros(len(x), bool)
+        left = np.ones(len(x), bool)
+        for t in range(TREES):
+            meet = left & same[:, _ORDER[t][:DEPTH]].all(axis=1)
+            if meet.any():
+                first[meet] = keys_of(sig[x[meet]], t) == key[x[meet]]
+                left &= ~meet
+        x, y = x[first], y[first]
     return pa.RecordBatch.from_arrays([fixed(node[x], 16), fixed(node[y], 16)], ["x", "y"])
 
 
@@ -301,10 +319,10 @@ class NearDuplicates:
             discard(links.sparkSession, table)
         return links
 
-    def near(self, nodes: DataFrame, trees: range, find, maps: bool = False) -> DataFrame:
+    def near(self, nodes: DataFrame, trees: range, find, whole_sig: bool = False) -> DataFrame:
         """What find() gives for the orders of these trees. Ranges are of the key alone: no region is divided among tasks."""
         parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        forest = nodes.select("node", "n_shingles", "sig", "class").mapInArrow(lean(grow(trees, maps)), "key long, deep binary, node binary, map binary, n long, class long")
+        forest = nodes.select("node", "n_shingles", "sig", "class").mapInArrow(lean(grow(trees, whole_sig)), "key long, deep binary, node binary, sig binary, n long, class long")
         return forest.repartitionByRange(parts, "key").sortWithinPartitions("key", "deep", "node").mapInArrow(lean(find), "x binary, y binary")
 
     def candidates(self, nodes: DataFrame) -> DataFrame:
