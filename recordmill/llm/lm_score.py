@@ -2,8 +2,8 @@
 
 A text is its tokens and one end. The most frequent tokens that occur twice are words with a code of their own in a
 Huffman tree, so that a frequent one takes few bits; any other is an escape and then its bytes and a closing mark, coded in a tree of
-bytes. Each bit is predicted from hashed contexts of what is before it (see mixing): a word's from none, one and two
-tokens before, whatever these are; a byte's from one, two and four bytes of its token before. Counts come from every
+bytes. Each bit is predicted from hashed contexts of what is before it (see mixing): a word's from one and two tokens before,
+whatever these are; a byte's from one, two and four bytes of its token before. Counts come from every
 text that is learned from. Weights by set and the refinement are then learned online over all those texts in order,
 each bit predicted without its own count; each partition is a shard, and the shards' weights are averaged by their
 bits, their outcomes added. Bytes are learned from each distinct token without a code, once.
@@ -18,13 +18,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordmill.llm.language_id import fold
-from recordmill.llm.mixing import CONTEXTS, DEPTHS, FIRST, LEVELS, SETS, Code, Learner, Predictor, Shape, mix32, packed, tallied
+from recordmill.llm.mixing import DEPTHS, LEVELS, SETS, Code, Learner, Predictor, Shape, first_weights, mix32, packed, tallied
 from recordmill.llm.shared import lean, materialize, slices, texts
 from recordmill.llm.words import spaced_words
 
@@ -32,8 +33,8 @@ from recordmill.llm.words import spaced_words
 END = b"\xff"
 #: Tokens with a code of their own at most: what each worker holds by name. Longer names are held by their digest.
 WORDS, NAME = 1 << 17, 64
-#: Base-2 logarithms of slots of the contexts of words and of bytes; those of one and two tokens grow with the corpus between two bounds.
-ORDERS, LEAST_SLOTS, MOST_SLOTS, BYTES = 18, 16, 23, (17, 20, 20)
+#: Base-2 logarithms of slots: of the contexts of words, which grow with the corpus between two bounds, and of bytes.
+LEAST_SLOTS, MOST_SLOTS, BYTES = 16, 23, (17, 20, 20)
 #: The closing mark as a symbol of bytes; what stands before a text or a token.
 CLOSE, BEFORE = 256, np.uint32(0x51ED270B)
 #: Tokens of a partial count; symbols that tables are made and used from at a time; slots of a block of a table.
@@ -111,7 +112,7 @@ def word_contexts(marks: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
             mark[at[at < len(marks)]] = BEFORE
         before.append(mark)
     one = mix32(before[0])
-    return [np.zeros(len(marks), np.uint32), one, mix32(one + before[1] * np.uint32(0x9E3779B1) + np.uint32(1))]
+    return [one, mix32(one + before[1] * np.uint32(0x9E3779B1) + np.uint32(1))]
 
 
 def byte_symbols(tokens: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -155,10 +156,10 @@ def encode(df: DataFrame, words: Vocabulary, key: str, text: str) -> DataFrame:
                             n = at[i] = number.get(name_of(split[i]))
                         if n is None:
                             rare[split[i]] += 1
-                            at[i] = int.from_bytes(hashlib.blake2b(split[i], digest_size=4).digest(), "little") | 1 << 31
-                marks.append(np.array(at, np.uint32).tobytes())
+                            at[i] = xxhash.xxh32_intdigest(split[i]) | 1 << 31
+                ids.append(np.array(at, np.uint32))
+                marks.append(ids[-1].tobytes())
                 others.append([{"token": w, "n": n} for w, n in rare.items()])
-                ids.append(np.array(at, np.int64))
                 n_tokens.append(len(at))
             known, base = [], []
             for at in ids:
@@ -205,7 +206,7 @@ class Fit:
     def __init__(self, words: Vocabulary):
         self.words = words
         many = slots(words.total)
-        self.shapes = {"words": Shape(words.code(), (ORDERS, many, many)), "bytes": Shape(words.byte_code(), BYTES)}
+        self.shapes = {"words": Shape(words.code(), (many, many)), "bytes": Shape(words.byte_code(), BYTES)}
 
     def sources(self, encoded: DataFrame, counts: DataFrame) -> dict:
         return {
@@ -266,10 +267,11 @@ class Fit:
                 yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(values[at])], ["at", "value"])
 
         found = rows.mapInArrow(lean(run), "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow()
-        size = SETS * (CONTEXTS + 1)
+        plain = first_weights(len(shape.bits))
+        size = plain.size
         values = np.zeros(size + 1 + 2 * LEVELS * DEPTHS)
         values[found.column("at").to_numpy()] = found.column("value").to_numpy()
-        weights = values[:size].reshape(SETS, -1) / values[size] if values[size] else np.tile(np.array(FIRST), (SETS, 1))
+        weights = values[:size].reshape(SETS, -1) / values[size] if values[size] else plain
         shared.unpersist()
         return Predictor(shape, tables, weights, values[size + 1 :])
 

@@ -1,9 +1,10 @@
 """Binary decisions predicted from hashed contexts and mixed: the model that lm_score uses for words and for bytes.
 
-A symbol is coded by its path in a Huffman tree. Each step of a path is a decision that is predicted from counts of
-zeros and ones in three hashed contexts of the text before the symbol. Their stretched probabilities are added with
-the weights of a set that the counts of the two longer contexts choose, and the sum is refined by a table of what
-came of such sums. Both bits of a decision have probabilities that sum to one, so all symbols' have, too.
+A symbol is coded by its path in a Huffman tree, in which both ways of a step are about as likely when nothing is known
+of what is before. Each step is a decision that is predicted from counts of zeros and ones in two or three hashed
+contexts of the text before the symbol, the longest last. Their stretched probabilities are added with the weights of a
+set that the counts of the two longest contexts choose, and the sum is refined by a table of what came of such sums.
+Both bits of a decision have probabilities that sum to one, so all symbols' have, too.
 """
 
 from __future__ import annotations
@@ -14,21 +15,20 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Contexts; counts of a slot go up to TOP, beyond it both are scaled.
-CONTEXTS, TOP = 3, 65535
+#: Counts of a slot go up to this, beyond it both are scaled.
+TOP = 65535
 #: Counts are bounded from below by this much, stretched probabilities and their sum by these either way.
 PRIOR, REACH, LIMIT = 0.03, 8.0, 12.0
-#: Buckets of a context's counts; weight sets; first weights, with a constant's; the constant.
-DEPTHS, SETS, FIRST, CONSTANT = 8, 64, (0.3, 0.4, 0.3, 0.0), 0.3
+#: Buckets of a context's counts; weight sets; each context's first weight; a constant's value, whose weight is 0 at first.
+DEPTHS, SETS, FIRST, CONSTANT = 8, 64, 0.35, 0.3
 #: Levels of the refinement in each unit of the sum, and all; how many outcomes the unrefined probability counts for.
 UNIT, LEVELS, TRUST = 32, int(2 * LIMIT * 32) + 1, 30.0
-#: Decisions of a learning step, first and later ones, each twice the one before; how much of past curvature stays, its least, the largest step, and the share of decisions it is taken from.
-START, BATCH, PAST, LEAST, STEP, SPARSE = 1 << 12, 1 << 17, 0.9, 20.0, 0.3, 8
+#: Decisions of a learning step, first and later ones, each twice the one before; how much of past curvature stays, its least, and the largest step.
+START, BATCH, PAST, LEAST, STEP = 1 << 12, 1 << 17, 0.9, 20.0, 0.3
 #: Decisions predicted at a time.
 AT_ONCE = 1 << 17
 
 _NODE, _SPREAD = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
-_DEPTH = np.minimum(DEPTHS - 1, np.ceil(np.log2(np.arange(256) + 1))).astype(np.uint8)
 
 
 def mix32(x: np.ndarray) -> np.ndarray:
@@ -72,10 +72,10 @@ class Code:
 
 @dataclass
 class Shape:
-    """A code and, for each context, the base-2 logarithm of its slots; the first has one for each node at least."""
+    """A code and, for each context, the base-2 logarithm of its slots."""
 
     code: Code
-    bits: tuple[int, int, int]
+    bits: tuple[int, ...]
 
     def parts(self, symbols: np.ndarray, most: int) -> Iterator[slice]:
         """Slices of the symbols with about so many decisions."""
@@ -92,9 +92,13 @@ class Shape:
         first = np.cumsum(size) - size
         step = self.code.steps.take(np.arange(int(size.sum())) + np.repeat(self.code.start[symbols] - first, size))
         node = (step >> 1).astype(np.uint32) * _NODE
-        found = [((np.repeat(contexts[0], size) + node) & np.uint32((1 << self.bits[0]) - 1)).astype(np.intp)]
-        for context, bits in zip(contexts[1:], self.bits[1:]):
-            found.append((((np.repeat(context, size) ^ node) * _SPREAD) >> np.uint32(32 - bits)).astype(np.intp))
+        found = []
+        for context, bits in zip(contexts, self.bits):
+            at = np.repeat(context, size)
+            at ^= node
+            at *= _SPREAD
+            at >>= np.uint32(32 - bits)
+            found.append(at.astype(np.intp))
         return found, step & 1, first
 
 
@@ -103,7 +107,7 @@ def tallied(shape: Shape, tables: list[np.ndarray], symbols: np.ndarray, context
     for part in shape.parts(symbols, AT_ONCE):
         found, bit, _ = shape.decisions(symbols[part], [c[part] for c in contexts])
         for table, at in zip(tables, found):
-            np.add.at(table, 2 * at + bit, 1)
+            np.add.at(table, 2 * at + bit, np.uint32(1))
 
 
 def packed(table: np.ndarray) -> np.ndarray:
@@ -119,8 +123,8 @@ def stretched(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 
 def depth(total: np.ndarray) -> np.ndarray:
-    """The bucket of a number of counts."""
-    return _DEPTH.take(np.minimum(total, 255).astype(np.intp))
+    """The bucket of counts, as floats: how many bits the number has, to a limit."""
+    return np.clip((np.ascontiguousarray(total, np.float32).view(np.int32) >> 23) - 126, 0, DEPTHS - 1)
 
 
 def squash(x: np.ndarray) -> np.ndarray:
@@ -132,13 +136,17 @@ def level(total: np.ndarray, longest: np.ndarray) -> np.ndarray:
     return ((np.clip(total, -LIMIT, LIMIT) + np.float32(LIMIT)) * np.float32(UNIT)).astype(np.intp) + LEVELS * longest.astype(np.intp)
 
 
+def first_weights(contexts: int) -> np.ndarray:
+    return np.tile(np.append(np.full(contexts, FIRST), 0.0), (SETS, 1))
+
+
 class Learner:
     """Weights by set and outcomes by level, learned in the order of the symbols, each without its own count."""
 
     def __init__(self, shape: Shape, tables: list[np.ndarray]):
         self.shape, self.tables = shape, tables
-        self.weights = np.tile(np.array(FIRST), (SETS, 1))
-        self.curve = np.zeros((SETS, CONTEXTS + 1, CONTEXTS + 1))
+        self.weights = first_weights(len(shape.bits))
+        self.curve = np.zeros((SETS, len(shape.bits) + 1, len(shape.bits) + 1))
         self.outcomes = np.zeros(2 * LEVELS * DEPTHS)
         self.seen = 0
 
@@ -152,30 +160,36 @@ class Learner:
             lo = part.stop
 
     def step(self, found: list[np.ndarray], bit: np.ndarray) -> None:
-        x, depths = np.full((CONTEXTS + 1, len(bit)), CONSTANT, np.float32), []
-        for i, (table, at) in enumerate(zip(self.tables, found)):
+        x, near, far = [], None, None
+        one = bit.astype(np.float32)
+        for table, at in zip(self.tables, found):
             both = table.take(at)
-            zeros, ones = (both & np.uint32(TOP)).astype(np.int32), (both >> np.uint32(16)).astype(np.int32)
-            zeros, ones = np.maximum(0, zeros - 1 + bit), np.maximum(0, ones - bit)
-            x[i] = stretched(zeros.astype(np.float32), ones.astype(np.float32))
-            if i:
-                depths.append(depth(zeros + ones))
-        gate = depths[0].astype(np.intp) * DEPTHS + depths[1]
-        weights = self.weights.astype(np.float32)
-        total = sum(np.ascontiguousarray(weights[:, i]).take(gate) * x[i] for i in range(CONTEXTS + 1))
-        total = np.clip(total, -LIMIT, LIMIT)
+            ones = np.maximum((both >> np.uint32(16)).astype(np.float32) - one, 0)
+            zeros = np.maximum((both & np.uint32(TOP)).astype(np.float32) - (1 - one), 0)
+            x.append(stretched(zeros, ones))
+            near, far = far, depth(zeros + ones)
+        x.append(np.full(len(bit), CONSTANT, np.float32))
+        gate = (near * DEPTHS + far).astype(np.uint8)
+        order = np.argsort(gate, kind="stable")  # by set, so that what a set learns from is one run
+        x, gate, one, far = [v.take(order) for v in x], gate.take(order), one.take(order), far.take(order)
+        starts = np.flatnonzero(np.diff(gate, prepend=-1))
+        sets, runs = gate[starts].astype(np.intp), np.diff(np.append(starts, len(gate)))
+        weights = self.weights.astype(np.float32)[sets]
+        total = np.clip(sum(np.repeat(weights[:, i], runs) * v for i, v in enumerate(x)), -LIMIT, LIMIT)
         chance = squash(total)
-        wrong = bit.astype(np.float32) - chance
-        slope = np.stack([np.bincount(gate, wrong * v, SETS) for v in x], axis=1)
-        some = slice(None, None, SPARSE)
-        g, spread, few = gate[some], (chance * (1 - chance))[some], x[:, some]
-        fresh = np.empty_like(self.curve)
-        for i in range(CONTEXTS + 1):
+        wrong, spread = one - chance, chance * (1 - chance)
+        slope = np.stack([np.add.reduceat(wrong * v, starts, dtype=np.float64) for v in x], axis=1)
+        self.curve *= PAST
+        for i, v in enumerate(x):
+            here = spread * v
             for j in range(i + 1):
-                fresh[:, i, j] = fresh[:, j, i] = SPARSE * np.bincount(g, spread * few[i] * few[j], SETS)
-        self.curve = PAST * self.curve + fresh
-        self.weights += np.clip(np.linalg.solve(self.curve + LEAST * np.eye(CONTEXTS + 1), slope[:, :, None])[:, :, 0], -STEP, STEP)
-        self.outcomes += np.bincount(2 * level(total, depths[1]) + bit, minlength=len(self.outcomes))
+                fresh = np.add.reduceat(here * x[j], starts, dtype=np.float64)
+                self.curve[sets, i, j] += fresh
+                if j < i:
+                    self.curve[sets, j, i] += fresh
+        least = LEAST * np.eye(len(x))
+        self.weights[sets] += np.clip(np.linalg.solve(self.curve[sets] + least, slope[:, :, None])[:, :, 0], -STEP, STEP)
+        self.outcomes += np.bincount(2 * level(total, far) + (one > 0.5), minlength=len(self.outcomes))
         self.seen += len(bit)
 
 
@@ -186,9 +200,9 @@ class Predictor:
         self.shape = shape
         self.values = []
         for table in tables:
-            zeros, ones = table & np.uint32(TOP), table >> np.uint32(16)
-            values = stretched(zeros.astype(np.float32), ones.astype(np.float32)).astype(np.float32).view(np.uint32)
-            self.values.append(((values & np.uint32(0xFFFFFFF8)) | depth(zeros + ones)).view(np.float32))
+            zeros, ones = (table & np.uint32(TOP)).astype(np.float32), (table >> np.uint32(16)).astype(np.float32)
+            values = stretched(zeros, ones).astype(np.float32).view(np.uint32)
+            self.values.append(((values & np.uint32(0xFFFFFFF8)) | depth(zeros + ones).astype(np.uint32)).view(np.float32))
         self.weights = [np.ascontiguousarray(w, np.float32) for w in weights.T]
         seen = outcomes.reshape(DEPTHS, LEVELS, 2)
         plain = squash(np.arange(LEVELS) / UNIT - LIMIT + 0.5 / UNIT)
@@ -204,12 +218,13 @@ class Predictor:
             if not len(bit):
                 continue
             x = [values.take(at) for values, at in zip(self.values, found)]
-            near, far = (v.view(np.uint32) & np.uint32(7) for v in x[1:])
+            near, far = (v.view(np.uint32) & np.uint32(7) for v in x[-2:])
             gate = (near * np.uint32(DEPTHS) + far).astype(np.intp)
-            total = np.float32(CONSTANT) * self.weights[CONTEXTS].take(gate)
+            total = np.float32(CONSTANT) * self.weights[-1].take(gate)
             for weights, v in zip(self.weights, x):
-                total += weights.take(gate) * v
+                v *= weights.take(gate)
+                total += v
             each = self.logs.take(2 * level(total, far) + bit)
-            size = self.shape.code.size[symbols[part]]
-            out[part] = np.where(size > 0, np.add.reduceat(np.append(each, np.float32(0)), first, dtype=np.float64), 0)
+            sums = np.add.reduceat(each, np.minimum(first, len(each) - 1), dtype=np.float64)
+            out[part] = np.where(self.shape.code.size[symbols[part]] > 0, sums, 0)
         return out
