@@ -140,8 +140,9 @@ def contamination(df: DataFrame, items: DataFrame, key: str = "item_id", text: s
             rows = rows.union(x)
         rows = rows.groupBy("h1", "h2").agg(F.flatten(F.collect_list("spans")).alias("all_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("all_items"))
         rows = rows.mapInArrow(merge_spans, "h1 string, h2 string, all_hit long, all_items array<string>")
-        result = result.withColumns({"h1": F.md5(text), "h2": F.sha1(text)}).join(rows, ["h1", "h2"], "left")
-        result = result.withColumns({"n_hit": F.coalesce("all_hit", F.lit(0).cast("long")), "items": F.coalesce("all_items", F.array().cast("array<string>"))}).drop("h1", "h2", "all_hit", "all_items")
+        whole = result.select(F.struct("*").alias("row"), F.md5(text).alias("h1"), F.sha1(text).alias("h2")).join(rows, ["h1", "h2"], "left")
+        summed = {"n_hit": F.coalesce("all_hit", F.lit(0).cast("long")), "items": F.coalesce("all_items", F.array().cast("array<string>"))}
+        result = whole.select(*(summed.get(c, F.col("row").getField(c)).alias(c) for c in result.columns))
     return result.drop("spans").withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 

@@ -48,8 +48,11 @@ def scripts(words: list[str]) -> np.ndarray:
 
 
 def letters(text: str | None) -> list[str]:
-    """Lower-cased runs of letters."""
-    return [w for w in WORD.findall(text.lower()) if w.isalpha()] if text else []
+    """Lower-cased runs of letters; other characters that a run of word characters holds, such as \u00b2, cut it."""
+    found = WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +180,10 @@ class Scores(dict):
 
 
 def fit(df: DataFrame, lang: str = "lang", key: str = "doc_id", text: str = "text", most: int = FIT_TEXTS) -> Model | None:
-    """A model from the rows' texts and languages, at most so many texts of a language; None without any."""
+    """A model from the rows' texts and languages, at most so many texts of a language; None without any.
+
+    What is collected grows with the number of languages: a count and a row of n-grams for each.
+    """
     df = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in df.groupBy(lang).count().collect()}
     langs = sorted(counts)

@@ -29,6 +29,8 @@ from recordmill.llm.shared import new_path, slices, texts
 
 #: Ids of a chunk.
 CHUNK = 1 << 16
+#: The pattern that the library's byte-level pre-tokenizer splits by (fixed value); public_tokenizers has to name the same.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def byte_characters() -> dict[str, int]:
@@ -75,7 +77,7 @@ class Ids:
         self.special = [x["content"] for x in whole.get("added_tokens", [])]
         self.fast = None
         plain = whole["pre_tokenizer"] or {}
-        if whole["normalizer"] is None and plain.get("type") == "ByteLevel" and plain.get("use_regex") and not plain.get("add_prefix_space"):
+        if public_tokenizers.PATTERN == BYTE_LEVEL and whole["normalizer"] is None and plain.get("type") == "ByteLevel" and plain.get("use_regex") and not plain.get("add_prefix_space"):
             table = byte_characters()
             raw = lambda piece: bytes(map(table.__getitem__, piece))
             pieces = {raw(p): i for p, i in whole["model"]["vocab"].items() if p not in self.special}

@@ -20,6 +20,41 @@ UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 REMEMBERED = 400_000
 
 
+def message_fields(data: bytes) -> list[tuple[int, int | bytes]]:
+    """The fields of a message as protocol buffers write it: number and value, in order."""
+    out, at = [], 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        tag = varint()
+        if tag & 7 == 0:
+            out.append((tag >> 3, varint()))
+            continue
+        size = varint() if tag & 7 == 2 else {1: 8, 5: 4}[tag & 7]
+        out.append((tag >> 3, data[at : at + size]))
+        at += size
+    return out
+
+
+def leaves_texts(model) -> bool:
+    """Whether the model's own settings say that a text is only given a space in front: no table of characters to
+    replace, no white space taken away, spaces written as marks."""
+    spec = next((v for k, v in message_fields(model.serialized_model_proto()) if k == 3), b"")
+    # the settings' numbers in the format, with what they are when left out (fixed values)
+    found = {2: b"", 3: 1, 4: 1, 5: 1} | dict(message_fields(spec))
+    return (found[2], found[3], found[4], found[5]) == (b"", 1, 0, 1)
+
+
 class Counter:
     """Counts the pieces of a sentencepiece BPE model that leaves texts as they are and puts a space before them.
 
@@ -30,7 +65,7 @@ class Counter:
     def __init__(self, path: str):
         self.model = model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-        self.splits = not any(SPACE in p.lstrip(SPACE) for p in pieces) and model.encode(" a  b ", out_type=str) == self.as_units(model, " a  b ")
+        self.splits = leaves_texts(model) and not any(SPACE in p.lstrip(SPACE) for p in pieces) and model.encode(" a  b ", out_type=str) == self.as_units(model, " a  b ")
         units = [p for p in pieces if p[0] == SPACE and p != SPACE and UNIT.fullmatch(p)]
         #: Units that the library, asked once for each, encodes as one token.
         self.whole = {p for p, ids in zip(units, model.encode([p[1:] for p in units], num_threads=1)) if len(ids) == 1} | {SPACE}

@@ -11,6 +11,7 @@ import public_tokenizers as P
 import pytest
 import sentencepiece
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -212,6 +213,33 @@ def test_contamination_brute_force(spark):
             assert r.contaminated == (hit > 0 and 20 * hit >= n)
 
 
+def test_contamination_of_long_texts_and_clashing_names(spark):
+    names = ("h1", "h2", "all_hit", "all_items", "row", "all_spans")
+    item = " ".join(f"i{k}" for k in range(40))
+    long = " ".join(f"w{k % 977}" for k in range(150_000))
+    rows = [(1, f"{long} {item} {long}"), (2, item), (3, long), (4, "x" * 1_000_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit("mine") for n in names})
+    items = spark.createDataFrame([(1, item), (2, "never there at all")], "item_id long, text string")
+    for size in (decontaminate.BLOCK_BYTES, 50):
+        found = {r.doc_id: r for r in decontaminate.contamination(df, items, block_bytes=size).collect()}
+        assert [(found[k].n_words, found[k].n_hit, found[k].contaminated) for k in (1, 2, 3, 4)] == [(300_040, 40, False), (40, 40, True), (150_000, 0, False), (1, 0, False)]
+        assert all(found[k][n] == "mine" for k in found for n in names)
+
+
+def test_long_texts(spark):
+    rng = np.random.default_rng(2)
+    long = " ".join(f"w{k}" for k in rng.integers(0, 5000, 60_000))
+    lines = "\n".join(f"line {k} of many" for k in range(20_000))
+    rows = [(1, long), (2, long + " more"), (3, lines), (4, "head\n" + lines), (5, "z" * 400_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, 5).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+    cut = {r.doc_id: r for r in line_dedup.line_dedup(df).collect()}
+    assert (cut[4].text, cut[4].n_removed, cut[3].n_removed, cut[2].text) == ("head", 20_000, 0, long + " more")
+    assert language_id.label(df, language_id.fit(df)).count() == 5
+    scored = {r.doc_id: r for r in lm_score.predict(df).collect()}
+    assert scored[1].n_tokens == 60_001 and all(r.score < 0 for r in scored.values())
+
+
 def test_contamination_odd(spark, odd, empty):
     items = spark.createDataFrame([(1, "the quick the")], "item_id long, text string")
     found = decontaminate.contamination(odd, items)
@@ -271,14 +299,17 @@ def test_near_duplicates_odd(odd, empty):
     assert near_dup.near_duplicates(empty, 2).count() == 0
 
 
-def meetings(rows, room, maps=False):
+def meetings(rows, room, known=False):
     """Pairs of places that rows (class, shingles) of one region give; None: in a crowded region."""
     count = len(rows)
     names = [k.to_bytes(16, "big") for k in range(count)]
-    bits = [near_dup.bitmap(np.array(sorted(s), np.uint64) << np.uint64(40)) if maps else None for _, s in rows]
+    values = np.zeros((count, near_dup.HASHES), np.uint32)
+    maps = [near_dup.bitmap(np.array(sorted(s), np.uint64) << np.uint64(40)) for _, s in rows]
+    sigs = [v.tobytes() + m for v, m in zip(values, maps)] if known else [None] * count
     long = lambda values: pa.array(list(values), pa.int64())
-    columns = [long([5] * count), pa.array([bytes(near_dup.DEEPER)] * count, pa.binary()), pa.array(names, pa.binary()), pa.array(bits, pa.binary()), long(len(s) for _, s in rows), long(c for c, _ in rows)]
-    batch = pa.RecordBatch.from_arrays(columns, ["key", "deep", "node", "map", "n", "class"])
+    key = int(near_dup.keys_of(values[:1], 0)[0])
+    columns = [long([key] * count), pa.array([bytes(near_dup.DEEPER)] * count, pa.binary()), pa.array(names, pa.binary()), pa.array(sigs, pa.binary()), long(len(s) for _, s in rows), long(c for c, _ in rows)]
+    batch = pa.RecordBatch.from_arrays(columns, ["key", "deep", "node", "sig", "n", "class"])
     out = near_dup.meetings(room)(iter([batch.slice(k, 7) for k in range(0, count, 7)]))
     number = lambda x: None if x is None else int.from_bytes(x, "big")
     found = [(number(x), number(y)) for b in out for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
@@ -298,6 +329,21 @@ def test_regions_meet_whole(monkeypatch):
     assert meetings([(0, ten), (1, ten - {1, 2, 3} | {11, 12, 13}), (2, nine)], None, True) == {(0, 2)}
 
 
+def test_pairs_come_from_their_first_tree():
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 1 << 32, (2, near_dup.HASHES), dtype=np.uint32)
+    shared = np.unique(np.concatenate([near_dup._ORDER[t][: near_dup.DEPTH] for t in (4, 9, 30)]))
+    rest = np.setdiff1d(np.arange(near_dup.HASHES), shared)
+    values[1, shared] = values[0, shared]
+    values[1, rest[:90]] = values[0, rest[:90]]
+    together = [t for t in range(near_dup.TREES) if (near_dup.keys_of(values[:1], t) == near_dup.keys_of(values[1:], t)).all()]
+    bits = np.zeros((2, near_dup.MAP // 32), np.uint32)
+    sig = np.concatenate([values, bits], axis=1)
+    node = np.arange(32, dtype=np.uint8).reshape(2, 16)
+    found = [near_dup.pairs_of([near_dup.keys_of(values, t), None, node, sig, np.array([9, 9]), np.array([1, 2])], [np.array([0])], [np.array([1])]).num_rows for t in together]
+    assert {4, 9, 30} <= set(together) and found == [1] + [0] * (len(together) - 1)
+
+
 def test_bound_dismisses_no_link(monkeypatch):
     rng = np.random.default_rng(8)
     links = 0
@@ -399,6 +445,51 @@ def test_rare_language_is_predicted(spark):
     assert [r.lang_pred for r in found] == ["dd", "bb"]
 
 
+def test_letters_are_cut_out_of_runs():
+    assert language_id.letters("km\u00b2 \u00bdx Ab1c \u00b2") == ["km", "x", "ab", "c"] and language_id.letters(None) == []
+
+
+def test_language_brute_force(spark, sf_dir):
+    """Predictions by n-grams counted one by one and the best of all paths by a plain recursion."""
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    learn = [(t, k) for d, t, k in rows if zlib.crc32(str(d).encode()) % 4 != 2 and k is not None and t is not None]
+    langs = sorted({k for _, k in learn})
+
+    def buckets(word):
+        word = f"\x02{word}\x03"
+        for n in range(1, language_id.ORDER + 1):
+            for i in range(len(word) - n + 1):
+                h = 0
+                for j in range(n):  # each length goes on from the one before
+                    h = (h * 0x100000001B3 + ord(word[i + j]) + j + 1) & (2**64 - 1)
+                yield (int(language_id.mix(np.array([h], np.uint64))[0]) >> 20) & (language_id.BUCKETS - 1)
+
+    grams = {k: Counter() for k in langs}
+    seen = Counter((w, k) for t, k in learn for w in language_id.letters(t))
+    held = {}
+    for (w, k), n in seen.items():
+        for b in held.setdefault(w, list(buckets(w))):
+            grams[k][b] += n
+    used = len({b for g in grams.values() for b in g})
+    total = {k: sum(g.values()) for k, g in grams.items()}
+    some = [(d, t) for d, t, _ in rows if t and len(t) < 600][:12]
+    found = {r.doc_id: r for r in language_id.predict(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
+    for d, t in some:
+        words = language_id.letters(t)
+        if not words:
+            continue
+        best = {k: (0.0, []) for k in langs}
+        for i, w in enumerate(words):
+            score = {k: sum(math.log((grams[k][b] + 0.5) / (total[k] + 0.5 * used)) for b in buckets(w)) for k in langs}
+            best = {k: max(((v - (language_id.SWITCH if i and path[-1] != k else 0) + score[k], [*path, k]) for v, path in best.values()), key=lambda x: x[0]) if i else (score[k], [k]) for k in langs}
+        path = max(best.values(), key=lambda x: x[0])[1]
+        share = Counter()
+        for w, k in zip(words, path):
+            share[k] += len(w)
+        top = min(langs, key=lambda k: (-share[k], k))
+        assert found[d].lang_pred == top and abs(found[d].score - share[top] / sum(share.values())) < 1e-6
+
+
 def test_language_odd(spark, odd, empty):
     found = {r.text: r.lang_pred for r in language_id.label(odd, language_id.fit(odd)).collect()}
     assert found[None] == found[""] == found["123 4,5. 6"] == found["😀😀"] == "und" and found["don't we'll I'M"] == "en"
@@ -453,6 +544,22 @@ def test_neighbours(spark, sf_dir):
     assert np.mean(recall) >= 0.9
 
 
+def test_neighbours_over_shards_and_lengths(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD", 150)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=8 if i % 3 else 5).astype(np.float32).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = defaultdict(set)
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0")).collect():
+        found[r.query_id].add(r.vec_id)
+    vectors = {i: np.array(v, np.float32).astype(float) for i, v in rows}
+    recall = []
+    for q in range(0, 900, 20):
+        scores = sorted(((-float(v @ vectors[q]), i) for i, v in vectors.items() if i != q and len(v) == len(vectors[q])))
+        recall.append(len(found[q] & {i for _, i in scores[:20]}) / 20)
+    assert np.mean(recall) >= 0.95 and min(recall) >= 0.7
+
+
 def test_neighbours_odd(spark):
     rows = [(i, [1.0, 0.0]) for i in range(40)] + [(100, [0.5, 0.5]), (101, None), (102, [0.0, 0.0]), (103, [float("nan"), 1.0]), (104, [None, 1.0]), (105, [1.0, 0.0, 0.0]), (None, [1.0, 1.0]), (106, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
@@ -488,6 +595,7 @@ def test_language_model(spark, sf_dir, odd, empty):
         found = lm_score.predict(df).collect()
         assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 3)) for r in found) == sorted(wanted)
         assert all(r.score < 0 for r in found)
+        assert all((r.bits_per_byte is None) == (r.n_bytes == 0) for r in found)
     assert lm_score.predict(empty).count() == 0
 
 
@@ -505,8 +613,6 @@ def brute_path(code, symbol):
 
 def brute_slot(shape, c, context, node):
     node = node * 0x9E3779B1 & 0xFFFFFFFF
-    if c == 0:
-        return (context + node) & ((1 << shape.bits[0]) - 1)
     return ((context ^ node) * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - shape.bits[c])
 
 
@@ -521,12 +627,12 @@ def brute_word_stream(words, text):
     number = {n: i for i, n in enumerate(words.names)}
     tokens = [*spaced_words(text), lm_score.END]
     marks = [number.get(lm_score.name_of(t)) for t in tokens]
-    marks = [int.from_bytes(hashlib.blake2b(t, digest_size=4).digest(), "little") | 1 << 31 if m is None else m for m, t in zip(marks, tokens)]
+    marks = [xxhash.xxh32_intdigest(t) | 1 << 31 if m is None else m for m, t in zip(marks, tokens)]
     before = int(lm_score.BEFORE)
     for i, m in enumerate(marks):
         one, two = (marks[i - k] if i >= k else before for k in (1, 2))
         one = brute_mix32(one)
-        yield min(m, words.escape), (0, one, brute_mix32((one + two * 0x9E3779B1 + 1) & 0xFFFFFFFF))
+        yield min(m, words.escape), (one, brute_mix32((one + two * 0x9E3779B1 + 1) & 0xFFFFFFFF))
 
 
 def brute_byte_stream(token):
@@ -542,10 +648,10 @@ def brute_byte_stream(token):
 
 
 def brute_counts(shape, streams):
-    tables = [Counter() for _ in range(3)]
+    tables = [Counter() for _ in shape.bits]
     for symbol, contexts in streams:
         for node, bit in brute_path(shape.code, symbol):
-            for c in range(3):
+            for c in range(len(tables)):
                 tables[c][brute_slot(shape, c, contexts[c], node), bit] += 1
     return tables
 
@@ -556,11 +662,11 @@ def brute_score(predictor, tables, streams):
     depth = lambda n: min(7, math.ceil(math.log2(n + 1)))
     for symbol, contexts in streams:
         for node, bit in brute_path(shape.code, symbol):
-            n = [[tables[c][brute_slot(shape, c, contexts[c], node), b] for b in (0, 1)] for c in range(3)]
+            n = [[tables[c][brute_slot(shape, c, contexts[c], node), b] for b in (0, 1)] for c in range(len(tables))]
             x = [min(8.0, max(-8.0, math.log((one + mixing.PRIOR) / (zero + mixing.PRIOR)))) for zero, one in n]
-            gate = depth(sum(n[1])) * 8 + depth(sum(n[2]))
+            gate = depth(sum(n[-2])) * 8 + depth(sum(n[-1]))
             s = sum(float(w[gate]) * v for w, v in zip(predictor.weights, [*x, mixing.CONSTANT]))
-            at = int((min(mixing.LIMIT, max(-mixing.LIMIT, s)) + mixing.LIMIT) * mixing.UNIT) + mixing.LEVELS * depth(sum(n[2]))
+            at = int((min(mixing.LIMIT, max(-mixing.LIMIT, s)) + mixing.LIMIT) * mixing.UNIT) + mixing.LEVELS * depth(sum(n[-1]))
             total += float(predictor.logs[2 * at + bit])
     return total
 
@@ -588,8 +694,8 @@ def test_symbols_make_a_distribution(spark, sf_dir):
     words, _, model, _, _ = lm_model(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for mark in (7, 11):
         every = np.arange(words.escape + 1)
-        contexts = [np.full(len(every), c, np.uint32) for c in (0, mark, mark * 77)]
-        assert abs((10.0 ** model.words.scores(every, contexts)).sum() - 1) < 1e-3
+        contexts = [np.full(len(every), c, np.uint32) for c in (mark, mark * 77, mark * 99)]
+        assert abs((10.0 ** model.words.scores(every, contexts[:2])).sum() - 1) < 1e-3
         assert abs((10.0 ** model.bytes.scores(np.arange(257), [c[:257] for c in contexts])).sum() - 1) < 1e-3
 
 
@@ -616,9 +722,9 @@ def test_mixing_learns_in_order_without_its_own_count():
 
 def test_context_does_not_pass_texts():
     marks, first = np.arange(10, dtype=np.uint32), np.array([0, 1, 5])
-    _, one, two = lm_score.word_contexts(marks, first)
+    one, two = lm_score.word_contexts(marks, first)
     alone = [lm_score.word_contexts(marks[a:b], np.array([0])) for a, b in ((0, 1), (1, 5), (5, 10))]
-    assert (one == np.concatenate([x[1] for x in alone])).all() and (two == np.concatenate([x[2] for x in alone])).all()
+    assert (one == np.concatenate([x[0] for x in alone])).all() and (two == np.concatenate([x[1] for x in alone])).all()
 
 
 def test_codes_are_prefix_free():
@@ -630,6 +736,50 @@ def test_codes_are_prefix_free():
         assert abs(sum(2.0 ** -len(p) for p in paths) - 1) < 1e-9
 
 
+def brute_quality(model, text):
+    """A text's score by sums over its tokens one by one and the network's units one by one."""
+    found = quality.tokens(text)
+    row = lambda t: xxhash.xxh3_64_intdigest(t) % quality.ROWS
+    pooled = [0.0] * (2 * quality.DIM)
+    for t in found:
+        for k in range(quality.DIM):
+            pooled[k] += float(quality.INDEX[row(t), k]) / len(found)
+            pooled[quality.DIM + k] += float(model.context[row(t), k]) / len(found)
+    x = [min(6.0, max(-6.0, (v - m) / s)) for v, m, s in zip([*pooled, *quality.shapes(text, found)], model.middle, model.scale)]
+    hidden = [max(0.0, sum(v * w for v, w in zip(x, model.w1[:, j])) + model.b1[j]) for j in range(quality.HIDDEN)]
+    z = (sum(h * w for h, w in zip(hidden, model.w2)) + model.b2) / model.temperature
+    return 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
+
+
+def test_quality_brute_force(spark, sf_dir):
+    rows, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    known = labels.where("quality IS NOT NULL").where(~(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1)).select("doc_id", "quality")
+    sampled = quality.sample(rows, known, "quality", "doc_id", "text", 8000)
+    truth = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.quality is not None}
+    texts = {r.doc_id: r.text for r in rows.collect()}
+    assert Counter(sampled) == Counter((texts[k], y) for k, y in truth.items() if k in texts)
+    model = quality.fit(sampled)
+    some = [(i, t) for i, t in enumerate(["", "Word", "two  words\n\nand a line", *[t for t in texts.values() if t and len(t) < 2500][:8]])]
+    found = {r.doc_id: r.score for r in quality.score(spark.createDataFrame(some, "doc_id long, text string"), model).collect()}
+    assert all(abs(found[i] - brute_quality(model, t)) < 1e-4 for i, t in some)
+
+
+def brute_context(rows):
+    """Context vectors of hashed rows by going over each token and its neighbours."""
+    out = np.zeros((quality.ROWS, quality.DIM))
+    for r in rows:
+        for i, here in enumerate(r):
+            for j in range(max(0, i - quality.REACH), min(len(r), i + quality.REACH + 1)):
+                if j != i:
+                    out[here] += quality.INDEX[r[j]]
+    return out / np.maximum(1e-6, np.linalg.norm(out, axis=1, keepdims=True))
+
+
+def test_context_vectors():
+    rows = [np.random.default_rng(k).integers(0, 50, k) for k in (0, 1, 2, 30)]
+    assert np.allclose(quality.contexts(rows), brute_context(rows), atol=1e-5)
+
+
 def test_quality(spark, sf_dir, odd, empty):
     rows, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
     found = quality.predict(rows, labels)
