@@ -57,16 +57,35 @@ def guard(actions: DataFrame) -> DataFrame:
     return c.select(existing.alias("existing"), F.col("removed"), surviving.alias("surviving"), blocked.alias("blocked"))
 
 
-def commit(batch: DataFrame, stored: DataFrame, actions: DataFrame, path: str, key: str = "id", allow_removal: bool = False) -> DataFrame:
-    """Write the store's next version to a path of its own; the guard's verdict comes first."""
+def commit(batch: DataFrame, actions: DataFrame, path: str, number: int, key: str = "id", allow_removal: bool = False) -> DataFrame:
+    """Add a batch's changes to a store's log of changes: new and changed records whole, removed ones by key.
+
+    What a batch leaves alone isn't written again. A number is written once; the same batch tried again is refused
+    by the folder that it made. The guard's verdict comes first.
+    """
     if not allow_removal and guard(actions).first()["blocked"]:
         raise InputError("the snapshot removes too many records")
-    fresh = batch.join(actions.where(F.col("action").isin("added", "updated")).select(key), key, "left_semi")
-    stay = stored.join(actions.where(F.col("action").isin("unchanged", "kept")).select(key), key, "left_semi")
-    stay.unionByName(fresh, allowMissingColumns=True).write.mode("errorifexists").partitionBy("source").parquet(path)
+    done = actions.where(F.col("action").isin("added", "updated", "removed")).select(key, F.col("action") == "removed")
+    done.toDF(key, CHANGE).join(batch, key, "left").write.mode("errorifexists").parquet(f"{path}/batch={number}")
     return counters(actions)
 
 
+#: The column of a change log that marks what is gone.
+CHANGE = "_removed"
+
+
+def current(changes: DataFrame, key: str = "id") -> DataFrame:
+    """The records that a log of changes leaves: each key's latest, without those that are removed."""
+    fields = [c for c in changes.columns if c not in (key, CHANGE, "batch")]
+    latest = changes.groupBy(key).agg(F.max_by(F.struct(CHANGE, *fields), "batch").alias("r"))
+    return latest.where(~F.col(f"r.{CHANGE}")).select(key, *(F.col("r").getField(c).alias(c) for c in fields))
+
+
+def compact(changes: DataFrame, path: str, key: str = "id") -> None:
+    """Write what a log leaves as the first batch of a log of its own."""
+    current(changes, key).withColumn(CHANGE, F.lit(False)).write.mode("errorifexists").parquet(f"{path}/batch=0")
+
+
 def duplicates(rows: DataFrame, *key: str) -> DataFrame:
     """Keys that several rows share."""
     return rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")

@@ -65,9 +65,8 @@ def broken(value: Column, kind: T.DataType, shape: dict, name: str) -> list[tupl
             for branch, here in (("then", met), ("else", ~met)):
                 if branch in shape:
                     add(branch, here & any_of([p for _, p in broken(value, kind, shape[branch], name)]) & value.isNotNull())
-        elif word == "format":
-            if arg in FORMATS:
-                add(word, ~value.rlike(FORMATS[arg]))
+        elif word == "format" and arg in FORMATS:
+            add(word, ~value.rlike(FORMATS[arg]))
         elif word == "multipleOf":
             add(word, value % arg != 0)
         elif word == "additionalProperties" and arg is False and isinstance(kind, T.StructType):

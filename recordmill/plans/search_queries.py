@@ -243,15 +243,14 @@ def format_span(spark, sf_dir):
 
 
 def cron_prev(spark, sf_dir):
-    rows = read(spark, sf_dir, "events").select("event_id", "ts")
-    found = pages.mapped(rows.withColumn("at", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")), "at", "fired", previous_fire("30 6 * * *"))
-    return found.select("event_id", "fired")
+    rows = read(spark, sf_dir, "events").select("event_id", F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts"))
+    return cron.with_previous(rows, "30 6 * * *", F.col("ts")).select("event_id", F.date_format("fired", "yyyy-MM-dd'T'HH:mm:ss").alias("fired"))
 
 
-def previous_fire(expression):
-    from datetime import datetime
-
-    return lambda at: cron.previous(expression, datetime.fromisoformat(at)).isoformat()
+def cron_prev_weekdays(spark, sf_dir):
+    """Twice an hour on Mondays and Fridays, on the clocks of a zone five and a half hours ahead."""
+    rows = read(spark, sf_dir, "events").select("event_id", F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts"))
+    return cron.with_previous(rows, "0,30 * * * mon,fri", F.col("ts"), "Asia/Kolkata").select("event_id", F.date_format("fired", "yyyy-MM-dd'T'HH:mm:ss").alias("fired"))
 
 
 def attrs_map(spark, sf_dir):
@@ -465,6 +464,9 @@ SQL = {
     "reserved_intersect": "SELECT * FROM (VALUES ('notes'), ('loops')) t(name)",
     "format_span": """WITH v AS (SELECT event_id, value * 1000 AS x, CAST(round_even(value * 1000, 0) AS BIGINT) AS r FROM events), p AS (SELECT event_id, x, list_filter([CASE WHEN r // 604800 > 0 THEN (r // 604800) || 'w' END, CASE WHEN r % 604800 // 86400 > 0 THEN (r % 604800 // 86400) || 'd' END, CASE WHEN r % 86400 // 3600 > 0 THEN (r % 86400 // 3600) || 'h' END, CASE WHEN r % 3600 // 60 > 0 THEN (r % 3600 // 60) || 'm' END, CASE WHEN r % 60 > 0 THEN (r % 60) || 's' END], lambda y: y IS NOT NULL) AS u FROM v)
         SELECT event_id, CASE WHEN x < 1 THEN greatest(0, CAST(round_even(x * 1000, 0) AS BIGINT)) || 'ms' ELSE array_to_string(u[1:2], '') END AS span FROM p""",
+    "cron_prev_weekdays": """WITH e AS (SELECT event_id, date_trunc('second', ts) + INTERVAL 330 MINUTE - INTERVAL 1 MICROSECOND AS t FROM events), d AS (SELECT *, dayofweek(t) AS w FROM e)
+        SELECT event_id, strftime(CASE WHEN w IN (1, 5) THEN date_trunc('hour', t) + CASE WHEN minute(t) >= 30 THEN INTERVAL 30 MINUTE ELSE INTERVAL 0 MINUTE END
+        ELSE date_trunc('day', t) - INTERVAL 30 MINUTE - CASE w WHEN 2 THEN INTERVAL 0 DAY WHEN 3 THEN INTERVAL 1 DAY WHEN 4 THEN INTERVAL 2 DAY WHEN 6 THEN INTERVAL 0 DAY WHEN 0 THEN INTERVAL 1 DAY END END, '%Y-%m-%dT%H:%M:%S') AS fired FROM d""",
     "cron_prev": "SELECT event_id, strftime(CASE WHEN ts > date_trunc('day', ts) + INTERVAL 390 MINUTE THEN date_trunc('day', ts) + INTERVAL 390 MINUTE ELSE date_trunc('day', ts) - INTERVAL 1050 MINUTE END, '%Y-%m-%dT%H:%M:%S') AS fired FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events)",
     "attrs_map": "SELECT c_custkey, c_mktsegment AS segment, CAST(c_nationkey AS VARCHAR) AS nation FROM customer",
     "link_query_map": "SELECT page_id, 'id' AS k, CAST(page_id AS VARCHAR) AS v FROM pages",
@@ -488,7 +490,7 @@ QUERIES = {
     for f in (
         scan_records, list_paths, note_fields, note_link_fields, section_assign, section_extract, section_at_anchor, note_snippets, point_reads, filter_scope_folder, filter_scope_note, walk_order, record_path, search_regex, search_literal, search_line, search_snippet, search_page, filter_source, filter_kind, filter_scope_prefix, project_fields, limit_truncated,
         search_then_project, point_read_ref, alias_lookup, line_slice, byte_budget, tsv_rows, status_counts, open_tasks_total, json_strict, canonical_sha, ws_collapse, slugify, text_hygiene, redact_text, redact_kv,
-        duration_parse, date_normalize, time_normalize, ts_key, tags_normalize, reserved_intersect, path_predicates, format_span, cron_prev, attrs_map, link_query_map, headings_regex, html_to_text, html_strip,
+        duration_parse, date_normalize, time_normalize, ts_key, tags_normalize, reserved_intersect, path_predicates, format_span, cron_prev, cron_prev_weekdays, attrs_map, link_query_map, headings_regex, html_to_text, html_strip,
         session_rollup, compile_notes, note_outline, tasks_explode, headings_explode, frontmatter_split, link_normalize, eval_expectations, envelope_parse, schema_violations,
     )
 }

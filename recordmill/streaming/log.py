@@ -22,9 +22,15 @@ def read(spark: SparkSession, path: str, schema: StructType, files_per_batch: in
     return events.withColumns({n: F.col(n).cast("timestamp") for n in naive}) if naive else events
 
 
-def without_repeats(events: DataFrame, *key: str) -> DataFrame:
-    """The first event of each key; without a watermark, so late events aren't lost."""
-    return events.dropDuplicates(list(key))
+def without_repeats(events: DataFrame, *key: str, time: str | None = None, late: str = "7 days") -> DataFrame:
+    """The first event of each key.
+
+    With the column of an event's time, keys are forgotten once they are so late, and what is kept stays bounded;
+    a repeat that comes later still passes again. Without it every key is kept for good, so that none passes twice.
+    """
+    if time is None:
+        return events.dropDuplicates(list(key))
+    return events.withWatermark(time, late).dropDuplicatesWithinWatermark(list(key))
 
 
 def start(events: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:

@@ -152,6 +152,19 @@ def test_cron(expression, when, fired):
     assert cron.previous(expression, when) == fired
 
 
+@pytest.mark.parametrize("expression", ["*/15 * * * *", "0 9 * * mon-fri", "@monthly", "0 0 29 2 *", "0 0 13 * 5", "30 2 * * *"])
+def test_cron_as_a_plan(spark, expression):
+    from datetime import timedelta
+    from zoneinfo import ZoneInfo
+
+    times = [datetime(2026, 3, 28) + timedelta(hours=5 * k, minutes=7 * k) for k in range(30)] + [datetime(2026, 10, 25, 0, 30), datetime(2026, 1, 1)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "id int, ts timestamp_ntz").withColumn("ts", F.col("ts").cast("timestamp"))
+    for zone in ("UTC", "Europe/Berlin", "Asia/Kolkata"):
+        found = {r.id: r.fired for r in cron.with_previous(df, expression, F.col("ts"), zone).collect()}
+        local = [t.replace(tzinfo=ZoneInfo("UTC")).astimezone(ZoneInfo(zone)).replace(tzinfo=None) for t in times]
+        assert found == {i: cron.previous(expression, t) for i, t in enumerate(local)}
+
+
 @pytest.mark.parametrize("expression", ["* * * *", "60 * * * *", "a * * * *", "5-1 * * * *"])
 def test_bad_cron(expression):
     with pytest.raises(ValueError):
@@ -163,6 +176,27 @@ def test_visible_text():
     assert pages.visible_text(None) == ""
 
 
+def test_workbook():
+    import io
+    import zipfile
+
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("xl/sharedStrings.xml", '<s xmlns="u"><si><t>zero</t></si><si><r><t>o</t></r><r><t>ne</t></r></si></s>')
+        z.writestr("xl/worksheets/sheet2.xml", '<w xmlns="u"><row><c t="s"><v>0</v></c></row></w>')
+        z.writestr("xl/worksheets/sheet1.xml", '<w xmlns="u"><row><c t="s"><v>1</v></c><c><v>5</v></c><c t="inlineStr"><is><t>in</t></is></c></row></w>')
+    assert pages.office_text(data.getvalue(), "xlsx") == "one 5 in\nzero"
+
+
+def test_session_files(spark):
+    rows = [("a/s.jsonl", '{"role":"user","content":"Hi there","timestamp":"2026-01-02T00:00:00Z"}\n{"role":"assistant","content":"no"}\n{"type":"user","message":{"content":[{"text":"more"}]}}\n'), ("b.json", '{"messages":[{"role":"user","text":"old","time":"2025-01-01T00:00:00Z"}]}'), ("c.json", "nonsense"), ("d.json", '[{"prompt":"undated"}]'), ("e.txt", "x")]
+    files = spark.createDataFrame([(p, t, datetime(2026, 1, 3)) for p, t in rows], "path string, text string, modified timestamp")
+    found = {r.session_file: r for r in pages.session_files(files, "tool", "2026-01-01T00:00:00Z", "2026-02-01T00:00:00Z").collect()}
+    assert set(found) == {"a/s.jsonl", "c.json", "d.json"} and found["c.json"].problem
+    first = found["a/s.jsonl"]
+    assert (first.title, first.text, first.prompts, first.time, first.tags) == ("tool: Hi there", "Hi there\nmore", 2, "2026-01-02T00:00:00Z", ["telemetry", "tool"])
+
+
 def test_office_text():
     import io
     import zipfile

@@ -38,10 +38,16 @@ def test_diff_sequence(spark, tmp_path):
     assert {r.id: r.action for r in snapshot.collect()}["c"] == "removed"
     partial = ingest.diff(batch, stored, None, "snapshot", complete=False)
     assert {r.id: r.action for r in partial.collect()}["c"] == "kept"
-    ingest.commit(batch, stored, snapshot, f"{tmp_path}/next")
-    assert {r.id: r.sha for r in spark.read.parquet(f"{tmp_path}/next").collect()} == {"a": "1", "b": "9", "d": "4", "e": "5"}
+    log = f"{tmp_path}/log"
+    ingest.commit(stored, ingest.diff(stored, rows()), log, 1)
+    ingest.commit(batch, snapshot, log, 2)
+    assert spark.read.parquet(f"{log}/batch=2").count() == 4  # a is not written again
+    assert {r.id: r.sha for r in ingest.current(spark.read.parquet(log)).collect()} == {"a": "1", "b": "9", "d": "4", "e": "5"}
+    ingest.compact(spark.read.parquet(log), f"{tmp_path}/small")
+    ingest.commit(rows(("a", "7", "s")), ingest.diff(rows(("a", "7", "s")), ingest.current(spark.read.parquet(f"{tmp_path}/small"))), f"{tmp_path}/small", 1)
+    assert {r.id: r.sha for r in ingest.current(spark.read.parquet(f"{tmp_path}/small")).collect()} == {"a": "7", "b": "9", "d": "4", "e": "5"}
     with pytest.raises(records.InputError):
-        ingest.commit(rows(), stored, ingest.diff(rows(), stored, None, "snapshot"), f"{tmp_path}/none")
+        ingest.commit(rows(), ingest.diff(rows(), stored, None, "snapshot"), log, 3)
 
 
 @pytest.mark.parametrize("existing, removed, blocked", [(10, 6, True), (10, 5, False), (9, 8, False), (3, 3, True)])
@@ -77,6 +83,65 @@ def test_read_tree(spark, tmp_path):
     assert found == {"src/a.json": None, "src/b.json": "not strict JSON"}
 
 
+def test_files_are_whole_or_absent(tmp_path):
+    place = tmp_path / "a" / "x.json"
+    place.parent.mkdir()
+    records.replace_file(place, b"one")
+    records.replace_file(place, b"two")
+    assert place.read_bytes() == b"two" and [p.name for p in place.parent.iterdir()] == ["x.json"]
+    assert records.delete_file(place) and not records.delete_file(place)
+
+
+def test_scan_limits(spark, tmp_path):
+    root = tmp_path / "n" / "store" / "n" / "store"  # the root's name comes again below
+    (root / "n").mkdir(parents=True)
+    (root / "n" / "a.json").write_text("{}")
+    (root / "big.json").write_text("x" * 100)
+    found = {r.path: r.text for r in records.read_tree(spark, str(tmp_path / "n" / "store"), most_bytes=50).collect()}
+    assert found == {"n/store/n/a.json": "{}", "n/store/big.json": None}
+    with pytest.raises(records.InputError):
+        records.checked_count(records.list_tree(spark, str(tmp_path), "json"), 1)
+
+
+def test_batches_and_canonical_lines(spark):
+    df = spark.createDataFrame([(1, '{"records": [{"b": 1, "a": "\u00e9"}], "incomplete": true}'), (2, "[1]"), (3, None), (4, '{"a":1}\n{"a":2}')], "k long, batch string")
+    found = sorted(records.batches_of(df, "batch", "k").collect(), key=lambda r: (r.k, r.record or ""))
+    assert [(r.k, r.record, r.missing, r.problem is None) for r in found] == [(1, '{"a":"\u00e9","b":1}', -1, True), (2, None, None, False), (4, '{"a":1}', None, True), (4, '{"a":2}', None, True)]
+    lines = records.canonical_lines(df, "batch").collect()
+    assert [r.line for r in lines] == ['{"incomplete":true,"records":[{"a":"\u00e9","b":1}]}\n', "[1]\n", None, None]
+
+
+def test_responses_fit():
+    response = {"ref": "r", "kind": "k", "title": "t", "text": "word " * 100, "links": ["x"] * 50, "other": 1}
+    for limit in (400, 150, 60, 30):
+        out = search.within_bytes(response, limit)
+        assert len(records.canonical(out).encode()) <= limit and out["truncated"]
+    assert search.within_bytes(response, 10_000) == response and "text" in search.within_bytes(response, 700) and search.within_bytes(response, 700)["links"]
+    assert set(search.within_bytes(response, 60)) == {"truncated", "ref", "kind", "title"}
+    with pytest.raises(records.InputError):
+        search.within_bytes(response, 5)
+
+
+def test_scopes(spark):
+    paths = ["memories/src1/a.json", "memories/src1/b.json", "memories/src10/a.json", "concepts/n.md", "concepts/deep/n.md", "actions/x/ACTION.md"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    scope = lambda s: sorted(r.path for r in search.in_scope(df, s).collect())
+    assert scope("src1") == scope("memories/src1/") == paths[:2] and scope("memories/src1/a") == scope("memories/src1/a.json") == paths[:1]
+    assert scope("concepts/n.md") == ["concepts/n.md"] and scope("concepts") == ["concepts/deep/n.md", "concepts/n.md"] and scope("concepts/deep") == ["concepts/deep/n.md"]
+    assert scope("src") == [] and len(scope("")) == len(scope(None)) == 6 and len(scope("memories")) == 3
+    for bad in ("/x", "a/../b", "a//b", "a\\b"):
+        with pytest.raises(records.InputError):
+            scope(bad)
+
+
+def test_schemas_with_references(spark):
+    df = spark.createDataFrame([(1, "a@b", 4, ("x",)), (2, "nobody", 3, (None,))], "id int, mail string, n int, inner struct<k:string>")
+    shape = {"$defs": {"even": {"multipleOf": 2}}, "properties": {"mail": {"format": "email"}, "n": {"$ref": "#/$defs/even"}, "inner": {"required": ["k"], "properties": {"k": {"const": "x"}}}, "id": {"if": {"minimum": 2}, "then": {"maximum": 1}, "oneOf": [{"maximum": 1}, {"minimum": 2}]}}}
+    assert {r.id: r.problems for r in schemas.violations(df, shape, "id").collect()} == {2: "id: then; inner: required k; mail: format; n: multipleOf"}
+    with pytest.raises(schemas.SchemaError):
+        schemas.violations(df, {"$defs": {"a": {"$ref": "#/$defs/a"}}, "properties": {"id": {"$ref": "#/$defs/a"}}}, "id")
+
+
 NOW = "2026-11-15T12:00:00.000000Z"
 
 

@@ -66,3 +66,23 @@ def test_record_paths(spark):
     assert one(spark, V.record_path(F.lit("jira"), F.lit("decision-1"))).startswith("memories/jira/")
     for source, name in (("notes", "x"), ("Jira", "x"), ("jira", "a b"), ("jira", "")):
         assert one(spark, V.record_path(F.lit(source), F.lit(name))) is None
+
+
+def test_invisible_characters(spark):
+    chars = ["\u0600", "\u06dd", "\u070f", "\u0890", "\u08e2", "\U000110bd", "\U00013430", "\U0001bca0", "\U0001d173", "\U000e0001", "\U000e0020", "\u200b"]
+    df = spark.createDataFrame([(c,) for c in [*chars, "a", "\u00e9", "\U0001f600"]], "c string")
+    found = {r.c: r for r in df.select("c", V.has_invisible(F.col("c")).alias("hidden"), V.record_path(F.lit("src"), F.col("c")).alias("path"), V.escape_invisible(F.concat(F.lit("x"), "c")).alias("shown")).collect()}
+    assert {c for c, r in found.items() if r.hidden} == set(chars) == {c for c, r in found.items() if r.path is None}
+    assert found["\u0600"].shown == "x\\u0600" and found["\U000e0001"].shown == "x\\udb40\\udc01" and found["\U0001f600"].shown == "x\U0001f600"
+
+
+def test_attribute_lists_and_queries(spark):
+    df = spark.createDataFrame([("{: a=1 b=\"two words\" c='x' a=2}", "u?a=1%20b&c=d+e#f"), ("{x}", "u?a=1&a=2"), (None, None)], "a string, u string")
+    found = df.select(V.attribute_map(F.col("a")).alias("a"), V.query_map(F.col("u")).alias("u")).collect()
+    assert found[0].a == {"a": "2", "b": "two words", "c": "x"} and found[0].u == {"a": "1 b", "c": "d e"}
+    assert found[1].a == {} and found[1].u is None and found[2].u is None
+
+
+def test_redaction_goes_deep():
+    found = V.redact_variant({"a": [{"password": ["x", 1]}, "api_key=abcdefgh"], "Proxy-Authorization": "y", "n": 1})
+    assert found == {"a": [{"password": "[REDACTED]"}, "[REDACTED]"], "Proxy-Authorization": "[REDACTED]", "n": 1}
