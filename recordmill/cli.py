@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordmill import server
 from recordmill import store as stores
 from recordmill.functions import values as V
 from recordmill.operators import search
@@ -59,7 +60,7 @@ def parser() -> argparse.ArgumentParser:
     read.add_argument("--max-bytes", type=int)
     for name in ("review", "check"):
         commands.add_parser(name).add_argument("--now", default=stores.now_text())
-    for name in ("build", "validate", "status"):
+    for name in ("build", "validate", "status", "serve"):
         commands.add_parser(name)
     commands.add_parser("eval").add_argument("suite", nargs="?", default="")
     commands.add_parser("schema").add_argument("name", nargs="?")
@@ -163,6 +164,8 @@ def run(a: argparse.Namespace) -> int:
         return int(bool(made["problems"]))
     elif a.command == "ingest":
         tell(store.ingest(a.source, given(a.file), a.mode, a.allow_removal, a.dry_run, datetime.now(timezone.utc)))
+    elif a.command == "serve":
+        server.serve(store)
     elif a.command == "eval":
         found = store.evaluate(a.suite)
         tell(found)

@@ -185,3 +185,21 @@ def test_other_stores(tmp_path):
     assert stores.resolve(str(tmp_path / "a"), {"sib": "/x"}, "sib") == "/x" and stores.resolve(str(tmp_path / "a"), {}, "mine").endswith("a")
     with pytest.raises(InputError):
         stores.resolve(str(tmp_path / "a"), {}, "none")
+
+
+def test_server(spark, tmp_path):
+    from recordmill import server
+
+    root = tmp_path / "store"
+    settings.new_store(str(root), "mine")
+    settings.new_note(str(root), "concept", "one")
+    ask = lambda n, method, **params: json.dumps({"jsonrpc": "2.0", "id": n, "method": method, "params": params})
+    tool = lambda n, name, **a: ask(n, "tools/call", name=name, arguments=a)
+    lines = [ask(1, "initialize"), '{"jsonrpc":"2.0","method":"notifications/initialized"}', "nonsense", ask(2, "tools/list"), tool(3, "read", target="concepts/one"), tool(4, "query", pattern="one", limit=1), tool(5, "read"), tool(6, "none"), ask(7, "other"), tool(8, "status"), tool(9, "query", jq="{ref}", kind="note")]
+    out = []
+    server.serve(Store(spark, str(root)), iter(lines), lambda x: out.append(json.loads(x)))
+    by = {o["id"]: o for o in out}
+    assert len(out) == 10 and by[None]["error"]["code"] == server.BAD_JSON and {t["name"] for t in by[2]["result"]["tools"]} == set(server.TOOLS)
+    value = lambda n: json.loads(by[n]["result"]["content"][0]["text"])
+    assert value(3)["ref"] == "concepts/one.md" and value(4)["items"][0]["title"] == "One" and value(8)["items"] == [{"kind": "concept", "records": 1}] and value(9)["items"] == [{"ref": "concepts/one.md"}]
+    assert by[5]["result"]["isError"] and by[6]["error"]["code"] == server.BAD_ARGUMENTS and by[7]["error"]["code"] == server.NO_METHOD
