@@ -329,9 +329,13 @@ def correlated(df: DataFrame, dot: Dot, tree: tuple) -> DataFrame:
 ALL = ("array", ("comma", ("dot",), ("call", "inputs", ())))
 
 
-def gathered(df: DataFrame, tree: tuple) -> DataFrame:
-    """Programs over `[., inputs]`: groupings, orders, distinct rows, slices and totals of the whole stream."""
+def gathered(df: DataFrame, tree: tuple, stream: tuple[str, ...] = ()) -> DataFrame:
+    """Programs over `[., inputs]`: groupings, orders, distinct rows, slices and totals of the whole stream.
+
+    stream: the columns of the stream's order, by which the first of equal ones counts; without it the least does.
+    """
     dot = Dot.of(df)
+    place = F.struct(*stream) if stream else None
     stages = []
     while tree[0] == "pipe":
         stages.append(tree[1])
@@ -345,7 +349,7 @@ def gathered(df: DataFrame, tree: tuple) -> DataFrame:
         if grouped is not None:
             if name not in ("map",) or args[0][0] != "object":
                 raise Unsupported("groups")
-            df = df.groupBy(*(d.column.alias(f"_k{i}") for i, d in enumerate(grouped))).agg(*(aggregate(v, dot).alias(k[1]) for k, v in args[0][1])).drop(*(f"_k{i}" for i in range(len(grouped))))
+            df = df.groupBy(*(d.column.alias(f"_k{i}") for i, d in enumerate(grouped))).agg(*(aggregate(v, dot, place if set(stream) <= set(df.columns) else None).alias(k[1]) for k, v in args[0][1])).drop(*(f"_k{i}" for i in range(len(grouped))))
             grouped, order = None, []
         elif name == "group_by":
             keys = args[0][1] if args[0][0] == "array" else args[0]
@@ -356,7 +360,7 @@ def gathered(df: DataFrame, tree: tuple) -> DataFrame:
             df = df.orderBy(*order)
         elif name == "unique_by":
             keys = [compile_(k, dot).column for k in flat(args[0][1] if args[0][0] == "array" else args[0])]
-            first = df.groupBy(*(k.alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.min(F.struct(*df.columns)).alias("r"))
+            first = df.groupBy(*(k.alias(f"_k{i}") for i, k in enumerate(keys))).agg((F.min_by(F.struct(*df.columns), place) if stream and set(stream) <= set(df.columns) else F.min(F.struct(*df.columns))).alias("r"))
             df = first.select("r.*")
         elif name == "unique":
             df = df.distinct()
@@ -383,12 +387,13 @@ def gathered(df: DataFrame, tree: tuple) -> DataFrame:
     return df
 
 
-def aggregate(tree: tuple, dot: Dot) -> Column:
-    """An expression over a group's array as an aggregate."""
+def aggregate(tree: tuple, dot: Dot, place: Column | None = None) -> Column:
+    """An expression over a group's array as an aggregate; place: a row's place in the stream, which says what is first."""
     if tree == ("call", "length", ()):
         return F.count("*")
     if tree[0] == "index" and tree[1] == ("index", ("dot",), ("literal", 0)):
-        return F.first(compile_(("index", ("dot",), tree[2]), dot).column)
+        value = compile_(("index", ("dot",), tree[2]), dot).column
+        return F.first(value) if place is None else F.min_by(F.struct(value.alias("v")), place)["v"]
     if tree[0] == "pipe" and tree[1][0] == "call" and tree[1][1] == "map":
         value, rest = compile_(tree[1][2][0], dot).column, tree[2]
         if rest == ("binary", "/", ("call", "add", ()), ("call", "length", ())):
@@ -445,7 +450,7 @@ def jq(df: DataFrame, text: str, *order: str) -> DataFrame:
     tree = parse(text)
     try:
         if tree[0] == "pipe" and tree[1] == ALL:
-            return gathered(df, tree[2])
+            return gathered(df, tree[2], order)
         if tree[0] == "reduce":
             return reduced(df, tree)
         if uses_inputs(tree):

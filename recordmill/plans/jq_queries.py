@@ -127,7 +127,8 @@ QUERIES = {
     "jq_aggs": over(events, "[., inputs] | group_by([.event_type, .user_id]) | map({event_type: .[0].event_type, user_id: .[0].user_id, low: (map(.event_id) | min), users: (map(.data.k) | unique | length)})"),
     "jq_reduce": over(docs, "reduce (., inputs) as $r (0; . + $r.n_chars)"),
     "jq_unique": over(docs, "[., inputs] | map({lang, source}) | unique"),
-    "jq_unique_by": over(docs, "[., inputs] | unique_by(.source) | map({doc_id, source})"),
+    "jq_unique_by": over(docs, "[., inputs] | unique_by(.source) | map({doc_id, source, n_chars})", "n_chars", "doc_id"),
+    "jq_group_first": over(docs, "[., inputs] | group_by(.lang) | map({lang: .[0].lang, source: .[0].source, n: length})", "n_chars", "doc_id"),
     "jq_sort_by": over(docs, "[., inputs] | sort_by([.n_chars, .doc_id]) | .[10:30] | map({doc_id, n_chars})"),
     "jq_limit": over(docs, "[., inputs] | sort_by(.doc_id) | .[0:7] | map({doc_id})"),
     "jq_length": over(docs, '[., inputs] | map(select(.lang == "de")) | length'),
@@ -158,7 +159,8 @@ SQL = {
     "jq_aggs": f"SELECT event_type, user_id, min(event_id) AS low, count(DISTINCT {K}) + CASE WHEN count(*) > count({K}) THEN 1 ELSE 0 END AS users FROM events GROUP BY 1, 2",
     "jq_reduce": "SELECT CAST(sum(n_chars) AS BIGINT) AS value FROM documents",
     "jq_unique": "SELECT DISTINCT lang, source FROM documents",
-    "jq_unique_by": "SELECT min(doc_id) AS doc_id, source FROM documents GROUP BY source",
+    "jq_unique_by": "SELECT doc_id, source, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) = 1",
+    "jq_group_first": "SELECT lang, arg_min(source, (n_chars, doc_id)) AS source, count(*) AS n FROM documents GROUP BY lang",
     "jq_sort_by": "SELECT doc_id, n_chars FROM documents ORDER BY n_chars, doc_id LIMIT 20 OFFSET 10",
     "jq_limit": "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 7",
     "jq_length": "SELECT count(*) AS value FROM documents WHERE lang = 'de'",
