@@ -34,8 +34,10 @@ def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated runs of lines, n_chars with them; documents of which nothing is left go."""
     found = line_dedup.line_dedup(docs)
     found = found.where((F.col("n_removed") == 0) | (F.btrim("text", F.lit(" \t\r\n\f\x0b")) != ""))
-    cut = F.col("n_removed") > 0
-    return found.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        found = found.withColumn("n_chars", chars.cast(docs.schema["n_chars"].dataType))
+    return found.select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,15 +46,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the contamination rule leaves."""
+    """Documents that the contamination rule leaves. A null text, or one without words, has no hits and stays; null items
+    take no part; repeated rows are each judged."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.contamination(docs, items).where(~F.col("contaminated")).select(*docs.columns)
 
 
 def encode_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids, and whether the ids decode to the text's bytes."""
+    """doc_id, lang and source as far as they are there, n_tokens, ids, and whether the ids decode to the text's bytes.
+
+    A null text has no ids and decodes to no bytes; a row with a null key is encoded like any other.
+    """
     found = bpe.encode(docs, public_tokenizers.path(RANKS))
-    return found.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))).alias("round_trip"))
+    return found.select(*(c for c in ("doc_id", "lang", "source") if c in docs.columns), F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))).alias("round_trip"))
 
 
 STAGES = [
