@@ -39,6 +39,8 @@ LEAST_SLOTS, MOST_SLOTS, BYTES = 16, 23, (17, 20, 20)
 CLOSE, BEFORE = 256, np.uint32(0x51ED270B)
 #: Tokens of a partial count; symbols that tables are made and used from at a time; slots of a block of a table.
 HELD, SYMBOLS, BLOCK = 200_000, 1 << 16, 1 << 17
+#: Tokens of a shard at least, where there are so many: each shard's tables are sent once.
+SHARD = 8_000_000
 
 
 def name_of(token: bytes) -> bytes:
@@ -134,8 +136,9 @@ def byte_symbols(tokens: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.
 
 
 def encode(df: DataFrame, words: Vocabulary, key: str, text: str) -> DataFrame:
-    """A row for each text: key, row, n_bytes, n_tokens, n_known and logs of its words, marks (32 bits a token: a word's
-    number, or a hash of any other with the highest bit set), and the other tokens in order with how often they occur.
+    """A row for each text: key, row, n_bytes, n_tokens, n_known and logs of its words, marks (32 bits a token, by byte
+    planes: a word's number, or a hash of any other with the highest bit set), and the other tokens in order with how
+    often they occur.
     """
     shared = df.sparkSession.sparkContext.broadcast((words.names, words.times))
     kind = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))
@@ -145,7 +148,8 @@ def encode(df: DataFrame, words: Vocabulary, key: str, text: str) -> DataFrame:
         number = dict(zip(names, range(len(names))))
         logs, part, row = np.log10(times + 1), TaskContext.get().partitionId() << 40, 0
         for batch in slices(batches, text, 4 << 20):
-            ids, marks, others, n_tokens = [], [], [], []
+            ids, marks, n_tokens = [], [], []
+            others, times_here, stops = [], [], [0]
             for t in texts(batch, text):
                 split = [*spaced_words(t), END]
                 at = list(map(number.get, split))
@@ -158,22 +162,26 @@ def encode(df: DataFrame, words: Vocabulary, key: str, text: str) -> DataFrame:
                             rare[split[i]] += 1
                             at[i] = xxhash.xxh32_intdigest(split[i]) | 1 << 31
                 ids.append(np.array(at, np.uint32))
-                marks.append(ids[-1].tobytes())
-                others.append([{"token": w, "n": n} for w, n in rare.items()])
+                marks.append(np.ascontiguousarray(ids[-1].view(np.uint8).reshape(-1, 4).T).tobytes())
+                others.extend(rare)
+                times_here.extend(rare.values())
+                stops.append(len(others))
                 n_tokens.append(len(at))
             known, base = [], []
             for at in ids:
                 at = at[at < len(names)]
                 known.append(int((times[at] > 0).sum()))
                 base.append(float(logs[at].sum()))
-            columns = [batch.column(key), pa.array(part + row + np.arange(len(ids))), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(marks, pa.binary()), pa.array(others, kind)]
+            cells = pa.StructArray.from_arrays([pa.array(others, pa.binary()), pa.array(times_here, pa.int64())], ["token", "n"])
+            rare = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), cells).cast(kind)
+            columns = [batch.column(key), pa.array(part + row + np.arange(len(ids))), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(marks, pa.binary()), rare]
             row += len(ids)
             rest = [c for c in batch.schema.names if c not in (key, text)]
             yield pa.RecordBatch.from_arrays([*columns, *map(batch.column, rest)], [key, "row", "n_tokens", "n_known", "logs", "marks", "rare", *rest])
 
     fields = df.select(key, F.octet_length(text).cast("long").alias("n_bytes"), (F.coalesce(fold(key, 7), F.lit(2)) != 2).alias("learn"), text)
     kinds = f"`{key}` {df.schema[key].dataType.simpleString()}, row long, n_tokens long, n_known long, logs double, marks binary, rare array<struct<token: binary, n: long>>, n_bytes long, learn boolean"
-    return materialize(fields.mapInArrow(lean(run), kinds), "encoded")
+    return materialize(fields.mapInArrow(lean(run), kinds), "encoded", "zstd")
 
 
 def word_parts(batches: Iterator[pa.RecordBatch], escape: int) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
@@ -184,7 +192,7 @@ def word_parts(batches: Iterator[pa.RecordBatch], escape: int) -> Iterator[tuple
         lo = 0
         while lo < len(column):
             hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + SYMBOLS, "right")))
-            marks = np.frombuffer(b"".join(column[lo:hi]), np.uint32)
+            marks = np.concatenate([np.ascontiguousarray(np.frombuffer(m, np.uint8).reshape(4, -1).T).view(np.uint32)[:, 0] for m in column[lo:hi]])
             ends = done[lo:hi] - (done[lo - 1] if lo else 0)
             first = ends - np.diff(ends, prepend=0)
             yield np.minimum(marks, escape).astype(np.int64), word_contexts(marks, first), first
@@ -200,6 +208,12 @@ def byte_parts(batches: Iterator[pa.RecordBatch], names: list[bytes]) -> Iterato
             yield byte_symbols(tokens)
 
 
+def counts_of(data: bytes, context: int, shape: Shape) -> np.ndarray:
+    """A block's counts, which were sent with two bytes each where that is enough."""
+    size = 2 * min(BLOCK, 1 << shape.bits[context])
+    return np.frombuffer(data, np.uint16 if len(data) == 2 * size else np.uint32).astype(np.float64)
+
+
 class Fit:
     """A model's shapes and how its tables, weights and outcomes are gathered: both from words and from bytes."""
 
@@ -210,8 +224,8 @@ class Fit:
 
     def sources(self, encoded: DataFrame, counts: DataFrame) -> dict:
         return {
-            "words": (encoded.where("learn").select("marks"), word_parts, self.words.escape),
-            "bytes": (counts.select("token"), byte_parts, self.words.names),
+            "words": (encoded.where("learn").select("marks").coalesce(max(1, self.words.total // SHARD)), word_parts, self.words.escape),
+            "bytes": (counts.select("token").coalesce(max(1, self.words.distinct // SHARD)), byte_parts, self.words.names),
         }
 
     def tables(self, rows: DataFrame, parts, known, shape: Shape) -> list[np.ndarray]:
@@ -226,7 +240,8 @@ class Fit:
             for c, table in enumerate(tables):
                 for k in range(0, len(table), 2 * BLOCK):
                     block = table[k : k + 2 * BLOCK]
-                    if block.any():
+                    if most := int(block.max()):
+                        block = block.astype(np.uint16) if most < 1 << 16 else block
                         yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([k // (2 * BLOCK)], pa.int32()), pa.array([pack.compress(block.tobytes())], pa.binary())], ["context", "block", "data"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +249,7 @@ class Fit:
             out = lambda: pa.RecordBatch.from_arrays([*(pa.array([v], pa.int32()) for v in at), pa.array([pack.compress(packed(total).tobytes())], pa.binary())], ["context", "block", "data"])
             for batch in batches:
                 for c, k, data in zip(*(batch.column(i) for i in range(3))):
-                    here, block = (c.as_py(), k.as_py()), np.frombuffer(unpack.decompress(data.as_py()), np.uint32).astype(np.float64)
+                    here, block = (c.as_py(), k.as_py()), counts_of(unpack.decompress(data.as_py()), c.as_py(), shape)
                     if here == at:
                         total += block
                     else:
@@ -246,10 +261,11 @@ class Fit:
 
         names = "context int, block int, data binary"
         blocks = rows.mapInArrow(lean(count), names).repartition("context", "block").sortWithinPartitions("context", "block").mapInArrow(lean(add), names)
-        tables, unpack = [np.zeros(1 << b, np.uint32) for b in shape.bits], zstandard.ZstdDecompressor()
-        for r in blocks.toLocalIterator():
-            data = np.frombuffer(unpack.decompress(bytes(r["data"])), np.uint32)
+        tables, unpack = [np.zeros(1 << b, np.uint16) for b in shape.bits], zstandard.ZstdDecompressor()
+        for r in materialize(blocks, "blocks").toLocalIterator():
+            data = np.frombuffer(unpack.decompress(bytes(r["data"])), np.uint16)
             tables[r["context"]][r["block"] * BLOCK :][: len(data)] = data
+        shared.destroy()
         return tables
 
     def learned(self, rows: DataFrame, parts, known, shape: Shape, tables: list[np.ndarray]) -> Predictor:
@@ -272,7 +288,7 @@ class Fit:
         values = np.zeros(size + 1 + 2 * LEVELS * DEPTHS)
         values[found.column("at").to_numpy()] = found.column("value").to_numpy()
         weights = values[:size].reshape(SETS, -1) / values[size] if values[size] else plain
-        shared.unpersist()
+        shared.destroy()
         return Predictor(shape, tables, weights, values[size + 1 :])
 
     def model(self, encoded: DataFrame, counts: DataFrame) -> Model:

@@ -15,8 +15,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Counts of a slot go up to this, beyond it both are scaled.
-TOP = 65535
+#: Counts of a slot go up to this, beyond it both are scaled, so that a slot takes two bytes.
+TOP = 255
 #: Counts are bounded from below by this much, stretched probabilities and their sum by these either way.
 PRIOR, REACH, LIMIT = 0.03, 8.0, 12.0
 #: Buckets of a context's counts; weight sets; each context's first weight; a constant's value, whose weight is 0 at first.
@@ -112,11 +112,11 @@ def tallied(shape: Shape, tables: list[np.ndarray], symbols: np.ndarray, context
 
 
 def packed(table: np.ndarray) -> np.ndarray:
-    """Zeros and ones of each slot in one 32-bit value, scaled down where one passes TOP."""
+    """Zeros and ones of each slot in one 16-bit value, scaled down where one passes TOP."""
     pairs = table.reshape(-1, 2)
     top = np.maximum(1.0, pairs.max(axis=1) / TOP)
-    zeros, ones = (np.ceil(pairs[:, k] / top).astype(np.uint32) for k in (0, 1))
-    return zeros | ones << np.uint32(16)
+    zeros, ones = (np.rint(pairs[:, k] / top).astype(np.uint16) for k in (0, 1))
+    return zeros | ones << np.uint16(8)
 
 
 def stretched(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -163,10 +163,11 @@ class Learner:
     def step(self, found: list[np.ndarray], bit: np.ndarray) -> None:
         x, near, far = [], None, None
         one = bit.astype(np.float32)
+        none = 1 - one
         for table, at in zip(self.tables, found):
             both = table.take(at)
-            ones = np.maximum((both >> np.uint32(16)).astype(np.float32) - one, 0)
-            zeros = np.maximum((both & np.uint32(TOP)).astype(np.float32) - (1 - one), 0)
+            ones = np.maximum((both >> np.uint16(8)).astype(np.float32) - one, 0)
+            zeros = np.maximum((both & np.uint16(TOP)).astype(np.float32) - none, 0)
             x.append(stretched(zeros, ones))
             near, far = far, depth(zeros + ones)
         x.append(np.full(len(bit), CONSTANT, np.float32))
@@ -195,15 +196,17 @@ class Learner:
 
 
 class Predictor:
-    """What was learned, laid out for scoring: a stretched probability a slot, with its bucket in the lowest bits."""
+    """What was learned, laid out for scoring: a stretched probability a slot in 13 bits, with its bucket in the lowest 3."""
+
+    GRAIN = 8191 / (2 * REACH)
 
     def __init__(self, shape: Shape, tables: list[np.ndarray], weights: np.ndarray, outcomes: np.ndarray):
         self.shape = shape
         self.values = []
         for table in tables:
-            zeros, ones = (table & np.uint32(TOP)).astype(np.float32), (table >> np.uint32(16)).astype(np.float32)
-            values = stretched(zeros, ones).astype(np.float32).view(np.uint32)
-            self.values.append(((values & np.uint32(0xFFFFFFF8)) | depth(zeros + ones).astype(np.uint32)).view(np.float32))
+            zeros, ones = (table & np.uint16(TOP)).astype(np.float32), (table >> np.uint16(8)).astype(np.float32)
+            values = np.rint((stretched(zeros, ones) + REACH) * self.GRAIN).astype(np.uint16)
+            self.values.append(values << np.uint16(3) | depth(zeros + ones).astype(np.uint16))
         self.weights = [np.ascontiguousarray(w, np.float32) for w in weights.T]
         seen = outcomes.reshape(DEPTHS, LEVELS, 2)
         plain = squash(np.arange(LEVELS) / UNIT - LIMIT + 0.5 / UNIT)
@@ -218,11 +221,14 @@ class Predictor:
             found, bit, first = self.shape.decisions(symbols[part], [c[part] for c in contexts])
             if not len(bit):
                 continue
-            x = [values.take(at) for values, at in zip(self.values, found)]
-            near, far = (v.view(np.uint32) & np.uint32(7) for v in x[-2:])
-            gate = (near * np.uint32(DEPTHS) + far).astype(np.intp)
+            codes = [values.take(at) for values, at in zip(self.values, found)]
+            near, far = (v & np.uint16(7) for v in codes[-2:])
+            gate = (near * np.uint16(DEPTHS) + far).astype(np.intp)
             total = np.float32(CONSTANT) * self.weights[-1].take(gate)
-            for weights, v in zip(self.weights, x):
+            for weights, code in zip(self.weights, codes):
+                v = (code >> np.uint16(3)).astype(np.float32)
+                v *= np.float32(1 / self.GRAIN)
+                v -= np.float32(REACH)
                 v *= weights.take(gate)
                 total += v
             each = self.logs.take(2 * level(total, far) + bit)

@@ -663,7 +663,9 @@ def brute_score(predictor, tables, streams):
     for symbol, contexts in streams:
         for node, bit in brute_path(shape.code, symbol):
             n = [[tables[c][brute_slot(shape, c, contexts[c], node), b] for b in (0, 1)] for c in range(len(tables))]
+            n = [[round(v / max(1.0, max(pair) / mixing.TOP)) for v in pair] for pair in n]
             x = [min(8.0, max(-8.0, math.log((one + mixing.PRIOR) / (zero + mixing.PRIOR)))) for zero, one in n]
+            x = [round((v + 8) * predictor.GRAIN) / predictor.GRAIN - 8 for v in x]
             gate = depth(sum(n[-2])) * 8 + depth(sum(n[-1]))
             s = sum(float(w[gate]) * v for w, v in zip(predictor.weights, [*x, mixing.CONSTANT]))
             at = int((min(mixing.LIMIT, max(-mixing.LIMIT, s)) + mixing.LIMIT) * mixing.UNIT) + mixing.LEVELS * depth(sum(n[-1]))
