@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from recordmill.llm.pretokens import Encoder
-from recordmill.llm.shared import slices, texts
+from recordmill.llm.shared import lean, slices, texts
 
 #: Chunks and pre-tokens whose ids a Python worker remembers.
 CHUNKS, PIECES = 250_000, 250_000
@@ -229,7 +229,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, ids, decoded])
 
     schema = T.StructType([*df.select(*kept, text).schema, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.BinaryType())])
-    return df.select(*kept, text).mapInArrow(run, schema)
+    return df.select(*kept, text).mapInArrow(lean(run), schema)
 
 
 def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -249,4 +249,4 @@ def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(out_sha)], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(key, text).mapInArrow(lean(run), f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordmill.llm.shared import slices, texts
+from recordmill.llm.shared import lean, slices, texts
 from recordmill.llm.words import alnum_words
 
 WINDOW = 13
@@ -85,7 +85,7 @@ def word_counts(df: DataFrame, text: str, words: set[bytes]) -> dict[bytes, int]
                 total.update(wanted.intersection(alnum_words(t)))
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
 
-    found = df.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = df.select(text).mapInArrow(lean(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {bytes(r.word): r.n for r in found.toLocalIterator()}
 
 
@@ -109,7 +109,7 @@ def scan(df: DataFrame, index: Index, text: str) -> DataFrame:
             added = [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "n_words", "n_hit", "spans", "items"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +139,7 @@ def contamination(df: DataFrame, items: DataFrame, key: str = "item_id", text: s
         for x in more[1:]:
             rows = rows.union(x)
         rows = rows.groupBy("h1", "h2").agg(F.flatten(F.collect_list("spans")).alias("all_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("all_items"))
-        rows = rows.mapInArrow(merge_spans, "h1 string, h2 string, all_hit long, all_items array<string>")
+        rows = rows.mapInArrow(lean(merge_spans), "h1 string, h2 string, all_hit long, all_items array<string>")
         whole = result.select(F.struct("*").alias("row"), F.md5(text).alias("h1"), F.sha1(text).alias("h2")).join(rows, ["h1", "h2"], "left")
         summed = {"n_hit": F.coalesce("all_hit", F.lit(0).cast("long")), "items": F.coalesce("all_items", F.array().cast("array<string>"))}
         result = whole.select(*(summed.get(c, F.col("row").getField(c)).alias(c) for c in result.columns))

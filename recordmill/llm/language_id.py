@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordmill.llm.shared import slices, texts
+from recordmill.llm.shared import lean, slices, texts
 from recordmill.llm.words import mix
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -209,7 +209,7 @@ def fit(df: DataFrame, lang: str = "lang", key: str = "doc_id", text: str = "tex
         k, b = both.nonzero()
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(b, pa.int32()), pa.array(both[k, b])], ["lang", "bucket", "n"])
 
-    found = sample.select(lang, text).mapInArrow(run, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    found = sample.select(lang, text).mapInArrow(lean(run), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = np.zeros((len(langs), BUCKETS + len(SCRIPTS)))
     for batch in found.toArrow().to_batches():
         table[batch.column("lang").to_numpy(), batch.column("bucket").to_numpy()] = batch.column("n").to_numpy()
@@ -259,7 +259,7 @@ def label(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
                 spans.append([{"lang": here.langs[mine[a]], "start": a, "words": b - a} for a, b in zip(cuts, cuts[1:])])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names), pa.array(shares, pa.float64()), pa.array(spans, kind)], [*batch.schema.names, "lang_pred", "score", "spans"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def fold(key: str, mod: int):

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from recordmill.llm.pretokens import settled
-from recordmill.llm.shared import new_path, slices, texts
+from recordmill.llm.shared import lean, new_path, slices, texts
 
 #: Ids of a chunk.
 CHUNK = 1 << 16
@@ -159,7 +159,7 @@ def write(df: DataFrame, path: str, tokenizer: str, end: int, bits: bool = True,
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = f"shard int, chunk int, start long, n_ids int, bits boolean, keys array<{kind}>, rows array<long>, lengths array<int>, planes array<binary>"
-    df.select(key, text).repartitionByRange(parts, key).sortWithinPartitions(key, text).mapInArrow(run, schema).write.parquet(path)
+    df.select(key, text).repartitionByRange(parts, key).sortWithinPartitions(key, text).mapInArrow(lean(run), schema).write.parquet(path)
 
 
 def shift(n: int) -> list[int]:
@@ -213,9 +213,9 @@ def read(spark, path: str, key: str = "doc_id") -> DataFrame:
             crc = [p[0]["crc"] if len(p) == 1 else joined_crc([(q["crc"], 4 * q["n"]) for q in p]) for p in texts(batch, "pieces")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "row", key, "start", "n_tokens")), pa.array(crc, pa.int64())], ["shard", "row", key, "start", "n_tokens", "ids_crc32"])
 
-    found = table.mapInArrow(pieces, f"shard int, row long, `{key}` {kind}, start long, n long, crc long")
+    found = table.mapInArrow(lean(pieces), f"shard int, row long, `{key}` {kind}, start long, n long, crc long")
     found = found.groupBy("shard", "row").agg(F.first(key).alias(key), F.min("start").alias("start"), F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("start", "n", "crc"))).alias("pieces"))
-    return found.mapInArrow(whole, f"shard int, row long, `{key}` {kind}, start long, n_tokens long, ids_crc32 long")
+    return found.mapInArrow(lean(whole), f"shard int, row long, `{key}` {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(df: DataFrame, tokenizer: str, end: int, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordmill.llm.language_id import fold
-from recordmill.llm.shared import slices, texts
+from recordmill.llm.shared import lean, slices, texts
 
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 #: Labelled texts, and their bytes, that the classifier is fitted on at most (about), chosen by a hash of the key.
@@ -196,7 +196,7 @@ def score(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "
                 s = np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], [key, "score", "predicted"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, score double, predicted int")
+    return df.select(key, text).mapInArrow(lean(run), f"`{key}` {df.schema[key].dataType.simpleString()}, score double, predicted int")
 
 
 def predict(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = FIT_TEXTS) -> DataFrame:

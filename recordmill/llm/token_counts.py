@@ -11,7 +11,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 
 from recordmill.llm.pretokens import Remembered
-from recordmill.llm.shared import slices, texts
+from recordmill.llm.shared import lean, slices, texts
 
 #: What the model writes for a space.
 SPACE = "▁"
@@ -111,4 +111,4 @@ def count_tokens(df: DataFrame, path: str, limit: int = 4096, key: str = "doc_id
                 [batch.column(key), pa.array([len(t.encode()) for t in many], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], [key, "n_bytes", "n_tokens", "over_limit"]
             )
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return df.select(key, text).mapInArrow(lean(run), f"`{key}` {df.schema[key].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
