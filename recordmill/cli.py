@@ -175,8 +175,7 @@ def run(a: argparse.Namespace) -> int:
         tell(found)
         return int(not found["ok"])
     else:
-        counts = store.records().groupBy("kind").agg(F.count("*").alias("records"), F.count_distinct("source").alias("sources")).orderBy("kind")
-        show(counts.withColumn("latest_seq", F.lit(store.latest_seq())), a.format)
+        tell(store.status())
     return 0
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from recordmill.functions import cron, links
 from recordmill.functions import values as V
 from recordmill.operators import search
+from recordmill.plans.jq.compiler import jq
 from recordmill.sources import notes, pages, records
 from recordmill.sources.scratch import shared_dir
 
@@ -120,6 +121,12 @@ def search_then_project(spark, sf_dir):
     return search.Query(pattern=PATTERN, where=F.col("lang") == "en", fields=("ref", "lang")).rows(records.documents(spark, sf_dir))
 
 
+def search_then_jq(spark, sf_dir):
+    """A pattern narrows the records that a jq program then looks at."""
+    found = search.Query(pattern=PATTERN, source="src1").rows(records.documents(spark, sf_dir))
+    return jq(found, 'select(.lang != "de") | {ref, size: .n_chars}')
+
+
 def point_read_ref(spark, sf_dir):
     return records.documents(spark, sf_dir).where(F.col("ref") == "src7:47").select("ref", "title", "text")
 
@@ -408,6 +415,7 @@ def _rows(values):
 
 
 SQL = {
+    "search_then_jq": f"SELECT ref, n_chars AS size FROM ({VIEW}) WHERE source = 'src1' AND lang != 'de' AND regexp_matches(text, '{PATTERN}', 'i')",
     "point_reads": """SELECT asked, c_name AS title FROM customer JOIN (VALUES ('customer:7', 7), ('bf:///customer:8', 8), ('crm:9', 9), ('urn:crm:10', 10), ('https://crm.example/11', 11), ('concepts/c-12', 12)) t(asked, k) ON k = c_custkey""",
     "note_snippets": """SELECT 'concepts/c-' || c_custkey || '.md' AS ref, 'call' AS first, 'small' AS first_anchor, array_to_string([c_name, 'Buys ' || c_mktsegment || ' in there.', 'Needs', 'quoted', 'Small', '[ ] call', '[x] done', 'Under', 'last actions:1 act'], ' ') AS second, 'needs' AS second_anchor FROM customer""",
     "section_at_anchor": """SELECT 'concepts/c-' || c_custkey || '.md' AS ref, u.what AS what, u.value AS value FROM (SELECT *, unnest([{'what': 'task', 'value': 'call'}, {'what': 'section', 'value': '- [ ] call {#t1 due=soon}' || chr(10) || '- [x] done'}]) AS u FROM customer)""",
@@ -489,7 +497,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_records, list_paths, note_fields, note_link_fields, section_assign, section_extract, section_at_anchor, note_snippets, point_reads, filter_scope_folder, filter_scope_note, walk_order, record_path, search_regex, search_literal, search_line, search_snippet, search_page, filter_source, filter_kind, filter_scope_prefix, project_fields, limit_truncated,
-        search_then_project, point_read_ref, alias_lookup, line_slice, byte_budget, tsv_rows, status_counts, open_tasks_total, json_strict, canonical_sha, ws_collapse, slugify, text_hygiene, redact_text, redact_kv,
+        search_then_project, search_then_jq, point_read_ref, alias_lookup, line_slice, byte_budget, tsv_rows, status_counts, open_tasks_total, json_strict, canonical_sha, ws_collapse, slugify, text_hygiene, redact_text, redact_kv,
         duration_parse, date_normalize, time_normalize, ts_key, tags_normalize, reserved_intersect, path_predicates, format_span, cron_prev, cron_prev_weekdays, attrs_map, link_query_map, headings_regex, html_to_text, html_strip,
         session_rollup, compile_notes, note_outline, tasks_explode, headings_explode, frontmatter_split, link_normalize, eval_expectations, envelope_parse, schema_violations,
     )

@@ -417,6 +417,15 @@ class Store:
 
     # ---- looking
 
+    def status(self) -> dict:
+        """How many notes, records, sources and consumers there are, open tasks, and the log's end."""
+        counts = self.records().agg(F.count_if(F.col("kind") == "memory").alias("records"), F.count_distinct(F.when(F.col("kind") == "memory", F.col("source"))).alias("sources")).first()
+        found = self.notes().where("problem is null")
+        noted = found.agg(F.count("*").alias("notes"), F.coalesce(F.sum(F.size(F.filter("tasks", lambda t: ~t["done"]))), F.lit(0)).alias("open")).first()
+        states = [json.loads(p.read_text(encoding="utf-8")) for p in sorted(self.private.glob("*.json"))]
+        loops = [{k: s[k] for k in ("name", "status", "runs", "consecutive_failures", "event_seq")} for s in states if s.get("kind") == "loop"]
+        return {"name": self.name, "notes": noted["notes"], "records": counts["records"], "sources": counts["sources"], "tasks_open": noted["open"], "latest_seq": self.latest_seq(), "loops": loops}
+
     def validate(self) -> DataFrame:
         found = self.notes()
         rows = self.records()

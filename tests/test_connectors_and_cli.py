@@ -84,6 +84,9 @@ def test_build(spark, tmp_path):
     assert not list(root.rglob("*.new")) and store.index().count() == 1
     settings.new_note(str(root), "action", "late")
     assert store.index().count() == 2
+    store.set_state("job", runs=3)
+    status = store.status()
+    assert (status["name"], status["notes"], status["records"], status["loops"][0]["runs"]) == ("mine", 2, 0, 3)
 
 
 def test_ingest(spark, tmp_path):
