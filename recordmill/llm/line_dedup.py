@@ -66,7 +66,7 @@ def repeated_runs(df: DataFrame, min_words: int, key: str, text: str) -> DataFra
     lines = materialize(places(df, min_words, key, text), "lines")
     hits = repeated_prints(lines).groupBy("k1", "k2").agg(F.collect_set("pos").alias("hits"))
     hits = materialize(hits.select(F.col("k1").alias("hit1"), F.col("k2").alias("hit2"), "hits"), "hits")
-    near = lines.join(hits, F.col("k1").eqNullSafe(F.col("hit1")) & (F.col("k2") == F.col("hit2"))).drop("hit1", "hit2")
+    near = lines.join(hits.hint("merge"), F.col("k1").eqNullSafe(F.col("hit1")) & (F.col("k2") == F.col("hit2"))).drop("hit1", "hit2")
     text_ = W.partitionBy("k1", "k2")
     frames = {"ahead": text_.orderBy("start").rangeBetween(0, min_words - 1), "back": text_.orderBy("stop").rangeBetween(1 - min_words, 0)}
     held = {"ahead": F.array_contains("hits", F.col("print.pos")), "back": F.array_contains("hits", F.col("back_print.pos"))}
@@ -100,7 +100,8 @@ def line_dedup(df: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", t
     df = df.drop("n_lines", "n_removed")
     runs = repeated_runs(df, min_words, key, text).select("k1", "k2", "spans")
     rows = df.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
-    cut = rows.join(runs, F.col("key").eqNullSafe(F.col("k1")) & (F.xxhash64("text") == F.col("k2")), "left")
+    # both tables grow with the input: the plan is the same at every size, not a broadcast where files are small
+    cut = rows.join(runs.hint("merge"), F.col("key").eqNullSafe(F.col("k1")) & (F.xxhash64("text") == F.col("k2")), "left")
     lines = F.split("text", "\n")
     starts = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["to"] + 1))
     stops = F.concat(F.transform("spans", lambda s: s["from"]), F.array(F.size(lines)))
