@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordmill.llm import ann, bpe, decontaminate, language_id, line_dedup, lm_score, near_dup, planes, quality, token_counts
+from recordmill.llm import ann, bpe, conversations, decontaminate, language_id, line_dedup, lm_score, near_dup, planes, quality, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = table(spark, sf_dir, "conversations")
+    return conversations.report(conversations.damage(every), every)
+
+
 OPERATORS = (
     op1_line_dedup,
     op2_decontaminate,
@@ -70,6 +75,7 @@ OPERATORS = (
     op8_near_dedup,
     op9_token_planes,
     op10_quality,
+    op11_conversation_repair,
 )
 
 
