@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordmill.llm import ann, bpe, conversations, decontaminate, language_id, line_dedup, lm_score, near_dup, planes, quality, token_counts
+from recordmill.llm import align, ann, bpe, conversations, decontaminate, language_id, line_dedup, lm_score, near_dup, planes, quality, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.report(conversations.damage(every), every)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.report(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 OPERATORS = (
     op1_line_dedup,
     op2_decontaminate,
@@ -76,6 +80,7 @@ OPERATORS = (
     op9_token_planes,
     op10_quality,
     op11_conversation_repair,
+    op12_token_alignment,
 )
 
 
