@@ -30,8 +30,8 @@ from recordmill.llm.pretokens import Remembered, apart, settled
 from recordmill.llm.shared import lean, materialize, slices, texts, with_hot
 from recordmill.llm.token_counts import SPACE, Counter
 
-#: Stretches that a task remembers, text bytes of a slice, and counted pairs that are broadcast at most.
-REMEMBERED, SLICE, PAIRS = 200_000, 4 << 20, 500_000
+#: Stretches that a task remembers and aligns together, text bytes of a slice, and counted pairs that are broadcast at most.
+REMEMBERED, TOGETHER, SLICE, PAIRS = 160_000, 10_000, 2 << 20, 500_000
 #: A pair of ids as one number.
 WIDTH = 1 << 32
 
@@ -61,7 +61,9 @@ class Aligner:
 
     def aligned(self, many: list[str]) -> list[tuple | None]:
         """For each text, which starts with a space: its groups as bytes, the numbers of tokens of A and B and of groups,
-        and its links as numbers, in order; None if the tokens' bytes aren't the text's."""
+        and its links as the bytes of numbers, in order; None if the tokens' bytes aren't the text's."""
+        if len(many) > TOGETHER:
+            return [x for i in range(0, len(many), TOGETHER) for x in self.aligned(many[i : i + TOGETHER])]
         a = [self.ids_a(t) for t in many]
         b = self.b.encode([t[1:] for t in many], num_threads=1)
         as_a, as_b = self.a_bytes.__getitem__, self.b_bytes.__getitem__
@@ -85,7 +87,7 @@ class Aligner:
             p, q = x, y
         g = k = 0
         for i, to_link, to_cut in zip(good, at_links.tolist(), at_cuts.tolist()):
-            out[i] = (";".join(said[g:to_cut]).encode(), len(a[i]), len(b[i]), to_cut - g, links[k:to_link])
+            out[i] = (";".join(said[g:to_cut]).encode(), len(a[i]), len(b[i]), to_cut - g, links[k:to_link].tobytes())
             g, k = to_cut, to_link
         return out
 
@@ -109,7 +111,7 @@ class Aligner:
                 out.append(None)
                 continue
             said, n_a, n_b, groups, links = zip(*found)
-            pairs, n = np.unique(np.concatenate(links), return_counts=True)
+            pairs, n = np.unique(np.frombuffer(b"".join(links), np.int64), return_counts=True)
             out.append((b";".join(said), sum(n_a), sum(n_b), sum(groups), pairs, n))
         self.seen.forget_long(rest)
         return out
