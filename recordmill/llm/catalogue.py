@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordmill.llm import align, ann, bpe, conversations, decontaminate, language_id, line_dedup, lm_score, near_dup, planes, quality, token_counts
+from recordmill.llm import align, ann, bpe, conversations, decontaminate, language_id, line_dedup, lm_score, near_dup, pii, planes, quality, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.report(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
 OPERATORS = (
     op1_line_dedup,
     op2_decontaminate,
@@ -81,6 +85,7 @@ OPERATORS = (
     op10_quality,
     op11_conversation_repair,
     op12_token_alignment,
+    op13_personal_data,
 )
 
 
