@@ -129,11 +129,45 @@ def compile_(tree: tuple, dot: Dot, names: dict[str, Dot] | None = None) -> Dot:
         return Dot(T.StringType(), F.concat(*(F.lit(p) if isinstance(p, str) else as_text(again(p)) for p in tree[1])))
     if op == "binary":
         return compile_binary(tree, again)
+    if op == "array" and tree[1] is not None:
+        return collected(tree[1], again, names)
     if op == "call":
         return compile_call(tree, dot, names)
     raise Unsupported(op)
 
 
+def collected(tree: tuple, again, names: dict[str, Dot]) -> Dot:
+    """`[.items[] | select(...) | value]`: the items of an array that pass, each as its value."""
+    parts = []
+    while tree[0] == "pipe":
+        parts.append(tree[1])
+        tree = tree[2]
+    parts.append(tree)
+    if parts[0][0] != "each":
+        raise Unsupported("array")
+    out = again(parts[0][1])
+    for part in parts[1:]:
+        if not isinstance(out.kind, T.ArrayType):
+            raise Unsupported("array")
+        element = out.kind.elementType
+        if part[:2] == ("call", "select"):
+            out = Dot(out.kind, _filtered(out, part[2][0], names))
+        else:
+            sample = compile_(part, Dot(element, F.lit(None).cast(element)), names)
+            if sample.kind is None:
+                raise Unsupported("array of records")
+            out = Dot(T.ArrayType(sample.kind), _mapped(out, part, names))
+    return out
+
+
+def _filtered(items: Dot, test: tuple, names: dict[str, Dot]) -> Column:
+    return F.filter(items.column, lambda x: truth(compile_(test, Dot(items.kind.elementType, x), names)))
+
+
+def _mapped(items: Dot, value: tuple, names: dict[str, Dot]) -> Column:
+    return F.transform(items.column, lambda x: compile_(value, Dot(items.kind.elementType, x), names).column)
+
+
 def as_text(d: Dot) -> Column:
     if isinstance(d.kind, T.StringType):
         return F.coalesce(d.column, F.lit("null"))
@@ -194,6 +228,12 @@ def compile_call(tree: tuple, dot: Dot, names: dict[str, Dot]) -> Dot:
             return Dot(boolean, F.lit(args[0][1] in dot.fields))
         if isinstance(kind, T.MapType):
             return Dot(boolean, F.map_contains_key(c, args[0][1]))
+    if name == "IN" and len(args) in (1, 2):
+        value = dot if len(args) == 1 else arg(0)
+        found = [compile_(t, dot, names) for t in flat(args[-1])]
+        if value.column is None or any(d.column is None or not comparable(value, d) for d in found):
+            raise Unsupported("IN of different types")
+        return Dot(boolean, reduce_or([value.column.eqNullSafe(d.column) for d in found]))
     if name == "map" and isinstance(kind, T.ArrayType):
         sample = compile_(args[0], Dot(kind.elementType, F.lit(None).cast(kind.elementType)), names)
         return Dot(T.ArrayType(sample.kind or T.StructType()), F.transform(c, lambda x: compile_(args[0], Dot(kind.elementType, x), names).whole()))
@@ -254,6 +294,34 @@ def compile_call(tree: tuple, dot: Dot, names: dict[str, Dot]) -> Dot:
     raise Unsupported(name)
 
 
+def reduce_or(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out
+
+
+def inlined(tree, functions: dict | None = None):
+    """A tree with the bodies of its own functions in place of their calls; a function that calls itself stays unsupported."""
+    functions = functions or {}
+    if not isinstance(tree, tuple) or not tree:
+        return tree
+    if tree[0] == "def":
+        _, name, params, body, rest = tree
+        return inlined(rest, {**functions, (name, len(params)): (params, body, functions)})
+    if tree[0] == "call" and (tree[1], len(tree[2])) in functions:
+        params, body, outer = functions[(tree[1], len(tree[2]))]
+        args = [inlined(a, functions) for a in tree[2]]
+        if any("'var'" in repr(a) for p, a in zip(params, args) if not p.startswith("$")):
+            raise Unsupported("a variable that the body could bind anew")
+        out = inlined(body, {**outer, **{(p, 0): ((), a, {}) for p, a in zip(params, args) if not p.startswith("$")}})
+        for p, a in reversed(list(zip(params, args))):
+            if p.startswith("$"):
+                out = ("as", a, ("var", p[1:]), out)
+        return out
+    return tuple(inlined(t, functions) for t in tree)
+
+
 # ---- streams
 
 
@@ -447,19 +515,32 @@ def interpreted(df: DataFrame, text: str, *order: str) -> DataFrame:
 
 def jq(df: DataFrame, text: str, *order: str) -> DataFrame:
     """Run a program over records: as a plan where one exists, else by the interpreter (JSON in value)."""
+    from recordmill.plans.jq import relations
+
     tree = parse(text)
     try:
+        tree = inlined(tree)
         if tree[0] == "pipe" and tree[1] == ALL:
-            return gathered(df, tree[2], order)
+            return relations.joined(df, tree[2], order) if tree[2][0] == "as" else gathered(df, tree[2], order)
+        if tree[0] == "foreach" and uses_inputs(tree):
+            return relations.running(df, tree, order)
         if tree[0] == "reduce":
             return reduced(df, tree)
         if uses_inputs(tree):
             raise Unsupported("inputs")
-        return spread(df, tree)
+        return relations.expanded(df, tree, Dot.of(df), {}) if several(tree) else spread(df, tree)
     except Unsupported:
         return interpreted(df, text, *order)
 
 
+def several(tree: tuple) -> bool:
+    """Whether a program, after bindings, starts with a fold, a range or the first items of an array."""
+    while tree[0] == "as" and tree[2][0] == "var":
+        tree = tree[3]
+    first = tree[1] if tree[0] == "pipe" else tree
+    return tree[0] == "foreach" or first[0] == "call" and first[1] in ("range", "limit", "first") and bool(first[2])
+
+
 def condition(df: DataFrame, text: str) -> Column:
     """An event filter as a Column: the truth of its output, false for null and errors."""
     return truth(compile_(parse(text), Dot.of(df)))

@@ -40,17 +40,52 @@ def places(spark, sf_dir):
 def jq_index_join(spark, sf_dir):
     """INDEX over the regions of a stream, and each nation looked up in it."""
     program = '[., inputs] | INDEX(.[] | select(.t == "region"); .key) as $r | .[] | select(.t == "nation") | {id: .key, name: $r[.region | tostring].name}'
-    return values(interpreted(places(spark, sf_dir), program, "t", "key"), "id long, name string")
+    return jq(places(spark, sf_dir), program, "t", "key").select(F.col("id").cast("long").alias("id"), "name")
+
+
+def jq_join(spark, sf_dir):
+    """JOIN of orders with an index of customers, from one stream of both; both sides are at hand."""
+    customers = read(spark, sf_dir, "customer").select(F.lit("customer").alias("t"), F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.lit(None).cast("long").alias("customer"))
+    orders = read(spark, sf_dir, "orders").select(F.lit("order").alias("t"), F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("name"), F.col("o_custkey").cast("long").alias("customer"))
+    program = '[., inputs] | INDEX(.[] | select(.t == "customer"); .key) as $c | JOIN($c; .[] | select(.t == "order"); .customer | tostring; {key: .[0].key, status: .[0].name, customer: .[1].name})'
+    return jq(customers.unionByName(orders), program, "t", "key")
+
+
+def jq_in_stream(spark, sf_dir):
+    """Documents in a language that some long document has, and from a source that no short one has: lists of the stream."""
+    program = '[., inputs] | [.[] | select(.n_chars > 20000) | .lang] as $long | [.[] | select(.n_chars < 20) | .source] as $short | .[] | select((.lang | IN($long[])) and (.source | IN($short[]) | not)) | {doc_id, lang}'
+    return jq(docs(spark, sf_dir), program)
+
+
+def jq_foreach_stream(spark, sf_dir):
+    """A running sum over all events in their order, by ranges."""
+    return jq(events(spark, sf_dir), "foreach (., inputs) as $e (0; . + $e.user_id; {event_id: $e.event_id, running: .})", "event_id")
+
+
+def jq_range(spark, sf_dir):
+    """A row for each line of a nation's key, counted by range."""
+    return jq(read(spark, sf_dir, "nation"), ".n_name as $name | .n_nationkey as $n | range($n) | select(. % 2 == 0) | {name: $name, i: .}")
+
+
+def jq_limit_items(spark, sf_dir):
+    """The first two orders of each customer."""
+    return jq(orders(spark, sf_dir), ".id as $id | limit(2; .orders[]) | {id: $id, key: .key}")
+
+
+def jq_def_arguments(spark, sf_dir):
+    """Functions with values and closures as arguments, put in place of their calls."""
+    program = 'def of($s): [.[] | select(.status == $s) | .key] | add // 0; def twice(f): f + f; {id, open: (.orders | of("O")), done: (.orders | of("F")), more: (.orders | twice(length))}'
+    return jq(orders(spark, sf_dir), program)
 
 
 def jq_in_semi(spark, sf_dir):
-    return values(interpreted(docs(spark, sf_dir), 'select(.lang | IN("en", "de")) | select(.source | IN("src1", "src2", "src3")) | {doc_id}'), "doc_id long")
+    return jq(docs(spark, sf_dir), 'select(.lang | IN("en", "de")) | select(.source | IN("src1", "src2", "src3")) | {doc_id}')
 
 
 def jq_foreach_running(spark, sf_dir):
     """A running sum over each customer's orders, each of its states."""
     program = '.id as $id | foreach .orders[] as $o (0; . + $o.key; {id: $id, key: $o.key, running: .})'
-    return values(interpreted(orders(spark, sf_dir), program), "id long, key long, running long")
+    return jq(orders(spark, sf_dir), program)
 
 
 def jq_cross(spark, sf_dir):
@@ -106,9 +141,8 @@ def jq_fallback(spark, sf_dir):
 
 
 def jq_def(spark, sf_dir):
-    """A function of its own, by the interpreter."""
-    found = interpreted(docs(spark, sf_dir), "def f: {doc_id, twice: (.n_chars * 2)}; f")
-    return found.select(F.from_json("value", "doc_id long, twice long").alias("p")).select("p.doc_id", "p.twice")
+    """A function of its own, put in place of its call."""
+    return jq(docs(spark, sf_dir), "def f: {doc_id, twice: (.n_chars * 2)}; f")
 
 
 QUERIES = {
@@ -135,10 +169,16 @@ QUERIES = {
     "jq_strings": over(docs, '{doc_id, up: (.lang | ascii_upcase), cut: (.source | ltrimstr("src")), long: (.lang | length), has: (.source | test("[0-4]$"))}'),
     "jq_array_ends": over(orders, '{id, n: (.orders | length), first: .orders[0].key, last: .orders[-1].key, keys: (.orders | map(.key) | add)}'),
     "jq_try": over(events, "{id: .event_id, q: (.user_id / .data.k)?}"),
-    **{f.__name__: f for f in (jq_def, jq_index_join, jq_in_semi, jq_foreach_running, jq_cross, jq_transpose, jq_entries, jq_with_entries, jq_array_setops, jq_catch, jq_break, jq_leaf_paths, jq_fallback)},
+    **{f.__name__: f for f in (jq_join, jq_in_stream, jq_foreach_stream, jq_range, jq_limit_items, jq_def_arguments, jq_def, jq_index_join, jq_in_semi, jq_foreach_running, jq_cross, jq_transpose, jq_entries, jq_with_entries, jq_array_setops, jq_catch, jq_break, jq_leaf_paths, jq_fallback)},
 }
 K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 SQL = {
+    "jq_join": "SELECT o_orderkey AS key, o_orderstatus AS status, c_name AS customer FROM orders LEFT JOIN customer ON c_custkey = o_custkey",
+    "jq_in_stream": "SELECT doc_id, lang FROM documents WHERE lang IN (SELECT lang FROM documents WHERE n_chars > 20000) AND source NOT IN (SELECT source FROM documents WHERE n_chars < 20)",
+    "jq_foreach_stream": "SELECT event_id, CAST(sum(user_id) OVER (ORDER BY event_id) AS BIGINT) AS running FROM events",
+    "jq_range": "SELECT n_name AS name, i FROM nation, unnest(range(CAST(n_nationkey AS BIGINT))) AS t(i) WHERE i % 2 = 0",
+    "jq_limit_items": "SELECT o_custkey AS id, o_orderkey AS key FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 2",
+    "jq_def_arguments": "SELECT o_custkey AS id, CAST(coalesce(sum(o_orderkey) FILTER (WHERE o_orderstatus = 'O'), 0) AS BIGINT) AS open, CAST(coalesce(sum(o_orderkey) FILTER (WHERE o_orderstatus = 'F'), 0) AS BIGINT) AS done, 2 * count(*) AS more FROM orders GROUP BY 1",
     "jq_break": "SELECT id, key, s = 'O' AS \"in\", s = 'P' AS has FROM (SELECT o_custkey AS id, min(o_orderkey) AS key, arg_min(o_orderstatus, o_orderkey) AS s FROM orders WHERE o_orderkey > 100 GROUP BY 1)",
     "jq_catch": "SELECT CASE WHEN doc_id % 3 = 0 THEN -1 ELSE doc_id END AS doc_id, CASE WHEN doc_id % 3 = 0 THEN 'third' ELSE 'fine' END AS said FROM documents",
     "jq_with_entries": "SELECT CAST(n_nationkey AS BIGINT) AS key, 'name,nationkey,regionkey' AS names, CAST(n_regionkey AS VARCHAR) AS up FROM nation",

@@ -266,3 +266,23 @@ def with_positions(df: DataFrame, *order: Column | str, name: str = "pos", start
     firsts = firsts.select("part", "first", before.alias("before"))  # a row for each range
     number = (F.col("before") + F.col("place") - F.col("first") + start).alias(name)
     return ranged.join(F.broadcast(firsts), "part").select(*(F.col("row").getField(c).alias(c) for c in df.columns if c != name), number)
+
+
+def with_running(df: DataFrame, value: Column, *order: Column | str, name: str = "running", start: int = 0) -> DataFrame:
+    """Add the sum of a value over all rows up to each, in an order, without bringing them into one task.
+
+    As in with_positions(), ranges are written once; each is summed by itself, after the sums of the ranges before.
+    Rows that are equal in the order are summed in some order.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_dir(spark)}/recordmill/{uuid.uuid4().hex}/ranged"
+    ranged = df.select(F.struct("*").alias("row"), value.alias("value"), F.struct(*order).alias("order")).repartitionByRange(parts, "order").sortWithinPartitions("order")
+    ranged.select("row", "value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    sums = ranged.groupBy("part").agg(F.sum("value").alias("total"))
+    before = F.coalesce(F.sum("total").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("part", before.alias("before"))  # a row for each range
+    own = F.sum("value").over(W.partitionBy("part").orderBy("place").rowsBetween(W.unboundedPreceding, 0))
+    found = ranged.withColumn("own", own).join(F.broadcast(sums), "part")
+    return found.select(*(F.col("row").getField(c).alias(c) for c in df.columns if c != name), (F.col("before") + F.col("own") + start).alias(name))
