@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordmill.sources.records import InputError
@@ -31,7 +31,15 @@ def diff(batch: DataFrame, stored: DataFrame, forgotten: DataFrame | None = None
         both = both.join(forgotten.select(key).distinct().withColumn("gone", F.lit(True)), key, "left")
     else:
         both = both.withColumn("gone", F.lit(None).cast("boolean"))
-    action = (
+    return both.select(key, action_of(mode, complete).alias("action"))
+
+
+ACTIONS = ("added", "updated", "unchanged", "removed", "forgotten", "kept")
+
+
+def action_of(mode: str, complete: bool) -> Column:
+    """What becomes of a key, from in_batch, in_store, gone (forgotten), and its new and old content."""
+    return (
         F.when(F.col("gone") & F.col("in_store").isNotNull(), "removed")
         .when(F.col("gone"), "forgotten")
         .when(F.col("in_store").isNull(), "added")
@@ -39,13 +47,17 @@ def diff(batch: DataFrame, stored: DataFrame, forgotten: DataFrame | None = None
         .when(F.col("new").eqNullSafe(F.col("old")), "unchanged")
         .otherwise("updated")
     )
-    return both.select(key, action.alias("action"))
+
+
+def blocked(counts: dict[str, int]) -> bool:
+    """The guard's verdict from counters: a snapshot that leaves nothing, or drops over half of ten or more."""
+    existing = counts["updated"] + counts["unchanged"] + counts["removed"] + counts["kept"]
+    return existing > 0 and (counts["added"] + existing == counts["removed"] or existing >= 10 and 2 * counts["removed"] > existing)
 
 
 def counters(actions: DataFrame) -> DataFrame:
     """One row of how many records each action has."""
-    names = ("added", "updated", "unchanged", "removed", "forgotten", "kept")
-    return actions.agg(*(F.count_if(F.col("action") == n).alias(n) for n in names))
+    return actions.agg(*(F.count_if(F.col("action") == n).alias(n) for n in ACTIONS))
 
 
 def guard(actions: DataFrame) -> DataFrame:

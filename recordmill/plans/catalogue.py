@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from recordmill.plans import event_queries, graph_queries, jq_queries, search_queries
+from recordmill.plans import event_queries, graph_queries, jq_queries, search_queries, table_queries
 
-MODULES = (search_queries, graph_queries, event_queries, jq_queries)
+MODULES = (search_queries, graph_queries, event_queries, jq_queries, table_queries)
 
 
 def queries() -> dict:
