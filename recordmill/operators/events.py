@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from recordmill.sources.records import InputError
+
 # Fixed values of the log: what is kept, and how failures are held back.
 KEEP_LINES, KEEP_BYTES = 1000, 4 << 20
 COMPACT_BYTES, COMPACT_EVERY = 8 << 20, 200
@@ -22,8 +26,12 @@ def after_cursor(events: DataFrame, cursor: int, seq: str = "seq") -> DataFrame:
 
 
 def merge_cursor(stored: Column, target: Column, disk: Column) -> Column:
-    """The cursor to keep when another writer may have moved it."""
-    return F.when(target > disk, target).when(disk < stored, target).otherwise(F.greatest(target, disk))
+    """The cursor to keep when another writer may have moved it.
+
+    A target past the log's end (disk) isn't taken, as it would skip events; where the log was cut below what was stored the
+    target starts over; else the cursor never goes back.
+    """
+    return F.when(target > disk, stored).when(disk < stored, target).otherwise(F.greatest(stored, target))
 
 
 def first_of_repeats(events: DataFrame, *key: str, seq: str = "event_id") -> DataFrame:
@@ -48,6 +56,43 @@ def rule_filter(rules: list[tuple[str, str, Column | None]], kind: Column, sourc
     return found
 
 
+def rules_of_heads(events: DataFrame, rules: DataFrame, kind: str, source: str) -> DataFrame:
+    """_kind, _source, filter, n and first: how many rules with this filter match the events of a kind and source, and the
+    least of them. rules: rule, kind, source (empty ones match all) and filter (empty: none).
+
+    Events are reduced to their distinct heads first; each asks for its own kind and source, with either or both open,
+    by one equality join with the rules counted by theirs.
+    """
+    heads = events.select(F.col(kind).alias("_kind"), F.col(source).alias("_source")).distinct()
+    open_ = F.lit("")
+    ways = [(F.col("_kind"), F.col("_source")), (F.col("_kind"), open_), (open_, F.col("_source")), (open_, open_)]
+    asked = heads.select("*", F.explode(F.array_distinct(F.array(*(F.struct(k.alias("kind"), s.alias("source")) for k, s in ways)))).alias("way")).select("_kind", "_source", "way.kind", "way.source")
+    counted = rules.groupBy("kind", "source", "filter").agg(F.count("*").alias("n"), F.min("rule").alias("first"))
+    return asked.join(counted, ["kind", "source"]).groupBy("_kind", "_source", "filter").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+
+
+#: Different filters that a table of rules may have; each becomes a branch of one expression.
+MOST_FILTERS = 500
+
+
+def rule_matches(events: DataFrame, rules: DataFrame, compiled: Callable[[str], Column] | None = None, kind: str = "kind", source: str = "source", key: str = "event_id") -> DataFrame:
+    """key, n and first: how many rules of a table match each event, and the least of them; events without any are left out.
+
+    compiled makes a condition of a filter's text. Rules that share kind, source and filter are one row of the join, so an
+    event meets as many rows as its head's rules have filters, never the rules themselves.
+    """
+    rules = rules.select("rule", F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce("source", F.lit("")).alias("source"), (F.coalesce("filter", F.lit("")) if "filter" in rules.columns else F.lit("")).alias("filter"))
+    found = rules_of_heads(events, rules, kind, source)
+    texts = [r["filter"] for r in rules.where("filter != ''").select("filter").distinct().limit(MOST_FILTERS + 1).collect()]
+    if len(texts) > MOST_FILTERS:
+        raise InputError(f"more than {MOST_FILTERS} different filters")
+    holds = F.when(F.col("filter") == "", True)
+    for text in sorted(texts):
+        holds = holds.when(F.col("filter") == text, F.coalesce(compiled(text), F.lit(False)))
+    both = events.join(found, F.col(kind).eqNullSafe(F.col("_kind")) & F.col(source).eqNullSafe(F.col("_source")))
+    return both.where(holds).groupBy(key).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+
+
 def tail(events: DataFrame, lines: int, order: str = "event_id") -> DataFrame:
     return events.orderBy(F.desc(order)).limit(lines)
 

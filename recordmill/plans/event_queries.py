@@ -55,6 +55,33 @@ def event_rule_filter(spark, sf_dir):
     return rows.where(E.rule_filter(rules, F.col("event_type"), source)).select("event_id")
 
 
+def rules_table(spark, sf_dir):
+    """A rule for each customer: for a kind, a user, both or neither, some with a filter."""
+    kind = F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.element_at(F.array(*map(F.lit, ("click", "error", "view", "purchase"))), (F.col("c_custkey") % 4 + 1).cast("int")))
+    source = F.when(F.col("c_custkey") % 5 == 0, "").otherwise(F.concat(F.lit("user-"), F.col("c_custkey") % 400))
+    where = F.element_at(F.array(*map(F.lit, ("", "", ".data.k > 50", ".data.k < 10 or .value > 90"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("rule"), kind.alias("kind"), source.alias("source"), where.alias("filter"))
+
+
+def event_rules_table(spark, sf_dir):
+    """Events against all rules of a table: how many match, and the first."""
+    rows = events(spark, sf_dir).withColumns({"data": F.from_json("props", "k long"), "user": F.concat(F.lit("user-"), "user_id")})
+    return E.rule_matches(rows, rules_table(spark, sf_dir), lambda text: condition(rows, text), "event_type", "user")
+
+
+def events_stream_first(spark, sf_dir):
+    """Events read as a stream in batches of their order, repeats planted late: each with the first event like it."""
+    return log.batches_with_first(planted(spark, sf_dir), "event_id", ["event_type", "user_id", "k"])
+
+
+def planted(spark, sf_dir):
+    """All events, and every third once more at the end of the log."""
+    rows = events(spark, sf_dir).select("event_id", "event_type", "user_id", F.get_json_object("props", "$.k").alias("k"))
+    last = rows.agg(F.max("event_id").alias("m"))
+    again = rows.where("event_id % 3 = 0").crossJoin(F.broadcast(last))  # one row
+    return rows.unionByName(again.select((F.col("event_id") + F.col("m") + 1).alias("event_id"), "event_type", "user_id", "k"))
+
+
 def events_compaction(spark, sf_dir):
     return E.compacted(events(spark, sf_dir), F.expr(SIZE), budget=30000).select("event_id")
 
@@ -131,7 +158,12 @@ SQL = {
     "events_latest_seq": "SELECT max(event_id) + 1 AS latest FROM events",
     "events_after_cursor": "SELECT event_id + 1 AS seq FROM events WHERE event_id + 1 > CASE WHEN 600 > (SELECT max(event_id) + 1 FROM events) THEN 0 ELSE 600 END",
     "cursor_reset": "SELECT count(*) AS n, min(event_id) + 1 AS first FROM events",
-    "cursor_merge": "SELECT event_id, CASE WHEN event_id % 13 > event_id % 11 THEN event_id % 13 WHEN event_id % 11 < event_id % 17 THEN event_id % 13 ELSE greatest(event_id % 13, event_id % 11) END AS cursor FROM events",
+    "event_rules_table": """WITH r AS (SELECT c_custkey AS rule, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ['click', 'error', 'view', 'purchase'][c_custkey % 4 + 1] END AS kind, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'user-' || (c_custkey % 400) END AS source, c_custkey % 4 AS f FROM customer),
+e AS (SELECT event_id, event_type, 'user-' || user_id AS source, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT event_id, count(*) AS n, min(rule) AS first FROM e JOIN r ON r.kind IN ('', e.event_type) AND r.source IN ('', e.source) AND CASE f WHEN 2 THEN k > 50 WHEN 3 THEN coalesce(k, -1) < 10 OR value > 90 ELSE true END GROUP BY 1""",
+    "events_stream_first": """WITH e AS (SELECT event_id, event_type, user_id, json_extract_string(props, '$.k') AS k FROM events), p AS (SELECT * FROM e UNION ALL SELECT event_id + (SELECT max(event_id) FROM e) + 1, event_type, user_id, k FROM e WHERE event_id % 3 = 0)
+SELECT event_id, min(event_id) OVER (PARTITION BY event_type, user_id, k) AS first, event_id > min(event_id) OVER (PARTITION BY event_type, user_id, k) AS repeat FROM p""",
+    "cursor_merge": "SELECT event_id, CASE WHEN event_id % 13 > event_id % 11 THEN event_id % 17 WHEN event_id % 11 < event_id % 17 THEN event_id % 13 ELSE greatest(event_id % 17, event_id % 13) END AS cursor FROM events",
     "events_dedupe": "SELECT min(event_id) AS event_id FROM events GROUP BY event_type, user_id, props",
     "event_rule_match": "SELECT event_id FROM events WHERE event_type = 'click' OR user_id = 7 OR (event_type = 'error' AND user_id = 3)",
     "event_rule_filter": "SELECT event_id FROM events, LATERAL (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k) WHERE (event_type = 'click' AND coalesce(k > 50, false)) OR user_id = 7 OR (event_type = 'error' AND coalesce(k < 10, true))",
@@ -153,7 +185,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        events_latest_seq, events_after_cursor, cursor_reset, cursor_merge, events_dedupe, event_rule_match, event_rule_filter, events_compaction, events_tail, events_seq_assign, backoff, schedule_due,
+        events_latest_seq, events_after_cursor, cursor_reset, cursor_merge, events_dedupe, event_rule_match, event_rule_filter, event_rules_table, events_stream_first, events_compaction, events_tail, events_seq_assign, backoff, schedule_due,
         window_bounds, due_selection, run_status_rollup, status_orphans, retention_keep_n, latency_stats, emit_events, stream_counts,
     )
 }

@@ -22,3 +22,35 @@ def test_windowed_counts(spark, sf_dir, tmp_path):
     query = counts.writeStream.format("memory").queryName("window_counts").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("window_counts").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_first_of_repeats_over_batches(spark, tmp_path):
+    """Repeats in a batch, in later ones, after a restart, of null keys, and beyond the batches that are kept."""
+    schema = "event_id long, kind string, n long"
+    batches = [[(1, "a", 1), (2, "a", 1), (3, None, None)], [(4, "a", 1), (5, None, None), (6, "", None)], [(7, "b", 2)], [(8, "a", 1), (9, "b", 2)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/log/batch={i}")
+        source = log.read(spark, f"{tmp_path}/log/batch=*", spark.createDataFrame(rows, schema).schema)
+        log.start(source, log.first_keeper(f"{tmp_path}", "event_id", "kind", "n", kept=2), f"{tmp_path}/cursor").awaitTermination()
+    found = {r.event_id: (r["first"], r["repeat"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert found == {1: (1, False), 2: (1, True), 3: (3, False), 4: (1, True), 5: (3, True), 6: (6, False), 7: (7, False), 8: (8, False), 9: (7, True)}
+    assert log.numbered(spark, f"{tmp_path}/firsts", 0, 2) != [] and log.numbered(spark, f"{tmp_path}/firsts", 0, 1) == []
+
+
+def test_rules_of_a_table(spark):
+    from recordmill.operators import events as E
+
+    events = spark.createDataFrame([(1, "click", "u1", 5), (2, "click", "u2", 50), (3, None, "u1", 1), (4, "x", "y", None)], "event_id long, kind string, source string, v long")
+    rules = spark.createDataFrame([(1, "click", "", ""), (2, "", "u1", ""), (3, "click", "u2", "v > 10"), (4, "click", "u2", "v > 99"), (5, "none", "", ""), (6, "", "", "v > 3")], "rule long, kind string, source string, filter string")
+    found = E.rule_matches(events, rules, F.expr)
+    assert {r.event_id: (r.n, r["first"]) for r in found.collect()} == {1: (3, 1), 2: (3, 1), 3: (1, 2)}
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cursors_are_merged_without_skipping(spark):
+    """A target past the log's end isn't taken; a log that was cut starts over; else the further one stays."""
+    from recordmill.operators import events as E
+
+    cases = [((5, 9, 7), 5), ((5, 7, 9), 7), ((5, 3, 9), 5), ((5, 2, 4), 2), ((5, 5, 5), 5), ((0, 1, 0), 0)]
+    df = spark.createDataFrame([c for c, _ in cases], "stored long, target long, disk long")
+    assert [r[0] for r in df.select(E.merge_cursor(F.col("stored"), F.col("target"), F.col("disk"))).collect()] == [w for _, w in cases]
