@@ -74,9 +74,20 @@ def normalize_date(text: Column) -> Column:
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$") & (shown == text) & ~text.isin("0001-01-01", "9999-12-31"), shown)
 
 
+#: An ISO-8601 time with a zone, in its long and its short form: date, hours, minutes, seconds, fraction, zone.
+ISO = r"^(\d{4}-\d{2}-\d{2}|\d{8})[^0-9](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,6})\d*)?)?)?(Z|[+-]\d{2}(?::?\d{2})?)$"
+
+
 def zoned(text: Column) -> Column:
-    """The instant of an ISO-8601 time with a zone; null for others."""
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})$"), F.try_to_timestamp(text))
+    """The instant of an ISO-8601 time with a zone; null for others. Minutes and seconds may be left out, colons and hyphens
+    too, a fraction follows a point or comma and counts to the microsecond. Dates by weeks aren't taken."""
+    part = lambda i: F.regexp_extract(text, ISO, i)
+    or_zero = lambda c: F.when(c == "", "00").otherwise(c)
+    day = F.regexp_replace(F.replace(part(1), F.lit("-"), F.lit("")), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    zone = F.regexp_replace(part(6), r"^([+-]\d{2}):?(\d{2})?$", "$1:$2")
+    clock = F.concat_ws(":", part(2), or_zero(part(3)), or_zero(part(4)))
+    shown = F.concat(day, F.lit("T"), clock, F.lit("."), F.rpad(part(5), 6, "0"), F.when(F.length(zone) == 4, F.concat(zone, F.lit("00"))).otherwise(zone))
+    return F.when(text.rlike(ISO), F.try_to_timestamp(shown))
 
 
 def normalize_time(text: Column) -> Column:
@@ -106,12 +117,13 @@ def secret_key(name: Column) -> Column:
 
 
 def redact_map(values: Column) -> Column:
-    """A map of strings with the values of secret keys replaced whole and secrets in the others."""
-    return F.transform_values(values, lambda k, v: F.when(secret_key(k), F.lit(REDACTED)).otherwise(redact(v)))
+    """A map of strings with the values of secret keys replaced whole, if there are any, and secrets in the others."""
+    return F.transform_values(values, lambda k, v: F.when(secret_key(k) & (v != ""), F.lit(REDACTED)).otherwise(redact(v)))
 
 
 def redact_variant(value: object) -> object:
-    """Any JSON value with the values of secret keys replaced whole and secrets in all other text, keys included."""
+    """Any JSON value with secrets in its text replaced, keys included; under a secret key, text and lists of text are replaced
+    whole. Empty text, numbers and null have nothing to hide; objects and mixed lists are gone into."""
     import re
 
     if not hasattr(redact_variant, "patterns"):
@@ -122,7 +134,8 @@ def redact_variant(value: object) -> object:
     if isinstance(value, list):
         return [redact_variant(v) for v in value]
     if isinstance(value, dict):
-        return {text.sub(REDACTED, k): REDACTED if key.search(k) else redact_variant(v) for k, v in value.items()}
+        hidden = {str: lambda v: REDACTED if v else v, list: lambda v: [REDACTED] * len(v) if v and {type(x) for x in v} == {str} else redact_variant(v)}
+        return {text.sub(REDACTED, k): hidden.get(type(v), redact_variant)(v) if key.search(k) else redact_variant(v) for k, v in value.items()}
     return value
 
 
@@ -198,8 +211,18 @@ def attribute_map(text: Column) -> Column:
 
 
 def tags(values: Column) -> Column:
-    """Distinct tags in order of first appearance; tags with a slash, backslash or space, or blank, are left out."""
-    return F.array_distinct(F.filter(F.transform(values, lambda v: v.cast("string")), lambda v: (F.trim(v) != "") & ~v.rlike(r"[/\\\s]")))
+    """Distinct sound tags in order of first appearance; tags_problem() says whether others were among them."""
+    return F.array_distinct(F.filter(F.transform(values, lambda v: v.cast("string")), _sound_tag))
+
+
+def _sound_tag(tag: Column) -> Column:
+    """Neither blank nor with a slash, backslash, white space or control character."""
+    return F.coalesce((tag != "") & ~tag.rlike(r"(?U)[/\\\s]") & ~tag.rlike(CONTROL), F.lit(False))
+
+
+def tags_problem(values: Column) -> Column:
+    """What is wrong with a list of tags; null if nothing is."""
+    return F.when(F.exists(values, lambda v: ~_sound_tag(v.cast("string"))), F.lit("tags must be nonempty tokens without spaces or slashes"))
 
 
 def parts(path: Column) -> Column:
@@ -271,9 +294,19 @@ def format_span(seconds: Column) -> Column:
     return F.when(seconds < 1, F.concat(F.greatest(F.lit(0), F.rint(seconds * 1000)).cast("long").cast("string"), F.lit("ms"))).otherwise(F.array_join(F.slice(F.array_compact(F.array(*shown)), 1, 2), ""))
 
 
+#: What ends a line.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def lines(text: Column) -> Column:
+    """The lines of a text, without what ends them; nothing follows the last end."""
+    parts = F.split(text, LINE_END)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+
 def line_slice(text: Column, start: int, count: int) -> Column:
-    """Lines from the start-th (1-based) on."""
-    return F.array_join(F.slice(F.split(text, "\n"), start, count), "\n")
+    """Lines from the start-th (1-based) on, put together by line feeds."""
+    return F.array_join(F.slice(lines(text), start, count), "\n")
 
 
 def tsv_cell(value: Column) -> Column:

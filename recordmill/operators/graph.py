@@ -29,11 +29,18 @@ def missing_anchors(links: DataFrame, anchors: DataFrame) -> DataFrame:
     return links.where("anchor != ''").join(anchors.select("to", "anchor").distinct(), ["to", "anchor"], "left_anti")
 
 
-def typed_dominate(links: DataFrame, kind: str = "kind", *key: str) -> DataFrame:
-    """Without untyped links beside a typed one with the same key, and without repeats."""
-    typed = links.where(F.col(kind) != "").select(*key).distinct()
-    untyped = links.where(F.col(kind) == "").join(typed, list(key), "left_anti")
-    return links.where(F.col(kind) != "").unionByName(untyped).dropDuplicates([*key, kind])
+#: What makes two links of a record the same but for their type.
+LINK_KEY = ("to", "kind", "anchor", "section")
+
+
+def typed_dominate(links: DataFrame, typed: Column | None = None, *key: str) -> DataFrame:
+    """All typed links, and the others that have no typed one with their key. A link is typed by what it carries (meta),
+    unless a condition says otherwise; nothing else is left out, so two typed links with one key both stay."""
+    key = key or tuple(c for c in ("ref", *LINK_KEY) if c in links.columns)
+    typed = F.coalesce(typed if typed is not None else F.size("meta") > 0, F.lit(False))
+    beside = links.where(typed).select(*(F.col(k).alias(f"_{k}") for k in key)).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+    return links.where(typed).unionByName(links.where(~typed).join(beside, same, "left_anti"))
 
 
 def backlinks(links: DataFrame, source: str = "ref", to: str = "to", first: int = 20) -> DataFrame:

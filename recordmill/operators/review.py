@@ -10,7 +10,8 @@ from recordmill.operators import graph
 
 
 def is_future(ts: Column, now: str) -> Column:
-    return F.coalesce(V.ts_key(ts) > V.ts_key(F.lit(now)), F.lit(False))
+    """Whether a time is past now; a date alone is so from the day after now's on."""
+    return F.coalesce(F.when(F.length(ts) == 10, ts > F.lit(now[:10])).otherwise(V.ts_key(ts) > V.ts_key(F.lit(now))), F.lit(False))
 
 
 def is_due(updated: Column, stale_after: Column, now: str) -> Column:

@@ -72,7 +72,7 @@ def lines_as_links(spark, sf_dir):
 
 
 def typed_link_dominance(spark, sf_dir):
-    return graph.typed_dominate(lines_as_links(spark, sf_dir), "kind", "ref", "to")
+    return graph.typed_dominate(lines_as_links(spark, sf_dir).distinct(), F.col("kind") != "", "ref", "to")
 
 
 def missing_parts(spark, sf_dir):
@@ -238,10 +238,10 @@ SQL = {
     "latest_per_ref": "SELECT o_custkey, strftime(max(o_orderdate), '%Y-%m-%dT%H:%M:%SZ') AS latest FROM orders GROUP BY 1",
     "evidence_updated": "SELECT o_custkey, max(CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') || 'T23:59:59.999999Z' ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '.000000Z' END) AS evidence FROM orders GROUP BY 1",
     "stale_due": f"WITH {CUSTOMERS} SELECT ref, {DUE} AS due FROM n WHERE stale_after IS NOT NULL",
-    "future_updated": f"WITH {CUSTOMERS} SELECT ref FROM n WHERE updated >= '1998-06-01'",
-    "review_stale": f"WITH {CUSTOMERS}, r AS (SELECT n.ref, list_filter([CASE WHEN updated >= '1998-06-01' THEN 'future_updated' END, CASE WHEN stale_after IS NOT NULL AND {DUE} THEN 'due' END, CASE WHEN newer_count > 0 THEN 'newer_evidence' END], lambda x: x IS NOT NULL) AS reasons, coalesce(newer_count, 0) AS newer_count FROM n LEFT JOIN w ON w.ref = n.ref WHERE status != 'deprecated') SELECT ref, array_to_string(reasons, ',') AS reasons, newer_count FROM r WHERE len(reasons) > 0",
+    "future_updated": f"WITH {CUSTOMERS} SELECT ref FROM n WHERE updated > '1998-06-01'",
+    "review_stale": f"WITH {CUSTOMERS}, r AS (SELECT n.ref, list_filter([CASE WHEN updated > '1998-06-01' THEN 'future_updated' END, CASE WHEN stale_after IS NOT NULL AND {DUE} THEN 'due' END, CASE WHEN newer_count > 0 THEN 'newer_evidence' END], lambda x: x IS NOT NULL) AS reasons, coalesce(newer_count, 0) AS newer_count FROM n LEFT JOIN w ON w.ref = n.ref WHERE status != 'deprecated') SELECT ref, array_to_string(reasons, ',') AS reasons, newer_count FROM r WHERE len(reasons) > 0",
     "review_actions": "SELECT o_orderkey AS ref, strftime(o_orderdate, '%Y-%m-%d') AS updated FROM orders WHERE o_orderstatus = 'O' ORDER BY 2 DESC, 1 DESC LIMIT 50",
-    "review_rows": f"""WITH {CUSTOMERS}, r AS (SELECT n.ref, list_filter([CASE WHEN updated >= '1998-06-01' THEN 'future_updated' END, CASE WHEN stale_after IS NOT NULL AND {DUE} THEN 'due' END, CASE WHEN newer_count > 0 THEN 'newer_evidence' END], lambda x: x IS NOT NULL) AS reasons, coalesce(newer_count, 0) AS newer_count FROM n LEFT JOIN w ON w.ref = n.ref WHERE status != 'deprecated') SELECT 'stale' AS section, ref, array_to_string(reasons, ',') AS reasons FROM r WHERE len(reasons) > 0 UNION ALL SELECT 'action_open', CAST(o_orderkey AS VARCHAR), NULL FROM orders WHERE o_orderstatus = 'O'""",
+    "review_rows": f"""WITH {CUSTOMERS}, r AS (SELECT n.ref, list_filter([CASE WHEN updated > '1998-06-01' THEN 'future_updated' END, CASE WHEN stale_after IS NOT NULL AND {DUE} THEN 'due' END, CASE WHEN newer_count > 0 THEN 'newer_evidence' END], lambda x: x IS NOT NULL) AS reasons, coalesce(newer_count, 0) AS newer_count FROM n LEFT JOIN w ON w.ref = n.ref WHERE status != 'deprecated') SELECT 'stale' AS section, ref, array_to_string(reasons, ',') AS reasons FROM r WHERE len(reasons) > 0 UNION ALL SELECT 'action_open', CAST(o_orderkey AS VARCHAR), NULL FROM orders WHERE o_orderstatus = 'O'""",
     "problems_by_kind": "SELECT kind, count(*) AS n FROM (SELECT DISTINCT 'short' AS kind, source AS x FROM documents WHERE n_chars < 200 UNION ALL SELECT DISTINCT 'quality', CAST(doc_id AS VARCHAR) FROM labels WHERE quality = 0) GROUP BY 1",
     "validate_store": """SELECT kind, count(*) AS n FROM (
         SELECT 'duplicate_id' AS kind, source || '/' || (doc_id % 900) AS x FROM documents GROUP BY ALL HAVING count(*) > 1

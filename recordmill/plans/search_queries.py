@@ -449,7 +449,7 @@ SQL = {
     "search_then_project": f"SELECT ref, lang FROM ({VIEW}) WHERE lang = 'en' AND regexp_matches(text, '{PATTERN}', 'i')",
     "point_read_ref": f"SELECT ref, 'document ' || doc_id AS title, text FROM ({VIEW}) WHERE ref = 'src7:47'",
     "alias_lookup": "SELECT c_custkey FROM customer WHERE c_name = 'Customer#000000042'",
-    "line_slice": "SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 4), chr(10)) AS content FROM documents",
+    "line_slice": r"SELECT doc_id, array_to_string(list_slice(CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END, 2, 4), chr(10)) AS content FROM (SELECT doc_id, string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]') AS l FROM documents)",
     "byte_budget": "SELECT doc_id, strlen(text) <= 2000 AS fits, CAST(CASE WHEN strlen(text) <= 2000 THEN length(text) ELSE (SELECT max(i) FROM range(0, 2001) r(i) WHERE strlen(left(text, i)) <= 2000) END AS BIGINT) AS kept FROM documents",
     "compile_notes": f"SELECT 'concepts/doc-' || doc_id || '.md' AS path, 'Document ' || doc_id AS title, 'concept' AS kind, sha256({NOTE}) AS sha256, CAST(2 AS BIGINT) AS n_headings, CAST(2 AS BIGINT) AS n_tasks FROM documents",
     "path_predicates": """SELECT * FROM (VALUES ('projects/a.md', false, 'projects', false, false, 'memories/projects/a.json'), ('projects/.#a.md', false, NULL, false, false, NULL), ('actions/x/ACTION.md', false, 'actions', false, false, 'memories/actions/x.json'),

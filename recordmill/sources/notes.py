@@ -7,6 +7,7 @@ import html
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -50,13 +51,11 @@ def front_matter(text: str) -> tuple[str, str]:
     return (m[1], m[2]) if m else ("", text)
 
 
-def yaml_map(block: str) -> dict:
-    """A mapping by YAML 1.2's core rules; anchors, repeated or other keys, deep nesting and endless numbers are refused."""
+@lru_cache(1)
+def strict_loader() -> type:
+    """A loader of YAML 1.2's core rules, made once for a process."""
     import yaml
 
-    if len(block.encode()) > MOST_BYTES:
-        raise ValueError("front matter is too large")
-
     class Strict(yaml.SafeLoader):
         depth = 0
 
@@ -92,7 +91,17 @@ def yaml_map(block: str) -> dict:
         Strict.add_implicit_resolver(f"tag:yaml.org,2002:{name}", pattern, first)
     Strict.add_constructor("tag:yaml.org,2002:int", Strict.whole)
     Strict.add_constructor("tag:yaml.org,2002:float", Strict.real)
-    found = yaml.load(block, Strict) if block.strip() else {}
+    return Strict
+
+
+def yaml_map(block: str) -> dict:
+    """A mapping by YAML 1.2's core rules; anchors, repeated or other keys, deep nesting and endless numbers are refused."""
+    import yaml
+
+    if len(block.encode()) > MOST_BYTES:
+        raise ValueError("front matter is too large")
+
+    found = yaml.load(block, strict_loader()) if block.strip() else {}
     if not isinstance(found, dict):
         raise ValueError("front matter must be a mapping")
     return found
@@ -184,6 +193,8 @@ def compile_note(path: str, text: str) -> dict:
             raise ValueError(f"front matter can't set {', '.join(taken)}")
         if not isinstance(meta.get("title", ""), str):
             raise ValueError("title must be text")
+        if any(isinstance(t, (dict, list)) or t is None or re.search(r"[/\\\s]", str(t)) or not str(t) for t in (meta.get("tags") or [])):
+            raise ValueError("tags must be nonempty tokens without spaces or slashes")
         out["raw_links"] = stated_links(meta)
     except Exception as error:  # yaml's own errors have no common base here
         out["problem"] = str(error).split("\n")[0]
@@ -294,9 +305,10 @@ def compile_notes(df: DataFrame, path: str = "path", text: str = "text", own: st
     wrong = F.get(F.filter(F.transform("links", lambda x: x["problem"]), lambda p: p.isNotNull()), F.lit(0))
     found = found.withColumn("problem", F.coalesce("problem", wrong))
     key = lambda x: F.struct(x["to"], x["kind"], x["anchor"], x["section"], F.array_sort(F.map_entries(x["meta"])))
-    once = F.filter("links", lambda x, i: F.array_position(F.transform("links", key), key(x)) == i + 1)
+    found = found.withColumn("_keys", F.transform("links", key))  # built once a note, not once a link
+    once = F.filter("links", lambda x, i: F.array_position("_keys", F.get("_keys", i)) == i + 1)
     shown = F.when(F.col("problem").isNull(), F.transform(once, lambda x: F.struct(*(x[c].alias(c) for c in ("to", "kind", "anchor", "meta", "section"))))).otherwise(F.array().cast(f"array<{L.LINK}>"))
-    return found.withColumn("links", shown).drop("raw_links")
+    return found.withColumn("links", shown).drop("raw_links", "_keys")
 
 
 def sections(compiled: DataFrame, text: str = "source_text") -> DataFrame:

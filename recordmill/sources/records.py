@@ -206,7 +206,8 @@ def decode(text: str) -> object:
 def parse_batch(data: bytes, most_bytes: int = 16 << 20) -> tuple[list[dict], int | None]:
     """The records of a batch and how many it says are missing (None: it is complete; -1: unknown).
 
-    A batch is an array, an envelope {"records": [...], "incomplete": ...}, one object, or an object a line.
+    A batch is an array, an envelope {"records": [...], "incomplete": ...}, one object, or an object a line. Other keys
+    of an envelope are left aside; null is complete.
     """
     if len(data) > most_bytes:
         raise InputError("batch is too large")
@@ -225,14 +226,12 @@ def parse_batch(data: bytes, most_bytes: int = 16 << 20) -> tuple[list[dict], in
             raise
         whole = [decode(line) for line in lines]
     if isinstance(whole, dict) and "records" in whole:
-        state = whole.get("incomplete", False)
-        if set(whole) - {"records", "incomplete"}:
-            raise InputError("an envelope has records and incomplete only")
+        state = False if whole.get("incomplete") is None else whole["incomplete"]
         if isinstance(state, dict):
             missed = state.get("missed")
             if set(state) != {"missed"} or type(missed) is not int or missed < 0:
                 raise InputError("incomplete takes true, false or {missed: n}")
-            missing = missed
+            missing = missed or None  # none missed is a complete batch
         elif type(state) is not bool:
             raise InputError("incomplete takes true, false or {missed: n}")
         elif state:

@@ -55,17 +55,17 @@ def eval_suite(text: str) -> list[dict]:
 
 
 def judge(case: dict, refs: list[str], text: str, value: object = None) -> list[str]:
-    """What a case's result fails: nothing if it holds."""
-    out = [f"missing {r}" for r in case.get("expect_refs", []) if r not in refs] + [f"forbidden {r}" for r in case.get("forbid_refs", []) if r in refs]
-    wanted = case.get("expect_text", [])
-    out += [f"text not found: {t}" for t in ([wanted] if isinstance(wanted, str) else wanted) if str(t).lower() not in text.lower()]
-    if len(refs) < case.get("min_count", 0):
-        out.append("too few")
-    if len(refs) > case.get("max_count", len(refs)):
-        out.append("too many")
-    if "expect_equals" in case and value != case["expect_equals"]:
-        out.append("other value")
-    return out
+    """What a case's result fails: nothing if it holds. References are compared as sets, counts with their bounds."""
+    found, asked = set(refs), case.get("expect_text", [])
+    absent = {t: str(t).lower() not in text.lower() for t in ([asked] if isinstance(asked, str) else asked)}
+    failed = {
+        "missing {}": sorted(set(case.get("expect_refs", ())) - found),
+        "forbidden {}": sorted(set(case.get("forbid_refs", ())) & found),
+        "text not found: {}": [t for t, lacks in absent.items() if lacks],
+        "too {}": [word for word, wrong in (("few", len(refs) < case.get("min_count", 0)), ("many", len(refs) > case.get("max_count", len(refs)))) if wrong],
+        "other {}": ["value"] if case.get("expect_equals", value) != value else [],
+    }
+    return [said.format(what) for said, each in failed.items() for what in each]
 
 
 def new_store(root: str, name: str) -> None:

@@ -171,9 +171,23 @@ def test_bad_cron(expression):
         cron.parse(expression)
 
 
-def test_visible_text():
-    assert pages.visible_text("<h1>A &amp; B</h1><script>x</script><p>c<br>d <b>e</p>") == "A & B\nc\nd e"
-    assert pages.visible_text(None) == ""
+def test_visible_text(spark):
+    cases = {
+        "<h1>A &amp; B</h1><script>x</script><p>c<br>d <b>e</p>": "A & B\nc\nd e",
+        None: "",
+        "": "",
+        "<p title='a>b'>x</p><P>y<p-x>z": "x\nyz",
+        "a<script>if (1 < 2) '</p>'</script >b<style>p{}": "ab",
+        "<!-- <p>no</p> -->yes<!DOCTYPE html><br/>1 < 2 &lt;b&gt;": "yes\n1 < 2 <b>",
+        "&eacute;&#233;&#xE9;&#128;&#x1F600;&nope; &amp;lt; & AT&T &copy;": "\u00e9\u00e9\u00e9\u20ac\U0001f600&nope; &lt; & AT&T \u00a9",
+        "AT&amp T&copy2 &#233 &ampx &notin; &notit;": "AT& T\u00a92 \u00e9 &x \u2209 \u00acit;",
+        "&#0;&#xD800;&#99999999;": "\ufffd\ufffd\ufffd",
+        " one\u00a0\u2003two\r\n\n three ": "one two\nthree",
+        "<div>" * 5000 + "deep": "deep",
+        "<a href=\"" + "x" * 20000 + "\">t</a>": "t",
+    }
+    df = spark.createDataFrame(list(cases.items()), "html string, want string")
+    assert [(r.html, r.text) for r in pages.html_text(df).collect() if r.text != r.want] == []
 
 
 def test_workbook():

@@ -85,4 +85,53 @@ def test_attribute_lists_and_queries(spark):
 
 def test_redaction_goes_deep():
     found = V.redact_variant({"a": [{"password": ["x", 1]}, "api_key=abcdefgh"], "Proxy-Authorization": "y", "n": 1})
-    assert found == {"a": [{"password": "[REDACTED]"}, "[REDACTED]"], "Proxy-Authorization": "[REDACTED]", "n": 1}
+    assert found == {"a": [{"password": ["x", 1]}, "[REDACTED]"], "Proxy-Authorization": "[REDACTED]", "n": 1}
+
+
+def test_iso_times_in_all_forms(spark):
+    """Forms with and without separators, minutes and seconds, with long fractions and commas; not those without a zone."""
+    cases = {
+        "2026-11-15T12+02": "2026-11-15T10:00:00Z", "20261115T120000Z": "2026-11-15T12:00:00Z", "2026-11-15 12:00:00.1234567+00:00": "2026-11-15T12:00:00Z", "2026-11-15T12:00:00,5Z": "2026-11-15T12:00:00Z",
+        "2026-11-15T23:59-0130": "2026-11-16T01:29:00Z", "20261115T1200+02": "2026-11-15T10:00:00Z", "2026-11-15T12:00:00": None, "2026-13-15T12:00Z": None, "2026-11-15": None, "2026-1115T12Z": None, "x": None,
+    }
+    df = spark.createDataFrame(list(cases.items()), "t string, want string")
+    assert [r for r in df.select("t", "want", V.normalize_time(F.col("t")).alias("got")).collect() if r.got != r.want] == []
+
+
+def test_only_text_under_secret_names_is_hidden(spark):
+    value = {"api_key": "abc", "password": "", "token": None, "secret": 5, "client_secret": {"id": "x", "api_key": "y"}, "tokens": 1, "api_keys": ["a"], "passwords": [], "access_token": ["a", "b"], "auth_token": ["a", 1], "name": "n"}
+    found = V.redact_variant(value)
+    assert found["api_key"] == "[REDACTED]" and found["password"] == "" and found["token"] is None and found["secret"] == 5
+    assert found["client_secret"] == {"id": "x", "api_key": "[REDACTED]"} and found["access_token"] == ["[REDACTED]"] * 2 and found["auth_token"] == ["a", 1] and found["name"] == "n"
+    kv = spark.createDataFrame([({"api_key": "k", "password": "", "name": "n"},)], "kv map<string,string>").select(V.redact_map(F.col("kv")).alias("kv")).first()["kv"]
+    assert kv == {"api_key": "[REDACTED]", "password": "", "name": "n"}
+
+
+def test_lines_end_as_in_files(spark):
+    cases = {"a\nb\n": ["a", "b"], "a\r\nb\rc": ["a", "b", "c"], "": [], "\n": [""], "a\n\n": ["a", ""], "a\x0bb c": ["a", "b", "c"], "x": ["x"]}
+    df = spark.createDataFrame(list(cases.items()), "t string, want array<string>")
+    assert [r for r in df.select("t", "want", V.lines(F.col("t")).alias("got")).collect() if list(r.got) != list(r.want)] == []
+    assert spark.createDataFrame([("a\nb\n",)], "t string").select(V.line_slice(F.col("t"), 2, 3)).first()[0] == "b"
+
+
+def test_bad_tags_are_a_problem(spark):
+    df = spark.createDataFrame([(["a", "b", "a"],), (["a b", "c"],), (["x/y"],), ([""],), ([],)], "t array<string>")
+    found = [(list(r.sound), r.problem is None) for r in df.select(V.tags(F.col("t")).alias("sound"), V.tags_problem(F.col("t")).alias("problem")).collect()]
+    assert found == [(["a", "b"], True), (["c"], False), ([], False), ([], False), ([], True)]
+
+
+def test_dates_are_ahead_from_tomorrow_on(spark):
+    from recordmill.operators import graph, review
+
+    df = spark.createDataFrame([("2026-11-15",), ("2026-11-16",), ("2026-11-15T12:00:01Z",), ("2026-11-15T14:00:00+02:00",), (None,)], "t string")
+    assert [r[0] for r in df.select(review.is_future(F.col("t"), "2026-11-15T12:00:00Z")).collect()] == [False, True, True, False, False]
+    links = spark.createDataFrame([("n", "a", "note", "", "", {"w": "1"}), ("n", "a", "note", "", "", {"w": "2"}), ("n", "a", "note", "", "", {}), ("n", "b", "note", "", "", {}), ("n", "b", "note", "", "", {}), ("m", "a", "note", "", "", {})], "ref string, to string, kind string, anchor string, section string, meta map<string,string>")
+    found = sorted((r.ref, r.to, str(r.meta)) for r in graph.typed_dominate(links).collect())
+    assert found == [("m", "a", "{}"), ("n", "a", "{'w': '1'}"), ("n", "a", "{'w': '2'}"), ("n", "b", "{}"), ("n", "b", "{}")]
+
+
+def test_batches_say_what_they_lack():
+    from recordmill.sources.records import parse_batch
+
+    for text, lacks in (('{"records": [], "incomplete": {"missed": 0}}', None), ('{"records": [], "incomplete": null, "note": 1}', None), ('{"records": [], "incomplete": {"missed": 3}}', 3), ('{"records": [], "incomplete": true}', -1), ('{"records": [], "incomplete": false}', None)):
+        assert parse_batch(text.encode()) == ([], lacks)
