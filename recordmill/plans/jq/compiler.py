@@ -8,6 +8,7 @@ record by record, or, where a program looks past its own record, over the stream
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recordmill.functions.order import key_of
 from recordmill.plans.jq.interpreter import JqRuntimeError, outputs, show, uses_inputs
 from recordmill.plans.jq.syntax import JqError, parse
 
@@ -45,6 +47,8 @@ class Dot:
             return Dot(self.kind[name].dataType, self.column.getField(name))
         if isinstance(self.kind, T.MapType):
             return Dot(self.kind.valueType, F.try_element_at(self.column, F.lit(name)))
+        if isinstance(self.kind, T.VariantType) and re.fullmatch(r"[A-Za-z_]\w*", name):
+            return Dot(self.kind, F.try_variant_get(self.column, f"$.{name}", "variant"))
         raise Unsupported(f"field {name} of {self.kind}")
 
     def whole(self) -> Column:
@@ -55,8 +59,15 @@ NUMBERS = (T.IntegralType, T.FractionalType)
 MATH = {"floor": F.floor, "ceil": F.ceil, "sqrt": F.sqrt, "fabs": F.abs, "abs": F.abs, "log": F.ln, "log2": F.log2, "log10": F.log10, "exp": F.exp, "sin": F.sin, "cos": F.cos, "tan": F.tan, "asin": F.asin, "acos": F.acos, "atan": F.atan, "cbrt": F.cbrt}
 
 
+def orderable(d: Dot) -> Column:
+    """What a value is sorted and grouped by: a VARIANT by the key of jq's order over all types."""
+    return key_of(d.column, d.kind) if isinstance(d.kind, T.VariantType) else d.whole()
+
+
 def truth(d: Dot) -> Column:
     """null and false are false, all else is true."""
+    if isinstance(d.kind, T.VariantType):
+        return F.coalesce(key_of(d.column, d.kind)["rank"] > 1, F.lit(False))
     return F.coalesce(d.column, F.lit(False)) if isinstance(d.kind, T.BooleanType) else d.whole().isNotNull() if d.column is not None else F.lit(True)
 
 
@@ -189,6 +200,11 @@ def compile_binary(tree: tuple, again) -> Dot:
         good = F.when(a.column, a.column) if isinstance(a.kind, boolean.__class__) else a.column
         return Dot(b.kind if isinstance(a.kind, T.NullType) else a.kind, F.coalesce(good, b.column))
     if op in ("==", "!=", "<", "<=", ">", ">="):
+        if isinstance(a.kind, T.VariantType) or isinstance(b.kind, T.VariantType):
+            x, y = (None if d.column is None else key_of(d.column, d.kind) for d in (a, b))
+            if x is None or y is None:
+                raise Unsupported("comparison with a nested type")
+            return Dot(boolean, {"==": x == y, "!=": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op])
         if not comparable(a, b) or a.column is None or b.column is None:
             raise Unsupported("comparison of different types")
         x, y = a.column, b.column
@@ -417,17 +433,17 @@ def gathered(df: DataFrame, tree: tuple, stream: tuple[str, ...] = ()) -> DataFr
         if grouped is not None:
             if name not in ("map",) or args[0][0] != "object":
                 raise Unsupported("groups")
-            df = df.groupBy(*(d.column.alias(f"_k{i}") for i, d in enumerate(grouped))).agg(*(aggregate(v, dot, place if set(stream) <= set(df.columns) else None).alias(k[1]) for k, v in args[0][1])).drop(*(f"_k{i}" for i in range(len(grouped))))
+            df = df.groupBy(*(orderable(d).alias(f"_k{i}") for i, d in enumerate(grouped))).agg(*(aggregate(v, dot, place if set(stream) <= set(df.columns) else None).alias(k[1]) for k, v in args[0][1])).drop(*(f"_k{i}" for i in range(len(grouped))))
             grouped, order = None, []
         elif name == "group_by":
             keys = args[0][1] if args[0][0] == "array" else args[0]
             grouped = [compile_(k, dot) for k in flat(keys)]
             continue
         elif name in ("sort_by", "sort"):
-            order = [compile_(k, dot).column for k in flat(args[0][1] if args[0][0] == "array" else args[0])]
+            order = [orderable(compile_(k, dot)) for k in flat(args[0][1] if args[0][0] == "array" else args[0])]
             df = df.orderBy(*order)
         elif name == "unique_by":
-            keys = [compile_(k, dot).column for k in flat(args[0][1] if args[0][0] == "array" else args[0])]
+            keys = [orderable(compile_(k, dot)) for k in flat(args[0][1] if args[0][0] == "array" else args[0])]
             first = df.groupBy(*(k.alias(f"_k{i}") for i, k in enumerate(keys))).agg((F.min_by(F.struct(*df.columns), place) if stream and set(stream) <= set(df.columns) else F.min(F.struct(*df.columns))).alias("r"))
             df = first.select("r.*")
         elif name == "unique":

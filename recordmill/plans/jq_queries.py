@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from recordmill.functions.order import variant_key
 from recordmill.plans.jq.compiler import interpreted, jq
 from recordmill.plans.search_queries import read
+from recordmill.sources.records import with_positions
 
 
 def docs(spark, sf_dir):
@@ -43,6 +45,32 @@ def jq_index_join(spark, sf_dir):
     return jq(places(spark, sf_dir), program, "t", "key").select(F.col("id").cast("long").alias("id"), "name")
 
 
+def mixed(spark, sf_dir):
+    """Documents with a field of several types: null, booleans, numbers, text, arrays and objects."""
+    n = F.col("doc_id") % 7
+    text = (
+        F.when(n == 0, "null").when(n == 1, F.when(F.col("n_chars") % 2 == 0, "true").otherwise("false")).when(n == 2, F.col("n_chars").cast("string")).when(n == 3, F.concat(F.lit('"'), "lang", F.lit('"')))
+        .when(n == 4, F.concat(F.lit("["), F.col("n_chars") % 3, F.lit(', "'), "lang", F.lit('"]'))).when(n == 5, F.concat(F.lit('{"lang": "'), "lang", F.lit('", "n": '), F.col("n_chars") % 3, F.lit("}"))).otherwise(F.concat(F.col("n_chars") % 5, F.lit(".5")))
+    )
+    return docs(spark, sf_dir).select("doc_id", F.parse_json(text).alias("v"))
+
+
+def jq_mixed_sort(spark, sf_dir):
+    """Every document's place in jq's order over all types, numbered by ranges."""
+    rows = mixed(spark, sf_dir).select("doc_id", variant_key(F.col("v")).alias("key"))
+    return with_positions(rows, "key", "doc_id", name="place").select("doc_id", "place")
+
+
+def jq_mixed_group(spark, sf_dir):
+    """Groups by a field of several types, with how many each has and the first."""
+    return jq(mixed(spark, sf_dir), "[., inputs] | group_by(.v) | map({n: length, first: (map(.doc_id) | min)})")
+
+
+def jq_mixed_compare(spark, sf_dir):
+    """Values beyond all numbers up to 2 and before objects: comparisons over types."""
+    return jq(mixed(spark, sf_dir), 'select(.v > 2 and .v <= "fr" or .v == true or .v.n == 1) | {doc_id}')
+
+
 def jq_join(spark, sf_dir):
     """JOIN of orders with an index of customers, from one stream of both; both sides are at hand."""
     customers = read(spark, sf_dir, "customer").select(F.lit("customer").alias("t"), F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.lit(None).cast("long").alias("customer"))
@@ -169,10 +197,16 @@ QUERIES = {
     "jq_strings": over(docs, '{doc_id, up: (.lang | ascii_upcase), cut: (.source | ltrimstr("src")), long: (.lang | length), has: (.source | test("[0-4]$"))}'),
     "jq_array_ends": over(orders, '{id, n: (.orders | length), first: .orders[0].key, last: .orders[-1].key, keys: (.orders | map(.key) | add)}'),
     "jq_try": over(events, "{id: .event_id, q: (.user_id / .data.k)?}"),
-    **{f.__name__: f for f in (jq_join, jq_in_stream, jq_foreach_stream, jq_range, jq_limit_items, jq_def_arguments, jq_def, jq_index_join, jq_in_semi, jq_foreach_running, jq_cross, jq_transpose, jq_entries, jq_with_entries, jq_array_setops, jq_catch, jq_break, jq_leaf_paths, jq_fallback)},
+    **{f.__name__: f for f in (jq_mixed_sort, jq_mixed_group, jq_mixed_compare, jq_join, jq_in_stream, jq_foreach_stream, jq_range, jq_limit_items, jq_def_arguments, jq_def, jq_index_join, jq_in_semi, jq_foreach_running, jq_cross, jq_transpose, jq_entries, jq_with_entries, jq_array_setops, jq_catch, jq_break, jq_leaf_paths, jq_fallback)},
 }
+#: The field of several types as what it is compared by: rank, number, text, and for arrays and objects their parts.
+MIXED = """m AS (SELECT doc_id, doc_id % 7 AS t, n_chars AS c, lang FROM documents), k AS (SELECT doc_id, CASE t WHEN 0 THEN 0 WHEN 1 THEN CASE WHEN c % 2 = 0 THEN 2 ELSE 1 END WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 5 WHEN 5 THEN 6 ELSE 3 END AS rank,
+CAST(CASE t WHEN 2 THEN c WHEN 6 THEN c % 5 + 0.5 WHEN 4 THEN c % 3 ELSE 0 END AS DOUBLE) AS number, CASE WHEN t IN (3, 4, 5) THEN lang ELSE '' END AS text, CASE t WHEN 5 THEN c % 3 ELSE 0 END AS last FROM m)"""
 K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 SQL = {
+    "jq_mixed_sort": f"WITH {MIXED} SELECT doc_id, row_number() OVER (ORDER BY rank, number, text, last, doc_id) AS place FROM k",
+    "jq_mixed_group": f"WITH {MIXED} SELECT count(*) AS n, min(doc_id) AS first FROM k GROUP BY rank, number, text, last",
+    "jq_mixed_compare": f"WITH {MIXED} SELECT doc_id FROM k WHERE rank = 3 AND number > 2 OR rank = 4 AND text <= 'fr' OR rank = 2 OR rank = 6 AND last = 1",
     "jq_join": "SELECT o_orderkey AS key, o_orderstatus AS status, c_name AS customer FROM orders LEFT JOIN customer ON c_custkey = o_custkey",
     "jq_in_stream": "SELECT doc_id, lang FROM documents WHERE lang IN (SELECT lang FROM documents WHERE n_chars > 20000) AND source NOT IN (SELECT source FROM documents WHERE n_chars < 20)",
     "jq_foreach_stream": "SELECT event_id, CAST(sum(user_id) OVER (ORDER BY event_id) AS BIGINT) AS running FROM events",

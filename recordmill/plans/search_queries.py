@@ -196,19 +196,20 @@ def redact_kv(spark, sf_dir):
     return rows.select("c_custkey", V.redact_map(kv).alias("kv")).select("c_custkey", F.col("kv")["name"].alias("name"), F.col("kv")["api_key"].alias("api_key"), F.col("kv")["Authorization"].alias("authorization"))
 
 
-DURATIONS = ("1h30m", "15m", "7d", "1.5h", "250ms", "0s", "9999y", "1h 2m", "2w", "x", "1y")
-
-
 def duration_parse(spark, sf_dir):
-    rows = spark.createDataFrame([(d,) for d in DURATIONS], "s string")
-    return rows.select("s", V.duration_seconds(F.col("s")).alias("seconds"), V.duration_whole_seconds(F.col("s")).alias("whole"))
-
-
-DATES = ("2026-02-28", "2026-02-30", "0001-01-01", "9999-12-31", "2026-1-2", "2024-02-29", "x")
+    """Durations of one and several units, with fractions, out of bounds, and texts that are none, made of events."""
+    n = F.col("event_id")
+    forms = [F.concat(n, F.lit("s")), F.concat(n % 400, F.lit("d"), n % 24, F.lit("h")), F.concat(n % 50, F.lit(".5h")), F.concat(n, F.lit("ms")), F.concat(n, F.lit("h 2m")), F.concat(n, F.lit("y")), F.col("event_type"), F.concat(n % 3, F.lit("w"), n % 2, F.lit("m"))]
+    rows = read(spark, sf_dir, "events").select("event_id", F.element_at(F.array(*forms), (n % 8 + 1).cast("int")).alias("s"))
+    return rows.select("event_id", "s", V.duration_seconds(F.col("s")).alias("seconds"), V.duration_whole_seconds(F.col("s")).alias("whole"))
 
 
 def date_normalize(spark, sf_dir):
-    return spark.createDataFrame([(d,) for d in DATES], "s string").select("s", V.normalize_date(F.col("s")).alias("day"))
+    """Days of the calendar and others, short forms, times and the first of all days, made of orders."""
+    form = lambda pattern: F.date_format("o_orderdate", pattern)
+    forms = [form("yyyy-MM-dd"), F.concat(form("yyyy-MM"), F.lit("-31")), form("yyyy-M-d"), F.lit("0001-01-01"), form("yyyy-MM-dd'T'HH")]
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.element_at(F.array(*forms), (F.col("o_orderkey") % 5 + 1).cast("int")).alias("s"))
+    return rows.select("o_orderkey", "s", V.normalize_date(F.col("s")).alias("day"))
 
 
 def time_normalize(spark, sf_dir):
@@ -235,13 +236,15 @@ def reserved_intersect(spark, sf_dir):
     return ours.intersect(names)
 
 
-PATHS = ("projects/a.md", "projects/.#a.md", "actions/x/ACTION.md", "actions/x/y.md", "memories/src1/abc.json", "memories/notes/abc.json", ".git/config", "a/.env.local", "a/.env.example", "logs/x", "a/../b", "a//b", "concepts/b/c.md")
+#: Paths of documents, @ for the document: what they are is in the query's SQL.
+PATHS = ("projects/@.md", "projects/.#@.md", "actions/@/ACTION.md", "actions/x/@.md", "memories/src1/@.json", "memories/notes/@.json", ".git/@", "@/.env.local", "@/.env.example", "logs/@", "@/../b", "@//b", "concepts/b/@.md")
 
 
 def path_predicates(spark, sf_dir):
-    rows = spark.createDataFrame([(p,) for p in PATHS], "path string")
+    place = F.element_at(F.array(*map(F.lit, PATHS)), (F.col("doc_id") % len(PATHS) + 1).cast("int"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.replace(place, F.lit("@"), F.col("doc_id").cast("string")).alias("path"))
     p = F.col("path")
-    return rows.select("path", V.is_private(p).alias("private"), V.note_role(p).alias("role"), V.is_record_path(p).alias("record"), V.is_bad_relative(p).alias("bad"), V.compiled_path(p).alias("compiled"))
+    return rows.select("doc_id", "path", V.is_private(p).alias("private"), V.note_role(p).alias("role"), V.is_record_path(p).alias("record"), V.is_bad_relative(p).alias("bad"), V.compiled_path(p).alias("compiled"))
 
 
 def format_span(spark, sf_dir):
@@ -410,10 +413,6 @@ def schema_violations(spark, sf_dir):
     return schemas.violations(records.documents(spark, sf_dir), shape, "doc_id")
 
 
-def _rows(values):
-    return ", ".join("('" + v.replace("'", "''") + "')" for v in values)
-
-
 SQL = {
     "search_then_jq": f"SELECT ref, n_chars AS size FROM ({VIEW}) WHERE source = 'src1' AND lang != 'de' AND regexp_matches(text, '{PATTERN}', 'i')",
     "point_reads": """SELECT asked, c_name AS title FROM customer JOIN (VALUES ('customer:7', 7), ('bf:///customer:8', 8), ('crm:9', 9), ('urn:crm:10', 10), ('https://crm.example/11', 11), ('concepts/c-12', 12)) t(asked, k) ON k = c_custkey""",
@@ -452,9 +451,20 @@ SQL = {
     "line_slice": r"SELECT doc_id, array_to_string(list_slice(CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END, 2, 4), chr(10)) AS content FROM (SELECT doc_id, string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]') AS l FROM documents)",
     "byte_budget": "SELECT doc_id, strlen(text) <= 2000 AS fits, CAST(CASE WHEN strlen(text) <= 2000 THEN length(text) ELSE (SELECT max(i) FROM range(0, 2001) r(i) WHERE strlen(left(text, i)) <= 2000) END AS BIGINT) AS kept FROM documents",
     "compile_notes": f"SELECT 'concepts/doc-' || doc_id || '.md' AS path, 'Document ' || doc_id AS title, 'concept' AS kind, sha256({NOTE}) AS sha256, CAST(2 AS BIGINT) AS n_headings, CAST(2 AS BIGINT) AS n_tasks FROM documents",
-    "path_predicates": """SELECT * FROM (VALUES ('projects/a.md', false, 'projects', false, false, 'memories/projects/a.json'), ('projects/.#a.md', false, NULL, false, false, NULL), ('actions/x/ACTION.md', false, 'actions', false, false, 'memories/actions/x.json'),
-        ('actions/x/y.md', false, NULL, false, false, NULL), ('memories/src1/abc.json', false, NULL, true, false, NULL), ('memories/notes/abc.json', false, NULL, false, false, NULL), ('.git/config', true, NULL, false, false, NULL), ('a/.env.local', true, NULL, false, false, NULL),
-        ('a/.env.example', false, NULL, false, false, NULL), ('logs/x', true, NULL, false, false, NULL), ('a/../b', false, NULL, false, true, NULL), ('a//b', false, NULL, false, true, NULL), ('concepts/b/c.md', false, 'concepts', false, false, 'memories/concepts/b/c.json')) t(path, private, role, record, bad, compiled)""",
+    "path_predicates": """WITH t(i, path, private, role, record, bad, compiled) AS (VALUES (0, 'projects/@.md', false, 'projects', false, false, 'memories/projects/@.json'),
+(1, 'projects/.#@.md', false, NULL, false, false, NULL),
+(2, 'actions/@/ACTION.md', false, 'actions', false, false, 'memories/actions/@.json'),
+(3, 'actions/x/@.md', false, NULL, false, false, NULL),
+(4, 'memories/src1/@.json', false, NULL, true, false, NULL),
+(5, 'memories/notes/@.json', false, NULL, false, false, NULL),
+(6, '.git/@', true, NULL, false, false, NULL),
+(7, '@/.env.local', true, NULL, false, false, NULL),
+(8, '@/.env.example', false, NULL, false, false, NULL),
+(9, 'logs/@', true, NULL, false, false, NULL),
+(10, '@/../b', false, NULL, false, true, NULL),
+(11, '@//b', false, NULL, false, true, NULL),
+(12, 'concepts/b/@.md', false, 'concepts', false, false, 'memories/concepts/b/@.json'))
+SELECT doc_id, replace(path, '@', CAST(doc_id AS VARCHAR)) AS path, private, role, record, bad, replace(compiled, '@', CAST(doc_id AS VARCHAR)) AS compiled FROM documents JOIN t ON i = doc_id % 13""",
     "tsv_rows": "SELECT doc_id || chr(9) || coalesce(lang, '') || chr(9) || regexp_replace(coalesce(text, ''), '[\\t\\r\\n]', ' ', 'g') AS line FROM documents",
     "status_counts": "SELECT count(*) AS records, count(DISTINCT source) AS sources, count(DISTINCT lang) AS langs FROM documents",
     "open_tasks_total": "SELECT CAST(count(*) FILTER (WHERE o_orderstatus != 'F') AS BIGINT) AS tasks_open FROM orders",
@@ -464,8 +474,10 @@ SQL = {
     "slugify": "SELECT p_partkey, s AS slug, array_to_string(list_transform(string_split(s, '-'), lambda w: upper(left(w, 1)) || substring(w, 2)), ' ') AS title FROM (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM part)",
     "text_hygiene": r"SELECT doc_id, length(trim(text)) > 0 AND NOT regexp_matches(text, '[\x00-\x1f\x7f\x{80}-\x{9f}]') AS clean, NOT regexp_matches(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x{80}-\x{9f}]') AS clean_text, regexp_matches(text, '[\x{ad}\x{61c}\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{2066}-\x{206f}\x{feff}\x{fff9}-\x{fffb}]') AS invisible FROM documents",
     "redact_kv": "SELECT c_custkey, c_name AS name, '[REDACTED]' AS api_key, '[REDACTED]' AS authorization FROM customer",
-    "duration_parse": "SELECT * FROM (VALUES ('1h30m', 5400.0::DOUBLE, 5400::BIGINT), ('15m', 900.0, 900), ('7d', 604800.0, 604800), ('1.5h', 5400.0, 5400), ('250ms', 0.25, NULL), ('0s', NULL, NULL), ('9999y', NULL, NULL), ('1h 2m', NULL, NULL), ('2w', 1209600.0, 1209600), ('x', NULL, NULL), ('1y', 31557600.0, 31557600)) t(s, seconds, whole)",
-    "date_normalize": f"SELECT s, CASE WHEN regexp_matches(s, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') AND s NOT IN ('0001-01-01', '9999-12-31') AND try_cast(s AS DATE) IS NOT NULL THEN s END AS day FROM (VALUES {_rows(DATES)}) t(s)",
+    "duration_parse": """WITH e AS (SELECT event_id, event_id AS n, [n || 's', (n % 400) || 'd' || (n % 24) || 'h', (n % 50) || '.5h', n || 'ms', n || 'h 2m', n || 'y', event_type, (n % 3) || 'w' || (n % 2) || 'm'][n % 8 + 1] AS s,
+CAST([n, (n % 400) * 86400 + (n % 24) * 3600, (n % 50) * 3600 + 1800, n * 0.001::DOUBLE, NULL, n * 31557600, NULL, (n % 3) * 604800 + (n % 2) * 60][n % 8 + 1] AS DOUBLE) AS x FROM events), v AS (SELECT event_id, s, CASE WHEN x > 0 AND x <= 3155760000 THEN x END AS seconds FROM e)
+SELECT event_id, s, seconds, CASE WHEN seconds = round(seconds) THEN CAST(seconds AS BIGINT) END AS whole FROM v""",
+    "date_normalize": r"WITH v AS (SELECT o_orderkey, [strftime(o_orderdate, '%Y-%m-%d'), strftime(o_orderdate, '%Y-%m') || '-31', strftime(o_orderdate, '%Y-%-m-%-d'), '0001-01-01', strftime(o_orderdate, '%Y-%m-%dT%H')][o_orderkey % 5 + 1] AS s FROM orders) SELECT o_orderkey, s, CASE WHEN regexp_matches(s, '^\d{4}-\d{2}-\d{2}$') AND s NOT IN ('0001-01-01', '9999-12-31') AND try_cast(s AS DATE) IS NOT NULL THEN s END AS day FROM v",
     "time_normalize": """WITH e AS (SELECT event_id, date_trunc('second', ts) AS t FROM events) SELECT event_id, CASE event_id % 5 WHEN 0 THEN strftime(t, '%Y-%m-%dT%H:%M:%SZ') WHEN 1 THEN strftime(t - INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%SZ') WHEN 2 THEN strftime(t + INTERVAL 330 MINUTE, '%Y-%m-%dT%H:%M:%SZ') END AS t FROM e""",
     "ts_key": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') || 'T23:59:59.999999Z' ELSE strftime(o_orderdate - INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S') || '.000000Z' END AS key FROM orders",
     "tags_normalize": "SELECT doc_id, lang || ',' || source AS tags FROM documents",

@@ -122,3 +122,29 @@ def test_folds_equal_interpreter(spark, program):
     ours = [json.loads(r[0]) if plan.columns != ["value"] else r[0] for r in (plan.select(F.to_json(F.struct(*plan.columns), {"ignoreNullFields": "false"})) if plan.columns != ["value"] else plan).collect()]
     theirs = [json.loads(r.value) for r in interpreted(df, program).collect()]
     assert [x for x in ours if x != {"k": 0}] == [x for x in theirs if x != {"k": None}]
+
+
+VALUES = [None, False, True, -3, 0, 2, 2.5, 10, "", "10", "a", "a\u0000", "b", "\u00e9", "\U0001f600", [], [None], [1], [1, 2], [2], ["a"], [[1], 2], {}, {"a": 1}, {"a": 2}, {"a": [1, {"z": 0}]}, {"a": 1, "b": 0}, {"b": 0}, {"b": None, "c": 3}]
+
+
+def test_order_over_types(spark):
+    from recordmill.functions.order import variant_key
+
+    df = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(VALUES)], "i long, t string").repartition(5).withColumn("v", F.parse_json("t"))
+    ours = [r.i for r in df.orderBy(variant_key(F.col("v")), "i").select("i").collect()]
+    theirs = list(outputs(parse("sort_by(.v) | map(.i)"), [[{"i": i, "v": v} for i, v in enumerate(VALUES)]]))[0]
+    assert ours == theirs
+    twice = df.unionByName(df).groupBy(variant_key(F.col("v")).alias("k")).count()
+    assert twice.count() == len(VALUES) and {r["count"] for r in twice.collect()} == {2}
+    with pytest.raises(Exception, match="nested over"):
+        spark.createDataFrame([("[[[[1]]]]",)], "t string").select(variant_key(F.parse_json("t"))).collect()
+
+
+@pytest.mark.parametrize("test", [".v > 2", ".v <= \"a\"", ".v == null", ".v != true", ".v", ".v.a >= 1", ".v < .v.a"])
+def test_comparisons_over_types(spark, test):
+    rows = [(i, json.dumps(v)) for i, v in enumerate(VALUES) if test == ".v" or ".a" not in test or v is None or isinstance(v, dict)]
+    df = spark.createDataFrame(rows, "i long, t string").select("i", F.parse_json("t").alias("v"))
+    plan = jq(df, f"select({test}) | {{i}}")
+    assert "MapInArrow" not in plan_of(plan)
+    theirs = [r["i"] for r in outputs(parse(f"select({test}) | {{i}}"), [{"i": i, "v": json.loads(t)} for i, t in rows])]
+    assert sorted(r.i for r in plan.collect()) == theirs
