@@ -436,13 +436,30 @@ class Store:
         broken = self.record_files().where("problem is not null").select(F.lit("record").alias("kind"), F.col("path").alias("ref"), F.concat("path", F.lit(": "), "problem").alias("msg"))
         return bad.unionByName(broken).unionByName(review.validate(rows.where("kind = 'memory'"), links, targets, anchors))
 
+    def linked(self, found: DataFrame) -> DataFrame:
+        """node and other: what notes and records link to and are linked from, by path.
+
+        A link leads to a path, to a record's reference, or, from elsewhere, to a name that a note bears as its entity or
+        among its aliases; such a name counts as a link to the note, not from it.
+        """
+        rows = self.records()
+        stated = F.coalesce(F.try_variant_get("doc", "$.links", "array<string>"), F.array().cast("array<string>"))
+        each = self.record_files().where("problem is null").select(F.col("path").alias("from"), F.explode(stated).alias("to"))
+        each = each.select("from", F.when(F.col("to").startswith("{"), F.get_json_object("to", "$.to")).otherwise(F.col("to")).alias("to"))
+        each = each.unionByName(found.select(F.col("path").alias("from"), F.explode("links").alias("l")).select("from", F.col("l.to").alias("to"))).distinct()
+        places = rows.select(F.col("path").alias("to"), F.col("path").alias("place")).unionByName(rows.where("ref != path").select(F.col("ref").alias("to"), F.col("path").alias("place"))).distinct()
+        direct = each.join(places, "to").select("from", F.col("place").alias("to"))
+        names = found.select(F.col("path").alias("ref"), F.explode(F.array_compact(F.concat(F.array("entity"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("identity"))
+        named = graph.by_identity(each, names.where("identity != ''")).select(F.col("target").alias("node"), F.col("from").alias("other"))
+        both = direct.select(F.col("from").alias("node"), F.col("to").alias("other")).unionByName(direct.select(F.col("to").alias("node"), F.col("from").alias("other"))).unionByName(named)
+        return both.where("node != other").distinct()
+
     def review(self, now: str) -> DataFrame:
-        """Stale notes and open actions, as sections."""
+        """Stale notes and open actions, as sections; newer evidence by links of notes and records, both ways, and by names."""
         found = self.notes().where("problem is null")
         dated = found.withColumn("updated", F.coalesce("updated", review.evidence(F.col("sources"))))
-        links = graph.both_ways(found.select("ref", F.explode("links").alias("l")).select("ref", "l.to"))
         others = self.records().select(F.col("path").alias("ref"), V.ts_key(F.col("updated")).alias("ts")).where("ts is not null")
-        return review.rows(review.ordered(review.stale(dated.select("ref", "status", "updated", "stale_after"), links, others, now)), review.open_actions(found))
+        return review.rows(review.ordered(review.stale(dated.select("ref", "status", "updated", "stale_after"), self.linked(found), others, now)), review.open_actions(found))
 
     def evaluate(self, wanted: str = "") -> dict:
         """The cases of the suites under evals: how many hold, and what the others fail."""

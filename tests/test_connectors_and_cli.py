@@ -206,3 +206,23 @@ def test_server(spark, tmp_path):
     value = lambda n: json.loads(by[n]["result"]["content"][0]["text"])
     assert value(3)["ref"] == "concepts/one.md" and value(4)["items"][0]["title"] == "One" and value(8)["items"] == [{"kind": "concept", "records": 1}] and value(9)["items"] == [{"ref": "concepts/one.md"}]
     assert by[5]["result"]["isError"] and by[6]["error"]["code"] == server.BAD_ARGUMENTS and by[7]["error"]["code"] == server.NO_METHOD
+
+
+def test_review_follows_records_and_names(spark, tmp_path):
+    """Newer evidence by a note's own link, by links of records to a path, an entity or an alias, and not by others."""
+    root = tmp_path / "store"
+    settings.new_store(str(root), "mine")
+    store = Store(spark, str(root))
+    rows = [
+        {"id": "a", "title": "t", "updated": "2026-11-12", "links": ["concepts/pathed.md"]},
+        {"id": "b", "title": "t", "updated": "2026-11-12", "links": ["https://example.com/x#part", "urn:isbn:1"]},
+        {"id": "c", "title": "t", "updated": "2026-11-12"},
+        {"id": "d", "title": "t", "updated": "2026-11-01", "links": ["concepts/older.md"]},
+    ]
+    store.ingest("src", json.dumps(rows).encode())
+    head = lambda more: f"---\nupdated: 2026-11-09\n{more}---\n# Note\n"
+    record = next(p.name for p in (root / "memories/src").glob("*.json") if json.loads(p.read_text())["id"] == "c")
+    for name, text in {"pathed": head(""), "named": head("entity: https://example.com/x\n"), "aliased": head("aliases: [\"isbn:1\"]\n"), "linking": head("") + f"[c](../memories/src/{record})\n", "older": head(""), "alone": head("")}.items():
+        (root / f"concepts/{name}.md").write_text(text)
+    found = {r.ref: list(r.reasons) for r in store.review("2026-11-15T12:00:00Z").where("section = 'stale'").collect()}
+    assert found == {f"concepts/{n}.md": ["newer_evidence"] for n in ("pathed", "named", "aliased", "linking")}
