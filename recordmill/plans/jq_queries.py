@@ -81,7 +81,7 @@ def jq_join(spark, sf_dir):
 
 def jq_in_stream(spark, sf_dir):
     """Documents in a language that some long document has, and from a source that no short one has: lists of the stream."""
-    program = '[., inputs] | [.[] | select(.n_chars > 20000) | .lang] as $long | [.[] | select(.n_chars < 20) | .source] as $short | .[] | select((.lang | IN($long[])) and (.source | IN($short[]) | not)) | {doc_id, lang}'
+    program = '[., inputs] | [.[] | select(.n_chars > 10000) | .lang] as $long | [.[] | select(.n_chars < 20) | .source] as $short | .[] | select((.lang | IN($long[])) and (.source | IN($short[]) | not)) | {doc_id, lang}'
     return jq(docs(spark, sf_dir), program)
 
 
@@ -208,7 +208,7 @@ SQL = {
     "jq_mixed_group": f"WITH {MIXED} SELECT count(*) AS n, min(doc_id) AS first FROM k GROUP BY rank, number, text, last",
     "jq_mixed_compare": f"WITH {MIXED} SELECT doc_id FROM k WHERE rank = 3 AND number > 2 OR rank = 4 AND text <= 'fr' OR rank = 2 OR rank = 6 AND last = 1",
     "jq_join": "SELECT o_orderkey AS key, o_orderstatus AS status, c_name AS customer FROM orders LEFT JOIN customer ON c_custkey = o_custkey",
-    "jq_in_stream": "SELECT doc_id, lang FROM documents WHERE lang IN (SELECT lang FROM documents WHERE n_chars > 20000) AND source NOT IN (SELECT source FROM documents WHERE n_chars < 20)",
+    "jq_in_stream": "SELECT doc_id, lang FROM documents WHERE lang IN (SELECT lang FROM documents WHERE n_chars > 10000) AND source NOT IN (SELECT source FROM documents WHERE n_chars < 20)",
     "jq_foreach_stream": "SELECT event_id, CAST(sum(user_id) OVER (ORDER BY event_id) AS BIGINT) AS running FROM events",
     "jq_range": "SELECT n_name AS name, i FROM nation, unnest(range(CAST(n_nationkey AS BIGINT))) AS t(i) WHERE i % 2 = 0",
     "jq_limit_items": "SELECT o_custkey AS id, o_orderkey AS key FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 2",
