@@ -114,6 +114,8 @@ def compile_(tree: tuple, dot: Dot, names: dict[str, Dot] | None = None) -> Dot:
         if isinstance(base.kind, T.ArrayType):
             return Dot(base.kind, F.slice(base.column, lo + 1, n))
         raise Unsupported("slice")
+    if op == "pipe" and tree[1] == ("array", ("call", "leaf_paths", ())) and tree[2] == ("call", "length", ()):
+        return Dot(T.LongType(), leaf_count(dot.whole(), T.StructType([T.StructField(n, _kind(d)) for n, d in dot.fields.items()]) if dot.fields is not None else dot.kind))
     if op == "pipe":
         return compile_(tree[2], again(tree[1]), names)
     if op == "as" and tree[2][0] == "var":
@@ -179,6 +181,25 @@ def _mapped(items: Dot, value: tuple, names: dict[str, Dot]) -> Column:
     return F.transform(items.column, lambda x: compile_(value, Dot(items.kind.elementType, x), names).column)
 
 
+def _kind(d: Dot) -> T.DataType:
+    return d.kind if d.fields is None else T.StructType([T.StructField(n, _kind(x)) for n, x in d.fields.items()])
+
+
+def leaf_count(value: Column, kind: T.DataType) -> Column:
+    """How many leaves a value of a known type has, as deep as it goes: those that are neither null nor false."""
+    if isinstance(kind, T.StructType):
+        total = F.lit(0).cast("long")
+        for f in kind:
+            total = total + leaf_count(value.getField(f.name), f.dataType)
+        return F.coalesce(total, F.lit(0).cast("long"))
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        items, inner = (value, kind.elementType) if isinstance(kind, T.ArrayType) else (F.map_values(value), kind.valueType)
+        return F.coalesce(F.aggregate(items, F.lit(0).cast("long"), lambda n, x: n + leaf_count(x, inner)), F.lit(0).cast("long"))
+    if isinstance(kind, T.VariantType):
+        raise Unsupported("leaves of values of any type")
+    return F.when(value if isinstance(kind, T.BooleanType) else value.isNotNull(), 1).otherwise(0).cast("long")
+
+
 def as_text(d: Dot) -> Column:
     if isinstance(d.kind, T.StringType):
         return F.coalesce(d.column, F.lit("null"))

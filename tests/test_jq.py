@@ -148,3 +148,12 @@ def test_comparisons_over_types(spark, test):
     assert "MapInArrow" not in plan_of(plan)
     theirs = [r["i"] for r in outputs(parse(f"select({test}) | {{i}}"), [{"i": i, "v": json.loads(t)} for i, t in rows])]
     assert sorted(r.i for r in plan.collect()) == theirs
+
+
+def test_leaves_equal_interpreter(spark):
+    rows = [(1, [(1, "a", [True, False, None]), (None, None, [])], ("p", {"k": 1, "l": None})), (2, None, None), (3, [], (None, {}))]
+    df = spark.createDataFrame(rows, "a long, xs array<struct<n:long,s:string,f:array<boolean>>>, o struct<p:string,m:map<string,long>>")
+    program = "{a, n: ([leaf_paths] | length)}"
+    plan = jq(df, program)
+    assert "MapInArrow" not in plan_of(plan)
+    assert [(r.a, r.n) for r in plan.collect()] == [(v["a"], v["n"]) for v in (json.loads(r.value) for r in interpreted(df, program).collect())]
