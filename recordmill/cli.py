@@ -128,7 +128,7 @@ def read_note(store: stores.Store, a: argparse.Namespace) -> dict | None:
 
 
 def run(a: argparse.Namespace) -> int:
-    spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").getOrCreate()
+    spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.scheduler.mode", "FAIR").getOrCreate()
     store = stores.Store(spark, a.root)
     if a.command == "query":
         rows = store.records()

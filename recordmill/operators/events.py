@@ -144,6 +144,22 @@ def runs(events: DataFrame, unit: str, order: str, failed: Column) -> DataFrame:
     return last.join(since, unit, "left").select(unit, "runs", "failures", F.coalesce("consecutive", F.lit(0)).alias("consecutive"))
 
 
+def due_units(units: DataFrame, states: DataFrame, taken: DataFrame, now: Column) -> DataFrame:
+    """name, trigger (event, schedule, idle, held) and wait (seconds still to go) of every unit.
+
+    units: name, every (seconds; null: no schedule) and cap; states: name, failures (in a row), last_end and
+    last_scheduled, a unit without one being idle and fresh; taken: name and n, how many new events its rules take. An event
+    comes before a schedule; after failures a unit is held back.
+    """
+    each = units.join(states.select("name", "failures", "last_end", "last_scheduled"), "name", "left").join(taken.select("name", "n"), "name", "left")
+    failures = F.coalesce("failures", F.lit(0))
+    pause = backoff_seconds(failures, F.coalesce("cap", F.lit(BACKOFF_CAP)))
+    left = F.greatest(F.lit(0), F.coalesce(pause - (F.unix_timestamp(now) - F.unix_timestamp("last_end")), F.lit(0))).cast("long")
+    due = F.col("every").isNotNull() & schedule_due(now, F.col("last_scheduled"), F.col("every"))
+    ready = trigger(F.coalesce("n", F.lit(0)) > 0, due)
+    return each.select("name", F.when(left > 0, "held").otherwise(ready).alias("trigger"), left.alias("wait"))
+
+
 def orphans(states: DataFrame, configured: DataFrame, name: str) -> DataFrame:
     """States of units that are no longer configured."""
     return states.join(configured, name, "left_anti")

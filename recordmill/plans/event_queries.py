@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from recordmill.functions import values as V
 from recordmill.operators import events as E
@@ -12,7 +13,7 @@ from recordmill.plans.jq.compiler import condition
 from recordmill.plans.search_queries import read
 from recordmill.sources import records
 from recordmill.sources.scratch import shared_dir
-from recordmill.streaming import log
+from recordmill.streaming import log, sequence
 
 NOW = "2024-06-01T00:00:00Z"
 SIZE = "octet_length(props) + octet_length(event_type) + 40"
@@ -140,6 +141,37 @@ def emit_events(spark, sf_dir):
     return docs.crossJoin(F.broadcast(bad)).where("bad = 0").select("doc_id", "kind")  # one row
 
 
+def units_due(spark, sf_dir):
+    """A unit for each customer: its state by the user's events, its rule the clicks past a cursor."""
+    rows = events(spark, sf_dir)
+    units = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("name"), F.when(F.col("c_custkey") % 3 != 0, (F.col("c_custkey") % 7 + 1) * 86400 * 30).alias("every"), F.when(F.col("c_custkey") % 2 == 0, 600).alias("cap"))
+    failed = F.col("event_type") == "error"
+    times = rows.groupBy("user_id").agg(F.max(F.col("ts").cast("timestamp")).alias("last_end"), F.max(F.when(~failed, F.col("ts").cast("timestamp"))).alias("last_scheduled"))
+    states = E.runs(rows, "user_id", "event_id", failed).join(times, "user_id").select(F.col("user_id").alias("name"), F.col("consecutive").alias("failures"), "last_end", "last_scheduled")
+    taken = rows.where("event_type = 'click' and event_id % 11 = 0").groupBy(F.col("user_id").alias("name")).agg(F.count("*").alias("n"))
+    # the time is the log's end, so that some units are still held back
+    now = rows.agg(F.max(F.col("ts").cast("timestamp")).alias("now")).first()["now"]
+    return E.due_units(units, states, taken, F.lit(now))
+
+
+def events_by_seq(spark, sf_dir):
+    """The log as a stream by sequence numbers: three appends, each read from the cursor on, then a log begun anew."""
+    rows = read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    out = f"{shared_dir(spark)}/recordmill/sequence-{uuid.uuid4().hex}"
+    parts = [rows.where(F.col("event_id") % 3 == k) for k in range(3)] + [rows.where("event_id % 5 = 0")]
+    fields = StructType([StructField("seq", LongType()), *rows.schema.fields])
+    for number, part in enumerate(parts):
+        if number == 3:
+            sequence.clear(spark, f"{out}/log")
+        sequence.append(part, f"{out}/log", "ts", "event_id")
+
+        def write(batch, n, number=number):
+            batch.select(F.lit(number).cast("long").alias("pass"), "seq", "event_id").write.mode("overwrite").parquet(f"{out}/read/batch={n}")
+
+        log.start(sequence.read(spark, f"{out}/log", fields), write, f"{out}/cursor").awaitTermination()
+    return spark.read.schema("pass long, seq long, event_id long").option("recursiveFileLookup", "true").parquet(f"{out}/read")
+
+
 def stream_counts(spark, sf_dir):
     """The log as a stream that has ended: events of each kind, by a memory of what each batch held."""
     return read_stream(spark, sf_dir, lambda df: df.groupBy("event_type").agg(F.count("*").alias("n")))
@@ -178,6 +210,14 @@ SELECT event_id, min(event_id) OVER (PARTITION BY event_type, user_id, k) AS fir
         SELECT user_id, count(*) AS runs, count(*) FILTER (WHERE f) AS failures, count(*) FILTER (WHERE f AND (ok IS NULL OR event_id > ok)) AS consecutive FROM e GROUP BY user_id""",
     "status_orphans": "SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 != 0)",
     "retention_keep_n": "SELECT event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 3",
+    "units_due": """WITH e AS (SELECT user_id, event_id, ts, event_type = 'error' AS f, max(CASE WHEN event_type != 'error' THEN event_id END) OVER (PARTITION BY user_id) AS ok FROM events),
+s AS (SELECT user_id, count(*) FILTER (WHERE f AND (ok IS NULL OR event_id > ok)) AS failures, max(ts) AS last_end, max(ts) FILTER (WHERE NOT f) AS last_scheduled FROM e GROUP BY 1),
+t AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' AND event_id % 11 = 0 GROUP BY 1), w AS (SELECT floor(epoch(max(ts))) AS w FROM events),
+u AS (SELECT c_custkey AS name, CASE WHEN c_custkey % 3 != 0 THEN (c_custkey % 7 + 1) * 2592000 END AS every, CASE WHEN c_custkey % 2 = 0 THEN 600 ELSE 3600 END AS cap FROM customer),
+j AS (SELECT name, every, n, last_scheduled, CAST(CASE WHEN failures > 0 THEN greatest(0, least(60 * (1 << least(failures - 1, 10)), cap) - (w - floor(epoch(last_end)))) ELSE 0 END AS BIGINT) AS wait FROM u LEFT JOIN s ON s.user_id = name LEFT JOIN t ON t.user_id = name, w)
+SELECT name, CASE WHEN wait > 0 THEN 'held' WHEN n > 0 THEN 'event' WHEN every IS NOT NULL AND (last_scheduled IS NULL OR (SELECT w FROM w) - floor(epoch(last_scheduled)) >= every) THEN 'schedule' ELSE 'idle' END AS trigger, wait FROM j""",
+    "events_by_seq": """SELECT event_id % 3 AS pass, row_number() OVER (ORDER BY event_id % 3, ts, event_id) AS seq, event_id FROM events
+UNION ALL SELECT 3, row_number() OVER (ORDER BY ts, event_id), event_id FROM events WHERE event_id % 5 = 0""",
     "latency_stats": "SELECT event_type, min(value) AS min_value, median(value) AS median_value, max(value) AS max_value FROM events GROUP BY 1",
     "emit_events": "SELECT doc_id, 'documents.' || lang AS kind FROM documents",
     "stream_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
@@ -186,6 +226,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         events_latest_seq, events_after_cursor, cursor_reset, cursor_merge, events_dedupe, event_rule_match, event_rule_filter, event_rules_table, events_stream_first, events_compaction, events_tail, events_seq_assign, backoff, schedule_due,
-        window_bounds, due_selection, run_status_rollup, status_orphans, retention_keep_n, latency_stats, emit_events, stream_counts,
+        window_bounds, due_selection, run_status_rollup, status_orphans, retention_keep_n, latency_stats, units_due, emit_events, events_by_seq, stream_counts,
     )
 }

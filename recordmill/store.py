@@ -11,6 +11,7 @@ import os
 import re
 import time
 import uuid
+from concurrent.futures import Future
 from contextlib import contextmanager
 from datetime import datetime, timezone
 from pathlib import Path
@@ -24,6 +25,7 @@ from recordmill.operators import graph, ingest, review, schemas, search
 from recordmill.plans.jq.compiler import jq
 from recordmill.sources import notes, records, settings
 from recordmill.sources.records import InputError
+from recordmill.streaming.units import Flights
 
 # What a log keeps, how much of the log a repeat is looked for in, and how many rows an eval looks at.
 LOG_LINES, LOG_BYTES, SEARCHED, EVAL_ROWS = 200, 1 << 20, 16 << 20, {"rg": 200, "jq": 500}
@@ -375,21 +377,27 @@ class Store:
         each = [(r.get("kind", ""), r.get("source", ""), condition(rows, r["where"]) if r.get("where") else None) for r in rules]
         return rows.where(E.rule_filter(each, F.col("kind"), F.col("source")))
 
-    def tick(self, units: dict[str, dict], act, now: datetime | None = None) -> list[dict]:
-        """One pass over units ({events: rules, every: seconds, cap: seconds}): each that is due runs once, in name order.
+    def begin(self, units: dict[str, dict], act, flights: Flights, now: datetime | None = None) -> list[Future]:
+        """Begin the units ({events: rules, every: seconds, cap: seconds}) that are due, in name order; their flights.
 
-        An event comes before a schedule; after failures a unit waits. act(name, trigger, events) returns an exit code.
-        A unit whose rules take nothing new still moves its cursor on.
+        An event comes before a schedule; after failures a unit waits, and one that is still in flight is left alone. A unit
+        whose rules take nothing new still moves its cursor on; one whose rules can't be read fails by itself.
         """
-        at, done = now or datetime.now(timezone.utc), []
+        at, begun = now or datetime.now(timezone.utc), []
         for name, unit in sorted(units.items()):
+            if name in flights.names():
+                continue
             state = self.state(name)
             failures = state["consecutive_failures"]
             wait = min(E.BACKOFF_FIRST * 2 ** min(failures - 1, E.BACKOFF_DOUBLINGS), unit.get("cap", E.BACKOFF_CAP)) if failures else 0
             if wait and state["last_end"] and (at - datetime.fromisoformat(state["last_end"])).total_seconds() < wait:
                 continue
             end = self.latest_seq()
-            taken = self.pending(name, unit["events"]).orderBy("seq").limit(search.MOST).collect() if unit.get("events") else []
+            try:
+                taken = self.pending(name, unit["events"]).orderBy("seq").limit(search.MOST).collect() if unit.get("events") else []
+            except ValueError as error:
+                self.record_run(name, at, now or datetime.now(timezone.utc), 1, str(error), trigger="event")
+                continue
             anchor = state["last_scheduled"]
             due = bool(unit.get("every")) and (not anchor or (at - datetime.fromisoformat(anchor)).total_seconds() >= unit["every"])
             trigger = "event" if taken else "schedule" if due else "idle"
@@ -397,22 +405,39 @@ class Store:
                 if unit.get("events") and end != state["event_seq"]:
                     self.set_state(name, event_seq=end)
                 continue
+            cursor = (taken[-1]["seq"] if len(taken) == search.MOST else end) if unit.get("events") else None
+            begun.append(flights.submit(name, self.fly, act, name, trigger, taken, cursor, now)[0])
+        return begun
+
+    def fly(self, act, name: str, trigger: str, taken: list, cursor: int | None, now: datetime | None = None) -> dict:
+        """Run a unit, act(name, trigger, events) giving an exit code, and record it; what it raises is its failure."""
+        began, error = now or datetime.now(timezone.utc), ""
+        try:
             code = act(name, trigger, taken)
-            cursor = taken[-1]["seq"] if len(taken) == search.MOST else end
-            done.append(self.record_run(name, at, now or datetime.now(timezone.utc), code, cursor=cursor if unit.get("events") else None, trigger=trigger))
-        return done
+        except Exception as raised:
+            code, error = 1, f"{type(raised).__name__}: {raised}"
+        return self.record_run(name, began, now or datetime.now(timezone.utc), code, error, cursor=cursor, trigger=trigger)
 
-    def watch(self, units: dict[str, dict], act, passes: int, pause: float = 1.0) -> int:
-        """So many passes with a pause between them; a pass that fails is held back longer each time, to a minute."""
+    def tick(self, units: dict[str, dict], act, now: datetime | None = None, bound: int = 1) -> list[dict]:
+        """One pass over units: each that is due runs once, so many at a time; what was recorded of them, by name."""
+        with Flights(self.spark, bound) as flights:
+            return [flight.result() for flight in self.begin(units, act, flights, now)]
+
+    def watch(self, units: dict[str, dict], act, passes: int, pause: float = 1.0, bound: int = 4) -> int:
+        """So many passes with a pause between them; a pass that fails is held back longer each time, to a minute.
+
+        A pass doesn't wait for the units of those before: a slow one delays no other. The last ones are waited for.
+        """
         held = 0
-        for i in range(passes):
-            try:
-                self.tick(units, act)
-                held = 0
-            except InputError:
-                held += 1
-            if i + 1 < passes:
-                time.sleep(min(60.0, pause * 2**held))
+        with Flights(self.spark, bound) as flights:
+            for i in range(passes):
+                try:
+                    self.begin(units, act, flights)
+                    held = 0
+                except InputError:
+                    held += 1
+                if i + 1 < passes:
+                    time.sleep(min(60.0, pause * 2**held))
         return held
 
     # ---- looking

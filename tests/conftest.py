@@ -15,6 +15,7 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
+        .config("spark.scheduler.mode", "FAIR")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

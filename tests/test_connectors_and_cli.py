@@ -1,5 +1,7 @@
 import json
 import subprocess
+import threading
+import time
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -9,6 +11,7 @@ from recordmill import store as stores
 from recordmill.sources import connectors, settings
 from recordmill.sources.records import InputError
 from recordmill.store import Store, substituted
+from recordmill.streaming.units import Flights
 
 
 def test_git_history(spark, tmp_path):
@@ -173,6 +176,77 @@ def test_tick(spark, tmp_path):
     assert acted == [("clock", "schedule", []), ("fails", "schedule", [])]
 
 
+def test_units_side_by_side(spark, tmp_path):
+    """A slow unit delays no other, isn't begun twice, and what one raises touches no other; their jobs overlap."""
+    store, gate, started, done = Store(spark, str(tmp_path)), threading.Event(), [], []
+    both = threading.Barrier(2, timeout=60)
+
+    def act(name, trigger, events):
+        started.append(name)
+        if name == "raises":
+            raise RuntimeError("no")
+        if name == "slow":
+            assert gate.wait(60)
+        if name in ("a", "b"):
+            both.wait()  # neither gets on alone
+        assert spark.range(1000).selectExpr("sum(id) as s").first().s == 499500
+        done.append(name)
+        return 0
+
+    units = {name: {"every": 1} for name in ("a", "b", "raises", "slow")}
+    with Flights(spark, 4) as flights:
+        first = {f for f in store.begin(units, act, flights)}
+        assert len(first) == 4
+        wait_until(lambda: flights.names() == ["slow"])
+        assert sorted(done) == ["a", "b"] and store.state("raises")["error"] == "RuntimeError: no"
+        assert store.begin({"slow": units["slow"]}, act, flights) == []  # still in flight
+        gate.set()
+        assert [f.result()["status"] for f in first].count("ok") == 3
+    assert sorted(started) == ["a", "b", "raises", "slow"] and store.state("slow")["runs"] == 1
+    assert sorted(e["source"] for e in store.events().collect() if e["kind"] == "loop.succeeded") == ["a", "b", "slow"]
+
+
+def test_bound_and_stop(spark, tmp_path):
+    """No more than the bound run at once; a unit that waits can be taken back."""
+    running, most, lock, gate = set(), [0], threading.Lock(), threading.Event()
+
+    def act(name):
+        with lock:
+            running.add(name)
+            most[0] = max(most[0], len(running))
+        assert gate.wait(60)
+        with lock:
+            running.discard(name)
+        return name
+
+    with Flights(spark, 2) as flights:
+        each = {n: flights.submit(n, act, n)[0] for n in "abcd"}
+        assert flights.submit("a", act, "a") == (each["a"], False)
+        wait_until(lambda: len(running) == 2)
+        flights.stop("d")
+        assert each["d"].cancelled() and flights.names() == ["a", "b", "c"]
+        gate.set()
+        assert [each[n].result() for n in "abc"] == ["a", "b", "c"]
+    assert most[0] == 2
+    with pytest.raises(ValueError):
+        Flights(spark, 0)
+
+
+def test_rules_that_fail_are_held_apart(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.emit([{"kind": "a", "source": "s"}])
+    units = {"broken": {"events": [{"kind": "a", "where": "("}]}, "good": {"events": [{"kind": "a"}]}}
+    assert [r["name"] for r in store.tick(units, lambda *a: 0, bound=2)] == ["good"]
+    assert store.state("broken")["consecutive_failures"] == 1
+
+
+def wait_until(holds, seconds=60):
+    end = time.time() + seconds
+    while not holds():
+        assert time.time() < end
+        time.sleep(0.02)
+
+
 def test_eval_and_check(spark, tmp_path):
     root = tmp_path / "store"
     settings.new_store(str(root), "mine")

@@ -54,3 +54,56 @@ def test_cursors_are_merged_without_skipping(spark):
     cases = [((5, 9, 7), 5), ((5, 7, 9), 7), ((5, 3, 9), 5), ((5, 2, 4), 2), ((5, 5, 5), 5), ((0, 1, 0), 0)]
     df = spark.createDataFrame([c for c, _ in cases], "stored long, target long, disk long")
     assert [r[0] for r in df.select(E.merge_cursor(F.col("stored"), F.col("target"), F.col("disk"))).collect()] == [w for _, w in cases]
+
+
+def test_log_by_numbers(spark, tmp_path):
+    """Batches past the cursor, a restart without anything new, a log begun anew, and folders that are still being written."""
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    from recordmill.streaming import sequence
+
+    path, fields = f"{tmp_path}/log", StructType([StructField("seq", LongType()), StructField("v", StringType())])
+
+    def take():
+        seen = []
+        log.start(sequence.read(spark, path, fields), lambda batch, n: seen.extend(tuple(r) for r in batch.collect()), f"{tmp_path}/cursor").awaitTermination()
+        return sorted(seen)
+
+    def add(*values):
+        return sequence.append(spark.createDataFrame([(v,) for v in values], "v string"), path, "v")
+
+    assert take() == []  # no log yet
+    assert add("b", "a", "a") == 3 and take() == [(1, "a"), (2, "a"), (3, "b")]
+    assert take() == []
+    assert add("c") == 4 and add(None, "d") == 6 and add() == 6
+    (tmp_path / "log" / "_staging-x").mkdir()
+    assert sorted(take(), key=lambda r: r[0]) == [(4, "c"), (5, None), (6, "d")]
+    sequence.clear(spark, path)
+    assert add("x", "y") == 2 and take() == [(1, "x"), (2, "y")]  # the cursor was past the end
+    assert add("z") == 3 and take() == [(3, "z")]
+
+
+def test_log_ranges_are_pruned(spark, tmp_path):
+    """Only files whose folders can hold wanted numbers become tasks."""
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    from recordmill.streaming import sequence
+
+    for _ in range(3):
+        sequence.append(spark.range(10).coalesce(1), f"{tmp_path}/log", "id")
+    reader = sequence.SequenceReader(f"{tmp_path}/log", StructType([StructField("seq", LongType())]), "seq")
+    assert reader.latestOffset() == {"seq": 30}
+    folders = lambda low, high: {p.file.split("from=")[1].split("/")[0].lstrip("0") for p in reader.partitions({"seq": low}, {"seq": high})}
+    assert folders(10, 30) == {"11", "21"} and folders(9, 10) == {"1"} and folders(20, 20) == set() and folders(40, 30) == {"1", "11", "21"}
+    piece = [p for p in reader.partitions({"seq": 15}, {"seq": 17})]
+    assert sorted(n for p in piece for b in reader.read(p) for n in b.column(0).to_pylist()) == [16, 17]
+
+
+def test_due_units(spark):
+    from recordmill.operators import events as E
+
+    units = spark.createDataFrame([("fresh", 60, None), ("ruled", None, None), ("held", 60, 120), ("quiet", None, None), ("late", 60, None), ("early", 60, None)], "name string, every long, cap int")
+    states = spark.sql("""SELECT * FROM VALUES ('held', 9, TIMESTAMP '2026-01-01 00:00:00', NULL), ('late', 0, NULL, TIMESTAMP '2026-01-01 00:00:00'), ('early', 0, NULL, TIMESTAMP '2026-01-01 00:00:50'), ('gone', 0, NULL, NULL) AS t(name, failures, last_end, last_scheduled)""")
+    taken = spark.createDataFrame([("ruled", 2), ("held", 1), ("quiet", 0)], "name string, n long")
+    found = E.due_units(units, states, taken, F.lit("2026-01-01 00:01:00").cast("timestamp"))
+    assert {r.name: (r.trigger, r.wait) for r in found.collect()} == {"fresh": ("schedule", 0), "ruled": ("event", 0), "held": ("held", 60), "quiet": ("idle", 0), "late": ("schedule", 0), "early": ("idle", 0)}
