@@ -13,13 +13,15 @@ import time
 import uuid
 from concurrent.futures import Future
 from contextlib import contextmanager
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from pathlib import Path
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordmill.functions import values as V
+from recordmill.functions.cron import previous
 from recordmill.operators import events as E
 from recordmill.operators import graph, ingest, review, schemas, search
 from recordmill.plans.jq.compiler import jq
@@ -60,6 +62,19 @@ EVENT_SCHEMA = {
 SCHEMAS = {"record": RECORD_SCHEMA, "event": EVENT_SCHEMA}
 
 
+def scheduled(unit: dict, anchor: str, at: datetime) -> bool:
+    """Whether a unit's schedule is due: without an anchor, when so many seconds have passed, or when its cron expression
+    has fired since, on the clocks of its zone. A unit with both is due by either."""
+    if not (unit.get("every") or unit.get("cron")):
+        return False
+    zone = ZoneInfo(unit.get("zone", "UTC"))
+    fired = previous(unit["cron"], (at.replace(microsecond=0) + timedelta(seconds=1)).astimezone(zone)) if unit.get("cron") else None
+    if not anchor:
+        return True
+    last = datetime.fromisoformat(anchor)
+    return bool(unit.get("every") and (at - last).total_seconds() >= unit["every"]) or (fired is not None and last < fired)
+
+
 def now_text(now: datetime | None = None) -> str:
     return (now or datetime.now(timezone.utc)).astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
@@ -378,10 +393,10 @@ class Store:
         return rows.where(E.rule_filter(each, F.col("kind"), F.col("source")))
 
     def begin(self, units: dict[str, dict], act, flights: Flights, now: datetime | None = None) -> list[Future]:
-        """Begin the units ({events: rules, every: seconds, cap: seconds}) that are due, in name order; their flights.
+        """Begin the units ({events: rules, every: seconds, cron: expression, zone, cap: seconds}) that are due, in name order; their flights.
 
         An event comes before a schedule; after failures a unit waits, and one that is still in flight is left alone. A unit
-        whose rules take nothing new still moves its cursor on; one whose rules can't be read fails by itself.
+        whose rules take nothing new still moves its cursor on; one whose rules or schedule can't be read fails by itself.
         """
         at, begun = now or datetime.now(timezone.utc), []
         for name, unit in sorted(units.items()):
@@ -395,11 +410,10 @@ class Store:
             end = self.latest_seq()
             try:
                 taken = self.pending(name, unit["events"]).orderBy("seq").limit(search.MOST).collect() if unit.get("events") else []
-            except ValueError as error:
+                due = scheduled(unit, state["last_scheduled"], at)
+            except (ValueError, KeyError) as error:  # rules, cron expressions and zones that can't be read
                 self.record_run(name, at, now or datetime.now(timezone.utc), 1, str(error), trigger="event")
                 continue
-            anchor = state["last_scheduled"]
-            due = bool(unit.get("every")) and (not anchor or (at - datetime.fromisoformat(anchor)).total_seconds() >= unit["every"])
             trigger = "event" if taken else "schedule" if due else "idle"
             if trigger == "idle":
                 if unit.get("events") and end != state["event_seq"]:

@@ -240,6 +240,20 @@ def test_rules_that_fail_are_held_apart(spark, tmp_path):
     assert store.state("broken")["consecutive_failures"] == 1
 
 
+def test_cron_schedules(spark, tmp_path):
+    """A unit fires once for each time of its expression, on its zone's clocks, the very second included."""
+    due = lambda unit, anchor, *at: stores.scheduled(unit, anchor, datetime(*at, tzinfo=timezone.utc))
+    assert due({"cron": "0 6 * * *"}, "", 2026, 1, 1)
+    assert due({"cron": "0 6 * * *"}, "2026-01-01T05:00:00Z", 2026, 1, 1, 6) and not due({"cron": "0 6 * * *"}, "2026-01-01T06:00:00Z", 2026, 1, 1, 23)
+    assert not due({"cron": "0 6 * * *", "zone": "America/New_York"}, "2026-01-01T05:00:00Z", 2026, 1, 1, 10) and due({"cron": "0 6 * * *", "zone": "America/New_York"}, "2026-01-01T05:00:00Z", 2026, 1, 1, 11)
+    assert due({"cron": "0 6 * * *", "every": 60}, "2026-01-01T06:00:00Z", 2026, 1, 1, 6, 1) and not due({}, "", 2026, 1, 1)
+    store, at = Store(spark, str(tmp_path)), datetime(2026, 1, 1, 7, tzinfo=timezone.utc)
+    units = {"daily": {"cron": "0 6 * * *"}, "bad": {"cron": "nonsense"}, "nowhere": {"cron": "0 6 * * *", "zone": "No/Where"}}
+    ran = [[r["name"] for r in store.tick(units, lambda *a: 0, at + timedelta(hours=h))] for h in (0, 1, 23, 24)]
+    assert ran == [["daily"], [], ["daily"], []]
+    assert store.state("bad")["failures"] == 4 and store.state("nowhere")["failures"] == 4
+
+
 def wait_until(holds, seconds=60):
     end = time.time() + seconds
     while not holds():
