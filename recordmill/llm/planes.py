@@ -29,6 +29,8 @@ from recordmill.llm.shared import lean, new_path, slices, texts
 
 #: Ids of a chunk.
 CHUNK = 1 << 16
+#: Characters of a text that parting into shards looks at; Spark samples so many of some rows on the driver.
+BEGINNING = 64
 #: The pattern that the library's byte-level pre-tokenizer splits by (fixed value); public_tokenizers has to name the same.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -124,7 +126,8 @@ def from_planes(planes: list[bytes], n: int, bits: bool) -> np.ndarray:
 def write(df: DataFrame, path: str, tokenizer: str, end: int, bits: bool = True, chunk: int = CHUNK, key: str = "doc_id", text: str = "text") -> None:
     """Encode all texts in ascending order of the key (null keys first, equal keys by text) and write the files.
 
-    A null text counts as empty; every row ends with the end id. Shards are ranges of the key.
+    A null text counts as empty; every row ends with the end id. Shards are ranges of the key and of how texts begin, so
+    rows of one key, or of none, are parted too, unless they begin alike; such rows are streamed through one task.
     """
     spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
@@ -159,7 +162,7 @@ def write(df: DataFrame, path: str, tokenizer: str, end: int, bits: bool = True,
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = f"shard int, chunk int, start long, n_ids int, bits boolean, keys array<{kind}>, rows array<long>, lengths array<int>, planes array<binary>"
-    df.select(key, text).repartitionByRange(parts, key).sortWithinPartitions(key, text).mapInArrow(lean(run), schema).write.parquet(path)
+    df.select(key, text).repartitionByRange(parts, F.col(key), F.left(F.col(text), F.lit(BEGINNING))).sortWithinPartitions(key, text).mapInArrow(lean(run), schema).write.parquet(path)
 
 
 def shift(n: int) -> list[int]:

@@ -102,6 +102,19 @@ def test_planes(spark, sf_dir, odd, empty, tmp_path):
     assert planes.round_trip(empty, P.path("byte_bpe_50k.json"), 2).count() == 0
 
 
+def test_planes_of_one_key(spark, tmp_path):
+    """Rows without a key are parted by how their texts begin, and stay in order."""
+    df = spark.createDataFrame([(None, f"{i:03d} words of no key") for i in range(200)], "doc_id long, text string")
+    planes.write(df, f"{tmp_path}/p", P.path("byte_bpe_50k.json"), 2)
+    assert spark.read.parquet(f"{tmp_path}/p").select("shard").distinct().count() > 1
+    library, wanted, start = Tokenizer.from_file(P.path("byte_bpe_50k.json")), [], 0
+    for i in range(200):
+        ids = library.encode(f"{i:03d} words of no key").ids + [2]
+        wanted.append((None, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, planes.round_trip(df, P.path("byte_bpe_50k.json"), 2).collect()), key=lambda r: r[1]) == wanted
+
+
 @pytest.mark.parametrize("bits", [True, False])
 def test_planes_of_small_chunks(spark, tmp_path, bits):
     df = spark.createDataFrame([(i, "some words " * i) for i in range(40)], "doc_id long, text string")
