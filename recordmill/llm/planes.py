@@ -105,7 +105,7 @@ def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
         planes = np.packbits(np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little", count=width).T, axis=1, bitorder="little") if width else []
     else:
         planes = ids.astype("<u4").view(np.uint8).reshape(-1, 4).T[: -(-int(ids.max(initial=0)).bit_length() // 8)]
-    pack = zstandard.ZstdCompressor(level=3)
+    pack = zstandard.ZstdCompressor(level=1)
     return [pack.compress(np.ascontiguousarray(p).tobytes()) for p in planes]
 
 
