@@ -219,3 +219,49 @@ def test_office_text():
     with zipfile.ZipFile(data, "w") as z:
         z.writestr("word/document.xml", '<w:d xmlns:w="u"><w:p><w:r><w:t>Hello</w:t></w:r><w:r><w:t> you</w:t></w:r></w:p><w:p><w:t>Next</w:t></w:p></w:d>')
     assert pages.office_text(data.getvalue(), "docx") == "Hello you\nNext"
+
+
+@pytest.mark.parametrize("name", ["note_fields", "note_link_fields", "section_assign", "section_extract", "section_at_anchor", "note_snippets", "note_links", "tasks_explode"])
+def test_notes_are_compiled_once(spark, sf_dir, name):
+    from recordmill.plans import catalogue
+
+    plan = catalogue.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("scheme is refused") <= 1 and "Repartition" in plan
+
+
+def test_keep_text(spark):
+    rows = spark.createDataFrame([("projects/a.md", "# A {#a k=v}\none\n## B\n- [ ] do {#t}\n"), ("projects/b.md", None)], "path string, text string")
+    found = notes.compile_notes(rows, keep_text=True)
+    assert {r.ref: r.source_text for r in found.collect()} == {r.path: r.text for r in rows.collect()}
+    assert [tuple(r) for r in notes.at_anchor(found, "a").collect()] == [("projects/a.md", "section", "one\n## B\n- [ ] do {#t}")]
+    assert notes.at_anchor(found, "t").first()["what"] == "task"
+
+
+def test_few_notes_at_once():
+    import pyarrow as pa
+
+    texts = ["x" * 700_000, None, "y" * 700_000, "z" * 3_000_000, *["w"] * 1200]
+    parts = list(notes.batch_slices(pa.RecordBatch.from_pydict({"text": texts}), "text"))
+    assert [t for p in parts for t in p.column("text").to_pylist()] == texts
+    assert all(p.num_rows == 1 or (p.num_rows <= notes.MOST_NOTES and sum(len(t or "") for t in p.column("text").to_pylist()) <= notes.MOST_CHARS) for p in parts)
+
+
+def test_plain_front_matter_as_the_strict_loader_reads_it():
+    import random
+
+    import yaml
+
+    pick, same = random.Random(7), 0
+    words = ["a", "b: ", "- ", "\n", "\n", "\n  ", "[", "]", "{", "}", ", ", ":", "1", "0x1F", "yes", "..", "---", "+", "-", "@", "a:b", " :", "true", "{}", "\n- ", "\nk: ", "\n  k: ", "1.5", "http://x.y/z", "x: [a, b]", "{to: x, m: {r: p}}"]
+    for _ in range(4000):
+        block = "".join(pick.choices(words, k=pick.randint(1, 9)))
+        try:
+            found = notes.plain_values(block)
+        except Exception:
+            continue
+        same += 1
+        assert not block.strip() or repr(found) == repr(yaml.load(block, notes.strict_loader()))
+    assert same > 500
+    assert notes.yaml_map("a: [yes, 0x10]\nb: {c: ~}") == {"a": ["yes", 16], "b": {"c": None}}
+    with pytest.raises(ValueError, match="nested too deep"):
+        notes.yaml_map("a: " + "[" * 40 + "]" * 40)
