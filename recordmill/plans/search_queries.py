@@ -369,13 +369,12 @@ def note_link_fields(spark, sf_dir):
 def section_assign(spark, sf_dir):
     """The section that each task and element of a note is in, carried forward from the heading before it."""
     found = notes.compile_notes(customer_notes(spark, sf_dir))
-    tasks = found.select("ref", F.explode("tasks").alias("t")).select("ref", "t.text", "t.section")
-    return tasks.unionByName(found.select("ref", F.explode("links").alias("l")).select("ref", F.col("l.to").alias("text"), "l.section"))
+    part = lambda text: lambda x: F.struct(x[text].alias("text"), x["section"].alias("section"))
+    return found.select("ref", F.explode(F.concat(F.transform("tasks", part("text")), F.transform("links", part("to")))).alias("x")).select("ref", "x.text", "x.section")
 
 
 def compiled_with_text(spark, sf_dir):
-    rows = customer_notes(spark, sf_dir)
-    return notes.compile_notes(rows).join(rows.select(F.col("path").alias("ref"), F.col("text").alias("source_text")), "ref")
+    return notes.compile_notes(customer_notes(spark, sf_dir), keep_text=True)
 
 
 def section_extract(spark, sf_dir):
@@ -385,8 +384,10 @@ def section_extract(spark, sf_dir):
 
 def section_at_anchor(spark, sf_dir):
     """An anchor may be a task's, a section's or an attribute list's."""
-    found = compiled_with_text(spark, sf_dir)
-    return notes.at_anchor(found, "t1").select("ref", "what", F.get_json_object("value", "$.text").alias("value")).union(notes.at_anchor(found, "small").select("ref", "what", "value"))
+    task, section = notes.anchor_value("t1"), notes.anchor_value("small")
+    found = compiled_with_text(spark, sf_dir).select("ref", notes.once_a_row(task).alias("a"), notes.once_a_row(section).alias("b"))
+    both = F.array(F.struct("a.what", F.get_json_object("a.value", "$.text").alias("value")), F.col("b"))
+    return found.select("ref", F.explode(both).alias("x")).select("ref", "x.what", "x.value").where("what is not null")
 
 
 def note_snippets(spark, sf_dir):
