@@ -13,8 +13,8 @@ def edges(records: DataFrame, links: str = "links") -> DataFrame:
 
 
 def broken(links: DataFrame, targets: DataFrame, to: str = "to") -> DataFrame:
-    """Links whose target is not there."""
-    return links.join(targets.select(to).distinct(), to, "left_anti")
+    """Links whose target is not there. Repeated targets do no harm here, while making them distinct holds a task's in memory."""
+    return links.join(targets.select(to), to, "left_anti")
 
 
 def severity(missing: DataFrame, snapshot_sources: DataFrame, forgotten: DataFrame, source: str = "source", to: str = "to") -> DataFrame:
@@ -25,8 +25,11 @@ def severity(missing: DataFrame, snapshot_sources: DataFrame, forgotten: DataFra
 
 
 def missing_anchors(links: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Links with an anchor that their target doesn't have."""
-    return links.where("anchor != ''").join(anchors.select("to", "anchor").distinct(), ["to", "anchor"], "left_anti")
+    """Links with an anchor that their target doesn't have.
+
+    Both sides are sorted: anchors come of lists in few small rows, so Spark, which goes by those, would broadcast any number.
+    """
+    return links.where("anchor != ''").join(anchors.select("to", "anchor").hint("merge"), ["to", "anchor"], "left_anti")
 
 
 #: What makes two links of a record the same but for their type.

@@ -265,3 +265,14 @@ def test_plain_front_matter_as_the_strict_loader_reads_it():
     assert notes.yaml_map("a: [yes, 0x10]\nb: {c: ~}") == {"a": ["yes", 16], "b": {"c": None}}
     with pytest.raises(ValueError, match="nested too deep"):
         notes.yaml_map("a: " + "[" * 40 + "]" * 40)
+
+
+def test_anchors_are_neither_broadcast_nor_held(spark):
+    from recordmill.operators import graph
+
+    links = spark.createDataFrame([("a", "x", "1"), ("a", "x", "9"), ("b", "y", "1"), ("b", None, "1"), ("c", "x", "")], "ref string, to string, anchor string")
+    anchors = spark.createDataFrame([("x", ["1", "2", "1"])], "to string, a array<string>").select("to", F.explode("a").alias("anchor"))
+    found = graph.missing_anchors(links, anchors)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and "HashAggregate" not in plan
+    assert sorted(map(str, (r.ref + str(r.to) + r.anchor for r in found.collect()))) == ["ax9", "bNone1", "by1"]
