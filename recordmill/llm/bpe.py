@@ -27,6 +27,8 @@ from recordmill.llm.shared import lean, slices, texts
 CHUNKS, PIECES = 250_000, 250_000
 #: Bytes of a short miss, misses merged side by side, and the rank of a pair that isn't a token.
 SHORT, TOGETHER, NONE = 32, 20_000, 1 << 30
+#: Bytes of text that encode() cuts into words at once; these take some ten times as much.
+ENCODED_BYTES = 1 << 20
 #: Keys to a bucket of the perfect hash.
 BUCKET = 2
 
@@ -223,9 +225,11 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
-        for batch in slices(batches, text):
-            all_ids = bpe.ids_of_many([t or "" for t in texts(batch, text)])
-            columns = [*batch.columns, pa.array(all_ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in all_ids], pa.binary())]
+        for batch in slices(batches, text, ENCODED_BYTES):
+            found = bpe.encode_many([t or "" for t in texts(batch, text)])
+            ends = np.cumsum([0, *(len(v) // 4 for v in found)]).astype(np.int32)
+            all_ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<u4").astype(np.int32)))
+            columns = [*batch.columns, all_ids, pa.array([bpe.decode(np.frombuffer(v, "<u4").tolist()) for v in found], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, ids, decoded])
 
     schema = T.StructType([*df.select(*kept, text).schema, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.BinaryType())])

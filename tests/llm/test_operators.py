@@ -806,3 +806,13 @@ def test_quality(spark, sf_dir, odd, empty):
     assert quality.predict(odd, marked).count() == odd.count()
     assert {r.score for r in quality.predict(odd, marked.where("false")).collect()} == {0.5}
     assert quality.predict(empty, marked).count() == 0
+
+
+def test_bpe_encodes_little_text_at_once(spark):
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    rows = [(i, f"word{i} and more " * 2000) for i in range(90)] + [(90, None), (91, "")]
+    found = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), path)
+    library = bpe.codec(path).library
+    assert bpe.ENCODED_BYTES <= 1 << 20 < sum(len(t or "") for _, t in rows)
+    for r in found.collect():
+        assert r.ids == library.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
