@@ -12,12 +12,12 @@ bits, their outcomes added. Bytes are learned from each distinct token without a
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from recordmill.llm.language_id import fold
 from recordmill.llm.mixing import DEPTHS, LEVELS, SETS, Code, Learner, Predictor, Shape, first_weights, mix32, packed, tallied
 from recordmill.llm.shared import lean, materialize, slices, texts
-from recordmill.llm.words import spaced_words
+from recordmill.llm.words import spaced_column
 
 #: The end of a text as a token; no token of a text can be this byte.
 END = b"\xff"
@@ -37,8 +37,8 @@ WORDS, NAME = 1 << 17, 64
 LEAST_SLOTS, MOST_SLOTS, BYTES = 16, 23, (17, 20, 20)
 #: The closing mark as a symbol of bytes; what stands before a text or a token.
 CLOSE, BEFORE = 256, np.uint32(0x51ED270B)
-#: Tokens of a partial count; symbols that tables are made and used from at a time; slots of a block of a table.
-HELD, SYMBOLS, BLOCK = 200_000, 1 << 16, 1 << 17
+#: Bytes of texts of a partial count; symbols that tables are made and used from at a time; slots of a block of a table.
+COUNTED, SYMBOLS, BLOCK = 16 << 20, 1 << 16, 1 << 17
 #: Tokens of a shard at least, where there are so many: each shard's tables are sent once.
 SHARD = 8_000_000
 
@@ -52,16 +52,11 @@ def token_counts(df: DataFrame, text: str) -> DataFrame:
     """token, n over all texts, each with its end; summed in the worker before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["token", "n"])
-        for batch in slices(batches, text):
-            for t in texts(batch, text):
-                total.update(spaced_words(t))
-            total[END] += batch.num_rows
-            if len(total) > HELD:
-                yield out()
-                total.clear()
-        yield out()
+        for batch in slices(batches, text, COUNTED):
+            found = pa.compute.value_counts(spaced_column(batch.column(text))[0])
+            found = found.filter(pa.compute.not_equal(pa.compute.binary_length(found.field(0)), 0))
+            yield pa.RecordBatch.from_arrays(found.flatten(), ["token", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([batch.num_rows])], ["token", "n"])
 
     return df.select(text).mapInArrow(lean(run), "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
@@ -145,37 +140,37 @@ def encode(df: DataFrame, words: Vocabulary, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, times = shared.value
-        number = dict(zip(names, range(len(names))))
-        logs, part, row = np.log10(times + 1), TaskContext.get().partitionId() << 40, 0
-        for batch in slices(batches, text, 4 << 20):
-            ids, marks, n_tokens = [], [], []
-            others, times_here, stops = [], [], [0]
-            for t in texts(batch, text):
-                split = [*spaced_words(t), END]
-                at = list(map(number.get, split))
-                rare = Counter()
-                if None in at:
-                    for i, n in enumerate(at):
-                        if n is None and len(split[i]) > NAME:
-                            n = at[i] = number.get(name_of(split[i]))
-                        if n is None:
-                            rare[split[i]] += 1
-                            at[i] = xxhash.xxh32_intdigest(split[i]) | 1 << 31
-                ids.append(np.array(at, np.uint32))
-                marks.append(np.ascontiguousarray(ids[-1].view(np.uint8).reshape(-1, 4).T).tobytes())
-                others.extend(rare)
-                times_here.extend(rare.values())
-                stops.append(len(others))
-                n_tokens.append(len(at))
-            known, base = [], []
-            for at in ids:
-                at = at[at < len(names)]
-                known.append(int((times[at] > 0).sum()))
-                base.append(float(logs[at].sum()))
-            cells = pa.StructArray.from_arrays([pa.array(others, pa.binary()), pa.array(times_here, pa.int64())], ["token", "n"])
+        known_names, end = pa.array(names, pa.binary()), names.index(END)
+        long_names = {n: i for i, n in enumerate(names) if n.startswith(END)}
+        logs, heard = np.append(np.log10(times + 1), 0.0), np.append(times > 0, False).astype(np.int64)
+        part, row = TaskContext.get().partitionId() << 40, 0
+        for batch in slices(batches, text):
+            found, starts = spaced_column(batch.column(text))
+            found = found.dictionary_encode()
+            tokens, which = found.dictionary, found.indices.to_numpy()
+            at = pa.compute.index_in(tokens, value_set=known_names)
+            mark = np.append(at.fill_null(0).to_numpy(), end).astype(np.uint32)
+            others = at.is_null()
+            for i, t in zip(others.to_numpy(zero_copy_only=False).nonzero()[0], tokens.filter(others).to_pylist()):
+                n = long_names.get(name_of(t)) if len(t) > NAME else None
+                mark[i] = xxhash.xxh32_intdigest(t) | 1 << 31 if n is None else n
+            which = np.insert(which, starts[1:], len(tokens))  # the ends
+            here = np.repeat(np.arange(batch.num_rows), np.diff(starts) + 1)
+            real = np.append(pa.compute.binary_length(tokens).to_numpy() > 0, True).take(which)
+            which, here = which[real], here[real]
+            n_tokens = np.bincount(here, minlength=batch.num_rows)
+            first = np.cumsum(n_tokens) - n_tokens
+            ids = mark.take(which)
+            word = ids < len(names)
+            at = np.where(word, ids, len(names))
+            known, base = np.add.reduceat(heard.take(at), first), np.add.reduceat(logs.take(at), first)
+            marks = [np.ascontiguousarray(m.view(np.uint8).reshape(-1, 4).T).tobytes() for m in np.split(ids, first[1:])]
+            cells, times_here = np.unique(here[~word] * len(mark) + which[~word], return_counts=True)
+            stops = np.searchsorted(cells, np.arange(batch.num_rows + 1) * len(mark))
+            cells = pa.StructArray.from_arrays([tokens.take(pa.array(cells % len(mark))), pa.array(times_here)], ["token", "n"])
             rare = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), cells).cast(kind)
-            columns = [batch.column(key), pa.array(part + row + np.arange(len(ids))), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(marks, pa.binary()), rare]
-            row += len(ids)
+            columns = [batch.column(key), pa.array(part + row + np.arange(len(marks))), pa.array(n_tokens), pa.array(known), pa.array(base), pa.array(marks, pa.binary()), rare]
+            row += len(marks)
             rest = [c for c in batch.schema.names if c not in (key, text)]
             yield pa.RecordBatch.from_arrays([*columns, *map(batch.column, rest)], [key, "row", "n_tokens", "n_known", "logs", "marks", "rare", *rest])
 
@@ -323,6 +318,11 @@ class Model:
             lo = hi
         return out
 
+    def spelled_column(self, tokens: pa.Array) -> np.ndarray:
+        """The same of a column, each distinct token spelled once."""
+        found = tokens.dictionary_encode()
+        return self.spelled(found.dictionary.to_pylist()).take(found.indices.to_numpy())
+
 
 def score(encoded: DataFrame, counts: DataFrame, words: Vocabulary, model: Model, key: str) -> DataFrame:
     """key, learn, n_tokens, n_known, train_tokens, base_score, score, n_bytes and bits_per_byte for each row."""
@@ -336,7 +336,8 @@ def score(encoded: DataFrame, counts: DataFrame, words: Vocabulary, model: Model
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "token", 1 << 20):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.spelled(texts(batch, "token")))], [*batch.schema.names, "spelled"])
+            each = shared.value.spelled_column(batch.column("token"))  # the join leaves equal tokens next to each other
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(each)], [*batch.schema.names, "spelled"])
 
     worded = encoded.select("row", "marks").mapInArrow(lean(run), "row long, words double")
     rare = encoded.select("row", F.inline("rare"))

@@ -26,8 +26,8 @@ UNIT, LEVELS, TRUST = 32, int(2 * LIMIT * 32) + 1, 30.0
 #: Decisions of a learning step, first and later ones, each twice the one before; how much of past curvature stays, its least, the
 #: largest step, and of how many decisions one is taken for the curvature; slopes are of all.
 START, BATCH, PAST, LEAST, STEP, SPARSE = 1 << 12, 1 << 15, 0.97, 20.0, 0.3, 8
-#: Decisions predicted at a time.
-AT_ONCE = 1 << 15
+#: Decisions predicted at a time; cells that a set's sum is made in.
+AT_ONCE, LANES = 1 << 15, 4
 
 _NODE, _SPREAD = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
@@ -108,7 +108,9 @@ def tallied(shape: Shape, tables: list[np.ndarray], symbols: np.ndarray, context
     for part in shape.parts(symbols, AT_ONCE):
         found, bit, _ = shape.decisions(symbols[part], [c[part] for c in contexts])
         for table, at in zip(tables, found):
-            np.add.at(table, 2 * at + bit, np.uint32(1))
+            at <<= 1
+            at += bit
+            np.add.at(table, at, np.uint32(1))
 
 
 def packed(table: np.ndarray) -> np.ndarray:
@@ -134,7 +136,18 @@ def squash(x: np.ndarray) -> np.ndarray:
 
 def level(total: np.ndarray, longest: np.ndarray) -> np.ndarray:
     """The refinement's row for a sum and the longest context's bucket."""
-    return ((np.clip(total, -LIMIT, LIMIT) + np.float32(LIMIT)) * np.float32(UNIT)).astype(np.intp) + LEVELS * longest.astype(np.intp)
+    total = np.clip(total, -LIMIT, LIMIT)
+    total += np.float32(LIMIT)
+    total *= np.float32(UNIT)
+    return total.astype(np.int32) + np.multiply(longest, LEVELS, dtype=np.int32)
+
+
+def without_own() -> tuple[np.ndarray, np.ndarray]:
+    """Stretched probability and bucket by 2 * counts + bit, where the bit's own count is taken off the slot's counts."""
+    both, bit = np.arange(1 << 16)[:, None], np.arange(2)
+    zeros = np.maximum((both & TOP) - (1 - bit), 0).astype(np.float32)
+    ones = np.maximum((both >> 8) - bit, 0).astype(np.float32)
+    return stretched(zeros, ones).reshape(-1), depth(zeros + ones).astype(np.uint8).reshape(-1)
 
 
 def first_weights(contexts: int) -> np.ndarray:
@@ -145,43 +158,49 @@ class Learner:
     """Weights by set and outcomes by level, learned in the order of the symbols, each without its own count."""
 
     def __init__(self, shape: Shape, tables: list[np.ndarray]):
-        self.shape, self.tables = shape, tables
+        self.shape, self.tables = shape, [t.copy() for t in tables]  # numpy's own memory is in large pages, what was sent isn't
         self.weights = first_weights(len(shape.bits))
         self.curve = np.zeros((SETS, len(shape.bits) + 1, len(shape.bits) + 1))
         self.outcomes = np.zeros(2 * LEVELS * DEPTHS)
+        self.known, self.deep = without_own()
         self.seen = 0
 
     def learn(self, symbols: np.ndarray, contexts: list[np.ndarray]) -> None:
-        lo = 0
+        done, lo = np.cumsum(self.shape.code.size[symbols]), 0
         while lo < len(symbols):
-            part = next(self.shape.parts(symbols[lo:], max(START, min(BATCH, self.seen))))
-            part = slice(lo, lo + part.stop)
+            most = (done[lo - 1] if lo else 0) + max(START, min(BATCH, self.seen))
+            part = slice(lo, max(lo + 1, int(np.searchsorted(done, most, "right"))))
             found, bit, _ = self.shape.decisions(symbols[part], [c[part] for c in contexts])
             self.step(found, bit)
             lo = part.stop
 
     def step(self, found: list[np.ndarray], bit: np.ndarray) -> None:
         x, near, far = [], None, None
-        one = bit.astype(np.float32)
-        none = 1 - one
         for table, at in zip(self.tables, found):
-            both = table.take(at)
-            ones = np.maximum((both >> np.uint16(8)).astype(np.float32) - one, 0)
-            zeros = np.maximum((both & np.uint16(TOP)).astype(np.float32) - none, 0)
-            x.append(stretched(zeros, ones))
-            near, far = far, depth(zeros + ones)
-        x.append(np.full(len(bit), CONSTANT, np.float32))
-        gate = (near * DEPTHS + far).astype(np.intp)
-        weights = self.weights.astype(np.float32)
-        total = x[-1] * np.ascontiguousarray(weights[:, -1]).take(gate)
-        for i, v in enumerate(x[:-1]):
-            total += np.ascontiguousarray(weights[:, i]).take(gate) * v
-        total = np.clip(total, -LIMIT, LIMIT)
+            at = table.take(at).astype(np.intp)
+            at <<= 1
+            at += bit
+            x.append(self.known.take(at))
+            near, far = far, self.deep.take(at)
+        gate = (near * np.uint8(DEPTHS) + far).astype(np.intp)
+        weights = np.ascontiguousarray(self.weights.T, np.float32)
+        total = weights[-1].take(gate)
+        total *= np.float32(CONSTANT)
+        for w, v in zip(weights, x):
+            w = w.take(gate)
+            w *= v
+            total += w
+        np.clip(total, -LIMIT, LIMIT, out=total)
         chance = squash(total)
-        wrong = one - chance
-        slope = np.stack([np.bincount(gate, wrong * v, SETS) for v in x], axis=1)
+        wrong = bit.astype(np.float32)
+        wrong -= chance
+        lane = (np.arange(len(gate)) & (LANES - 1)) * SETS  # neighbours are added to different cells, which don't wait for each other
+        lane += gate
+        by_set = lambda v: np.bincount(lane, v, LANES * SETS).reshape(LANES, SETS).sum(axis=0)
+        slope = np.stack([*(by_set(wrong * v) for v in x), CONSTANT * by_set(wrong)], axis=1)
         some = slice(self.seen % SPARSE, None, SPARSE)
-        sets, spread, few = gate[some], (chance[some] * (1 - chance[some])) * np.float32(SPARSE), [v[some] for v in x]
+        sets, spread = gate[some], (chance[some] * (1 - chance[some])) * np.float32(SPARSE)
+        few = [*(v[some] for v in x), np.float32(CONSTANT)]
         self.curve *= PAST
         for i, v in enumerate(few):
             here = spread * v
@@ -190,7 +209,7 @@ class Learner:
                 self.curve[:, i, j] += fresh
                 if j < i:
                     self.curve[:, j, i] += fresh
-        self.weights += np.clip(np.linalg.solve(self.curve + LEAST * np.eye(len(x)), slope[:, :, None])[:, :, 0], -STEP, STEP)
+        self.weights += np.clip(np.linalg.solve(self.curve + LEAST * np.eye(len(few)), slope[:, :, None])[:, :, 0], -STEP, STEP)
         self.outcomes += np.bincount(2 * level(total, far) + bit, minlength=len(self.outcomes))
         self.seen += len(bit)
 
@@ -214,6 +233,9 @@ class Predictor:
         ones = np.clip(ones, 1e-7, 1 - 1e-7)
         self.logs = np.log10(np.stack([1 - ones, ones], axis=2)).reshape(-1).astype(np.float32)
 
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state | {"values": [v.copy() for v in state["values"]]}  # into large pages, as in Learner
+
     def scores(self, symbols: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
         """log10 of each symbol's probability."""
         out = np.zeros(len(symbols))
@@ -224,9 +246,11 @@ class Predictor:
             codes = [values.take(at) for values, at in zip(self.values, found)]
             near, far = (v & np.uint16(7) for v in codes[-2:])
             gate = (near * np.uint16(DEPTHS) + far).astype(np.intp)
-            total = np.float32(CONSTANT) * self.weights[-1].take(gate)
+            total = self.weights[-1].take(gate)
+            total *= np.float32(CONSTANT)
             for weights, code in zip(self.weights, codes):
-                v = (code >> np.uint16(3)).astype(np.float32)
+                code >>= np.uint16(3)
+                v = code.astype(np.float32)
                 v *= np.float32(1 / self.GRAIN)
                 v -= np.float32(REACH)
                 v *= weights.take(gate)

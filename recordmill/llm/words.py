@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import xxhash
 
 #: Bytes that end a word of letters and digits become spaces; A-Z become a-z; bytes over 127 stay.
@@ -19,6 +21,12 @@ def spaced_words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def spaced_column(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The spaced words of a column's texts one after the other, with empty ones among them, and where each text's start."""
+    found = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(pa.compute.fill_null(column, "")))
+    return found.flatten().cast(pa.binary()), found.offsets.to_numpy()
+
+
 def shingle_set(words: list[bytes], width: int) -> set:
     """Distinct runs of so many words; fewer words, but not none, are one shingle."""
     if len(words) < width:

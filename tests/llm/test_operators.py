@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 from recordmill.llm import ann, bpe, catalogue, decontaminate, language_id, line_dedup, lm_score, mixing, near_dup, planes, pretokens, quality, token_counts
 from recordmill.llm.components import components
-from recordmill.llm.words import alnum_words, shingle_set, spaced_words
+from recordmill.llm.words import alnum_words, shingle_set, spaced_column, spaced_words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [None, "", " ", "  ", "\n", "a", " a", "a ", "a  b", "a\n b", "x \n\n y  ", "don't we'll I'M", "　 a", "123 4,5. 6", "\x00\x1c a", "<|endoftext|> a <s>", "▁a ▁", "é́ x", "ࢍ ა", "😀😀", "z" * 5000, "the quick " * 3000]
@@ -735,6 +735,47 @@ def test_mixing_learns_in_order_without_its_own_count():
     assert once.outcomes[2 * mixing.level(np.array([0.0]), np.array([0]))[0]] == 1
 
 
+def test_learning_reads_symbols_a_few_times_only():
+    class Sizes:
+        read = 0
+
+        def __init__(self, sizes):
+            self.sizes = sizes
+
+        def __getitem__(self, symbols):
+            self.read += len(symbols)
+            return self.sizes[symbols]
+
+    shape = mixing.Shape(mixing.Code(np.ones(64)), (8, 10))
+    symbols = np.arange(60_000) % 64
+    contexts = [np.zeros(60_000, np.uint32), symbols.astype(np.uint32)]
+    shape.code.size = Sizes(shape.code.size)
+    mixing.Learner(shape, [np.zeros(1 << b, np.uint16) for b in shape.bits]).learn(symbols, contexts)
+    assert shape.code.size.read <= 2 * len(symbols)
+
+
+def test_tokens_of_a_batch_are_spelled_once():
+    class Bits:
+        read = 0
+
+        def scores(self, symbols, contexts):
+            self.read += len(symbols)
+            return symbols.astype(float)
+
+    bits = Bits()
+    tokens = [b"cat", b"cat", b"", b"dogs", b"cat", b"dogs"]
+    found = lm_score.Model(None, bits, 0).spelled_column(pa.array(tokens, pa.binary()))
+    assert found.tolist() == [sum(t) + lm_score.CLOSE for t in tokens] and bits.read == 4 + 1 + 5
+
+
+def test_words_of_a_column():
+    rows = ["", None, " A\x0bb\x1cC \n", "\x85x\u00a0Y\u2003z", "".join(f"x{chr(i)}Y" for i in range(256)), "  ", "last"]
+    for column in (pa.array(rows), pa.array(["cut", *rows])[1:]):
+        found, starts = spaced_column(column)
+        found = found.to_pylist()
+        assert [[w for w in found[a:b] if w] for a, b in zip(starts, starts[1:])] == [spaced_words(t) for t in rows]
+
+
 def test_context_does_not_pass_texts():
     marks, first = np.arange(10, dtype=np.uint32), np.array([0, 1, 5])
     one, two = lm_score.word_contexts(marks, first)
